@@ -1,4 +1,4 @@
 """Registered queries (one module per operator family) and their oracles."""
 
-from qalam.plans import cleaning, evaluation, merging, packing, transcripts  # noqa: F401  (registers queries)
+from qalam.plans import cleaning, evaluation, merging, packing, scoring, subword, transcripts  # noqa: F401  (registers queries)
 from qalam.plans.registry import ORACLES, QUERIES  # noqa: F401
