@@ -64,6 +64,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     a CPU-heavy regex chain on one core.  At scale the scan already yields
     thousands of splits and this is a no-op (no extra shuffle).
     """
+    if df.isStreaming:
+        return df
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= want:
         return df
