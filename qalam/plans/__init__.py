@@ -1,4 +1 @@
-"""Registered queries (one module per operator family) and their oracles."""
-
-from qalam.plans import cleaning, evaluation, merging, packing, scoring, streams, subword, transcripts  # noqa: F401  (registers queries)
-from qalam.plans.registry import ORACLES, QUERIES  # noqa: F401
+"""Registered queries, one module per operator family; see ``qalam.plans.catalog``."""

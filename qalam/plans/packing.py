@@ -9,6 +9,7 @@ from qalam.operators.pack import (cut_shards, doc_offsets, pack_accounting, pad_
 from qalam.operators.vocab import encode_words, word_vocabulary
 from qalam.plans import duck as d
 from qalam.plans.registry import query
+from qalam.plans.session import spread
 from qalam.sources.tables import read_table
 
 SHARD = 10_000                      # tokens per shard (small so documents cross borders)
@@ -17,7 +18,7 @@ MAX_LEN = 64
 
 
 def _encoded(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     vocab = word_vocabulary(docs)
     enc = encode_words(docs, vocab, ["doc_id", "source"])
     return enc.withColumn("n_tokens", F.size("ids"))
@@ -52,7 +53,7 @@ shards AS (SELECT source, gpos // {SHARD} AS shard_index, gpos % {SHARD} AS q, i
 @query("word_vocab", STREAM_SQL + "SELECT word, CAST(n AS BIGINT) AS n, CAST(id AS BIGINT) AS id FROM vocab")
 def word_vocab(spark, sf_dir):
     """A17 + ordered rank: word frequencies and word ids (count desc, word asc) + 5."""
-    docs = read_table(spark, sf_dir, "documents").select("text")
+    docs = spread(read_table(spark, sf_dir, "documents").select("text"))
     return word_vocabulary(docs).select("word", "n", "id")
 
 
