@@ -1,4 +1,5 @@
 """Imports every query family so that all queries and oracles are registered."""
 
-from qalam.plans import cleaning, evaluation, merging, packing, scoring, streams, subword, transcripts  # noqa: F401
+from qalam.plans import (cleaning, evaluation, files_q, merging, packing, scoring, streams,  # noqa: F401
+                         subword, transcripts)
 from qalam.plans.registry import ORACLES, QUERIES  # noqa: F401

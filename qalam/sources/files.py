@@ -116,8 +116,14 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str | None
         w = w.partitionBy(*partition_by)
     if fmt == "parquet":
         w.parquet(path)
+    elif sep == "\t":
+        # plain TSV: no quoting (fields must not hold tabs or line breaks)
+        (w.option("header", True).option("sep", "\t").option("quote", "")
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
-        w.option("header", True).option("sep", sep or ",").csv(path)
+        # RFC 4180: quotes doubled, values written as they are (no trimming)
+        (w.option("header", True).option("sep", sep or ",").option("escape", '"')
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text_col: str = "text",
