@@ -172,11 +172,13 @@ def forum_funnel(spark, sf_dir):
 
 @query("forum_funnel_steps", _steps_sql(forum_flagged_sql(), [r for r, _ in _FORUM_R]))
 def forum_funnel_steps(spark, sf_dir):
+    """A1 long form: rows per gate in gate order, zeros included."""
     return funnel_long(forum_flagged(spark, sf_dir), "forum")
 
 
 @query("forum_kept", forum_flagged_sql() + "SELECT id, source, clean AS text FROM f6 WHERE drop_reason IS NULL")
 def forum_kept(spark, sf_dir):
+    """C1–C15 by value: the cleaned text of every kept forum post."""
     return kept(forum_flagged(spark, sf_dir)).select("id", "source", F.col("clean").alias("text"))
 
 
@@ -189,6 +191,7 @@ def comment_funnel(spark, sf_dir):
 
 @query("comment_kept", comment_flagged_sql() + "SELECT id, source, clean AS text FROM f6 WHERE drop_reason IS NULL")
 def comment_kept(spark, sf_dir):
+    """C16–C19 by value: the cleaned text of every kept comment."""
     return kept(comment_flagged(spark, sf_dir)).select("id", "source", F.col("clean").alias("text"))
 
 
@@ -200,4 +203,5 @@ def web_funnel(spark, sf_dir):
 
 @query("web_kept", web_flagged_sql() + "SELECT id, source, clean AS text FROM f6 WHERE drop_reason IS NULL")
 def web_kept(spark, sf_dir):
+    """C20 by value: the cleaned text of every kept web document."""
     return kept(web_flagged(spark, sf_dir)).select("id", "source", F.col("clean").alias("text"))

@@ -101,3 +101,12 @@ def transcript_files_read(spark, sf_dir):
     files = files.select(orig.alias("path"), F.element_at(F.split(orig, "/"), -1).alias("file_name"), "content")
     pick = first_file_per_name(files).select("path")
     return transcripts_to_docs(files.join(pick, "path", "left_semi"))
+
+
+@query("first_documents", "SELECT doc_id, source, text FROM documents ORDER BY doc_id LIMIT 100")
+def first_documents(spark, sf_dir):
+    """S6 + L5: a bounded corpus read — the first 100 documents by doc_id (the
+    limit is the feature; planned as a top-k, no full sort)."""
+    from qalam.sources.files import read_corpus
+    df = read_corpus(spark, f"{sf_dir.rstrip('/')}/documents.parquet", limit=100, order_col="doc_id")
+    return df.select("doc_id", "source", "text")
