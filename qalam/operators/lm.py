@@ -33,9 +33,12 @@ def bigram_losses(encoded: DataFrame, key_cols, group_col: str, ids_col: str = "
     Output ``(keys…, group, loss, n_tokens)`` where n counts predicted tokens.
     """
     keys = list(key_cols)
-    x = encoded.select(*keys, group_col, F.posexplode(ids_col).alias("i", "b"))
-    prev = encoded.select(*keys, F.posexplode(ids_col).alias("i", "a")).withColumn("i", F.col("i") + 1)
-    bi = x.join(prev, keys + ["i"])
+    ids = F.col(ids_col)
+    n = F.size(ids)
+    # adjacent pairs straight from the array: no self-join on positions
+    pairs = F.arrays_zip(F.slice(ids, 1, n - 1).alias("a"), F.slice(ids, 2, n - 1).alias("b"))
+    bi = (encoded.filter(n >= 2).select(*keys, group_col, F.explode(pairs).alias("p"))
+                 .select(*keys, group_col, F.col("p.a").alias("a"), F.col("p.b").alias("b")))
     big = bi.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cab"))
     uni = bi.groupBy("a").agg(F.count(F.lit(1)).alias("ca"))
     sc = bi.join(big, ["a", "b"]).join(uni, "a")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from qalam.functions import regex as rx
 from qalam.functions.html import unescape_html
 from qalam.functions.text import py_splitlines_pattern, py_strip
+from qalam.plans.session import spread
 
 TAG_ONLY = f"^(?:\\[[^\\]]*\\]{rx.S}*)+\\z"
 SOUND_TAG = "\\[[^\\]]*\\]"
@@ -46,7 +47,7 @@ def clean_line(line):
 def transcript_lines(files: DataFrame) -> DataFrame:
     """``(path, line_no, line)`` for every kept line."""
     parts = F.split(unescape_html(F.col("content")), py_splitlines_pattern())
-    ln = files.select("path", F.posexplode(parts).alias("line_no", "raw"))
+    ln = spread(files).select("path", F.posexplode(parts).alias("line_no", "raw"))
     s = py_strip(F.col("raw"))
     keep = ((s != "") & ~s.startswith("WEBVTT") & ~s.startswith("Kind:") & ~s.startswith("Language:")
             & ~s.contains("-->") & ~s.rlike(TAG_ONLY))

@@ -9,7 +9,7 @@ from qalam.operators.pack import (cut_shards, doc_offsets, pack_accounting, pad_
 from qalam.operators.vocab import encode_words, word_vocabulary
 from qalam.plans import duck as d
 from qalam.plans.registry import query
-from qalam.plans.session import spread
+from qalam.plans.session import materialize, spread
 from qalam.sources.tables import read_table
 
 SHARD = 10_000                      # tokens per shard (small so documents cross borders)
@@ -17,11 +17,17 @@ B, T, WORLD = 4, 64, 2              # block geometry for the loader check
 MAX_LEN = 64
 
 
-def _encoded(spark, sf_dir):
+def _vocab_and_encoded(spark, sf_dir):
+    """Word vocabulary (materialised once: it is read by the encoder and for
+    its size) and the encoded documents."""
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    vocab = word_vocabulary(docs)
+    vocab = materialize(word_vocabulary(docs))
     enc = encode_words(docs, vocab, ["doc_id", "source"])
-    return enc.withColumn("n_tokens", F.size("ids"))
+    return vocab, enc.withColumn("n_tokens", F.size("ids"))
+
+
+def _encoded(spark, sf_dir):
+    return _vocab_and_encoded(spark, sf_dir)[1]
 
 
 def _pieces(spark, sf_dir):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from qalam.functions.regex import S
 from qalam.operators.lm import bigram_losses, group_perplexity
 from qalam.plans import duck as d
-from qalam.plans.packing import STREAM_SQL, _encoded
+from qalam.plans.packing import STREAM_SQL, _vocab_and_encoded
 from qalam.plans.registry import query
 from qalam.sources.files import parse_run_log
 from qalam.sources.fixtures import fixture, fixture_sql
@@ -43,6 +43,7 @@ SELECT source, exp(sum(loss * n) / sum(n)) AS perplexity, CAST(sum(n) AS BIGINT)
   CAST(count(*) AS BIGINT) AS n_sequences FROM per WHERE n >= 2 GROUP BY source""")
 def bigram_perplexity(spark, sf_dir):
     """M7 + A11: add-1 bigram model over word ids; perplexity per source."""
-    enc = _encoded(spark, sf_dir)
-    losses = bigram_losses(enc, ["doc_id"], "source", k=1.0)
+    vocab, enc = _vocab_and_encoded(spark, sf_dir)
+    v = vocab.count() + 2            # word ids plus <bos> and <eos>
+    losses = bigram_losses(enc, ["doc_id"], "source", k=1.0, vocab_size=v)
     return group_perplexity(losses, "source")

@@ -46,14 +46,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage: reliable checkpoint into the shared checkpoint directory.
+    """Cut lineage: write the frame as Parquet into a fresh folder under the
+    shared checkpoint directory and read it back.
 
-    Survives executor loss (the data sits in shared storage, not on the
-    executors) and stops Catalyst from re-running an expensive projection
-    under every filter that is pushed below it.
+    One pass (an eager ``Dataset.checkpoint`` computes the plan twice: once to
+    count, once to write), survives executor loss (the data sits in shared
+    storage, not on executors), and stops Catalyst from re-running an
+    expensive projection under every filter pushed below it.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex[:16]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
