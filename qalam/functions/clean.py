@@ -67,7 +67,12 @@ LEADING_PUNCT_COMMENT, _ = _leading_punct(rx.AR_BODY)
 
 LETTER = rx.cls(*rx.ARABIC_LETTERS)
 BOUNDARY_FIX = f"(?<={LETTER})[^{rx.LETTERS_BODY}{rx.SPACE_BODY}]+(?={LETTER})"
-KEEP_ONLY_ARABIC = f"[^{rx.body(*rx.ARABIC_LETTERS_KEEP)}{rx.SPACE_BODY}]"
+# One space per run instead of per character: the collapse of spaces that
+# follows makes the two identical, and runs mean far fewer replacements.
+KEEP_ONLY_ARABIC = f"[^{rx.body(*rx.ARABIC_LETTERS_KEEP)}{rx.SPACE_BODY}]+"
+# The boundary fix differs from keep-only + collapse only when the run holds a
+# kept non-letter (Extended-A 08B6-08BD); elsewhere it is skipped.
+BOUNDARY_NEEDLE = ("re:" + rx.cls("08B6-08BD"),)
 
 ARABIC_ANY = rx.cls(*rx.ARABIC_BLOCKS, *rx.ARABIC_MATH)   # forum "has Arabic" (ratio)
 ARABIC_BLOCK = rx.cls(*rx.ARABIC_BLOCKS)                  # "no Arabic left" gates
@@ -85,17 +90,24 @@ def normalise_arabic(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, NORM_FROM, NORM_TO), DIACRITICS_AND_TATWEEL, "")
 
 
-def letters_only(c: Column) -> Column:
-    """Flatten newlines, break at non-letters between letters, keep Arabic
-    letters and whitespace, collapse spaces, strip."""
-    c = F.regexp_replace(c, NEWLINE_RUN_LINEAR, " ")
-    c = F.regexp_replace(c, BOUNDARY_FIX, " ")
-    c = F.regexp_replace(c, KEEP_ONLY_ARABIC, " ")
-    c = F.regexp_replace(c, " {2,}", " ")
-    return py_strip(c)
+def guarded(c: Column, pattern: str, repl: str, *needles: str) -> Column:
+    """``regexp_replace`` only on strings that contain one of ``needles``.
+
+    Every match of ``pattern`` contains one of the needles, so the result is
+    unchanged; strings without them skip the regex scan and the UTF-8 →
+    UTF-16 → UTF-8 round trip ``regexp_replace`` pays even when nothing
+    matches.  ``c`` is referenced three times: pass a column, not a chain.
+    """
+    cond = None
+    for n in needles:
+        x = c.contains(n) if not n.startswith("re:") else c.rlike(n[3:])
+        cond = x if cond is None else (cond | x)
+    return F.when(cond, F.regexp_replace(c, pattern, repl)).otherwise(c)
 
 
-def _sub(pattern: str, repl: str = " "):
+def _step(pattern: str, repl: str = " ", needles: tuple = (), guard: bool = True):
+    if guard and needles:
+        return lambda c: guarded(c, pattern, repl, *needles)
     return lambda c: F.regexp_replace(c, pattern, repl)
 
 
@@ -103,53 +115,79 @@ def _count(pattern: str):
     return lambda c: F.regexp_count(c, F.lit(pattern))
 
 
-def _chars_removed(c: Column, after: Column) -> Column:
-    return F.length(c) - F.length(after)
+URL_NEEDLES = ("://", "w.", "W.")          # every URL match holds "://" or "www."
+LATIN = ("re:[A-Za-z]",)
 
 
-# A profile is a list of stages.  A stage is (rewrite, taps) where taps are
-# counters computed on the stage's *input* string.
-def forum_stages(remove_emojis: bool = True, strip_english: bool = True):
-    stages = [
-        ("quran", _sub(QURANIC, ""), {"n_quran": None}),
-        ("url", _sub(URL), {"n_urls": _count(URL)}),
-        ("refs", lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(
-            F.regexp_replace(F.regexp_replace(c, MENTION, " "), FORUM_REF, " "),
-            HASHTAG, " "), HTML_ENTITY, " "), HTML_TAG, " "), {}),
+def _letters_only_steps(guard: bool):
+    """Flatten newlines, break at non-letters between letters, keep Arabic
+    letters and whitespace, collapse spaces, strip."""
+    return [
+        ("newlines", _step(NEWLINE_RUN_LINEAR, " ", ("\n",), guard), {}),
+        ("boundary", _step(BOUNDARY_FIX, " ", BOUNDARY_NEEDLE, guard), {}),
+        ("letters", lambda c: py_strip(F.regexp_replace(F.regexp_replace(
+            c, KEEP_ONLY_ARABIC, " "), " {2,}", " ")), {}),
+    ]
+
+
+AR06_NEEDLE = ("re:" + rx.cls("0600-06FF"),)
+A3_NEEDLE = ("re:" + rx.cls("0600-06FF", "0750-077F", "08A0-08FF"),)
+
+
+# A profile is a flat list of stages (name, rewrite, taps); taps are counters
+# computed on the stage's *input*.  Each stage reads the previous stage's
+# column, so a guarded step never duplicates a chain.
+def forum_stages(remove_emojis: bool = True, strip_english: bool = True, guard: bool = True):
+    st = [
+        ("quran", _step(QURANIC, ""), {"n_quran": None}),
+        ("url", _step(URL, " ", URL_NEEDLES, guard), {"n_urls": _count(URL)}),
+        ("mention", _step(MENTION, " ", ("@",), guard), {}),
+        ("forum_ref", _step(FORUM_REF, " ", ("/",), guard), {}),
+        ("hashtag", _step(HASHTAG, " ", ("#",), guard), {}),
+        ("entity", _step(HTML_ENTITY, " ", ("&",), guard), {}),
+        ("tag", _step(HTML_TAG, " ", ("<",), guard), {}),
     ]
     if remove_emojis:
-        stages.append(("emoji", _sub(EMOJI_FORUM), {}))
+        st.append(("emoji", _step(EMOJI_FORUM), {}))
     if strip_english:
-        stages.append(("english", _sub(ENGLISH_WORD), {"n_english": _count(ENGLISH_WORD)}))
-    stages += [
-        ("tail", lambda c: letters_only(normalise_arabic(
-            F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(
-                c, DIVIDER, " "), SPACED_PUNCT_FORUM, " "), SPACED_ARABIC_SPAN, " "),
-                LEADING_PUNCT_FORUM, LEADING_PUNCT_REPL))), {}),
+        st.append(("english", _step(ENGLISH_WORD, " ", LATIN, guard), {"n_english": _count(ENGLISH_WORD)}))
+    st += [
+        ("punct", lambda c: F.regexp_replace(F.regexp_replace(c, DIVIDER, " "), SPACED_PUNCT_FORUM, " "), {}),
+        ("spaced_span", _step(SPACED_ARABIC_SPAN, " ", A3_NEEDLE, guard), {}),
+        ("leading", _step(LEADING_PUNCT_FORUM, LEADING_PUNCT_REPL, AR06_NEEDLE, guard), {}),
+        ("normalise", normalise_arabic, {}),
     ]
-    return stages
-
-
-def comment_stages(remove_emojis: bool = True, strip_english: bool = True):
-    stages = [
-        ("bidi", _sub(BIDI, ""), {}),
-        ("quran", _sub(QURANIC, ""), {"n_quran": None}),
-        ("url", _sub(URL), {"n_urls": _count(URL)}),
-        ("time", _sub(CLOCK_TIME), {"n_times": _count(CLOCK_TIME)}),
-        ("refs", lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(
-            F.regexp_replace(c, MENTION, " "), HASHTAG, " "), HTML_ENTITY, " "),
-            HTML_TAG, " "), {}),
+    return st + _letters_only_steps(guard)
+
+
+def comment_stages(remove_emojis: bool = True, strip_english: bool = True, guard: bool = True):
+    st = [
+        ("bidi", _step(BIDI, ""), {}),
+        ("quran", _step(QURANIC, ""), {"n_quran": None}),
+        ("url", _step(URL, " ", URL_NEEDLES, guard), {"n_urls": _count(URL)}),
+        ("time", _step(CLOCK_TIME, " ", (":",), guard), {"n_times": _count(CLOCK_TIME)}),
+        ("mention", _step(MENTION, " ", ("@",), guard), {}),
+        ("hashtag", _step(HASHTAG, " ", ("#",), guard), {}),
+        ("entity", _step(HTML_ENTITY, " ", ("&",), guard), {}),
+        ("tag", _step(HTML_TAG, " ", ("<",), guard), {}),
     ]
     if remove_emojis:
-        stages.append(("emoji", _sub(EMOJI_COMMENT), {}))
+        st.append(("emoji", _step(EMOJI_COMMENT), {}))
     if strip_english:
-        stages.append(("english", _sub(ENGLISH_WORD), {"n_english": _count(ENGLISH_WORD)}))
-    stages += [
-        ("tail", lambda c: letters_only(normalise_arabic(
-            F.regexp_replace(F.regexp_replace(F.regexp_replace(
-                c, DIVIDER, " "), SPACED_PUNCT_COMMENT, " "), LEADING_PUNCT_COMMENT, LEADING_PUNCT_REPL))), {}),
+        st.append(("english", _step(ENGLISH_WORD, " ", LATIN, guard), {"n_english": _count(ENGLISH_WORD)}))
+    st += [
+        ("punct", lambda c: F.regexp_replace(F.regexp_replace(c, DIVIDER, " "), SPACED_PUNCT_COMMENT, " "), {}),
+        ("leading", _step(LEADING_PUNCT_COMMENT, LEADING_PUNCT_REPL, AR06_NEEDLE, guard), {}),
+        ("normalise", normalise_arabic, {}),
     ]
-    return stages
+    return st + _letters_only_steps(guard)
+
+
+def letters_only(c: Column) -> Column:
+    """C15 as one Column expression."""
+    for _, rewrite, _t in _letters_only_steps(False):
+        c = rewrite(c)
+    return c
 
 
 def clean_expr(c: Column, stages) -> Column:
@@ -161,12 +199,12 @@ def clean_expr(c: Column, stages) -> Column:
 
 def clean_forum_text(c: Column, remove_emojis: bool = True, strip_english: bool = True) -> Column:
     """Forum profile text rewrite C1–C15 as a Column -> Column function."""
-    return clean_expr(c, forum_stages(remove_emojis, strip_english))
+    return clean_expr(c, forum_stages(remove_emojis, strip_english, guard=False))
 
 
 def clean_comment_text(c: Column, remove_emojis: bool = True, strip_english: bool = True) -> Column:
     """Comment profile text rewrite C16–C19 (+ shared steps) as Column -> Column."""
-    return clean_expr(c, comment_stages(remove_emojis, strip_english))
+    return clean_expr(c, comment_stages(remove_emojis, strip_english, guard=False))
 
 
 # --- web profile (C20) -----------------------------------------------------

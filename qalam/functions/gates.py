@@ -38,9 +38,9 @@ def foreign_share(c: Column) -> Column:
     return share_of_tokens(py_split(c), lambda t: t.rlike(cl.FOREIGN) & ~t.rlike(cl.ARABIC_BLOCK))
 
 
-def is_spaced_arabic(c: Column) -> Column:
+def is_spaced_arabic(c: Column, toks: Column | None = None) -> Column:
     """At least 6 tokens and more than half are single Arabic letters."""
-    toks = py_split(c)
+    toks = py_split(c) if toks is None else toks
     return (F.size(toks) >= 6) & (share_of_tokens(toks, lambda t: t.rlike(cl.SINGLE_ARABIC)) > 0.5)
 
 
@@ -49,9 +49,9 @@ def has_no_arabic(c: Column) -> Column:
     return ~c.rlike(cl.ARABIC_BLOCK)
 
 
-def arabic_share(c: Column, arabic_class: str) -> Column:
+def arabic_share(c: Column, arabic_class: str, toks: Column | None = None) -> Column:
     """G7 measure: share of tokens containing an Arabic character."""
-    return share_of_tokens(py_split(c), lambda t: t.rlike(arabic_class))
+    return share_of_tokens(py_split(c) if toks is None else toks, lambda t: t.rlike(arabic_class))
 
 
 def is_too_short(c: Column, min_chars: int) -> Column:

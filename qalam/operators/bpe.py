@@ -69,9 +69,20 @@ def _apply(sym: F.Column, merges) -> F.Column:
     return sym
 
 
-def choose_batch(ranked, existing: set[str], prefix: str, batch: int):
+def choose_batch(ranked, existing: set[str], prefix: str, batch: int, exact: bool = True):
     """Pick the merges of one round from pairs ranked by (count desc, l, r).
-    ``ranked`` holds up to batch+1 rows; the extra row bounds unseen pairs."""
+    ``ranked`` holds up to batch+1 rows; the extra row bounds unseen pairs.
+    ``exact=False``: every symbol-disjoint pair of the list (fast mode)."""
+    if not exact:
+        taken, used, made = [], set(), set()
+        for l, r, c in ranked[:batch]:
+            m = _merged(l, r, prefix)
+            if l in used or r in used or l == r or m in existing or m in made:
+                continue
+            taken.append((l, r, c))
+            used |= {l, r}
+            made.add(m)
+        return taken or [ranked[0]]
     first = ranked[0]
     taken = [first]
     used = {first[0], first[1]}
@@ -97,9 +108,15 @@ def choose_batch(ranked, existing: set[str], prefix: str, batch: int):
 
 
 def learn_bpe(spark: SparkSession, corpus: DataFrame, text_col: str = "text", vocab_size: int = 32000,
-              min_frequency: int = 2, prefix: str = "##", batch: int = 64, checkpoint_every: int = 10):
+              min_frequency: int = 2, prefix: str = "##", batch: int = 64, checkpoint_every: int = 10,
+              exact: bool = True):
     """M1: returns ``(merges, vocab)`` DataFrames:
-    ``merges(rank, left, right, merged, count)`` and ``vocab(token, id)``."""
+    ``merges(rank, left, right, merged, count, exact)`` and ``vocab(token, id)``.
+
+    ``exact=True`` gives the one-merge-at-a-time result (batched only where
+    provably equal); ``exact=False`` merges all symbol-disjoint top pairs of
+    a round — far fewer rounds, slightly different merge order (flagged in
+    the ``exact`` column)."""
     words = word_frequencies(corpus, text_col).select("freq", initial_symbols(F.col("word"), prefix).alias("sym"))
     words = materialize(words).persist()
     alpha = (words.select(F.explode(F.split("sym", " ")).alias("t")).distinct()
@@ -115,7 +132,7 @@ def learn_bpe(spark: SparkSession, corpus: DataFrame, text_col: str = "text", vo
                   _pairs(words).orderBy(F.desc("c"), "l", "r").limit(batch + 1).collect()]
         if not ranked or ranked[0][2] < min_frequency:
             break
-        take = [t for t in choose_batch(ranked, existing, prefix, batch) if t[2] >= min_frequency]
+        take = [t for t in choose_batch(ranked, existing, prefix, batch, exact) if t[2] >= min_frequency]
         take = take[: budget - len(merges)]
         step = [(l, r, _merged(l, r, prefix)) for l, r, _ in take]
         merges += [(l, r, m, c) for (l, r, m), (_, _, c) in zip(step, take)]
@@ -130,8 +147,8 @@ def learn_bpe(spark: SparkSession, corpus: DataFrame, text_col: str = "text", vo
         log.append(len(step))
     words.unpersist()
     learn_bpe.last_rounds = log
-    mdf = spark.createDataFrame([(i, l, r, m, c) for i, (l, r, m, c) in enumerate(merges)],
-                                "rank int, left string, right string, merged string, count long")
+    mdf = spark.createDataFrame([(i, l, r, m, c, exact) for i, (l, r, m, c) in enumerate(merges)],
+                                "rank int, left string, right string, merged string, count long, exact boolean")
     tokens = list(SPECIALS) + alphabet
     seen = set(tokens)
     for _, _, m, _ in merges:

@@ -34,15 +34,16 @@ def masked_mean_pool(tokens: DataFrame, vectors: DataFrame, doc_col: str, tok_co
     return summed.select(doc_col, "n_tokens", l2_normalize(mean).alias("vector"))
 
 
-def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int = 128) -> DataFrame:
+def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int = 512, chunk: int = 64) -> DataFrame:
     """J3 + W2: rank of each source row's true partner among all targets by
     cosine similarity: ``1 + #(sim > own) + #(sim = own and j < partner)``.
 
     ``src``: (i, partner, vec); ``tgt``: (j, vec) with dense ids.  All pairs
     are scored — the metric needs them — but never emitted as rows: both sides
     are cut into blocks of ``block`` ids and each (source block, target block)
-    cell is one numpy matrix product in ``applyInPandas`` that emits one
-    partial count per source row; a cell holds at most 2·block vectors.
+    cell is one vectorised numpy product in ``applyInPandas`` that emits one
+    partial count per source row; a cell holds at most 2·block vectors and
+    each vector is copied once per block of the other side.
     """
     s = src.select(F.col("i").cast("long").alias("i"), F.col("partner").cast("long").alias("partner"),
                    l2_normalize(F.col("vec")).alias("vec"))
@@ -68,12 +69,19 @@ def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int = 128) -> DataFra
         A = np.vstack(a["vec"].to_numpy()).astype(np.float64)
         P = np.vstack(a["pvec"].to_numpy()).astype(np.float64)
         Bm = np.vstack(b["vec"].to_numpy()).astype(np.float64)
+        bj = b["i"].to_numpy()[None, :]
+        partner = a["partner"].to_numpy()
+        gt = np.zeros(len(a), dtype=np.int64)
+        tie = np.zeros(len(a), dtype=np.int64)
         # elementwise product + reduction over the last axis: the same
-        # summation for a pair whichever cell computes it (BLAS is not)
-        sim = (A[:, None, :] * Bm[None, :, :]).sum(axis=-1)
-        own_v = (A * P).sum(axis=-1)[:, None]
-        gt = (sim > own_v).sum(axis=1)
-        tie = ((sim == own_v) & (b["i"].to_numpy()[None, :] < a["partner"].to_numpy()[:, None])).sum(axis=1)
+        # summation for a pair whichever cell computes it (BLAS is not);
+        # rows in chunks keep the temporary at chunk x block x dim
+        for lo in range(0, len(a), chunk):
+            hi = min(lo + chunk, len(a))
+            sim = (A[lo:hi, None, :] * Bm[None, :, :]).sum(axis=-1)
+            own_v = (A[lo:hi] * P[lo:hi]).sum(axis=-1)[:, None]
+            gt[lo:hi] = (sim > own_v).sum(axis=1)
+            tie[lo:hi] = ((sim == own_v) & (bj < partner[lo:hi, None])).sum(axis=1)
         return pd.DataFrame({"i": a["i"].to_numpy(), "gt": gt.astype("int64"), "tie": tie.astype("int64")})
 
     parts = (sx.groupBy("sb", "tb").cogroup(tx.groupBy("sb", "tb"))

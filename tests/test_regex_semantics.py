@@ -55,3 +55,29 @@ def test_long_runs_stay_linear(spark):
                                                             cl.NEWLINE_RUN_LINEAR, " "))
     assert time.time() - t < 20
     assert out[v] == PY_NEWLINE.sub(" ", PY_LEADING.sub("", v))
+
+
+# C15 in Python syntax (letters class; keep class adds 08B6-08BD).
+_KEEP = _LET[:_LET.index("ࢠ-ࢴ") + 3] + "ࢶ-ࢽ" + _LET[_LET.index("ࢠ-ࢴ") + 3:]
+PY_BOUNDARY = re.compile("(?<=[" + _LET + "])[^" + _LET + "\\s]+(?=[" + _LET + "])")
+PY_KEEP = re.compile("[^" + _KEEP + "\\s]")
+
+
+def _py_letters_only(t):
+    t = re.sub(r"\s*\n\s*", " ", t)
+    t = PY_BOUNDARY.sub(" ", t)
+    t = PY_KEEP.sub(" ", t)
+    return re.sub(r" {2,}", " ", t).strip()
+
+
+C15_ALPHABET = list(" \t\n,.!-_x9٣") + ["ب", "س", "ࢶ", "ࢽ", "َ", "ـ", "، "]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(C15_ALPHABET), max_size=25).map("".join), min_size=1, max_size=40))
+def test_letters_only_stages_match_python(spark, values):
+    from qalam.operators.cleaning import _run_stages
+    df = _run_stages(one_col(spark, values), F.col("t"), cl._letters_only_steps(True), "o")
+    got = {r["t"]: r["o"] for r in df.collect()}
+    for v in values:
+        assert got[v] == _py_letters_only(v), repr(v)
