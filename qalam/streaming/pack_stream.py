@@ -16,33 +16,41 @@ from pyspark.sql import functions as F
 from qalam.operators.pack import cut_shards, doc_offsets
 
 
+def pack_batch(spark: SparkSession, batch: DataFrame, batch_id: int, encode_fn, shard_size: int, out_dir: str,
+               part_col: str = "source", order_col: str = "doc_id") -> None:
+    """One micro-batch: encode, place after the offsets committed by earlier
+    batches, cut, write pieces and end offsets under ``batch_id`` (replays
+    overwrite only their own partition)."""
+    pieces_dir, offs_dir = f"{out_dir}/pieces", f"{out_dir}/offsets"
+    enc = encode_fn(batch)
+    try:
+        prior = (spark.read.parquet(offs_dir).filter(F.col("batch_id") < batch_id)
+                      .groupBy(part_col).agg(F.max("end_offset").alias("base")))
+    except Exception:  # noqa: BLE001  (no committed batch yet)
+        prior = spark.createDataFrame([], f"{part_col} string, base long")
+    local = doc_offsets(enc, "n_tokens", order_col, part_col)
+    placed = (local.join(F.broadcast(prior), part_col, "left")   # one row per source
+                   .withColumn("base", F.coalesce("base", F.lit(0)))
+                   .withColumn("start", F.col("start") + F.col("base"))
+                   .withColumn("end", F.col("end") + F.col("base")))
+    pieces = cut_shards(placed, "ids", shard_size, part_col).withColumn("batch_id", F.lit(batch_id))
+    (pieces.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+           .partitionBy("batch_id").parquet(pieces_dir))
+    ends = placed.groupBy(part_col).agg(F.max("end").alias("end_offset")).withColumn("batch_id", F.lit(batch_id))
+    (ends.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(offs_dir))
+
+
 def pack_stream(spark: SparkSession, stream: DataFrame, encode_fn, shard_size: int, out_dir: str,
                 part_col: str = "source", order_col: str = "doc_id"):
     """Start the packing query; returns the StreamingQuery.
 
     ``encode_fn(batch_df) -> DataFrame(order_col, part_col, ids, n_tokens)``.
     Pieces land in ``out_dir/pieces``, offsets in ``out_dir/offsets``.
+    Documents of a later batch must come later in ``order_col`` order.
     """
-    pieces_dir, offs_dir = f"{out_dir}/pieces", f"{out_dir}/offsets"
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        enc = encode_fn(batch)
-        try:
-            prior = (spark.read.parquet(offs_dir).filter(F.col("batch_id") < batch_id)
-                          .groupBy(part_col).agg(F.max("end_offset").alias("base")))
-        except Exception:  # noqa: BLE001  (no committed batch yet)
-            prior = spark.createDataFrame([], f"{part_col} string, base long")
-        local = doc_offsets(enc, "n_tokens", order_col, part_col)
-        placed = (local.join(F.broadcast(prior), part_col, "left")   # one row per source
-                       .withColumn("base", F.coalesce("base", F.lit(0)))
-                       .withColumn("start", F.col("start") + F.col("base"))
-                       .withColumn("end", F.col("end") + F.col("base")))
-        pieces = cut_shards(placed, "ids", shard_size, part_col).withColumn("batch_id", F.lit(batch_id))
-        (pieces.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-               .partitionBy("batch_id").parquet(pieces_dir))
-        ends = placed.groupBy(part_col).agg(F.max("end").alias("end_offset")).withColumn("batch_id", F.lit(batch_id))
-        (ends.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(offs_dir))
+        pack_batch(spark, batch, batch_id, encode_fn, shard_size, out_dir, part_col, order_col)
 
     return (stream.writeStream.foreachBatch(handle)
                   .option("checkpointLocation", f"{out_dir}/_ckpt").trigger(availableNow=True).start())
