@@ -25,7 +25,7 @@ PAD, UNK, BOS, EOS, MASK = 0, 1, 2, 3, 4
 TOKENS_PER_STEP = 131072   # fixed value: tokens per optimizer step
 
 
-def ordered_rank(df: DataFrame, n_col: str, key_col: str, prefix_len: int = 4,
+def ordered_rank(df: DataFrame, n_col: str, key_col: str, prefix_len: int = 3,
                  first: int = 1) -> DataFrame:
     """Dense 1-based rank of ``key_col`` by (``n_col`` desc, ``key_col`` asc) —
     a global order without a single-partition window.
