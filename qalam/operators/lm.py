@@ -39,12 +39,14 @@ def bigram_losses(encoded: DataFrame, key_cols, group_col: str, ids_col: str = "
     pairs = F.arrays_zip(F.slice(ids, 1, n - 1).alias("a"), F.slice(ids, 2, n - 1).alias("b"))
     bi = (encoded.filter(n >= 2).select(*keys, group_col, F.explode(pairs).alias("p"))
                  .select(*keys, group_col, F.col("p.a").alias("a"), F.col("p.b").alias("b")))
-    big = bi.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cab"))
-    uni = bi.groupBy("a").agg(F.count(F.lit(1)).alias("ca"))
-    sc = bi.join(big, ["a", "b"]).join(uni, "a")
+    # repeated bigrams of a document are counted before any shuffle
+    per_doc = bi.groupBy(*keys, group_col, "a", "b").agg(F.count(F.lit(1)).alias("m"))
+    big = per_doc.groupBy("a", "b").agg(F.sum("m").alias("cab"))
+    uni = per_doc.groupBy("a").agg(F.sum("m").alias("ca"))
+    sc = per_doc.join(big, ["a", "b"]).join(uni, "a")
     if vocab_size is None:   # one scalar, computed once on the cluster
         vocab_size = int(encoded.select(F.explode(ids_col).alias("t")).agg(F.countDistinct("t")).first()[0])
     v = F.lit(vocab_size)
     nll = -F.log((F.col("cab") + k) / (F.col("ca") + k * v))
     return (sc.groupBy(*keys, group_col)
-              .agg(F.avg(nll).alias("loss"), F.count(F.lit(1)).cast("long").alias("n_tokens")))
+              .agg((F.sum(nll * F.col("m")) / F.sum("m")).alias("loss"), F.sum("m").cast("long").alias("n_tokens")))
