@@ -90,10 +90,10 @@ def shard_name(part_col: str = "source") -> Column:
     return F.format_string("%s_%s_%06d", F.col(part_col), F.col("split"), F.col("shard_index"))
 
 
-def shard_manifest(pieces: DataFrame, part_col: str = "source") -> DataFrame:
-    """Tokens and bytes (4 per uint32 id) per shard."""
+def shard_manifest(pieces: DataFrame, part_col: str = "source", extra=()) -> DataFrame:
+    """Tokens and bytes (4 per uint32 id) per shard (plus ``extra`` aggregates)."""
     return (pieces.groupBy(part_col, "split", "shard_index")
-                  .agg(F.sum(F.size("piece")).cast("long").alias("n_tokens"))
+                  .agg(F.sum(F.size("piece")).cast("long").alias("n_tokens"), *extra)
                   .withColumn("n_bytes", F.col("n_tokens") * 4)
                   .withColumn("name", shard_name(part_col)))
 

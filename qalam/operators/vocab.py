@@ -33,11 +33,12 @@ def encode_words(docs: DataFrame, vocab: DataFrame, key_cols, text_col: str = "t
     reassembled per document in position order; a document is a bounded group.
     """
     keys = list(key_cols)
-    w = docs.select(*keys, F.posexplode(py_split(F.col(text_col))).alias("i", "word"))
+    # explode_outer keeps a document without words as one row with a null
+    # word, so no join back to the document keys is needed
+    w = docs.select(*keys, F.posexplode_outer(py_split(F.col(text_col))).alias("i", "word"))
     j = w.join(vocab.select("word", "id"), "word", "left")
+    tok = F.when(F.col("word").isNotNull(), F.struct("i", F.coalesce("id", F.lit(unk)).alias("id")))
     per = (j.groupBy(*keys)
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("id", F.lit(unk)).alias("id")))),
-                              lambda s: s["id"].cast("int")).alias("__ids")))
-    out = docs.select(*keys).join(per, keys, "left")
-    return out.select(*keys, F.concat(F.array(F.lit(BOS)), F.coalesce("__ids", F.array().cast("array<int>")),
+             .agg(F.transform(F.array_sort(F.collect_list(tok)), lambda s: s["id"].cast("int")).alias("__ids")))
+    return per.select(*keys, F.concat(F.array(F.lit(BOS)), F.coalesce("__ids", F.array().cast("array<int>")),
                                       F.array(F.lit(EOS))).alias("ids"))

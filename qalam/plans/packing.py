@@ -78,13 +78,13 @@ FROM shards GROUP BY ALL""")
 def pack_shards(spark, sf_dir):
     """U4 + U5 + S11: shard manifest with content checksums (position-weighted)."""
     pieces = _pieces(spark, sf_dir)
-    sums = (pieces.groupBy("source", "split", "shard_index")
-                  .agg(F.sum(F.aggregate("piece", F.lit(0).cast("long"), lambda a, x: a + x)).cast("long").alias("id_sum"),
-                       F.sum(_possum("piece", F.col("pos"))).cast("long").alias("id_possum"),
-                       F.count(F.lit(1)).cast("long").alias("n_pieces")))
-    return (shard_manifest(pieces).join(sums, ["source", "split", "shard_index"])
-            .select("source", "split", F.col("shard_index").cast("long"), "name", "n_tokens", "n_bytes",
-                    "id_sum", "id_possum", "n_pieces"))
+    # manifest and checksums in one aggregation over the pieces
+    man = shard_manifest(pieces, extra=[
+        F.sum(F.aggregate("piece", F.lit(0).cast("long"), lambda a, x: a + x)).cast("long").alias("id_sum"),
+        F.sum(_possum("piece", F.col("pos"))).cast("long").alias("id_possum"),
+        F.count(F.lit(1)).cast("long").alias("n_pieces")])
+    return man.select("source", "split", F.col("shard_index").cast("long"), "name", "n_tokens", "n_bytes",
+                      "id_sum", "id_possum", "n_pieces")
 
 
 @query("pack_accounting", STREAM_SQL + f"""
