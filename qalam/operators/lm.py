@@ -42,7 +42,7 @@ def bigram_losses(encoded: DataFrame, key_cols, group_col: str, ids_col: str = "
     # repeated bigrams of a document are counted before any shuffle
     per_doc = bi.groupBy(*keys, group_col, "a", "b").agg(F.count(F.lit(1)).alias("m"))
     big = per_doc.groupBy("a", "b").agg(F.sum("m").alias("cab"))
-    uni = per_doc.groupBy("a").agg(F.sum("m").alias("ca"))
+    uni = big.groupBy("a").agg(F.sum("cab").alias("ca"))      # from the (smaller) bigram table
     sc = per_doc.join(big, ["a", "b"]).join(uni, "a")
     if vocab_size is None:   # one scalar, computed once on the cluster
         vocab_size = int(encoded.select(F.explode(ids_col).alias("t")).agg(F.countDistinct("t")).first()[0])

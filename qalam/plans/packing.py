@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qalam.operators.pack import (cut_shards, doc_offsets, pack_accounting, pad_truncate, shard_manifest,
-                                  token_budget, training_blocks)
+                                  token_budget, training_blocks, write_shards)
 from qalam.operators.vocab import encode_words, word_vocabulary
 from qalam.plans import duck as d
 from qalam.plans.registry import query
@@ -138,8 +138,13 @@ GROUP BY ALL"""
 
 @query("train_blocks", BLOCKS_SQL)
 def train_blocks(spark, sf_dir):
-    """B×T next-token blocks per rank (checksums of x and y per row)."""
-    blk = training_blocks(_pieces(spark, sf_dir), B, T, WORLD, "train")
+    """B×T next-token blocks per rank (checksums of x and y per row), read
+    from the shard files the packer writes (S11), as a training loader does."""
+    from qalam.sources.files import scratch_path
+    root = scratch_path(spark, "u6-shards")
+    write_shards(_pieces(spark, sf_dir), root)
+    shards = spark.read.parquet(root).withColumn("shard_index", F.col("shard_index").cast("long"))
+    blk = training_blocks(shards, B, T, WORLD, "train")
 
     def s(c):
         return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
