@@ -26,8 +26,12 @@ def py_strip(c: Column | str) -> Column:
 
 
 def py_split(c: Column | str) -> Column:
-    """``str.split()`` with no argument: whitespace runs, no empty tokens."""
-    return F.filter(F.split(py_strip(c), f"{S}+"), lambda t: t != "")
+    """``str.split()`` with no argument: whitespace runs, no empty tokens.
+
+    After the strip, only an empty string yields an empty token, so one
+    ``when`` replaces a per-token filter."""
+    s = py_strip(c)
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{S}+"))
 
 
 def share_of_tokens(tokens: Column, pred) -> Column:

@@ -27,6 +27,7 @@ from qalam.operators.pack import BOS, EOS, SPECIALS, UNK
 from qalam.plans.session import materialize
 
 PRETOKEN = "(?U)\\w+|[^\\w\\s]+"   # the Whitespace pre-tokenizer: \w+|[^\w\s]+
+MAX_BROADCAST_VOCAB = 1_000_000   # subword vocabularies are 32k-64k; refuse anything unbounded
 
 
 def pretokenize(text_col: str = "text") -> F.Column:
@@ -192,6 +193,10 @@ def encode(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key_cols, text_
     for s in ("<bos>", "<eos>", "<unk>"):
         if vocab.filter(F.col("token") == s).limit(1).count() == 0:
             raise ValueError(f"{s} not found in vocabulary")
+    # broadcast only with a checked bound: both tables are at most vocab_size rows
+    n_vocab = vocab.count()
+    if n_vocab > MAX_BROADCAST_VOCAB:
+        raise ValueError(f"vocabulary of {n_vocab} entries is too large to broadcast (limit {MAX_BROADCAST_VOCAB})")
     ranks_b = spark.sparkContext.broadcast({(r["left"], r["right"]): r["rank"] for r in merges.collect()})
     vocab_b = spark.sparkContext.broadcast({r["token"]: r["id"] for r in vocab.collect()})
 
