@@ -85,3 +85,19 @@ def corpus_lines(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     col = pick_text_column(docs, ["body", "comment_text", "text", "selftext"])
     return write_corpus_lines(docs, col)
+
+
+@query("tagged_sources", f"""
+WITH u AS (SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS doc, text FROM documents
+           UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR), text FROM conversations)
+SELECT source, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len({d.tokens('text')})) AS BIGINT) AS n_words FROM u GROUP BY source""")
+def tagged_sources(spark, sf_dir):
+    """Several sources concatenated with a source tag (packed per tag downstream)."""
+    from qalam.functions.text import py_split
+    from qalam.operators.merge import tag_sources
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), "text")
+    conv = read_table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc"), "text")
+    u = tag_sources({"documents": docs, "conversations": conv})
+    return u.groupBy("source").agg(F.count(F.lit(1)).cast("long").alias("n_docs"),
+                                   F.sum(F.size(py_split(F.col("text")))).cast("long").alias("n_words"))
