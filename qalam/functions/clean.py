@@ -1,10 +1,12 @@
 """Cleaning profiles (C1–C20) as chains of Column expressions.
 
-Each profile is a list of ``(name, Column -> Column)`` steps plus counter
-taps.  ``build`` applies them as successive projections so that an
-intermediate string that is both counted and rewritten is computed once
-(Catalyst does not collapse a projection whose non-cheap expression is used
-twice), and so that the whole chain stays one whole-stage-codegen span.
+Each profile is a flat list of ``(name, Column -> Column, taps)`` stages.
+``qalam.operators.cleaning`` applies them as successive projections, so an
+intermediate string that is both counted and rewritten, or guarded, is
+computed once (Catalyst does not collapse a projection whose non-cheap
+expression is used twice), and the chain stays in one whole-stage-codegen
+span.  ``clean_forum_text`` / ``clean_comment_text`` give the same rewrite as
+one nested Column expression for ad-hoc use.
 """
 
 from __future__ import annotations
@@ -111,8 +113,18 @@ def _step(pattern: str, repl: str = " ", needles: tuple = (), guard: bool = True
     return lambda c: F.regexp_replace(c, pattern, repl)
 
 
-def _count(pattern: str):
-    return lambda c: F.regexp_count(c, F.lit(pattern))
+def _count(pattern: str, needles: tuple = ()):
+    """Matches of ``pattern``; 0 without scanning when no needle occurs."""
+    def f(c: Column) -> Column:
+        n = F.regexp_count(c, F.lit(pattern))
+        if not needles:
+            return n
+        cond = None
+        for x in needles:
+            y = c.contains(x) if not x.startswith("re:") else c.rlike(x[3:])
+            cond = y if cond is None else (cond | y)
+        return F.when(c.isNull(), F.lit(None)).when(cond, n).otherwise(F.lit(0))
+    return f
 
 
 URL_NEEDLES = ("://", "w.", "W.")          # every URL match holds "://" or "www."
@@ -140,7 +152,7 @@ A3_NEEDLE = ("re:" + rx.cls("0600-06FF", "0750-077F", "08A0-08FF"),)
 def forum_stages(remove_emojis: bool = True, strip_english: bool = True, guard: bool = True):
     st = [
         ("quran", _step(QURANIC, ""), {"n_quran": None}),
-        ("url", _step(URL, " ", URL_NEEDLES, guard), {"n_urls": _count(URL)}),
+        ("url", _step(URL, " ", URL_NEEDLES, guard), {"n_urls": _count(URL, URL_NEEDLES)}),
         ("mention", _step(MENTION, " ", ("@",), guard), {}),
         ("forum_ref", _step(FORUM_REF, " ", ("/",), guard), {}),
         ("hashtag", _step(HASHTAG, " ", ("#",), guard), {}),
@@ -150,7 +162,7 @@ def forum_stages(remove_emojis: bool = True, strip_english: bool = True, guard:
     if remove_emojis:
         st.append(("emoji", _step(EMOJI_FORUM), {}))
     if strip_english:
-        st.append(("english", _step(ENGLISH_WORD, " ", LATIN, guard), {"n_english": _count(ENGLISH_WORD)}))
+        st.append(("english", _step(ENGLISH_WORD, " ", LATIN, guard), {"n_english": _count(ENGLISH_WORD, LATIN)}))
     st += [
         ("punct", lambda c: F.regexp_replace(F.regexp_replace(c, DIVIDER, " "), SPACED_PUNCT_FORUM, " "), {}),
         ("spaced_span", _step(SPACED_ARABIC_SPAN, " ", A3_NEEDLE, guard), {}),
@@ -164,8 +176,8 @@ def comment_stages(remove_emojis: bool = True, strip_english: bool = True, guard
     st = [
         ("bidi", _step(BIDI, ""), {}),
         ("quran", _step(QURANIC, ""), {"n_quran": None}),
-        ("url", _step(URL, " ", URL_NEEDLES, guard), {"n_urls": _count(URL)}),
-        ("time", _step(CLOCK_TIME, " ", (":",), guard), {"n_times": _count(CLOCK_TIME)}),
+        ("url", _step(URL, " ", URL_NEEDLES, guard), {"n_urls": _count(URL, URL_NEEDLES)}),
+        ("time", _step(CLOCK_TIME, " ", (":",), guard), {"n_times": _count(CLOCK_TIME, (":",))}),
         ("mention", _step(MENTION, " ", ("@",), guard), {}),
         ("hashtag", _step(HASHTAG, " ", ("#",), guard), {}),
         ("entity", _step(HTML_ENTITY, " ", ("&",), guard), {}),
@@ -174,7 +186,7 @@ def comment_stages(remove_emojis: bool = True, strip_english: bool = True, guard
     if remove_emojis:
         st.append(("emoji", _step(EMOJI_COMMENT), {}))
     if strip_english:
-        st.append(("english", _step(ENGLISH_WORD, " ", LATIN, guard), {"n_english": _count(ENGLISH_WORD)}))
+        st.append(("english", _step(ENGLISH_WORD, " ", LATIN, guard), {"n_english": _count(ENGLISH_WORD, LATIN)}))
     st += [
         ("punct", lambda c: F.regexp_replace(F.regexp_replace(c, DIVIDER, " "), SPACED_PUNCT_COMMENT, " "), {}),
         ("leading", _step(LEADING_PUNCT_COMMENT, LEADING_PUNCT_REPL, AR06_NEEDLE, guard), {}),
