@@ -37,8 +37,12 @@ def encode_words(docs: DataFrame, vocab: DataFrame, key_cols, text_col: str = "t
     # word, so no join back to the document keys is needed
     w = docs.select(*keys, F.posexplode_outer(py_split(F.col(text_col))).alias("i", "word"))
     j = w.join(vocab.select("word", "id"), "word", "left")
-    tok = F.when(F.col("word").isNotNull(), F.struct("i", F.coalesce("id", F.lit(unk)).alias("id")))
+    # (position, id) packed in one long: the per-document order is then a
+    # primitive array sort (about half the cost of sorting structs)
+    shift = F.lit(1 << 32)
+    tok = F.when(F.col("word").isNotNull(),
+                 F.col("i").cast("long") * shift + F.coalesce("id", F.lit(unk)).cast("long"))
     per = (j.groupBy(*keys)
-             .agg(F.transform(F.array_sort(F.collect_list(tok)), lambda s: s["id"].cast("int")).alias("__ids")))
+             .agg(F.transform(F.array_sort(F.collect_list(tok)), lambda x: (x % shift).cast("int")).alias("__ids")))
     return per.select(*keys, F.concat(F.array(F.lit(BOS)), F.coalesce("__ids", F.array().cast("array<int>")),
                                       F.array(F.lit(EOS))).alias("ids"))
