@@ -127,6 +127,7 @@ def learn_bpe(spark: SparkSession, corpus: DataFrame, text_col: str = "text", vo
     merges: list[tuple[str, str, str, int]] = []
     budget = vocab_size - len(SPECIALS) - len(alphabet)
     rounds = 0
+    prev = None
     log: list[int] = []
     while len(merges) < budget:
         ranked = [(r["l"], r["r"], r["c"]) for r in
@@ -138,15 +139,19 @@ def learn_bpe(spark: SparkSession, corpus: DataFrame, text_col: str = "text", vo
         step = [(l, r, _merged(l, r, prefix)) for l, r, _ in take]
         merges += [(l, r, m, c) for (l, r, m), (_, _, c) in zip(step, take)]
         existing |= {m for _, _, m in step}
+        if prev is not None:
+            prev.unpersist()      # the table it fed is cached by now (last job)
         prev = words
         words = words.select("freq", _apply(F.col("sym"), step).alias("sym"))
         rounds += 1
-        # the distinct-word table is reused every round: keep it cached, and
-        # cut lineage with a reliable checkpoint every few rounds
+        # the distinct-word table is reused every round: keep it cached (the
+        # previous copy is released only after the next job filled this one),
+        # and cut lineage with a written table every few rounds
         words = (materialize(words) if rounds % checkpoint_every == 0 else words).persist()
-        prev.unpersist()
         log.append(len(step))
     words.unpersist()
+    if prev is not None:
+        prev.unpersist()
     learn_bpe.last_rounds = log
     mdf = spark.createDataFrame([(i, l, r, m, c, exact) for i, (l, r, m, c) in enumerate(merges)],
                                 "rank int, left string, right string, merged string, count long, exact boolean")
