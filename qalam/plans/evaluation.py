@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from qalam.operators.dialect import (CITIES, CITY_TO_REGION, accuracy_by, best_by, class_weights, f1_table,
                                      label_codes, linear_probe, majority_baseline, per_class_scores,
                                      region_table, stratified_split, with_region)
-from qalam.operators.pack import pad_truncate
 from qalam.operators.parallel import drop_all_null, first_n_per_group, row_argmax, unpivot_texts, widen
 from qalam.operators.vectors import masked_mean_pool, retrieval_metrics, retrieval_ranks
 from qalam.plans.packing import STREAM_SQL, _encoded
@@ -172,27 +171,23 @@ def row_argmax_q(spark, sf_dir):
     return e.select("vec_id", row_argmax(ARGMAX_COLS).alias("label"))
 
 
-POOL_LEN = 64
-
-
-@query("doc_vectors", STREAM_SQL + f""",
-tok AS (SELECT s.doc_id, s.id FROM stream s JOIN starts USING (doc_id, source) WHERE s.gpos - starts.start < {POOL_LEN}),
-tv AS (SELECT t.doc_id, e.embedding FROM tok t JOIN embeddings e ON e.vec_id = t.id % 500),
+@query("doc_vectors", STREAM_SQL + """,
+tv AS (SELECT s.doc_id, e.embedding FROM stream s JOIN embeddings e ON e.vec_id = s.id % 500),
 dims AS (SELECT doc_id, unnest(generate_series(1, 64)) AS k, unnest(embedding) AS x FROM tv),
-mean AS (SELECT doc_id, k, sum(x::DOUBLE) / greatest(count(*) / 64, 1) AS m FROM dims GROUP BY doc_id, k),
-nrm AS (SELECT doc_id, greatest(sqrt(sum(m * m)), 1e-12) AS nr FROM mean GROUP BY doc_id)
-SELECT doc_id, CAST((SELECT count(*) FROM tok t WHERE t.doc_id = mean.doc_id) AS BIGINT) AS n_tokens,
+mean AS (SELECT doc_id, k, sum(x::DOUBLE) / greatest(count(*), 1) AS m FROM dims GROUP BY doc_id, k),
+nrm AS (SELECT doc_id, greatest(sqrt(sum(m * m)), 1e-12) AS nr FROM mean GROUP BY doc_id),
+ntok AS (SELECT doc_id, count(*) AS n FROM stream GROUP BY doc_id)
+SELECT doc_id, CAST(any_value(ntok.n) AS BIGINT) AS n_tokens,
   sum(m / nr) AS v_sum, sum(m / nr * k) AS v_wsum, max(CASE WHEN k = 1 THEN m / nr END) AS v_first
-FROM mean JOIN nrm USING (doc_id) GROUP BY doc_id""")
+FROM mean JOIN nrm USING (doc_id) JOIN ntok USING (doc_id) GROUP BY doc_id""")
 def doc_vectors(spark, sf_dir):
-    """M8 + A18 + J5 + M5: token vectors (row id % 500 of embeddings) of the first
-    64 ids, masked mean-pooled and L2-normalised per document."""
-    enc = _encoded(spark, sf_dir).select("doc_id", pad_truncate(F.col("ids"), POOL_LEN).alias("x"))
-    toks = enc.select("doc_id", F.explode("x").alias("tok"))
+    """M8 + A18 + J5: token vectors (row id % 500 of embeddings) of every id of
+    each whole document, masked mean-pooled and L2-normalised."""
+    enc = _encoded(spark, sf_dir).select("doc_id", "ids")
+    toks = enc.select("doc_id", F.explode("ids").alias("tok"))
     vecs = read_table(spark, sf_dir, "embeddings")
-    toks = toks.withColumn("vkey", F.when(F.col("tok") != 0, F.col("tok") % 500).otherwise(F.lit(-1)))
-    pooled = masked_mean_pool(toks.select("doc_id", F.col("vkey").alias("tok")), vecs, "doc_id", "tok", "vec_id",
-                              "embedding", pad=-1)
+    toks = toks.select("doc_id", (F.col("tok") % 500).alias("tok"))
+    pooled = masked_mean_pool(toks, vecs, "doc_id", "tok", "vec_id", "embedding", pad=-1)
     v = F.col("vector")
     return pooled.select("doc_id", F.col("n_tokens").cast("long"),
                          F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("v_sum"),
