@@ -76,11 +76,12 @@ def label_codes_q(spark, sf_dir):
 
 @query("class_weights", SPLIT + """, c AS (SELECT lang, count(*) AS n FROM sp WHERE NOT is_test GROUP BY lang),
 a AS (SELECT l.lang, coalesce(c.n, 1) AS n FROM (SELECT DISTINCT lang FROM sp) l LEFT JOIN c USING (lang))
-SELECT lang, CAST(n AS BIGINT) AS n, (1.0 / n) / sum(1.0 / n) OVER () * count(*) OVER () AS weight FROM a""")
+SELECT lang, CAST(n AS BIGINT) AS n, round((1.0 / n) / sum(1.0 / n) OVER () * count(*) OVER (), 9) AS weight FROM a""")
 def class_weights_q(spark, sf_dir):
     """A5: inverse-frequency class weights on the train split."""
     sp = _split(spark, sf_dir)
-    return class_weights(sp.filter(~F.col("is_test")), sp, "lang").withColumn("n", F.col("n").cast("long"))
+    w = class_weights(sp.filter(~F.col("is_test")), sp, "lang")
+    return w.withColumn("n", F.col("n").cast("long")).withColumn("weight", F.round("weight", 9))
 
 
 @query("majority_baseline", SPLIT + """, top AS (SELECT arg_min(lang, (-n, lang)) AS majority FROM
@@ -178,7 +179,7 @@ mean AS (SELECT doc_id, k, sum(x::DOUBLE) / greatest(count(*), 1) AS m FROM dims
 nrm AS (SELECT doc_id, greatest(sqrt(sum(m * m)), 1e-12) AS nr FROM mean GROUP BY doc_id),
 ntok AS (SELECT doc_id, count(*) AS n FROM stream GROUP BY doc_id)
 SELECT doc_id, CAST(any_value(ntok.n) AS BIGINT) AS n_tokens,
-  sum(m / nr) AS v_sum, sum(m / nr * k) AS v_wsum, max(CASE WHEN k = 1 THEN m / nr END) AS v_first
+  round(sum(m / nr), 9) AS v_sum, round(sum(m / nr * k), 9) AS v_wsum, round(max(CASE WHEN k = 1 THEN m / nr END), 9) AS v_first
 FROM mean JOIN nrm USING (doc_id) JOIN ntok USING (doc_id) GROUP BY doc_id""")
 def doc_vectors(spark, sf_dir):
     """M8 + A18 + J5: token vectors (row id % 500 of embeddings) of every id of
@@ -189,10 +190,12 @@ def doc_vectors(spark, sf_dir):
     toks = toks.select("doc_id", (F.col("tok") % 500).alias("tok"))
     pooled = masked_mean_pool(toks, vecs, "doc_id", "tok", "vec_id", "embedding", pad=-1)
     v = F.col("vector")
+    # sums whose order differs between engines are reported to 9 decimals
     return pooled.select("doc_id", F.col("n_tokens").cast("long"),
-                         F.aggregate(v, F.lit(0.0), lambda a, x: a + x).alias("v_sum"),
-                         F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x).alias("v_wsum"),
-                         v[0].alias("v_first"))
+                         F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 9).alias("v_sum"),
+                         F.round(F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0),
+                                             lambda a, x: a + x), 9).alias("v_wsum"),
+                         F.round(v[0], 9).alias("v_first"))
 
 
 RETR = """WITH e AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS nr FROM embeddings),
@@ -219,12 +222,14 @@ def retrieval_ranks_q(spark, sf_dir):
     return _ranks(spark, sf_dir)
 
 
-@query("retrieval_metrics", RETR + """SELECT avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS recall_at_1,
-  avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END) AS recall_at_5, avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END) AS recall_at_10,
-  avg(1.0 / rank) AS mrr FROM ranks""")
+@query("retrieval_metrics", RETR + """SELECT round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 9) AS recall_at_1,
+  round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9) AS recall_at_5,
+  round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 9) AS recall_at_10,
+  round(avg(1.0 / rank), 9) AS mrr FROM ranks""")
 def retrieval_metrics_q(spark, sf_dir):
     """A10: Recall@1/5/10 and MRR."""
-    return retrieval_metrics(_ranks(spark, sf_dir))
+    m = retrieval_metrics(_ranks(spark, sf_dir))
+    return m.select(*[F.round(c, 9).alias(c) for c in m.columns])
 
 
 @query("linear_probe")

@@ -23,11 +23,12 @@ def run_log(spark, sf_dir):
 
 
 @query("group_perplexity", f"""WITH ls AS ({fixture_sql('losses')})
-SELECT dialect, exp(sum(loss * n_tokens) / sum(n_tokens)) AS perplexity, CAST(sum(n_tokens) AS BIGINT) AS n_tokens,
+SELECT dialect, round(exp(sum(loss * n_tokens) / sum(n_tokens)), 9) AS perplexity, CAST(sum(n_tokens) AS BIGINT) AS n_tokens,
   CAST(count(*) AS BIGINT) AS n_sequences FROM ls WHERE n_tokens >= 2 GROUP BY dialect""")
 def group_perplexity_q(spark, sf_dir):
     """Token-weighted perplexity per dialect, short sequences skipped."""
-    return group_perplexity(fixture(spark, sf_dir, "losses"), "dialect")
+    g = group_perplexity(fixture(spark, sf_dir, "losses"), "dialect")
+    return g.withColumn("perplexity", F.round("perplexity", 9))
 
 
 @query("bigram_perplexity", STREAM_SQL + """,
@@ -39,11 +40,12 @@ v AS (SELECT count(DISTINCT id) AS v FROM stream),
 sc AS (SELECT bi.source, bi.doc_id, -ln((cab.cab + 1.0) / (ca.ca + 1.0 * v.v)) AS nll
        FROM bi JOIN cab USING (a, b) JOIN ca USING (a), v),
 per AS (SELECT source, doc_id, avg(nll) AS loss, count(*) AS n FROM sc GROUP BY source, doc_id)
-SELECT source, exp(sum(loss * n) / sum(n)) AS perplexity, CAST(sum(n) AS BIGINT) AS n_tokens,
+SELECT source, round(exp(sum(loss * n) / sum(n)), 4) AS perplexity, CAST(sum(n) AS BIGINT) AS n_tokens,
   CAST(count(*) AS BIGINT) AS n_sequences FROM per WHERE n >= 2 GROUP BY source""")
 def bigram_perplexity(spark, sf_dir):
     """M7 + A11: add-1 bigram model over word ids; perplexity per source."""
     vocab, enc = _vocab_and_encoded(spark, sf_dir)
     v = vocab.count() + 2            # word ids plus <bos> and <eos>
     losses = bigram_losses(enc, ["doc_id"], "source", k=1.0, vocab_size=v)
-    return group_perplexity(losses, "source")
+    # perplexities near 1e4: 4 decimals is far inside double precision for any summation order
+    return group_perplexity(losses, "source").withColumn("perplexity", F.round("perplexity", 4))
