@@ -9,9 +9,10 @@ Gate order is part of the contract (an ordered funnel), so ``drop_reason`` is
 one ``CASE WHEN`` in gate order, and the cleaning chain only runs for rows
 that passed the cheap gates (it reads a null otherwise).
 
-Consumers that both filter and aggregate the flagged frame should cut it with
-:func:`qalam.plans.session.materialize` first: a filter on a column computed by
-a long regex chain is pushed below the projection and would re-run the chain.
+Use :func:`kept` for the kept rows: a plain filter on ``drop_reason`` is pushed
+below the cleaning projection and would re-run the regex chain.  A flagged
+frame feeding several sinks (kept rows and the funnel) can be written once
+with :func:`qalam.plans.session.materialize`.
 """
 
 from __future__ import annotations

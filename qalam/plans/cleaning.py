@@ -64,10 +64,11 @@ def _tail(x: str, forum: bool) -> str:
     return d.strip(x)
 
 
-def forum_flagged_sql() -> str:
+def forum_flagged_sql(posts_sql: str | None = None) -> str:
+    """Forum chain over ``posts(id, source, text)`` (default: the posts recipe)."""
     toks = d.tokens("clean")
     return f"""
-WITH posts AS ({fixture_sql('posts')}),
+WITH posts AS ({posts_sql or fixture_sql('posts')}),
 f0 AS (SELECT *, CASE WHEN text IS NULL OR {d.strip('text')} = '' THEN 'empty'
                       WHEN {d.rlike('text', g.PLACEHOLDER)} THEN 'deleted' END AS pre FROM posts),
 f1 AS (SELECT *, CASE WHEN pre IS NULL THEN text END AS t0 FROM f0),
@@ -205,3 +206,33 @@ def web_funnel(spark, sf_dir):
 def web_kept(spark, sf_dir):
     """C20 by value: the cleaned text of every kept web document."""
     return kept(web_flagged(spark, sf_dir)).select("id", "source", F.col("clean").alias("text"))
+
+
+# E1 end to end: scraped posts (every arabised post) and a base corpus (the
+# posts of labelled documents) → new rows by anti join → union by name →
+# post text → forum profile → funnel.
+_E1_POSTS = f"""
+WITH p AS ({fixture_sql('posts')}),
+scraped AS (SELECT CAST(id AS VARCHAR) AS id, text AS selftext, source AS title FROM p),
+base AS (SELECT CAST(p.id AS VARCHAR) AS id, p.text AS selftext FROM p JOIN labels l ON p.id = l.doc_id),
+merged AS (SELECT id, selftext, title FROM scraped s WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.id IS NOT DISTINCT FROM s.id)
+           UNION ALL SELECT id, selftext, NULL FROM base)
+SELECT id, title AS source, {d.strip("concat(coalesce(selftext, ''), ' ', coalesce(title, ''))")} AS text FROM merged
+"""
+
+
+@query("merged_forum_funnel", _funnel_sql(forum_flagged_sql(_E1_POSTS), _FORUM_R, ["n_english", "n_urls", "n_quran"]))
+def merged_forum_funnel(spark, sf_dir):
+    """Merge scraped and base posts (J1, U2, post text), clean with the
+    forum profile and report the funnel (A1, A2)."""
+    from qalam.operators.merge import new_rows, post_text, union_sources
+    from qalam.sources.tables import read_table
+    p = fixture(spark, sf_dir, "posts")
+    labels = read_table(spark, sf_dir, "labels")
+    scraped = p.select(F.col("id").cast("string").alias("id"), F.col("text").alias("selftext"),
+                       F.col("source").alias("title"))
+    base = (p.join(labels, p["id"] == labels["doc_id"], "left_semi")
+             .select(F.col("id").cast("string").alias("id"), F.col("text").alias("selftext")))
+    merged = union_sources(new_rows(scraped, base, "id"), base)
+    posts = merged.select("id", F.col("title").alias("source"), post_text().alias("text"))
+    return funnel(clean_forum(posts, "text", **FORUM_ARGS), "forum", "text")
