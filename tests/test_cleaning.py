@@ -81,3 +81,13 @@ def test_cleaning_is_idempotent(spark):
     once = one_col(spark, vals).select(clean_forum_text(F.col("t")).alias("t"))
     twice = once.select(F.col("t").alias("a"), clean_forum_text(F.col("t")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in twice)
+
+
+def test_arabic_share_measured_on_raw(spark):
+    # cleaned text keeps only Arabic, so the reference's G7 never fires there;
+    # measure_on="raw" judges the share the option name promises
+    v = "hello world again here سلام عليكم"
+    df = one_col(spark, [v], "text")
+    cleaned = clean_forum(df, "text", min_arabic_ratio=0.5, min_chars=5).first()["drop_reason"]
+    raw = clean_forum(df, "text", min_arabic_ratio=0.5, min_chars=5, measure_on="raw").first()["drop_reason"]
+    assert cleaned is None and raw == "low_arabic"
