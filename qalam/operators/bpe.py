@@ -202,12 +202,17 @@ def encode(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key_cols, text_
     n_vocab = vocab.count()
     if n_vocab > MAX_BROADCAST_VOCAB:
         raise ValueError(f"vocabulary of {n_vocab} entries is too large to broadcast (limit {MAX_BROADCAST_VOCAB})")
-    ranks_b = spark.sparkContext.broadcast({(r["left"], r["right"]): r["rank"] for r in merges.collect()})
-    vocab_b = spark.sparkContext.broadcast({r["token"]: r["id"] for r in vocab.collect()})
+    ranks = {(r["left"], r["right"]): r["rank"] for r in merges.collect()}
+    vocab_map = {r["token"]: r["id"] for r in vocab.collect()}
+    try:
+        ranks_b, vocab_b = spark.sparkContext.broadcast(ranks), spark.sparkContext.broadcast(vocab_map)
+        get = lambda: (ranks_b.value, vocab_b.value)
+    except Exception:  # noqa: BLE001  (Spark Connect: ship the bounded tables with the UDF)
+        get = lambda: (ranks, vocab_map)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def enc(words: pd.Series) -> pd.Series:
-        rk, vb = ranks_b.value, vocab_b.value
+        rk, vb = get()
         return words.map(lambda w: _bpe_word(w, rk, vb, prefix))
 
     keys = list(key_cols)

@@ -32,17 +32,31 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
+_LOCAL_DIRS: dict[int, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint directory, setting a local one only if unset."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    """Return the shared checkpoint folder the cluster names in
+    ``spark.checkpoint.dir``; set a private temporary one only when the session
+    has none (local runs and tests)."""
+    conf = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: no SparkContext)
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+        conf = conf or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="qalam-ckpt-", dir=os.environ.get("QALAM_SCRATCH", "/tmp"))
-    sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
+        conf = _LOCAL_DIRS.get(id(spark)) or tempfile.mkdtemp(
+            prefix="qalam-ckpt-", dir=os.environ.get("QALAM_SCRATCH", "/tmp"))
+        _LOCAL_DIRS[id(spark)] = conf
+    if sc is not None:
+        sc.setCheckpointDir(conf)
+        return sc.getCheckpointDir() or conf
+    return conf
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -71,7 +85,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (Spark Connect: leave placement to the server)
+        return df
+    if have >= want:
         return df
     return df.repartition(want)
