@@ -91,3 +91,17 @@ def test_arabic_share_measured_on_raw(spark):
     cleaned = clean_forum(df, "text", min_arabic_ratio=0.5, min_chars=5).first()["drop_reason"]
     raw = clean_forum(df, "text", min_arabic_ratio=0.5, min_chars=5, measure_on="raw").first()["drop_reason"]
     assert cleaned is None and raw == "low_arabic"
+
+
+def test_kept_text_stays_in_the_letters_alphabet(spark):
+    # SURVEY §5(c): every kept text holds only Arabic letters (C15 class) and whitespace
+    from qalam.functions import regex as rx
+    from qalam.plans.cleaning import comment_flagged, forum_flagged
+    allowed = f"^[{rx.body(*rx.ARABIC_LETTERS_KEEP)}{rx.SPACE_BODY}]*\\z"
+    for fl in (forum_flagged(spark, "/root/testdata/sf0.001"), comment_flagged(spark, "/root/testdata/sf0.001")):
+        k = kept(fl)
+        assert k.count() > 0
+        assert k.filter(~F.col("clean").rlike(allowed)).count() == 0
+        f = funnel(fl, "forum" if "n_times" not in fl.columns else "comment", "text").first().asDict()
+        removed = sum(v for key, v in f.items() if key.startswith("removed_"))
+        assert removed + f["final_clean"] == f["total_raw"] == fl.count()
