@@ -152,3 +152,17 @@ def kept(flagged: DataFrame) -> DataFrame:
     cols = flagged.columns
     return flagged.select(F.inline(F.filter(F.array(F.struct(*cols)),
                                             lambda r: r["drop_reason"].isNull())))
+
+
+def clean_to_sinks(flagged: DataFrame, kept_path: str, profile: str, text_col: str, keep_cols=None) -> DataFrame:
+    """Two sinks from one cleaning pass: the flagged rows are
+    written once into the shared checkpoint folder; the kept rows are written
+    to ``kept_path`` (Parquet) and the funnel is computed from the same table,
+    so the regex chain never runs twice.  Returns the one-row funnel."""
+    from qalam.operators.funnel import funnel
+    from qalam.plans.session import materialize
+    table = materialize(flagged)
+    cols = list(keep_cols) if keep_cols else [c for c in flagged.columns if c not in ("drop_reason",)]
+    # the materialised table has no expression left to push below a filter
+    table.filter(F.col("drop_reason").isNull()).select(*cols).write.mode("overwrite").parquet(kept_path)
+    return funnel(table, profile, text_col)

@@ -105,3 +105,13 @@ def test_kept_text_stays_in_the_letters_alphabet(spark):
         f = funnel(fl, "forum" if "n_times" not in fl.columns else "comment", "text").first().asDict()
         removed = sum(v for key, v in f.items() if key.startswith("removed_"))
         assert removed + f["final_clean"] == f["total_raw"] == fl.count()
+
+
+def test_two_sinks_from_one_pass(spark, tmp_path):
+    from qalam.operators.cleaning import clean_to_sinks
+    from qalam.plans.cleaning import forum_flagged
+    fl = forum_flagged(spark, "/root/testdata/sf0.001")
+    f = clean_to_sinks(fl, str(tmp_path / "kept"), "forum", "text", ["id", "source", "clean"]).first()
+    back = spark.read.parquet(str(tmp_path / "kept"))
+    assert back.count() == f["final_clean"] == kept(fl).count()
+    assert back.agg(F.sum(F.length("clean"))).first()[0] == f["chars_after"]
