@@ -38,9 +38,9 @@ def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int = 512, chunk: int
     """J3 + W2: rank of each source row's true partner among all targets by
     cosine similarity: ``1 + #(sim > own) + #(sim = own and j < partner)``.
 
-    ``src``: (i, partner, vec); ``tgt``: (j, vec) with dense ids.  All pairs
-    are scored — the metric needs them — but never emitted as rows: both sides
-    are cut into blocks of ``block`` ids and each (source block, target block)
+    ``src``: (i, partner, vec); ``tgt``: (j, vec).  All pairs are scored —
+    the metric needs them — but never emitted as rows: both sides are cut into
+    hash blocks of about ``block`` rows and each (source block, target block)
     cell is one vectorised numpy product in ``applyInPandas`` that emits one
     partial count per source row; a cell holds at most 2·block vectors and
     each vector is copied once per block of the other side.
@@ -52,15 +52,17 @@ def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int = 512, chunk: int
     # each source row carries its partner's vector, so "own" is computed in
     # the cell with the very same arithmetic as every other similarity
     s = s.join(t.select(F.col("i").alias("partner"), F.col("vec").alias("pvec")), "partner")
-    # block counts are two scalars (bounded, driver-side); rows are replicated
-    # to the other side's blocks by explode, so each cell is an equi-join key
-    nt = int(t.agg(F.max("i")).first()[0] // block + 1)
-    ns = int(s.agg(F.max("i")).first()[0] // block + 1)
-    sx = s.select(F.floor(F.col("i") / block).cast("long").alias("sb"),
+    # blocks by a hash of the id, as many as ceil(rows / block) per side: sizes
+    # stay near ``block`` however sparse the ids are.  The two counts are
+    # scalars (driver-side); rows are replicated to the other side's blocks by
+    # explode, so each cell is an equi-join key.
+    nt = max(1, -(-t.count() // block))
+    ns = max(1, -(-s.count() // block))
+    sx = s.select(F.pmod(F.xxhash64("i"), F.lit(ns)).cast("long").alias("sb"),
                   F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long"))).alias("tb"),
                   "i", "partner", "vec", "pvec")
     tx = t.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ns - 1).cast("long"))).alias("sb"),
-                  F.floor(F.col("i") / block).cast("long").alias("tb"), "i", "vec")
+                  F.pmod(F.xxhash64("i"), F.lit(nt)).cast("long").alias("tb"), "i", "vec")
 
     def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
