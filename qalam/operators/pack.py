@@ -47,12 +47,25 @@ def ordered_rank(df: DataFrame, n_col: str, key_col: str, prefix_len: int = 3,
 
 
 def doc_offsets(docs: DataFrame, n_col: str = "n_tokens", order_col: str = "doc_id",
-                part_col: str = "source", bucket_width: int = 4096) -> DataFrame:
+                part_col: str = "source", bucket_rows: int = 4096) -> DataFrame:
     """Per-source running start offset of every document in ``order_col``
     order.  Adds ``start`` and ``end`` (LongType).  ``order_col`` must be
-    unique within a source (ties would make the order undefined)."""
-    bucket = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("long")
-    d = docs.withColumn("__b", bucket)
+    unique within a source (ties would make the order undefined).
+
+    Buckets are ranges of ``order_col`` about ``bucket_rows`` documents wide,
+    with the width taken per source from (min, max, count), so they stay that
+    size however sparse the keys are; being a function of the data, they are
+    the same in every pass.
+    """
+    o = F.col(order_col)
+    stats = (docs.groupBy(part_col)
+                 .agg(F.min(o).alias("__lo"), F.max(o).alias("__hi"), F.count(F.lit(1)).alias("__cnt"))
+                 .withColumn("__w", F.greatest(F.lit(1), F.ceil((F.col("__hi") - F.col("__lo") + 1) * F.lit(bucket_rows)
+                                                               / F.col("__cnt"))).cast("long"))
+                 .select(part_col, "__lo", "__w"))
+    d = (docs.join(stats, part_col)
+             .withColumn("__b", F.floor((o - F.col("__lo")) / F.col("__w")).cast("long"))
+             .drop("__lo", "__w"))
     totals = d.groupBy(part_col, "__b").agg(F.sum(n_col).cast("long").alias("__tot"))
     wb = Window.partitionBy(part_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__boff", F.coalesce(F.sum("__tot").over(wb), F.lit(0)).cast("long")).drop("__tot")

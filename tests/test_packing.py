@@ -21,7 +21,7 @@ def _docs(spark, n_docs=60, seed=7):
 def test_pieces_rebuild_stream_and_shards_full(spark):
     rows, df = _docs(spark)
     S = 17
-    pieces = cut_shards(doc_offsets(df, bucket_width=4), "ids", S).collect()
+    pieces = cut_shards(doc_offsets(df, bucket_rows=4), "ids", S).collect()
     for src in {"s0", "s1", "s2"}:
         stream = [t for d, s, ids in sorted(rows) if s == src for t in ids]
         ps = sorted((p["shard_index"], p["pos"], p["piece"]) for p in pieces if p["source"] == src)
@@ -75,3 +75,16 @@ def test_pad_truncate(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([1] * 10,)], "ids array<int>")
     out = [list(r[0]) for r in df.select(pad_truncate(F.col("ids"), 5)).collect()]
     assert out == [[1, 2, 3, 0, 0], [1, 1, 1, 1, 1]]
+
+
+def test_offsets_with_sparse_order_keys(spark):
+    # keys far apart: buckets are sized by rows per source, not by key range
+    rows, df = _docs(spark, 50, 11)
+    sparse = df.withColumn("doc_id", F.col("doc_id") * 1000003 + 7)
+    got = {(r["source"], r["doc_id"]): r["start"] for r in doc_offsets(sparse, bucket_rows=3).collect()}
+    for src in {"s0", "s1", "s2"}:
+        pos = 0
+        for d, s, ids in sorted(rows):
+            if s == src:
+                assert got[(src, d * 1000003 + 7)] == pos
+                pos += len(ids)
