@@ -73,3 +73,16 @@ def test_encode_decode_round_trip(spark):
     assert all(x[0] == 2 and x[-1] == 3 for x in ids)
     rep = vocab_report(v).first()
     assert rep["size"] == v.count() and rep["subword"] > 0
+
+
+def test_fast_mode_takes_fewer_rounds(spark):
+    lines = _corpus(4)
+    df = one_col(spark, lines, "text")
+    m_exact, v_exact = learn_bpe(spark, df, vocab_size=45)
+    exact_rounds = len(learn_bpe.last_rounds)
+    m_fast, v_fast = learn_bpe(spark, df, vocab_size=45, exact=False)
+    fast_rounds = len(learn_bpe.last_rounds)
+    assert fast_rounds <= exact_rounds
+    assert v_fast.count() == v_exact.count()
+    assert m_fast.filter(F.col("count") < 2).count() == 0
+    assert m_fast.select("exact").distinct().collect()[0][0] is False
