@@ -19,7 +19,6 @@ from qalam.sources.files import (read_glob_csv, read_parallel_tsv, read_paragrap
                                  scratch_path, write_paragraphs, write_table)
 from qalam.sources.fixtures import fixture, fixture_sql
 from qalam.sources.tables import read_table
-from qalam.functions.regex import S
 
 
 @query("csv_families", """
