@@ -28,18 +28,25 @@ TOKENS_PER_STEP = 131072   # fixed value: tokens per optimizer step
 def ordered_rank(df: DataFrame, n_col: str, key_col: str, prefix_len: int = 3,
                  first: int = 1) -> DataFrame:
     """Dense 1-based rank of ``key_col`` by (``n_col`` desc, ``key_col`` asc) —
-    a global order without a single-partition window.
+    a global order without a window over all rows.
 
     Bucket = (n, first ``prefix_len`` characters of the key): prefix order
     agrees with full-key order, so rank = rows in earlier buckets + row number
-    inside the bucket.  The bucket table is small; its running sum is one
-    window; the join back is planned by AQE from runtime sizes.
+    inside the bucket.  Offsets come in three bounded windows: a running sum
+    over the distinct counts only, a running sum over prefixes within each
+    count (at most alphabet^prefix_len rows), and a row number within each
+    bucket; the joins back are planned by AQE from runtime sizes.
     """
     pre = F.substring(F.col(key_col), 1, prefix_len)
     b = df.withColumn("__p", pre)
     buckets = b.groupBy(n_col, "__p").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.orderBy(F.desc(n_col), F.col("__p")).rowsBetween(Window.unboundedPreceding, -1)
-    offs = buckets.withColumn("__off", F.coalesce(F.sum("__c").over(w), F.lit(0))).drop("__c")
+    per_n = buckets.groupBy(n_col).agg(F.sum("__c").alias("__cn"))
+    wn = Window.orderBy(F.desc(n_col)).rowsBetween(Window.unboundedPreceding, -1)
+    per_n = per_n.select(n_col, F.coalesce(F.sum("__cn").over(wn), F.lit(0)).alias("__offn"))
+    wp = Window.partitionBy(n_col).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (buckets.withColumn("__offp", F.coalesce(F.sum("__c").over(wp), F.lit(0)))
+                   .join(per_n, n_col)
+                   .select(n_col, "__p", (F.col("__offn") + F.col("__offp")).alias("__off")))
     inner = Window.partitionBy(n_col, "__p").orderBy(F.col(key_col))
     return (b.join(offs, [n_col, "__p"])
              .withColumn("rank", (F.col("__off") + F.row_number().over(inner) - 1 + first).cast("long"))
