@@ -46,3 +46,10 @@ def test_split_and_blocks_avoid_global_windows(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     specs = _window_partition_specs(stratified_split(e, "label", "vec_id"))
     assert specs and all(s.strip() for s in specs), specs
+
+
+def test_first_n_per_group_limits_before_the_shuffle(spark):
+    # L1: a hot dialect is cut to n rows per task before it is shuffled
+    import __spark_entry__ as E
+    plan = E.queries()["parallel_first_n"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
