@@ -53,3 +53,10 @@ def test_first_n_per_group_limits_before_the_shuffle(spark):
     import __spark_entry__ as E
     plan = E.queries()["parallel_first_n"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_cleaning_stays_jvm_side(spark):
+    # the whole forum profile is projections + one aggregate: no Python, no join
+    import __spark_entry__ as E
+    plan = E.queries()["forum_funnel"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "Join" not in plan
