@@ -93,3 +93,31 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     if have >= want:
         return df
     return df.repartition(want)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``qalam`` importable by the Python workers: its pandas UDFs are
+    pickled by module reference.  Zips the package once per SparkContext and
+    adds it with ``addPyFile`` (on a cluster this is ``--py-files``)."""
+    import zipfile
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: ship with the client's artifacts instead)
+        return
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import qalam
+    pkg = os.path.dirname(os.path.abspath(qalam.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="qalam-pkg-"), "qalam.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
