@@ -26,7 +26,7 @@ _LOW = np.uint64((1 << 48) - 1)
 _CONF = 27                   # an entry is id | confidence << 27
 _ID = np.uint32((1 << _CONF) - 1)
 _SHARE = np.array([60, 500, 1100, 1700, 2200, 2500, 2750, 2900, 3050, 3150, 3250, 3330, 3400, 3470, 3540, 3600],
-                  dtype=np.int64)
+                  dtype=np.int32)
 HEADER = np.dtype([("magic", "<u4"), ("ids", "<u4"), ("words", "<u4"), ("crc", "<u4")])
 
 
@@ -39,10 +39,12 @@ class _Model:
         self.t1 = np.zeros(lanes << _SLOTS, dtype=np.uint32)
         self.t2 = np.zeros(lanes << _SLOTS, dtype=np.uint32)
         self.cache = np.full(lanes << _CACHE, _ID, dtype=np.uint32)
-        self.w = np.full((3, lanes), 2048, dtype=np.int64)
+        self.w = np.full((3, lanes), 2048, dtype=np.int32)
+        self.rows = np.arange(lanes, dtype=np.int64)
         self.c1 = np.zeros(lanes, dtype=np.uint32)
         self.c2 = np.zeros(lanes, dtype=np.uint32)
-        self.bounds = np.zeros((5, lanes), dtype=np.int64)
+        self.bounds = np.zeros((5, lanes), dtype=np.int32)
+        self.flat = self.bounds.reshape(-1)
         self.bounds[4] = 1 << _TOTAL
 
     def predict(self, n: int) -> None:
@@ -51,12 +53,19 @@ class _Model:
         h1 = c1 * np.uint32(2654435761)
         self.i1 = self.base[:n] + (h1 >> shift)
         self.i2 = self.base[:n] + ((h1 + self.c2[:n] * np.uint32(2246822519)) * np.uint32(3266489917) >> shift)
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
+        self.e1, self.e2 = self.t1.take(self.i1, mode="wrap"), self.t2.take(self.i2, mode="wrap")
         self.p1, self.p2 = self.e1 & _ID, self.e2 & _ID
         self.k1, self.k2 = self.e1 >> np.uint32(_CONF), self.e2 >> np.uint32(_CONF)
-        f2 = ((_SHARE[self.k2] * self.w[2, :n]) >> _TOTAL) + 1
+        f2 = _SHARE.take(self.k2)
+        f2 *= self.w[2, :n]
+        f2 >>= _TOTAL
+        f2 += 1
         rest = (1 << _TOTAL) - f2
-        f1 = (rest * ((_SHARE[self.k1] * self.w[1, :n]) >> _TOTAL)) >> _TOTAL
+        f1 = _SHARE.take(self.k1)
+        f1 *= self.w[1, :n]
+        f1 >>= _TOTAL
+        f1 *= rest
+        f1 >>= _TOTAL
         self.same = self.p1 == self.p2
         rest -= f1
         f2 += f1 * self.same
@@ -64,20 +73,28 @@ class _Model:
         b = self.bounds
         b[1, :n] = f2
         np.add(f2, f1, out=b[2, :n])
-        np.add(b[2, :n], (rest * self.w[0, :n]) >> _TOTAL, out=b[3, :n])
+        rest *= self.w[0, :n]
+        rest >>= _TOTAL
+        np.add(b[2, :n], rest, out=b[3, :n])
+
+    def interval(self, n: int, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the chosen kind."""
+        at = kind * len(self.rows)
+        at += self.rows[:n]
+        lo = self.flat.take(at).astype(np.uint64)
+        at += len(self.rows)
+        return lo, self.flat.take(at).astype(np.uint64) - lo
 
     def learn(self, n: int, ids: np.ndarray, kind: np.ndarray, slot: np.ndarray) -> None:
         for table, at, e, p, k, w in ((self.t1, self.i1, self.e1, self.p1, self.k1, 1),
                                       (self.t2, self.i2, self.e2, self.p2, self.k2, 2)):
             hit = p == ids
-            kept = np.where(hit, np.minimum(k + np.uint32(1), np.uint32(15)), k >> np.uint32(1))
-            fresh = ~hit & (k < 2)
-            new = np.where(fresh, ids | np.uint32(1 << _CONF), p | (kept << np.uint32(_CONF)))
-            table[at] = new
+            missed = np.where(k < 2, ids | np.uint32(1 << _CONF), p | ((k >> np.uint32(1)) << np.uint32(_CONF)))
+            table[at] = np.where(hit, e + ((k < 15) * np.uint32(1 << _CONF)), missed)
             ww = self.w[w, :n]
-            ww += (hit * 4095 - ww) >> 5
+            ww += (hit * np.int32(4095) - ww) >> 5
         w0 = self.w[0, :n]
-        w0 += ((kind == 2) * 3900 - w0) * (kind >= 2) >> 5
+        w0 += (((kind == 2) * np.int32(3900) - w0) * (kind >= 2)) >> 5
         self.cache[slot] = ids
         self.c2[:n] = self.c1[:n]
         self.c1[:n] = ids
@@ -139,12 +156,11 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, id_bit
         model.predict(n)
         slot = model.slots(n, x)
         b = model.bounds
-        kind = np.where(model.cache[slot] == x, 2, 3)
+        kind = np.where(model.cache.take(slot, mode="wrap") == x, 2, 3)
         kind[(kind == 2) & (b[3, :n] <= b[2, :n])] = 3
         kind[(model.p1 == x) & ~model.same & (b[2, :n] > b[1, :n])] = 1
         kind[model.p2 == x] = 0
-        lo = b[kind, every[:n]]
-        code(lo.astype(np.uint64), (b[kind + 1, every[:n]] - lo).astype(np.uint64), total, None)
+        code(*model.interval(n, kind), total, None)
         if len(who := np.flatnonzero(kind == 2)):
             code((slot[who] & ((1 << _CACHE) - 1)).astype(np.uint64), np.uint64(1), np.uint64(_CACHE), who)
         if len(who := np.flatnonzero(kind == 3)):
@@ -210,14 +226,13 @@ def decode_blocks(blocks: list[bytes], id_bits: int) -> list[np.ndarray]:
         model.predict(n)
         b = model.bounds
         r, v = rng[:n] >> total, value[:n]
-        mark = (v // r).astype(np.int64)
+        mark = (v // r).astype(np.int32)
         kind = (mark >= b[1, :n]).astype(np.int64)
         kind += mark >= b[2, :n]
         kind += mark >= b[3, :n]
-        lo = b[kind, every[:n]]
-        width = b[kind + 1, every[:n]] - lo
-        v = v - lo.astype(np.uint64) * r
-        r = r * width.astype(np.uint64)
+        lo, width = model.interval(n, kind)
+        v = v - lo * r
+        r = r * width
         refill(v, r, None)
         value[:n], rng[:n] = v, r
         x = np.where(kind == 0, model.p2, model.p1)
