@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from qalam.plans.session import materialize, ship_package  # noqa: F401
+from qalam.plans.session import ensure_checkpoint_dir, materialize, ship_package  # noqa: F401
 from qalam.sources.tables import read_table
 
 #: Words are runs of characters other than these (space, tab, line feed to carriage return).
@@ -16,6 +18,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def fresh_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex[:16]}"
+
+
 def source_key(col: Column) -> Column:
     """A non-null grouping key that keeps null apart from every string."""
     return F.when(col.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), col.cast("string")))

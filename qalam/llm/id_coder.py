@@ -19,7 +19,7 @@ import numpy as np
 
 BLOCK = 2048
 MAGIC = 0x31444951
-_SLOTS = 11                  # bits of a block's order-1 and order-2 tables
+_SLOTS = 8                   # bits of a block's order-1 and order-2 tables
 _CACHE = 8                   # bits of the order-0 cache
 _TOTAL = 12                  # bits of the coded distribution
 _LOW = np.uint64((1 << 48) - 1)
@@ -121,34 +121,12 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, id_bit
     model = _Model(lanes)
     low = np.zeros(lanes, dtype=np.uint64)
     rng = np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
-    out = np.zeros((lanes, steps * 3 + 8), dtype=np.uint16)
+    out = np.zeros((lanes, steps * 2 + 8), dtype=np.uint16)
     at = np.zeros(lanes, dtype=np.int64)
     every = np.arange(lanes)
     active = np.searchsorted(-length, -np.arange(steps), side="left")   # lanes with length > t
-    total, full = np.uint64(_TOTAL), np.uint64(1 << 32)
-
-    def code(lo, width, bits, lanes_):
-        """Narrow the interval of the lanes to [lo, lo + width) of 2**bits, then write a word if short."""
-        whole = lanes_ is None
-        r, base = (rng[:n], low[:n]) if whole else (rng[lanes_], low[lanes_])
-        r = r >> bits
-        base = base + lo * r
-        r = r * width
-        if (over := base > _LOW).any():
-            _carry(out, at, (every[:n] if whole else lanes_)[over])
-            base &= _LOW
-        short = np.flatnonzero(r < full)
-        if len(short):
-            who = short if whole else lanes_[short]
-            b = base[short]
-            out[who, at[who]] = (b >> np.uint64(32)).astype(np.uint16)
-            at[who] += 1
-            base[short] = (b << np.uint64(16)) & _LOW
-            r[short] <<= np.uint64(16)
-        if whole:
-            rng[:n], low[:n] = r, base
-        else:
-            rng[lanes_], low[lanes_] = r, base
+    full, bits = np.uint64(1 << 32), np.uint64(id_bits)
+    total, spare = np.uint64(_TOTAL + id_bits), np.uint64(id_bits - _CACHE)
 
     for t in range(steps):
         n = int(active[t])
@@ -156,15 +134,35 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, id_bit
         model.predict(n)
         slot = model.slots(n, x)
         b = model.bounds
-        kind = np.where(model.cache.take(slot, mode="wrap") == x, 2, 3)
-        kind[(kind == 2) & (b[3, :n] <= b[2, :n])] = 3
+        kind = 3 - ((model.cache.take(slot, mode="wrap") == x) & (b[3, :n] > b[2, :n]))
         kind[(model.p1 == x) & ~model.same & (b[2, :n] > b[1, :n])] = 1
         kind[model.p2 == x] = 0
-        code(*model.interval(n, kind), total, None)
-        if len(who := np.flatnonzero(kind == 2)):
-            code((slot[who] & ((1 << _CACHE) - 1)).astype(np.uint64), np.uint64(1), np.uint64(_CACHE), who)
-        if len(who := np.flatnonzero(kind == 3)):
-            code(x[who].astype(np.uint64), np.uint64(1), np.uint64(id_bits), who)
+        lo, width = model.interval(n, kind)
+        # a cached id takes its slot's part of the interval, a new id its own part
+        lo <<= bits
+        if len(who := np.flatnonzero(kind >= 2)):
+            cached, part = kind[who] == 2, width[who]
+            part = np.where(cached, part << spare, part)
+            lo[who] += part * np.where(cached, slot[who] & ((1 << _CACHE) - 1), x[who]).astype(np.uint64)
+            width <<= bits
+            width[who] = part
+        else:
+            width <<= bits
+        r = rng[:n] >> total
+        base = low[:n] + lo * r
+        r *= width
+        if (over := base > _LOW).any():
+            _carry(out, at, every[:n][over])
+            base &= _LOW
+        short = np.flatnonzero(r < full)
+        while len(short):
+            b, where = base[short], at[short]
+            out[short, where] = (b >> np.uint64(32)).astype(np.uint16)
+            at[short] = where + 1
+            base[short] = (b << np.uint64(16)) & _LOW
+            r[short] <<= np.uint64(16)
+            short = short[r[short] < full]
+        rng[:n], low[:n] = r, base
         model.learn(n, x, kind, slot)
     for shift in (32, 16, 0):
         out[every, at] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
@@ -200,46 +198,43 @@ def decode_blocks(blocks: list[bytes], id_bits: int) -> list[np.ndarray]:
     model, every = _Model(lanes), np.arange(lanes)
     out = np.zeros((lanes, steps), dtype=np.uint32)
     active = np.searchsorted(-length, -np.arange(steps), side="left")
-    total, full = np.uint64(_TOTAL), np.uint64(1 << 32)
-
+    full, bits = np.uint64(1 << 32), np.uint64(id_bits)
+    total, spare = np.uint64(_TOTAL + id_bits), np.uint64(id_bits - _CACHE)
     last = words.shape[1] - 1
 
-    def refill(v, r, who):
-        short = np.flatnonzero(r < full)
-        if len(short):
-            lane = short if who is None else who[short]
-            v[short] = (v[short] << np.uint64(16)) | words[lane, np.minimum(at[lane], last)]
-            at[lane] += 1
-            r[short] <<= np.uint64(16)
-
-    def plain(who, bits):
-        r = rng[who] >> np.uint64(bits)
-        v = value[who]
-        got = np.minimum(v // r, np.uint64((1 << bits) - 1))
-        v = v - got * r
-        refill(v, r, who)
-        value[who], rng[who] = v, r
-        return got
-
     for t in range(steps):
         n = int(active[t])
         model.predict(n)
         b = model.bounds
         r, v = rng[:n] >> total, value[:n]
-        mark = (v // r).astype(np.int32)
+        mark = (v // r >> bits).astype(np.int32)
         kind = (mark >= b[1, :n]).astype(np.int64)
         kind += mark >= b[2, :n]
         kind += mark >= b[3, :n]
         lo, width = model.interval(n, kind)
+        x = np.where(kind == 0, model.p2, model.p1)
+        lo <<= bits
+        if len(who := np.flatnonzero(kind >= 2)):
+            cached, part = kind[who] == 2, width[who]
+            part = np.where(cached, part << spare, part)
+            got = (v[who] - lo[who] * r[who]) // (part * r[who])
+            lo[who] += got * part
+            width <<= bits
+            width[who] = part
+            x[who] = np.where(cached, model.cache.take(model.cbase[who] + got.astype(np.int64), mode="wrap"),
+                              got.astype(np.uint32))
+        else:
+            width <<= bits
         v = v - lo * r
-        r = r * width
-        refill(v, r, None)
+        r *= width
+        short = np.flatnonzero(r < full)
+        while len(short):
+            where = at[short]
+            v[short] = (v[short] << np.uint64(16)) | words[short, np.minimum(where, last)]
+            at[short] = where + 1
+            r[short] <<= np.uint64(16)
+            short = short[r[short] < full]
         value[:n], rng[:n] = v, r
-        x = np.where(kind == 0, model.p2, model.p1)
-        if len(who := np.flatnonzero(kind == 2)):
-            x[who] = model.cache[model.cbase[who] + plain(who, _CACHE).astype(np.int64)]
-        if len(who := np.flatnonzero(kind == 3)):
-            x[who] = plain(who, id_bits)
         out[:n, t] = x
         model.learn(n, x, kind, model.slots(n, x))
     result: list[np.ndarray] = [np.zeros(0, dtype="<u4")] * lanes

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from qalam.llm import bpe_prefix, id_files, mixing, sharding
 from qalam.llm import exact_dedup as ed
-from qalam.llm import mixing, sharding
-from qalam.llm.common import documents
+from qalam.llm.common import documents, fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,6 +59,22 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.exact_dedup(documents(spark, sf_dir))
 
 
+@query("op7_bpe")
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: id count and digests of ids and text."""
+    both = bpe_prefix.decode_documents(bpe_prefix.encode_documents(documents(spark, sf_dir)))
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op8_id_files")
+def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id files of all documents, written and read back: place, id count and CRC of each."""
+    folder = fresh_folder(spark, "ids")
+    id_files.write_ids(documents(spark, sf_dir), folder)
+    return id_files.read_ids(spark, folder, ids_crc32=F.crc32("ids"))
+
+
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to a mixture of the sources by weights 5, 2, 1."""
