@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalam.llm import bpe_prefix, id_files, mixing, sharding
+from qalam.llm import bpe_prefix, id_files, mixing, quality, sharding
 from qalam.llm import exact_dedup as ed
 from qalam.llm.common import documents, fresh_folder
 
@@ -83,3 +83,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (plan.join(used, "row", "left")
             .select("doc_id", "source", "size", "source_size", "target",
                     (F.col("size") * F.coalesce("uses", F.lit(0))).alias("taken"), "first_shard"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score and decision for every document, from weak labels."""
+    docs = documents(spark, sf_dir)
+    model, _ = quality.fit(docs)
+    return quality.score(docs, model)
