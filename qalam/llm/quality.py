@@ -2,7 +2,7 @@
 
 1. Heuristic labellers vote good, bad or abstain on every document.  They look
    at the text's shape: digits become 0, lower-case runs 1, single capitals 2,
-   runs of capitals 3; other characters stay.
+   runs of capitals 3, a word before its own repetition 4; other characters stay.
 2. Expectation-maximisation over the counts of vote patterns (all documents;
    at most 3**labellers patterns) estimates each labeller's accuracy and the
    share of good documents.
@@ -30,6 +30,7 @@ _SCALE = 1_000_000
 
 def shape(text: Column) -> Column:
     s = F.regexp_replace(text, r"\p{Nd}+", "0")
+    s = F.regexp_replace(s, r"(?<![^ \n])([^ \n]+)(?= \1(?![^ \n]))", "4")
     s = F.regexp_replace(s, r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", "1")
     s = F.regexp_replace(s, r"\p{Lu}{2,}", "3")
     return F.regexp_replace(s, r"\p{Lu}", "2")
@@ -52,9 +53,10 @@ def labellers(s: Column, words: Column) -> dict[str, Column]:
         "capitals": bad("3", 0.2),
         "shouting": bad(r"[!?]{2,}", 0.05),
         "symbol_runs": bad(r"[*$%&#=~^<>]{2,}", 0.1),
-        "bare_marks": bad(r"(?<![^ \n])[^0-3 \n]+(?![^ \n])", 0.1),
-        "odd_marks": bad(r"[^0-3\s.,;:'\"()!?-]", 0.15),
+        "bare_marks": bad(r"(?<![^ \n])[^0-4 \n]+(?![^ \n])", 0.1),
+        "odd_marks": bad(r"[^0-4\s.,;:'\"()!?-]", 0.15),
         "numbers": bad("0", 0.4),
+        "repetition": bad("4", 0.2),
         "plain_words": F.when(plain >= 0.9, 1).when(plain < 0.75, 0).otherwise(2),
         "breaks": F.when(breaks >= 0.02, 1).when((breaks < 0.005) & (words >= 30), 0).otherwise(2),
         "runs": F.when(runs >= 0.4, 1).when(runs < 0.2, 0).otherwise(2),
