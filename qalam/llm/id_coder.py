@@ -27,6 +27,10 @@ _CONF = 27                   # an entry is id | confidence << 27
 _ID = np.uint32((1 << _CONF) - 1)
 _SHARE = np.array([60, 500, 1100, 1700, 2200, 2500, 2750, 2900, 3050, 3150, 3250, 3330, 3400, 3470, 3540, 3600],
                   dtype=np.int32)
+# by confidence, then by confidence + 16 after a hit: change of an entry, and whether a new id takes it
+_STEP = np.array([(k >> 1) - k for k in range(16)] + [int(k < 15) for k in range(16)], dtype=np.int64) << _CONF
+_STEP = (_STEP & 0xFFFFFFFF).astype(np.uint32)
+_FRESH = np.array([k < 2 for k in range(16)] + [False] * 16)
 HEADER = np.dtype([("magic", "<u4"), ("ids", "<u4"), ("words", "<u4"), ("crc", "<u4")])
 
 
@@ -86,11 +90,15 @@ class _Model:
         return lo, self.flat.take(at).astype(np.uint64) - lo
 
     def learn(self, n: int, ids: np.ndarray, kind: np.ndarray, slot: np.ndarray) -> None:
+        new = ids | np.uint32(1 << _CONF)
         for table, at, e, p, k, w in ((self.t1, self.i1, self.e1, self.p1, self.k1, 1),
                                       (self.t2, self.i2, self.e2, self.p2, self.k2, 2)):
             hit = p == ids
-            missed = np.where(k < 2, ids | np.uint32(1 << _CONF), p | ((k >> np.uint32(1)) << np.uint32(_CONF)))
-            table[at] = np.where(hit, e + ((k < 15) * np.uint32(1 << _CONF)), missed)
+            step = hit * np.uint32(16)
+            step += k
+            e += _STEP.take(step)
+            np.copyto(e, new, where=_FRESH.take(step))
+            table[at] = e
             ww = self.w[w, :n]
             ww += (hit * np.int32(4095) - ww) >> 5
         w0 = self.w[0, :n]

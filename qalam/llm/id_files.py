@@ -12,6 +12,7 @@ Reading decodes blocks, checks their checksums and cuts the documents out.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -57,43 +58,44 @@ class LibraryEncoder:
             ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in self.specials}
             self.fast = tiktoken.Encoding("ids", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
-    def slow(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+    def slow(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def __call__(self, text: str) -> list[int]:
+    def quick(self, text: str) -> np.ndarray:
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
+    def __call__(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.specials):
             return self.slow(text)
         if not text.isascii():
             for c in set(text) - self.alike - self.other:
                 probe = f"a{c}1!{c} {c}{c}"
-                (self.alike if self.fast.encode_ordinary(probe) == self.slow(probe) else self.other).add(c)
+                (self.alike if np.array_equal(self.quick(probe), self.slow(probe)) else self.other).add(c)
             if self.other and not self.other.isdisjoint(text):
                 return self.slow(text)
-        return self.fast.encode_ordinary(text)
+        return self.quick(text)
 
 
 _OPEN: dict[str, LibraryEncoder] = {}
 
 
-def _tokenise(path: str, end_id: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _OPEN:
-            _OPEN[path] = LibraryEncoder(path)
-        encode = _OPEN[path]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [np.array([*encode(t), end_id], dtype="<u4") for t in part.column(1).to_pylist()]
-                if any(int(x.max()) >> ID_BITS for x in ids):
+def _tokenised(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Document ids with their token ids, the end id last."""
+    if path not in _OPEN:
+        _OPEN[path] = LibraryEncoder(path)
+    encode = _OPEN[path]
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                ids = np.append(encode(text), np.uint32(end_id))
+                if int(ids.max()) >> ID_BITS:
                     raise ValueError(f"ids of more than {ID_BITS} bits")
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x.astype("<u2").tobytes() for x in ids], type=pa.binary())],
-                    names=["doc_id", "ids"])
-    return run
+                yield doc, ids.astype(np.uint16)
 
 
-def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Frames of one shard: gathers documents, codes ``LANES`` blocks at a time."""
+def _frames(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frames of one shard: tokenises and gathers documents, codes ``LANES`` blocks at a time."""
     from pyspark import TaskContext
     shard, frame = TaskContext.get().partitionId(), 0
     held: list[tuple[list, list]] = [([], [])]       # per frame: document ids, id arrays
@@ -119,18 +121,16 @@ def _frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["shard", "frame", "doc_ids", "n_tokens", "payload"])
         held, size, blocks = [([], [])], 0, 0
 
-    for batch in batches:
-        for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-            ids = np.frombuffer(raw.as_buffer(), dtype="<u2")
-            held[-1][0].append(doc)
-            held[-1][1].append(ids)
-            size += len(ids)
-            if size >= FRAME:
-                blocks += -(-size // BLOCK)
-                held.append(([], []))
-                size = 0
-                if blocks >= LANES - FRAME // BLOCK:
-                    yield from coded()
+    for doc, ids in _tokenised(path, end_id, batches):
+        held[-1][0].append(doc)
+        held[-1][1].append(ids)
+        size += len(ids)
+        if size >= FRAME:
+            blocks += -(-size // BLOCK)
+            held.append(([], []))
+            size = 0
+            if blocks >= LANES - FRAME // BLOCK:
+                yield from coded()
     yield from coded()
 
 
@@ -177,16 +177,17 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end_id: int
 
     Every row gives one document, ended by ``end_id``; a null text is empty and
     holds the end id only.  Documents stand in ascending id order, null ids
-    first, repeated ids in the order of their ids' bytes.  An empty table writes
+    first, repeated ids in the order of their texts.  An empty table writes
     no frames.  Other columns are ignored."""
     path = path or default_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shards = buckets_for(docs.count(), DOCS_PER_SHARD)
-    ids = rows.mapInArrow(_tokenise(path, end_id), "doc_id long, ids binary")
-    (ids.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
-     .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-     .mapInArrow(_frames, "shard int, frame int, doc_ids array<long>, n_tokens array<int>, payload binary")
+    # sorted before tokenising: Spark runs the plan below a range partitioning twice, once to sample it
+    (rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())
+     .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+     .mapInArrow(functools.partial(_frames, path, end_id),
+                 "shard int, frame int, doc_ids array<long>, n_tokens array<int>, payload binary")
      .write.option("compression", "none").parquet(folder))
 
 
