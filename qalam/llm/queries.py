@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalam.llm import bpe_prefix, id_files, mixing, quality, sharding
+from qalam.llm import bpe_prefix, id_files, line_dedup, mixing, quality, sharding
 from qalam.llm import exact_dedup as ed
 from qalam.llm.common import documents, fresh_folder
 
@@ -50,6 +50,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir), shards=8)
 
 
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs in other documents."""
+    out = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    return out.select("doc_id", lines.alias("n_lines"), "dropped_lines", F.col("kept_text").alias("text"))
+
+
 @query("op6_exact_dedup", oracle="""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
     doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
