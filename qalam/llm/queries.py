@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalam.llm import bpe_prefix, id_files, line_dedup, mixing, quality, sharding
+from qalam.llm import bpe_prefix, id_files, line_dedup, mixing, pii, quality, sharding
 from qalam.llm import exact_dedup as ed
 from qalam.llm.common import documents, fresh_folder
 
@@ -50,6 +50,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(documents(spark, sf_dir), shards=8)
 
 
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: strict matches and the spans boosted trees add."""
+    return pii.describe(pii.find_pii(documents(spark, sf_dir)))
+
+
 @query("op3_line_dedup")
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines whose template recurs in other documents."""
