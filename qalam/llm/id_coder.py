@@ -24,6 +24,7 @@ _CACHE = 8                   # bits of the order-0 cache
 _TOTAL = 12                  # bits of the coded distribution
 _LOW = np.uint64((1 << 48) - 1)
 _CONF = 27                   # an entry is id | confidence << 27
+_CONF32 = np.uint32(_CONF)
 _ID = np.uint32((1 << _CONF) - 1)
 _SHARE = np.array([60, 500, 1100, 1700, 2200, 2500, 2750, 2900, 3050, 3150, 3250, 3330, 3400, 3470, 3540, 3600],
                   dtype=np.int32)
@@ -55,11 +56,14 @@ class _Model:
         c1 = self.c1[:n]
         shift = np.uint32(32 - _SLOTS)
         h1 = c1 * np.uint32(2654435761)
-        self.i1 = self.base[:n] + (h1 >> shift)
-        self.i2 = self.base[:n] + ((h1 + self.c2[:n] * np.uint32(2246822519)) * np.uint32(3266489917) >> shift)
-        self.e1, self.e2 = self.t1.take(self.i1, mode="wrap"), self.t2.take(self.i2, mode="wrap")
+        h2 = (h1 + self.c2[:n] * np.uint32(2246822519)) * np.uint32(3266489917)
+        self.i1 = (h1 >> shift).astype(np.int64)
+        self.i1 += self.base[:n]
+        self.i2 = (h2 >> shift).astype(np.int64)
+        self.i2 += self.base[:n]
+        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
         self.p1, self.p2 = self.e1 & _ID, self.e2 & _ID
-        self.k1, self.k2 = self.e1 >> np.uint32(_CONF), self.e2 >> np.uint32(_CONF)
+        self.k1, self.k2 = (self.e1 >> _CONF32).astype(np.int64), (self.e2 >> _CONF32).astype(np.int64)
         f2 = _SHARE.take(self.k2)
         f2 *= self.w[2, :n]
         f2 >>= _TOTAL
@@ -70,16 +74,19 @@ class _Model:
         f1 >>= _TOTAL
         f1 *= rest
         f1 >>= _TOTAL
-        self.same = self.p1 == self.p2
         rest -= f1
-        f2 += f1 * self.same
-        f1 *= ~self.same
+        self.same = self.p1 == self.p2
+        twice = f1 * self.same
+        f2 += twice
+        f1 -= twice
         b = self.bounds
         b[1, :n] = f2
-        np.add(f2, f1, out=b[2, :n])
+        f2 += f1
+        b[2, :n] = f2
         rest *= self.w[0, :n]
         rest >>= _TOTAL
-        np.add(b[2, :n], rest, out=b[3, :n])
+        f2 += rest
+        b[3, :n] = f2
 
     def interval(self, n: int, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the chosen kind."""
@@ -94,11 +101,11 @@ class _Model:
         for table, at, e, p, k, w in ((self.t1, self.i1, self.e1, self.p1, self.k1, 1),
                                       (self.t2, self.i2, self.e2, self.p2, self.k2, 2)):
             hit = p == ids
-            step = hit * np.uint32(16)
+            step = hit.astype(np.int64)
+            step <<= 4
             step += k
             e += _STEP.take(step)
-            np.copyto(e, new, where=_FRESH.take(step))
-            table[at] = e
+            table[at] = np.where(_FRESH.take(step), new, e)
             ww = self.w[w, :n]
             ww += (hit * np.int32(4095) - ww) >> 5
         w0 = self.w[0, :n]
@@ -108,7 +115,17 @@ class _Model:
         self.c1[:n] = ids
 
     def slots(self, n: int, ids: np.ndarray) -> np.ndarray:
-        return self.cbase[:n] + ((ids * np.uint32(2654435761)) >> np.uint32(32 - _CACHE))
+        at = ((ids * np.uint32(2654435761)) >> np.uint32(32 - _CACHE)).astype(np.int64)
+        at += self.cbase[:n]
+        return at
+
+
+def _quotient(v: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """``v // r`` of integers below 2**48: by floating point, then made exact."""
+    q = (v.astype(np.float64) / r.astype(np.float64)).astype(np.uint64)
+    q -= q * r > v
+    q += (q + np.uint64(1)) * r <= v
+    return q
 
 
 def _carry(out: np.ndarray, at: np.ndarray, lanes: np.ndarray) -> None:
@@ -134,7 +151,8 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, id_bit
     every = np.arange(lanes)
     active = np.searchsorted(-length, -np.arange(steps), side="left")   # lanes with length > t
     full, bits = np.uint64(1 << 32), np.uint64(id_bits)
-    total, spare = np.uint64(_TOTAL + id_bits), np.uint64(id_bits - _CACHE)
+    total = np.uint64(_TOTAL + id_bits)
+    shifts = np.array([id_bits, id_bits, id_bits - _CACHE, 0], dtype=np.uint64)   # by kind
 
     for t in range(steps):
         n = int(active[t])
@@ -142,20 +160,14 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, id_bit
         model.predict(n)
         slot = model.slots(n, x)
         b = model.bounds
-        kind = 3 - ((model.cache.take(slot, mode="wrap") == x) & (b[3, :n] > b[2, :n]))
-        kind[(model.p1 == x) & ~model.same & (b[2, :n] > b[1, :n])] = 1
-        kind[model.p2 == x] = 0
+        kind = 3 - ((model.cache[slot] == x) & (b[3, :n] > b[2, :n])).astype(np.int64)
+        kind = np.where((model.p1 == x) & ~model.same & (b[2, :n] > b[1, :n]), 1, kind)
+        kind = np.where(model.p2 == x, 0, kind)
         lo, width = model.interval(n, kind)
         # a cached id takes its slot's part of the interval, a new id its own part
+        width <<= shifts.take(kind)
         lo <<= bits
-        if len(who := np.flatnonzero(kind >= 2)):
-            cached, part = kind[who] == 2, width[who]
-            part = np.where(cached, part << spare, part)
-            lo[who] += part * np.where(cached, slot[who] & ((1 << _CACHE) - 1), x[who]).astype(np.uint64)
-            width <<= bits
-            width[who] = part
-        else:
-            width <<= bits
+        lo += width * np.where(kind == 3, x.astype(np.int64), (slot & ((1 << _CACHE) - 1)) * (kind == 2)).astype(np.uint64)
         r = rng[:n] >> total
         base = low[:n] + lo * r
         r *= width
@@ -207,7 +219,8 @@ def decode_blocks(blocks: list[bytes], id_bits: int) -> list[np.ndarray]:
     out = np.zeros((lanes, steps), dtype=np.uint32)
     active = np.searchsorted(-length, -np.arange(steps), side="left")
     full, bits = np.uint64(1 << 32), np.uint64(id_bits)
-    total, spare = np.uint64(_TOTAL + id_bits), np.uint64(id_bits - _CACHE)
+    total = np.uint64(_TOTAL + id_bits)
+    shifts = np.array([id_bits, id_bits, id_bits - _CACHE, 0], dtype=np.uint64)   # by kind
     last = words.shape[1] - 1
 
     for t in range(steps):
@@ -215,26 +228,24 @@ def decode_blocks(blocks: list[bytes], id_bits: int) -> list[np.ndarray]:
         model.predict(n)
         b = model.bounds
         r, v = rng[:n] >> total, value[:n]
-        mark = (v // r >> bits).astype(np.int32)
+        mark = _quotient(v, r) >> bits
+        mark = mark.astype(np.int32)
         kind = (mark >= b[1, :n]).astype(np.int64)
         kind += mark >= b[2, :n]
         kind += mark >= b[3, :n]
         lo, width = model.interval(n, kind)
-        x = np.where(kind == 0, model.p2, model.p1)
+        width <<= shifts.take(kind)
         lo <<= bits
-        if len(who := np.flatnonzero(kind >= 2)):
-            cached, part = kind[who] == 2, width[who]
-            part = np.where(cached, part << spare, part)
-            got = (v[who] - lo[who] * r[who]) // (part * r[who])
-            lo[who] += got * part
-            width <<= bits
-            width[who] = part
-            x[who] = np.where(cached, model.cache.take(model.cbase[who] + got.astype(np.int64), mode="wrap"),
-                              got.astype(np.uint32))
-        else:
-            width <<= bits
         v = v - lo * r
         r *= width
+        x = np.where(kind == 0, model.p2, model.p1)
+        if len(who := np.flatnonzero(kind >= 2)):
+            step = r[who]
+            got = _quotient(v[who], step)
+            v[who] -= got * step
+            got = got.astype(np.int64)
+            cached = model.cache[model.cbase[who] + (got & ((1 << _CACHE) - 1))]
+            x[who] = np.where(kind[who] == 2, cached, got.astype(np.uint32))
         short = np.flatnonzero(r < full)
         while len(short):
             where = at[short]
