@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalam.llm import bpe_prefix, id_files, line_dedup, mixing, ngram_join, pii, quality, sharding
+from qalam.llm import bpe_prefix, fingerprint, id_files, line_dedup, mixing, ngram_join, pii, quality, sharding
 from qalam.llm import exact_dedup as ed
 from qalam.llm.common import documents, fresh_folder
 
@@ -64,6 +64,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lines.alias("n_lines"), "dropped_lines", F.col("kept_text").alias("text"))
 
 
+@query("op4_fingerprint")
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likenesses."""
+    return fingerprint.fingerprint_edits(documents(spark, sf_dir))
+
+
 @query("op5_ngram_join")
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component of the 4-gram Jaccard join at 0.85 and its links."""
