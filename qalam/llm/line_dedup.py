@@ -67,6 +67,21 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return keyed.select("doc", "id"), materialize(made.join(recurring, "template"))
 
 
+def _kept(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
+    """``docs`` with ``__text`` (kept lines) and ``__dropped`` (their number)."""
+    lines, recurring = templates(docs, id_col, text_col, **options)
+    drops = (lines.join(recurring.select("id", "first"), "id").filter(~F.col("doc").eqNullSafe(F.col("first")))
+             .groupBy("doc").agg(F.collect_set("id").alias("__drop")).withColumnRenamed("doc", "__doc"))
+    joined = docs.join(drops, docs[id_col].eqNullSafe(F.col("__doc")), "left")
+    parts = F.split(F.col(text_col), "\n")
+    kept = F.filter(parts, lambda x: ~F.array_contains(F.col("__drop"), line_id(normal_line(x))))
+    out = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
+    none = F.col("__drop").isNull() | F.col(text_col).isNull()
+    return (out.withColumn("__text", F.when(none, F.col(text_col)).otherwise(F.array_join("__kept", "\n")))
+            .withColumn("__dropped", F.when(none, F.lit(0)).otherwise(F.size(parts) - F.size("__kept")))
+            .drop("__doc", "__drop", "__kept"))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with two more columns: ``kept_text`` and ``dropped_lines``.
 
@@ -76,29 +91,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id are one document; null ids together are one document too.  An empty
     table gives an empty result.  Columns of ``docs`` with the new names are
     replaced."""
-    lines, recurring = templates(docs, id_col, text_col, **options)
-    drops = (lines.join(recurring.select("id", "first"), "id").filter(~F.col("doc").eqNullSafe(F.col("first")))
-             .groupBy("doc").agg(F.collect_set("id").alias("__drop")))
-    rows = docs.drop("kept_text", "dropped_lines")
-    joined = rows.join(drops.withColumnRenamed("doc", "__doc"), F.col(id_col).eqNullSafe(F.col("__doc")), "left")
-    parts = F.split(F.col(text_col), "\n")
-    kept = F.filter(parts, lambda x: ~F.array_contains(F.col("__drop"), line_id(normal_line(x))))
-    out = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
-    return (out.withColumn("kept_text", F.when(F.col("__drop").isNull(), F.col(text_col))
-                           .otherwise(F.array_join("__kept", "\n")))
-            .withColumn("dropped_lines", F.when(F.col("__drop").isNull() | F.col(text_col).isNull(), F.lit(0))
-                        .otherwise(F.size(parts) - F.size("__kept")))
-            .drop("__doc", "__drop", "__kept"))
+    out = _kept(docs, id_col, text_col, **options).drop("kept_text", "dropped_lines")
+    return out.withColumnsRenamed({"__text": "kept_text", "__dropped": "dropped_lines"})
 
 
-def keep_deduplicated(docs: DataFrame, **options) -> DataFrame:
+def keep_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """A filtering stage: the columns of ``docs`` with repeated lines gone; documents
     that lost all their words go.  ``n_chars`` follows the text where it is present."""
-    out = dedup_lines(docs, **options)
-    gone = (F.col("dropped_lines") > 0) & (F.trim(F.regexp_replace("kept_text", r"\s+", " ")) == "")
-    out = out.filter(~F.coalesce(gone, F.lit(False))).withColumn("text", F.col("kept_text"))
+    out = _kept(docs, id_col, text_col, **options)
+    blank = F.trim(F.regexp_replace("__text", r"\s+", " ")) == ""
+    out = out.filter(~((F.col("__dropped") > 0) & F.coalesce(blank, F.lit(False))))
+    new = {text_col: F.col("__text")}
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("dropped_lines") > 0, F.length("text").cast(kind))
-                             .otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("__dropped") > 0, F.length("__text").cast(docs.schema["n_chars"].dataType)) \
+            .otherwise(F.col("n_chars"))
+    return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])

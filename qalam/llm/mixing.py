@@ -157,10 +157,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, shards: in
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as the mix uses it,
-    with the columns of ``docs``; ordered by shard and local shuffle within partitions."""
+    with the columns of ``docs``; inside a partition ordered by shard, then by the
+    shard's local shuffle (texts are shuffled once, by the join)."""
     names = docs.columns
     tagged = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"),
                                      F.monotonically_increasing_id().alias("row")))
     _, uses = mix(tagged.select("doc.*", F.col("row").alias("__row")), row_col="__row", **options)
-    return (tagged.join(uses, "row").repartition("shard", "row").sortWithinPartitions("shard", "order")
-            .select("doc.*"))
+    return tagged.join(uses, "row").sortWithinPartitions("shard", "order").select("doc.*")

@@ -155,3 +155,14 @@ def score(docs: DataFrame, model: LogisticRegressionModel | None, id_col: str =
     value = F.when(F.col("words") == 0, 0.0).otherwise(F.col("p"))
     return scored.select("doc_id", F.col("words").cast("long").alias("words"), value.alias("score"),
                          (value >= keep_from).alias("kept"))
+
+
+def keep_good(docs: DataFrame, model: LogisticRegressionModel | None, text_col: str = "text",
+              keep_from: float = KEEP_FROM) -> DataFrame:
+    """A filtering stage: the rows of ``docs`` that ``score`` keeps, columns as they were."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"),
+                        shape(F.coalesce(F.col(text_col), F.lit(""))).alias("shape"))
+    rows = whole.withColumn("words", F.regexp_count("shape", F.lit(r"[^ \n]+"))).filter("words > 0")
+    if model is not None:
+        rows = model.transform(_featured(rows)).filter(vector_to_array("probability")[1] >= keep_from)
+    return rows.select("__doc.*")
