@@ -5,16 +5,17 @@ are one class from the start.  The join keeps two relations between sets:
 
 *Index lists skip by position.*  A count sketch over all documents orders
 tokens, rare ones first.  A set enters the lists of its prefix tokens (a pair
-that links shares one).  Sets live in blocks of similar sets (equal minimum
-hash); lists hold blocks with their sizes and positions, and a pair of blocks
-whose sizes or remaining positions cannot reach the threshold is skipped whole.
+that links shares ``SHARED`` of them, or all it must share).  Sets live in
+blocks of similar sets (equal minimum hash); lists hold blocks with their sizes
+and positions, and a pair of blocks whose sizes or positions cannot reach the
+threshold is skipped whole.
 
-*Answers come from a similar set's answers.*  Each pair of blocks left is one
-cell.  In a cell the overlaps of a set with the other block are those of the
-set before it, less the lists of the tokens that went, plus the lists of those
-that came.
+*Answers come from a similar set's answers.*  Of two blocks left, the smaller
+one's sets travel to the larger one.  There the overlaps of a set with the whole
+block are those of the set before it, less the lists of the tokens that went,
+plus the lists of those that came.
 
-Cells return link counts and spanning edges, never pairs; components come from
+Blocks return link counts and spanning edges, never pairs; components come from
 star rounds.  Lists of tokens outside the sketch's heavy counters are bounded
 by the sketch; the others are joined by Spark with skew handling.
 """
@@ -33,6 +34,8 @@ from qalam.llm.common import materialize
 from qalam.llm.components import components
 
 BLOCK_SETS = 256           # sets of a block, about
+SHARED = 3                 # prefix tokens that a pair must share, at most
+PART_SETS = 4096           # sets that travel to one copy of a block, about
 HEAVY = 8                  # counters above this many times the mean are heavy
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 500_000
@@ -109,7 +112,7 @@ def _prefixes(k: int, num: int, den: int, bits: int, heavy, batches: Iterator[pa
             n.append(len(s))
             sid.append(xxhash.xxh3_128_digest(s.tobytes()))
             low.append(int((s * _MULT).min().view(np.int64)) if len(s) else 0)
-            p = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
+            p = min(len(s), len(s) - -(-num * len(s) // den) + SHARED)
             ordered, is_heavy = _order(s, counters, level, bits)
             tok.append(ordered[:p].view(np.int64))
             big.append(is_heavy[:p])
@@ -120,39 +123,44 @@ def _prefixes(k: int, num: int, den: int, bits: int, heavy, batches: Iterator[pa
 
 
 def _listed(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Block pairs of the light lists; rows come sorted by token.  Lists are short
+    """Block pairs of the light lists with the number of lists they share and the number
+    they need; rows ``token, block, n, pos`` come sorted by token.  Lists are short
     (bounded by the sketch), so a list is held at once."""
     held: list[np.ndarray] = []
-    found: set[tuple[int, int]] = set()
+    found: dict[tuple[int, int], tuple[int, int]] = {}
 
     def skip(run: np.ndarray) -> None:
-        """``run``: columns token, block, n, rest of one token."""
+        """``run``: the rows of one token."""
         blocks, first, of = np.unique(run[:, 1], return_index=True, return_inverse=True)
         if len(blocks) < 2:
             return
         if len(blocks) == len(run):
             lo = hi = run[first, 2]
-            rest = run[first, 3]
+            pos = run[first, 3]
+            rest = lo - pos - 1
         else:
-            lo, hi, rest = (np.full(len(blocks), 1 << 62), np.zeros(len(blocks), np.int64), np.zeros(len(blocks), np.int64))
+            lo = np.full(len(blocks), 1 << 62)
+            hi, pos, rest = (np.zeros(len(blocks), np.int64) for _ in range(3))
             np.minimum.at(lo, of, run[:, 2])
             np.maximum.at(hi, of, run[:, 2])
-            np.maximum.at(rest, of, run[:, 3])
-        if len(blocks) == 2:
-            pairs = [(0, 1)] if _can(lo[0], hi[0], rest[0], lo[1], hi[1], rest[1], num, den) else []
-        else:
-            pairs = []
-            for i in range(len(blocks) - 1):
-                j = slice(i + 1, None)
-                ok = _can(lo[i], hi[i], rest[i], lo[j], hi[j], rest[j], num, den)
-                pairs += [(i, i + 1 + x) for x in np.flatnonzero(ok)]
-        found.update((int(blocks[i]), int(blocks[j])) for i, j in pairs)
+            np.maximum.at(pos, of, run[:, 3])
+            np.maximum.at(rest, of, run[:, 2] - run[:, 3] - 1)
+        for i in range(len(blocks) - 1):
+            j = slice(i + 1, None)
+            ok = _can(lo[i], hi[i], pos[i], rest[i], lo[j], hi[j], pos[j], rest[j], num, den)
+            for x in np.flatnonzero(ok).tolist():
+                key = (int(blocks[i]), int(blocks[i + 1 + x]))
+                need = min(SHARED, -(-num * max(int(lo[i]), int(lo[i + 1 + x])) // den))
+                had = found.get(key)
+                found[key] = (1, need) if had is None else (had[0] + 1, min(had[1], need))
 
     def flush() -> Iterator[pa.RecordBatch]:
         if found:
             a, b = zip(*found)
+            n, need = zip(*found.values())
             found.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n, need)],
+                                             names=["a", "b", "lists", "need"])
 
     def runs(rows: np.ndarray) -> None:
         cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
@@ -177,12 +185,22 @@ def _listed(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
     yield from flush()
 
 
-def _can(lo_a, hi_a, rest_a, lo_b, hi_b, rest_b, num: int, den: int):
-    """Whether sets of two blocks can still reach the threshold at this list: sizes within
-    it, and enough tokens left behind the position.  Works on numbers and Columns."""
+def _can(lo_a, hi_a, pos_a, rest_a, lo_b, hi_b, pos_b, rest_b, num: int, den: int):
+    """Whether sets of two blocks can share enough, seen from this list: sizes within the
+    threshold, and enough tokens before, at and behind their positions."""
     sizes = (num * lo_b <= den * hi_a) & (num * lo_a <= den * hi_b)
     need = num * (lo_a + lo_b)      # (num + den) * overlap must reach it
-    return sizes & ((num + den) * (1 + rest_a) >= need) & ((num + den) * (1 + rest_b) >= need)
+    most = np.minimum(pos_a, pos_b) + 1 + np.minimum(rest_a, rest_b)
+    return sizes & ((num + den) * most >= need)
+
+
+def _can_columns(num: int, den: int):
+    """``_can`` and the lists needed as Columns over the aliases x and y."""
+    c = F.col
+    sizes = (num * c("y.lo") <= den * c("x.hi")) & (num * c("x.lo") <= den * c("y.hi"))
+    most = F.least("x.pos", "y.pos") + 1 + F.least("x.rest", "y.rest")
+    need = F.least(F.lit(SHARED), F.ceil(num * F.greatest("x.lo", "y.lo") / den))
+    return sizes & ((num + den) * most >= num * (c("x.lo") + c("y.lo"))), need
 
 
 class _Cell:
@@ -219,51 +237,53 @@ class _Cell:
         return self.counts
 
 
-def _join_cell(left: list[tuple], right: list[tuple] | None, num: int, den: int) -> list[tuple[int, int, int]]:
-    """``(row, links, root)`` of the sets that link; members are ``(row, copies, tokens)``.
-    ``right`` is None for a block with itself."""
-    other = left if right is None else right
-    members = left if right is None else left + right
-    shift = 0 if right is None else len(left)
-    links, root = [0] * len(members), list(range(len(members)))
+def _homes(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``home, part, side, block, row, copies, tokens`` sorted so: first the sets of a
+    block (side 0, in each of its parts), then those that travelled to it (side 1).  Returns
+    ``row, links, root`` of the sets that link; the root is one of their component."""
+    now, home, cell, out = None, [], None, []
+    links: dict[int, int] = {}
+    root: dict[int, int] = {}
 
     def find(i: int) -> int:
-        while root[i] != i:
+        while root.setdefault(i, i) != i:
             root[i] = root[root[i]]
             i = root[i]
         return i
 
-    sizes = np.array([len(t) for *_, t in other])
-    copies = np.array([c for _, c, _ in other])
-    if len(left) == len(other) == 1:
-        cell = None
-        shared = len(np.intersect1d(left[0][2], other[0][2], assume_unique=True))
-    else:
-        cell = _Cell([t for *_, t in other])
-    for i, (_, mine, tokens) in enumerate(left):
-        over = cell.overlaps(tokens) if cell else np.array([shared])
-        ok = den * over >= num * (len(tokens) + sizes - over)
-        if right is None:
-            ok[:i + 1] = False
-        js = np.flatnonzero(ok)
-        if not len(js):
-            continue
-        links[i] += int(copies[js].sum())
-        for j in js.tolist():
-            links[shift + j] += mine
-            a, b = find(i), find(shift + j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    return [(members[i][0], links[i], members[find(i)][0]) for i in range(len(members)) if links[i]]
-
-
-def _cells(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``a, b, side, row, copies, tokens`` sorted by cell: joins one cell after the other."""
-    now, sides, out = None, ([], []), []
-
-    def done() -> None:
-        if now is not None:
-            out.extend(_join_cell(sides[0], None if now[0] == now[1] else sides[1], num, den))
+    def match(row: int, mine: int, tokens: np.ndarray, until: int) -> None:
+        over = cell.overlaps(tokens)
+        js = np.flatnonzero(den * over[:until] >= num * (len(tokens) + sizes[:until] - over[:until]))
+        if len(js):
+            links[row] = links.get(row, 0) + int(copies[js].sum())
+            a = find(row)
+            for j in js.tolist():
+                other = home[j][0]
+                links[other] = links.get(other, 0) + mine
+                b = find(other)
+                if a != b:
+                    root[max(a, b)] = a = min(a, b)
+
+    def open_home() -> None:
+        nonlocal cell, sizes, copies
+        cell = _Cell([t for *_, t in home])
+        sizes = np.array([len(t) for *_, t in home])
+        copies = np.array([c for _, c, _ in home])
+        if now[1] == 0:               # the block with itself, in its first part only
+            for i, (row, mine, tokens) in enumerate(home):
+                if i:
+                    match(row, mine, tokens, i)
+
+    sizes = copies = None
+
+    def close_home() -> None:
+        nonlocal cell, home
+        if home and cell is None:
+            open_home()
+        out.extend((r, n, find(r)) for r, n in links.items())
+        links.clear()
+        root.clear()
+        home, cell = [], None
 
     def flush() -> Iterator[pa.RecordBatch]:
         if out:
@@ -272,15 +292,21 @@ def _cells(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "links", "root"])
 
     for batch in batches:
-        a, b, side, row, copies = (batch.column(i).to_pylist() for i in range(5))
-        for i, raw in enumerate(batch.column(5)):
-            if (a[i], b[i]) != now:
-                done()
-                now, sides = (a[i], b[i]), ([], [])
-            sides[side[i]].append((row[i], copies[i], np.frombuffer(raw.as_buffer(), dtype=np.uint64)))
+        key, part, side, row, mine = (batch.column(n).to_pylist() for n in ("home", "part", "side", "row", "copies"))
+        for i, raw in enumerate(batch.column("tokens")):
+            if (key[i], part[i]) != now:
+                close_home()
+                now = (key[i], part[i])
+            tokens = np.frombuffer(raw.as_buffer(), dtype=np.uint64)
+            if side[i] == 0:
+                home.append((row[i], mine[i], tokens))
+            else:
+                if cell is None:
+                    open_home()
+                match(row[i], mine[i], tokens, len(home))
         if len(out) > 50_000:
             yield from flush()
-    done()
+    close_home()
     yield from flush()
 
 
@@ -332,32 +358,45 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     post = (sets.select("row", "tokens", "heavy").join(classes.select("row", "block", "n"), "row")
             .select("block", "n", F.posexplode(F.arrays_zip("tokens", "heavy")).alias("pos", "t"))
             .select(F.col("t.tokens").alias("token"), "block", F.col("n").cast("long").alias("n"),
-                    (F.col("n") - F.col("pos") - 1).cast("long").alias("rest"), F.col("t.heavy").alias("heavy")))
-    light = (post.filter("not heavy").select("token", "block", "n", "rest").repartition("token")
-             .sortWithinPartitions("token").mapInArrow(functools.partial(_listed, num, den), "a long, b long"))
-    hot = post.filter("heavy").groupBy("token", "block").agg(
-        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("rest").alias("rest"))
-    hot = materialize(hot)
-    x, y = hot.alias("x"), hot.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") < F.col("y.block")) & _can(
-        F.col("x.lo"), F.col("x.hi"), F.col("x.rest"), F.col("y.lo"), F.col("y.hi"), F.col("y.rest"), num, den))
-    alone = classes.groupBy("block").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1")
-    cells = (light.unionByName(pairs.select(F.col("x.block").alias("a"), F.col("y.block").alias("b"))).distinct()
-             .unionByName(alone.select(F.col("block").alias("a"), F.col("block").alias("b"))))
-    cells = materialize(cells)
-
-    ends = cells.select(F.explode(F.array("a", "b")).alias("block")).distinct()
-    wanted = classes.join(ends, "block", "left_semi").select("sid", "row", "copies", "block")
-    texts = given.join(sets.join(wanted.select("row"), "row", "left_semi").select(F.col("doc_id").alias("__id")).distinct(),
-                       F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    full = texts.select("text").mapInArrow(functools.partial(_full_sets, k), "sid binary, tokens binary") \
-        .dropDuplicates(["sid"])
-    members = materialize(full.join(wanted, "sid").select("block", "row", "copies", "tokens"))
-    side = [cells.join(members, F.col(c) == F.col("block")).select("a", "b", F.lit(i).alias("side"), "row", "copies", "tokens")
-            for i, c in enumerate(("a", "b"))]
-    dealt = side[0].unionByName(side[1].filter("a <> b")).repartition("a", "b") \
-        .sortWithinPartitions("a", "b", "side", "row")
-    found = materialize(dealt.mapInArrow(functools.partial(_cells, num, den), "row long, links long, root long"))
+                    F.col("pos").cast("long").alias("pos"), F.col("t.heavy").alias("heavy")))
+    light = (post.filter("not heavy").select("token", "block", "n", "pos").repartition("token")
+             .sortWithinPartitions("token")
+             .mapInArrow(functools.partial(_listed, num, den), "a long, b long, lists long, need long"))
+    hot = materialize(post.filter("heavy").groupBy("token", "block").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("pos").alias("pos"), F.max(F.col("n") - F.col("pos") - 1).alias("rest")))
+    can, need = _can_columns(num, den)
+    pairs = hot.alias("x").join(hot.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") < F.col("y.block")) & can) \
+        .select(F.col("x.block").alias("a"), F.col("y.block").alias("b"), F.lit(1).cast("long").alias("lists"), need.alias("need"))
+    cells = (light.unionByName(pairs).groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.min("need").alias("need"))
+             .filter("lists >= need").select("a", "b"))
+
+    # the sets of the smaller block travel to the larger one's home; a home with many guests has parts
+    counts = classes.groupBy("block").agg(F.count(F.lit(1)).alias("sets"))
+    ca, cb = (counts.select(F.col("block").alias(n), F.col("sets").alias(f"n{n}")) for n in ("a", "b"))
+    trips = materialize(cells.join(ca, "a").join(cb, "b").select(
+        F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("home"),
+        F.when(F.col("na") >= F.col("nb"), F.col("b")).otherwise(F.col("a")).alias("guest"),
+        F.least("na", "nb").alias("sets")))
+    homes = trips.groupBy("home").agg(F.ceil(F.sum("sets") / PART_SETS).alias("parts"))
+    homes = homes.unionByName(counts.filter("sets > 1").select(F.col("block").alias("home"), F.lit(1).cast("long").alias("parts"))) \
+        .groupBy("home").agg(F.max("parts").alias("parts"))
+    homes = materialize(homes)
+
+    ends = homes.select(F.col("home").alias("block")).unionByName(trips.select(F.col("guest").alias("block"))).distinct()
+    wanted = materialize(classes.join(ends, "block", "left_semi").select("sid", "row", "copies", "block"))
+    asked = sets.join(wanted.select("row"), "row", "left_semi").select(F.col("doc_id").alias("__id")).distinct()
+    texts = given.join(asked, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    full = texts.select("text").mapInArrow(functools.partial(_full_sets, k), "sid binary, tokens binary")
+    members = materialize(full.join(wanted, "sid").select("block", "row", "copies", "tokens").dropDuplicates(["row"]))
+    at_home = members.join(homes.withColumnRenamed("home", "block"), "block").select(
+        F.col("block").alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+        F.lit(0).alias("side"), "block", "row", "copies", "tokens")
+    guests = (members.join(trips.select("home", F.col("guest").alias("block")), "block").join(homes, "home")
+              .select("home", F.pmod(F.xxhash64("block"), F.col("parts")).alias("part"), F.lit(1).alias("side"),
+                      "block", "row", "copies", "tokens"))
+    dealt = at_home.unionByName(guests).repartition("home", "part") \
+        .sortWithinPartitions("home", "part", "side", "block", "row")
+    found = materialize(dealt.mapInArrow(functools.partial(_homes, num, den), "row long, links long, root long"))
 
     roots = components(found.select(F.col("row").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("row").agg(F.sum("links").alias("links"))
