@@ -4,8 +4,9 @@ Sets are the distinct 64-bit hashes of a document's word n-grams.  Equal sets
 are one class from the start.  The join keeps two relations between sets:
 
 *Index lists skip by position.*  A count sketch over all documents orders
-tokens, rare ones first.  A set enters the lists of its prefix tokens (a pair
-that links shares ``SHARED`` of them, or all it must share).  Sets live in
+tokens, rare ones first.  A set of n tokens enters the lists of its prefix: n less
+the tokens any partner shares with it, plus an extra of ``SHARED * n``; a pair
+that links shares as many prefix tokens as the smaller extra.  Sets live in
 blocks of similar sets (equal minimum hash); lists hold blocks with their sizes
 and positions, and a pair of blocks whose sizes or positions cannot reach the
 threshold is skipped whole.
@@ -34,9 +35,10 @@ from qalam.llm.common import materialize
 from qalam.llm.components import components
 
 BLOCK_SETS = 256           # sets of a block, about
-SHARED = 3                 # prefix tokens that a pair must share, at most
+SHARED = 0.05              # share of a set by which its prefix is longer, so that a pair shares as many prefix tokens
+LEAST = 3                  # and this many at least
 PART_SETS = 4096           # sets that travel to one copy of a block, about
-HEAVY = 8                  # counters above this many times the mean are heavy
+HEAVY = 3                  # counters above this many times the mean are heavy
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 500_000
 
@@ -71,6 +73,11 @@ def shingles(text: str, k: int) -> np.ndarray:
     return out[np.concatenate(([True], out[1:] != out[:-1]))] if n > 1 else out
 
 
+def _extra(n: int, num: int, den: int) -> int:
+    """Prefix tokens beyond the first that a set of n tokens gets and must share; grows with n."""
+    return min(-(-num * n // den), max(LEAST, int(SHARED * n)))
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -112,7 +119,7 @@ def _prefixes(k: int, num: int, den: int, bits: int, heavy, batches: Iterator[pa
             n.append(len(s))
             sid.append(xxhash.xxh3_128_digest(s.tobytes()))
             low.append(int((s * _MULT).min().view(np.int64)) if len(s) else 0)
-            p = min(len(s), len(s) - -(-num * len(s) // den) + SHARED)
+            p = len(s) - -(-num * len(s) // den) + _extra(len(s), num, den)
             ordered, is_heavy = _order(s, counters, level, bits)
             tok.append(ordered[:p].view(np.int64))
             big.append(is_heavy[:p])
@@ -150,7 +157,7 @@ def _listed(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
             ok = _can(lo[i], hi[i], pos[i], rest[i], lo[j], hi[j], pos[j], rest[j], num, den)
             for x in np.flatnonzero(ok).tolist():
                 key = (int(blocks[i]), int(blocks[i + 1 + x]))
-                need = min(SHARED, -(-num * max(int(lo[i]), int(lo[i + 1 + x])) // den))
+                need = _extra(min(int(lo[i]), int(lo[i + 1 + x])), num, den)
                 had = found.get(key)
                 found[key] = (1, need) if had is None else (had[0] + 1, min(had[1], need))
 
@@ -199,7 +206,8 @@ def _can_columns(num: int, den: int):
     c = F.col
     sizes = (num * c("y.lo") <= den * c("x.hi")) & (num * c("x.lo") <= den * c("y.hi"))
     most = F.least("x.pos", "y.pos") + 1 + F.least("x.rest", "y.rest")
-    need = F.least(F.lit(SHARED), F.ceil(num * F.greatest("x.lo", "y.lo") / den))
+    low = F.least("x.lo", "y.lo")
+    need = F.least(F.ceil(num * low / den), F.greatest(F.lit(LEAST), F.floor(SHARED * low)))
     return sizes & ((num + den) * most >= num * (c("x.lo") + c("y.lo"))), need
 
 
