@@ -29,7 +29,7 @@ MOST_SOURCES = 100_000
 def targets(sizes: list[float], weights: list[float], total: float, most: float) -> list[float]:
     """Shares of ``total`` by weight; a share stops at ``most`` times its size and
     its excess goes to the others by weight, until none is above."""
-    cap = [most * s for s in sizes]
+    cap = [float(most * s) for s in sizes]
     fixed: set[int] = set()
     while True:
         free = [i for i in range(len(sizes)) if i not in fixed]
