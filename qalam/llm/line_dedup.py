@@ -24,12 +24,15 @@ MIN_WORDS = 4          # shorter lines are left alone
 LEADING = 3            # leading tokens in the tree
 CONSTANT = 0.75        # a template needs a larger share of constant tokens
 FIELD = "<*>"
+SALTS = 16             # parts of a leaf when its lines are looked up
 
 
 def normal_line(line: Column) -> Column:
-    """The line's tokens with fields that hold a digit starred, one space between."""
+    """The line's tokens with fields that hold a digit starred, one space between.  Most
+    lines hold neither digits nor odd white space and are only trimmed."""
     starred = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)
-    return F.trim(F.regexp_replace(starred, r"\s+", " "))
+    full = F.trim(F.regexp_replace(starred, r"\s+", " "))
+    return F.when(line.rlike(r"[0-9\t\x0B-\r]|  "), full).otherwise(F.trim(line))
 
 
 def line_id(normal: Column) -> Column:
@@ -41,15 +44,17 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """``(lines, recurring)``: ``lines`` has ``doc, id`` per document and distinct line;
     ``recurring`` has ``id, template, docs, first`` for lines of recurring templates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1      # tokens
     lines = (docs.select(F.col(id_col).alias("doc"),
                          F.explode(F.array_distinct(F.transform(F.split(text, "\n"), normal_line))).alias("line"))
-             .withColumn("tokens", F.split("line", " "))
-             .filter((F.size("tokens") >= min_words) & (F.col("line") != ""))
-             .withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, leading)))
-             .withColumn("id", line_id(F.col("line"))).drop("tokens"))
+             .withColumn("count", count).filter((F.col("count") >= min_words) & (F.col("line") != ""))
+             .withColumn("leaf", F.xxhash64("count", F.substring_index("line", " ", leading)))
+             .withColumn("id", line_id(F.col("line"))).drop("count"))
     keyed = materialize(lines.select("doc", "leaf", "id"))
-    leaves = keyed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("leaf")
-    known = materialize(lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "id", "line")
+    leaves = keyed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs) \
+        .select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc", "id"), F.lit(SALTS)).cast("int"))
+    known = materialize(salted.join(leaves, ["leaf", "salt"], "left_semi").groupBy("leaf", "id", "line")
                         .agg(F.count(F.lit(1)).alias("docs")))
     tokens = known.select("leaf", "id", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     often = (tokens.filter(F.col("token") != FIELD).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"))
