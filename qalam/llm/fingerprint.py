@@ -96,8 +96,10 @@ def _bucketed(rows: DataFrame, id_col: str, per_bucket: int) -> DataFrame:
     part = F.greatest(F.lit(0), F.least(F.lit(sub - 1), part))
     nulls = max(1, (n - known) // per_bucket)
     return (rows.withColumn("r", F.when(x.isNull(), -1).otherwise(r).cast("int"))
-            .withColumn("b", F.when(x.isNull(), F.pmod(F.xxhash64("text"), F.lit(nulls)) - nulls)
-                        .otherwise(F.col("r").cast("long") * sub + part).cast("long")))
+            # never null, so that no join adds a filter and the shuffled texts can be read twice
+            .withColumn("b", F.coalesce(F.when(x.isNull(), F.pmod(F.xxhash64("text"), F.lit(nulls)) - nulls)
+                                        .otherwise(F.col("r").cast("long") * sub + part).cast("long"),
+                                        F.lit(0).cast("long"))))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
