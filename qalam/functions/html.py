@@ -3,7 +3,7 @@
 Python's ``html.unescape`` knows every HTML5 named entity (with and without
 the trailing semicolon) and numeric references; re-implementing that table
 in JVM expressions would be a copy of the standard library.  It runs as an
-Arrow-batched pandas UDF, and only on strings that contain ``&``.
+Arrow-batched pandas UDF whose input is null unless the string contains ``&``.
 """
 
 from __future__ import annotations
@@ -22,4 +22,5 @@ def _unescape(s: pd.Series) -> pd.Series:
 
 
 def unescape_html(c: Column) -> Column:
-    return F.when(c.contains("&"), _unescape(c)).otherwise(c)
+    # the UDF's input is null for all other rows: Spark runs it on every row of the plan
+    return F.coalesce(_unescape(F.when(c.contains("&"), c)), c)

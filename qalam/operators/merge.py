@@ -12,7 +12,7 @@ def new_rows(scraped: DataFrame, base: DataFrame, key: str = "id") -> DataFrame:
     """Scraped rows whose key is not in ``base`` (null matches null, as
     ``isin`` does).  Anti join: Catalyst/AQE broadcast the base only when it is
     small by statistics; otherwise both sides shuffle on the key."""
-    b = base.select(F.col(key).alias("__k")).distinct()
+    b = base.select(F.col(key).alias("__k"))
     return scraped.join(b, scraped[key].eqNullSafe(b["__k"]), "left_anti")
 
 
@@ -38,17 +38,19 @@ def post_text(selftext: str = "selftext", title: str = "title") -> Column:
 def describe_text(df: DataFrame, col: str) -> DataFrame:
     """A3: count, unique, top, freq of a text column (exact; ties: smallest text).
 
-    Grouped by a 32-byte digest of the text with map-side partial
-    aggregation, so each distinct text crosses the shuffle once per task at
-    most; the final step is a one-row global aggregate.
+    Counted by a 32-byte digest with map-side partial aggregation; only the
+    digests with the highest count are joined back to find the smallest text.
     """
     t = F.col(col)
-    counts = (df.where(t.isNotNull()).groupBy(F.sha2(t, 256).alias("h"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("t")))
-    return counts.agg(F.sum("n").cast("long").alias("count"),
-                      F.count(F.lit(1)).cast("long").alias("unique"),
-                      F.min_by("t", F.struct(-F.col("n"), F.col("t"))).alias("top"),
-                      F.max("n").cast("long").alias("freq"))
+    rows = df.where(t.isNotNull()).select(t.alias("t"), F.unhex(F.sha2(t, 256)).alias("h"))
+    counts = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").cast("long").alias("count"), F.count(F.lit(1)).cast("long").alias("unique"),
+                       F.max("n").cast("long").alias("freq"))
+    top = counts.join(total.select(F.col("freq").alias("n")), "n", "left_semi").select("h")
+    least = rows.join(top, "h", "left_semi").agg(F.min("t").alias("top"))
+    # two one-row tables
+    return (total.withColumn("__k", F.lit(1)).join(least.withColumn("__k", F.lit(1)), "__k")
+                 .select("count", "unique", "top", "freq"))
 
 
 def value_counts(df: DataFrame, col: str, name: str = "n") -> DataFrame:

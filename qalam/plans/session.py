@@ -50,6 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             return current
         conf = conf or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local[") and master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = _LOCAL_DIRS.get(id(spark)) or tempfile.mkdtemp(
             prefix="qalam-ckpt-", dir=os.environ.get("QALAM_SCRATCH", "/tmp"))
         _LOCAL_DIRS[id(spark)] = conf
@@ -76,16 +79,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when ``df`` has fewer partitions than the
-    cluster has task slots.
+    """Round-robin repartition of a *table read* that has fewer files or splits
+    than the cluster has task slots.
 
     A small table stored as one row group scans as a single task, which leaves
-    a CPU-heavy regex chain on one core.  At scale the scan already yields
-    thousands of splits and this is a no-op (no extra shuffle).
+    a CPU-heavy regex chain on one core.  Only scans are looked at (their file
+    splits are known without running anything); at scale they have thousands of
+    splits and this is a no-op.
     """
     if df.isStreaming:
         return df
     try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if "Exchange" in plan or "Join" in plan or "Aggregate" in plan:
+            return df
         want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001  (Spark Connect: leave placement to the server)

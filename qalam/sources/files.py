@@ -6,6 +6,7 @@ language tag or a line number become columns.
 
 from __future__ import annotations
 
+import csv
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,47 +32,85 @@ def pick_text_column(df: DataFrame, candidates) -> str:
     raise ValueError(f"None of {list(candidates)} found. Columns present: {df.columns}")
 
 
+def files_by_header(spark: SparkSession, paths) -> dict[str, list[str]]:
+    """Header line → its files.  The headers come from one distributed read of the
+    files as text; what reaches the driver is one path per file."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"),
+                                          F.col("_metadata.file_block_start").alias("at"), "value")
+    first = (lines.filter("at = 0").withColumn("i", F.monotonically_increasing_id())
+                  .groupBy("path").agg(F.min_by("value", "i").alias("header")))
+    out: dict[str, list[str]] = {}
+    for r in first.orderBy("path").collect():
+        out.setdefault(r["header"].rstrip("\r").lstrip("\ufeff"), []).append(r["path"])
+    return out
+
+
+def _delimited(spark: SparkSession, files: list[str], header: str, sep: str) -> DataFrame:
+    """Files that share a header: one read, every column a string, quotes doubled."""
+    names = next(csv.reader([header], delimiter=sep))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return (spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", True)
+                 .option("escape", '"').option("enforceSchema", True).csv(files))
+
+
 def read_glob_csv(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:
-    """Many CSV families, union by column name, missing columns null.
+    """Many CSV files, union by column name, missing columns null.
 
-    ``paths`` is a list of globs, one per family (files of a family share a
-    header).  Each family is one distributed read; families are unioned by
-    name.  Quoted fields may span lines (``multiLine``).
+    ``paths`` is a glob or a list of globs.  Files are grouped by their header
+    line, whatever the order of its columns; each group is one distributed
+    read; groups are unioned by name.  Quoted fields may span lines.
+    ``schema`` casts (and selects) the columns it names.
     """
     out = None
-    for p in ([paths] if isinstance(paths, str) else paths):
-        r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        df = (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(p)
+    for header, files in files_by_header(spark, paths).items():
+        df = _delimited(spark, files, header, ",")
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no file below {paths}")
+    if schema is not None:
+        out = out.select(*[(F.col(f"`{f.name}`") if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                           for f in schema.fields])
     return out
 
 
 def read_parallel_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Every TSV of a parallel corpus as one long table.
 
-    ``(sent_id, split, lang, sent)``; index-only files (no ``sent``) drop out.
+    ``(sent_id, split, lang, sent)``; index-only files (a header without
+    ``sent``) drop out before they are read.  Fields may be quoted.
     """
-    df = (spark.read.option("header", True).option("sep", "\t").option("quote", "")
-          .csv(path))
-    if "sent" not in df.columns:
-        df = df.withColumn("sent", F.lit(None).cast("string"))
-    return (df.select(F.col("`sentID.BTEC`").cast("long").alias("sent_id"), "split", "lang", "sent")
-              .filter(F.col("sent").isNotNull()))
+    out = None
+    for header, files in files_by_header(spark, path).items():
+        if "sent" in next(csv.reader([header], delimiter="\t")):
+            df = _delimited(spark, files, header, "\t").select("`sentID.BTEC`", "split", "lang", "sent")
+            out = df if out is None else out.unionByName(df)
+    if out is None:
+        return spark.createDataFrame([], "sent_id long, split string, lang string, sent string")
+    return (out.select(F.col("`sentID.BTEC`").cast("long").alias("sent_id"), "split", "lang", "sent")
+               .filter(F.col("sent").isNotNull()))
 
 
 def read_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """S3: one document per blank-line-separated block; inner line breaks
-    become spaces; stripped; blank documents dropped."""
-    df = spark.read.option("lineSep", "\n\n").text(path)
+    become spaces; stripped; blank documents dropped.  Lines end by line feed,
+    carriage return or both: the reader splits at two line feeds, and what is
+    left of files with other line ends is split here."""
+    df = spark.read.text(path, lineSep="\n\n")
+    unix = F.replace(F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    blocks = df.select(F.explode(F.split(unix, "\n\n")).alias("value"))
     text = py_strip(F.regexp_replace(F.col("value"), "\\n", " "))
-    return df.select(text.alias("text")).filter(F.col("text") != "")
+    return blocks.select(text.alias("text")).filter(F.col("text") != "")
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """Every file below ``path`` (recursive) as ``(path, file_name, content)``;
     undecodable bytes are dropped like ``errors='ignore'``."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
-    content = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "\\x{FFFD}", "")
+    raw = F.col("content").cast("string")
+    # the replacement characters of valid input stay; in invalid input they are marked first
+    marked = F.replace(F.col("content").cast("string"), F.lit("\ufffd"), F.lit("\ufdd0"))
+    mended = F.regexp_replace(F.make_valid_utf8(marked), "\\x{FFFD}", "")
+    content = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(mended, F.lit("\ufdd0"), F.lit("\ufffd")))
     name = F.element_at(F.split("path", "/"), -1)
     return df.select(F.col("path"), name.alias("file_name"), content.alias("content"))
 
@@ -116,10 +155,6 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str | None
         w = w.partitionBy(*partition_by)
     if fmt == "parquet":
         w.parquet(path)
-    elif sep == "\t":
-        # plain TSV: no quoting (fields must not hold tabs or line breaks)
-        (w.option("header", True).option("sep", "\t").option("quote", "")
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     else:
         # RFC 4180: quotes doubled, values written as they are (no trimming)
         (w.option("header", True).option("sep", sep or ",").option("escape", '"')
@@ -132,12 +167,15 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text_col:
     """A tabular corpus with one text column, bounded or streamed.
 
     ``limit`` keeps the first N rows by ``order_col`` (top-k, no full sort);
-    without ``order_col`` it is Spark's unordered limit.
+    without ``order_col`` it is Spark's unordered limit.  A stream has no first
+    rows to wait for: ``limit`` with ``streaming`` is refused.
     """
+    if limit is not None and streaming:
+        raise ValueError("limit needs a bounded read")
     reader = spark.readStream if streaming else spark.read
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.format(fmt).load(path)
-    if limit is not None and not streaming:
+    if limit is not None:
         df = (df.orderBy(order_col) if order_col else df).limit(limit)
     return df
