@@ -29,8 +29,7 @@ from qalam.llm.common import documents, materialize, ship_package
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    model, _ = quality.fit(docs)
-    return quality.keep_good(docs, model)
+    return quality.keep_good(docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

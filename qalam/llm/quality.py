@@ -30,7 +30,7 @@ _SCALE = 1_000_000
 
 def shape(text: Column) -> Column:
     s = F.regexp_replace(text, r"\p{Nd}+", "0")
-    s = F.regexp_replace(s, r"(?<![^ \n])([^ \n]+)(?= \1(?![^ \n]))", "4")
+    s = F.regexp_replace(s, r"(?<![^ \n])([^ \n]++)(?= \1(?![^ \n]))", "4")
     s = F.regexp_replace(s, r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", "1")
     s = F.regexp_replace(s, r"\p{Lu}{2,}", "3")
     return F.regexp_replace(s, r"\p{Lu}", "2")
@@ -97,18 +97,19 @@ def _featured(rows: DataFrame) -> DataFrame:
     return Normalizer(p=2.0, inputCol="tf", outputCol="features").transform(hashed).drop("tokens", "tf")
 
 
-def _shaped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), shape(F.coalesce(F.col(text_col), F.lit(""))).alias("shape"))
-    return rows.withColumn("words", F.regexp_count("shape", F.lit(r"[^ \n]+")))
+def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+    """``doc_id, shape, words`` of every row, written once and read by all steps (with
+    ``whole`` also ``doc``, the row itself)."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), *row, shape(F.coalesce(F.col(text_col), F.lit(""))).alias("shape"))
+    return materialize(rows).withColumn("words", F.regexp_count("shape", F.lit(r"[^ \n]+")))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
-        seed: int = 41) -> tuple[LogisticRegressionModel | None, dict]:
-    """The scorer and the report ``{good, accuracy, labellers, patterns}``.
+def fit(shaped: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 41) -> tuple[LogisticRegressionModel | None, dict]:
+    """From ``prepare``'s rows the scorer and the report ``{good, accuracy, labellers, patterns}``.
 
     Without two classes among the sampled posteriors (an empty table, say) there
     is no scorer: ``None``."""
-    shaped = _shaped(docs, id_col, text_col)
     votes = labellers(F.col("shape"), F.col("words"))
     names = list(votes)
     drawn = shaped.withColumn("key", seeded_key(seed, F.col("doc_id"))).select(
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     report = {"good": good, "accuracy": accuracy, "labellers": names,
               "patterns": sorted(zip(patterns.tolist(), counts.tolist(), post.tolist()), key=lambda x: -x[1])}
 
-    spark = docs.sparkSession
+    spark = shaped.sparkSession
     labels = spark.createDataFrame([(*map(int, p), float(g)) for p, g in zip(patterns, post)],
                                    ", ".join(f"{n} tinyint" for n in names) + ", good double")
     share = min(1.0, sample_rows / max(1.0, counts.sum()))
@@ -140,29 +141,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
                               regParam=1e-4).fit(train), report
 
 
-def score(docs: DataFrame, model: LogisticRegressionModel | None, id_col: str = "doc_id",
-          text_col: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """One row per input row: ``doc_id, words, score`` (probability of good) and ``kept``.
+def score(shaped: DataFrame, model: LogisticRegressionModel | None, keep_from: float = KEEP_FROM) -> DataFrame:
+    """One row per row of ``prepare``: ``doc_id, words, score`` (probability of good) and ``kept``.
 
     Null, empty and blank texts score 0 and are rejected.  Without a scorer all
     other documents score 1.  Null ids, repeated rows and empty tables pass
     through; other columns are ignored."""
-    rows = _shaped(docs, id_col, text_col)
     if model is None:
-        scored = rows.withColumn("p", F.lit(1.0))
+        scored = shaped.withColumn("p", F.lit(1.0))
     else:
-        scored = model.transform(_featured(rows)).withColumn("p", vector_to_array("probability")[1])
+        scored = model.transform(_featured(shaped)).withColumn("p", vector_to_array("probability")[1])
     value = F.when(F.col("words") == 0, 0.0).otherwise(F.col("p"))
     return scored.select("doc_id", F.col("words").cast("long").alias("words"), value.alias("score"),
                          (value >= keep_from).alias("kept"))
 
 
-def keep_good(docs: DataFrame, model: LogisticRegressionModel | None, text_col: str = "text",
-              keep_from: float = KEEP_FROM) -> DataFrame:
-    """A filtering stage: the rows of ``docs`` that ``score`` keeps, columns as they were."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"),
-                        shape(F.coalesce(F.col(text_col), F.lit(""))).alias("shape"))
-    rows = whole.withColumn("words", F.regexp_count("shape", F.lit(r"[^ \n]+"))).filter("words > 0")
+def keep_good(docs: DataFrame, model: LogisticRegressionModel | None = None, keep_from: float = KEEP_FROM,
+              **options) -> DataFrame:
+    """A filtering stage: the rows of ``docs`` that ``score`` keeps, columns as they were.
+    Without ``model`` the scorer is fitted on ``docs`` itself."""
+    shaped = prepare(docs, whole=True, **options)
+    if model is None:
+        model, _ = fit(shaped.drop("doc"))
+    rows = shaped.filter("words > 0")
     if model is not None:
         rows = model.transform(_featured(rows)).filter(vector_to_array("probability")[1] >= keep_from)
-    return rows.select("__doc.*")
+    return rows.select("doc.*")

@@ -114,6 +114,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quality")
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score and decision for every document, from weak labels."""
-    docs = documents(spark, sf_dir)
-    model, _ = quality.fit(docs)
-    return quality.score(docs, model)
+    shaped = quality.prepare(documents(spark, sf_dir))
+    model, _ = quality.fit(shaped)
+    return quality.score(shaped, model)

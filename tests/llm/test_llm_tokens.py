@@ -143,14 +143,16 @@ def test_quality_on_the_labels(spark):
 
 
 def test_quality_edge(spark):
-    model, report = quality.fit(documents(spark))
-    got = quality.score(edge(spark), model).collect()
+    model, report = quality.fit(quality.prepare(documents(spark)))
+    rows = quality.prepare(edge(spark))
+    got = quality.score(rows, model).collect()
     assert len(got) == 13 and all((r.score, r.kept) == (0.0, False) for r in got if r.words == 0)
     assert all(r.kept for r in got if r.doc_id in (1, 2, 9))
     kept = quality.keep_good(edge(spark), model)
     assert kept.columns == edge(spark).columns and kept.count() == sum(r.kept for r in got)
-    assert quality.fit(empty(spark))[0] is None and quality.score(empty(spark), model).count() == 0
-    assert quality.score(edge(spark), None).filter("kept").count() == sum(r.words > 0 for r in got)
+    none = quality.prepare(empty(spark))
+    assert quality.fit(none)[0] is None and quality.score(none, model).count() == 0
+    assert quality.score(rows, None).filter("kept").count() == sum(r.words > 0 for r in got)
 
 
 def test_pipeline_stage_by_stage(spark):
