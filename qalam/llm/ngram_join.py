@@ -17,8 +17,8 @@ block are those of the set before it, less the lists of the tokens that went,
 plus the lists of those that came.
 
 Blocks return link counts and spanning edges, never pairs; components come from
-star rounds.  Lists of tokens outside the sketch's heavy counters are bounded
-by the sketch; the others are joined by Spark with skew handling.
+star rounds.  Lists of heavy tokens and lists of more than ``LONG`` rows are joined
+by Spark with skew handling, the others in one pass over the sorted postings.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ from qalam.llm.components import components
 BLOCK_SETS = 256           # sets of a block, about
 SHARED = 0.05              # share of a set by which its prefix is longer, so that a pair shares as many prefix tokens
 LEAST = 3                  # and this many at least
-PART_SETS = 4096           # sets that travel to one copy of a block, about
+PART_SETS = 1024           # sets that travel to one copy of a block, about
+BITS = 18                  # the sketch has 2 ** BITS counters at every size of the input
+LONG = 8192                # rows of a list that one task holds
 HEAVY = 3                  # counters above this many times the mean are heavy
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 500_000
@@ -130,11 +132,12 @@ def _prefixes(k: int, num: int, den: int, bits: int, heavy, batches: Iterator[pa
 
 
 def _listed(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Block pairs of the light lists with the number of lists they share and the number
-    they need; rows ``token, block, n, pos`` come sorted by token.  Lists are short
-    (bounded by the sketch), so a list is held at once."""
+    """Rows ``token, block, n, pos`` come sorted by token.  Lists of up to ``LONG`` rows give
+    block pairs ``a, b`` with the number of lists they share and the number they need;
+    the rows of longer lists pass through as ``token, a`` (block), ``lists`` (n), ``need`` (pos)."""
     held: list[np.ndarray] = []
     found: dict[tuple[int, int], tuple[int, int]] = {}
+    long_token = None
 
     def skip(run: np.ndarray) -> None:
         """``run``: the rows of one token."""
@@ -161,34 +164,47 @@ def _listed(num: int, den: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
                 had = found.get(key)
                 found[key] = (1, need) if had is None else (had[0] + 1, min(had[1], need))
 
+    def batch_of(token, a, b, lists, need) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (token, a, b, lists, need)],
+                                          names=["token", "a", "b", "lists", "need"])
+
+    def passed(rows: np.ndarray) -> pa.RecordBatch:
+        return batch_of(rows[:, 0], rows[:, 1], [None] * len(rows), rows[:, 2], rows[:, 3])
+
     def flush() -> Iterator[pa.RecordBatch]:
         if found:
             a, b = zip(*found)
             n, need = zip(*found.values())
             found.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n, need)],
-                                             names=["a", "b", "lists", "need"])
-
-    def runs(rows: np.ndarray) -> None:
-        cut = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
-        start = np.concatenate(([0], cut))
-        size = np.diff(np.concatenate((start, [len(rows)])))
-        for s, z in zip(start[size > 1], size[size > 1]):
-            skip(rows[s:s + z])
+            yield batch_of([None] * len(a), a, b, n, need)
 
     for batch in batches:
         rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns], axis=1)
+        if long_token is not None and len(rows):
+            more = int(np.searchsorted(rows[:, 0], long_token, side="right"))
+            if more:
+                yield passed(rows[:more])
+            rows = rows[more:]
+            if len(rows):
+                long_token = None
         if not len(rows):
             continue
         rows = np.concatenate([*held, rows])
-        tail = int(np.searchsorted(rows[:, 0], rows[-1, 0]))   # the last token's list may go on
-        if tail:
-            runs(rows[:tail])
+        cut = np.concatenate(([0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]))
+        tail = int(cut[-2])                                    # the last token's list may go on
+        for s, e in zip(cut[:-2], cut[1:-1]):
+            if e - s > LONG:
+                yield passed(rows[s:e])
+            elif e - s > 1:
+                skip(rows[s:e])
         held = [rows[tail:]]
+        if len(held[0]) > LONG:
+            yield passed(held[0])
+            long_token, held = held[0][0, 0], []
         if len(found) > 200_000:
             yield from flush()
-    if held:
-        runs(held[0])
+    if held and len(held[0]) > 1:
+        skip(held[0])
     yield from flush()
 
 
@@ -340,8 +356,7 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = given.schema["doc_id"].dataType.simpleString()
-    rows = docs.count()
-    bits = min(24, max(16, int(rows).bit_length()))
+    bits = BITS
     sketch = materialize(given.select("text").mapInArrow(functools.partial(_count, k, bits), "c int, n long")
                          .groupBy("c").agg(F.sum("n").alias("n")))           # <= 2 ** bits rows
     total = sketch.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -367,15 +382,17 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
             .select("block", "n", F.posexplode(F.arrays_zip("tokens", "heavy")).alias("pos", "t"))
             .select(F.col("t.tokens").alias("token"), "block", F.col("n").cast("long").alias("n"),
                     F.col("pos").cast("long").alias("pos"), F.col("t.heavy").alias("heavy")))
-    light = (post.filter("not heavy").select("token", "block", "n", "pos").repartition("token")
-             .sortWithinPartitions("token")
-             .mapInArrow(functools.partial(_listed, num, den), "a long, b long, lists long, need long"))
-    hot = materialize(post.filter("heavy").groupBy("token", "block").agg(
+    light = materialize(post.filter("not heavy").select("token", "block", "n", "pos").repartition("token")
+                        .sortWithinPartitions("token").mapInArrow(
+                            functools.partial(_listed, num, den), "token long, a long, b long, lists long, need long"))
+    crowded = post.filter("heavy").select("token", "block", "n", "pos").unionByName(light.filter("b is null").select(
+        "token", F.col("a").alias("block"), F.col("lists").alias("n"), F.col("need").alias("pos")))
+    hot = materialize(crowded.groupBy("token", "block").agg(
         F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("pos").alias("pos"), F.max(F.col("n") - F.col("pos") - 1).alias("rest")))
     can, need = _can_columns(num, den)
     pairs = hot.alias("x").join(hot.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.block") < F.col("y.block")) & can) \
         .select(F.col("x.block").alias("a"), F.col("y.block").alias("b"), F.lit(1).cast("long").alias("lists"), need.alias("need"))
-    cells = (light.unionByName(pairs).groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.min("need").alias("need"))
+    cells = (light.filter("b is not null").drop("token").unionByName(pairs).groupBy("a", "b").agg(F.sum("lists").alias("lists"), F.min("need").alias("need"))
              .filter("lists >= need").select("a", "b"))
 
     # the sets of the smaller block travel to the larger one's home; a home with many guests has parts

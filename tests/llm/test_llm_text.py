@@ -233,6 +233,26 @@ def test_join_on_near_copies_of_every_kind(spark, monkeypatch):
         assert got == want
 
 
+def test_long_lists_pass_through():
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    rows = sorted((int(t), int(b), 10, int(p)) for t, b, p in zip(rng.integers(0, 6, 300) ** 2, rng.integers(0, 40, 300), rng.integers(0, 2, 300)))
+    whole = {}
+    for size in (7, 50, 300):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i:i + size])], names=["token", "block", "n", "pos"])
+                   for i in range(0, 300, size)]
+        old, ngram_join.LONG = ngram_join.LONG, 52
+        try:
+            out = [r for b in ngram_join._listed(85, 100, iter(batches)) for r in b.to_pylist()]
+        finally:
+            ngram_join.LONG = old
+        long_rows = sorted((r["token"], r["a"], r["lists"], r["need"]) for r in out if r["b"] is None)
+        per = collections.Counter(t for t, *_ in rows)
+        assert long_rows == [r for r in rows if per[r[0]] > 52] and long_rows
+        pairs = {(r["a"], r["b"]): r["lists"] for r in out if r["b"] is not None}
+        assert pairs == whole.setdefault("pairs", pairs) and pairs
+
+
 def test_join_edge(spark):
     got = collections.defaultdict(list)
     for r in ngram_join.link_documents(edge(spark), 4, 85, 100).collect():
