@@ -10,8 +10,11 @@ def widen(long: DataFrame, langs, key: str = "sent_id", lang_col: str = "lang",
           text_col: str = "sent") -> DataFrame:
     """One text column per language — the N-way outer merge on sentence id
     as one shuffle (``groupBy(key).pivot``) instead of N-1 chained joins.
-    Equal to the merge while ``(key, lang)`` is unique (see :func:`duplicate_keys`)."""
-    return long.groupBy(key).pivot(lang_col, list(langs)).agg(F.first(text_col))
+    A key with two rows of one language is an error, as a merge would multiply it."""
+    one = long.groupBy(key, lang_col).agg(F.max(text_col).alias("__t"), F.count(F.lit(1)).alias("__n"))
+    text = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("two sentences for key "), F.col(key).cast("string"))))
+    one = one.withColumn("__t", F.coalesce(text.cast("string"), F.col("__t")))
+    return one.groupBy(key).pivot(lang_col, list(langs)).agg(F.first("__t"))
 
 
 def duplicate_keys(long: DataFrame, key: str = "sent_id", lang_col: str = "lang") -> DataFrame:
@@ -36,6 +39,12 @@ def first_n_per_group(df: DataFrame, n: int, group_col: str, order_col: str) ->
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
 
 
+def first_pairs(wide: DataFrame, src: str, tgt: str, n: int, key: str = "sent_id") -> DataFrame:
+    """L1, pair form: the first ``n`` rows by key with both texts (a top-k, no full sort)."""
+    both = wide.filter(F.col(src).isNotNull() & F.col(tgt).isNotNull())
+    return both.orderBy(key).limit(n).select(key, F.col(src).alias("src"), F.col(tgt).alias("tgt"))
+
+
 def row_argmax(cols) -> F.Column:
     """Name of the column with the largest value; first maximum wins,
     nulls skipped; null when all are null."""

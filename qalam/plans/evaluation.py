@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from qalam.operators.dialect import (CITIES, CITY_TO_REGION, accuracy_by, best_by, class_weights, f1_table,
                                      label_codes, linear_probe, majority_baseline, per_class_scores,
                                      region_table, stratified_split, with_region)
-from qalam.operators.parallel import drop_all_null, first_n_per_group, row_argmax, unpivot_texts, widen
+from qalam.operators.parallel import drop_all_null, first_n_per_group, first_pairs, row_argmax, unpivot_texts, widen
 from qalam.operators.vectors import masked_mean_pool, retrieval_metrics, retrieval_ranks
 from qalam.plans.packing import STREAM_SQL, _encoded
 from qalam.plans.registry import query
@@ -38,10 +38,17 @@ def parallel_examples(spark, sf_dir):
 
 
 @query("parallel_first_n", PL + """SELECT sent_id, lang, sent AS text FROM (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sent_id) AS rn FROM pl WHERE sent IS NOT NULL) WHERE rn <= 1000""")
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sent_id) AS rn FROM pl WHERE sent IS NOT NULL) WHERE rn <= 100""")
 def parallel_first_n(spark, sf_dir):
-    """L1: first 1000 non-null sentences per dialect."""
-    return first_n_per_group(unpivot_texts(_wide(spark, sf_dir), LANGS), 1000, "lang", "sent_id")
+    """L1: first 100 non-null sentences per dialect (the limit is the feature)."""
+    return first_n_per_group(unpivot_texts(_wide(spark, sf_dir), LANGS), 100, "lang", "sent_id")
+
+
+@query("parallel_first_pairs", WIDE + """SELECT sent_id, MSA AS src, CAI AS tgt FROM wide
+WHERE MSA IS NOT NULL AND CAI IS NOT NULL ORDER BY sent_id LIMIT 100""")
+def parallel_first_pairs(spark, sf_dir):
+    """L1, pair form: first 100 rows with a sentence in both columns (the limit is the feature)."""
+    return first_pairs(_wide(spark, sf_dir), "MSA", "CAI", 100)
 
 
 @query("parallel_nonempty", WIDE + "SELECT * FROM wide WHERE " + " OR ".join(f"{l} IS NOT NULL" for l in LANGS))
@@ -157,14 +164,11 @@ def best_checkpoint(spark, sf_dir):
     return best_by(accuracy_by(_preds(spark, sf_dir), "checkpoint", "target", "pred"), "accuracy", "checkpoint")
 
 
-ARGMAX_COLS = ["c0", "c1", "c2", "c3", "c4"]
+ARGMAX_COLS = [f"c{i}" for i in range(64)]      # every dimension of the embeddings
 
 
-@query("row_argmax", """SELECT vec_id, CASE
-  WHEN embedding[1] >= greatest(embedding[2], embedding[3], embedding[4], embedding[5]) THEN 'c0'
-  WHEN embedding[2] >= greatest(embedding[3], embedding[4], embedding[5]) THEN 'c1'
-  WHEN embedding[3] >= greatest(embedding[4], embedding[5]) THEN 'c2'
-  WHEN embedding[4] >= embedding[5] THEN 'c3' ELSE 'c4' END AS label FROM embeddings""")
+@query("row_argmax", """SELECT vec_id, concat('c', CAST(list_position(embedding, list_max(embedding)) - 1 AS VARCHAR)) AS label
+FROM embeddings""")
 def row_argmax_q(spark, sf_dir):
     """Row-wise argmax over named score columns (first maximum wins)."""
     e = read_table(spark, sf_dir, "embeddings")
@@ -173,7 +177,7 @@ def row_argmax_q(spark, sf_dir):
 
 
 @query("doc_vectors", STREAM_SQL + """,
-tv AS (SELECT s.doc_id, e.embedding FROM stream s JOIN embeddings e ON e.vec_id = s.id % 500),
+tv AS (SELECT s.doc_id, e.embedding FROM stream s JOIN embeddings e ON e.vec_id = s.id % (SELECT count(*) FROM embeddings)),
 dims AS (SELECT doc_id, unnest(generate_series(1, 64)) AS k, unnest(embedding) AS x FROM tv),
 mean AS (SELECT doc_id, k, sum(x::DOUBLE) / greatest(count(*), 1) AS m FROM dims GROUP BY doc_id, k),
 nrm AS (SELECT doc_id, greatest(sqrt(sum(m * m)), 1e-12) AS nr FROM mean GROUP BY doc_id),
@@ -182,12 +186,12 @@ SELECT doc_id, CAST(any_value(ntok.n) AS BIGINT) AS n_tokens,
   round(sum(m / nr), 9) AS v_sum, round(sum(m / nr * k), 9) AS v_wsum, round(max(CASE WHEN k = 1 THEN m / nr END), 9) AS v_first
 FROM mean JOIN nrm USING (doc_id) JOIN ntok USING (doc_id) GROUP BY doc_id""")
 def doc_vectors(spark, sf_dir):
-    """M8 + A18 + J5: token vectors (row id % 500 of embeddings) of every id of
+    """M8 + A18 + J5: token vectors (id modulo the rows of embeddings) of every id of
     each whole document, masked mean-pooled and L2-normalised."""
     enc = _encoded(spark, sf_dir).select("doc_id", "ids")
     toks = enc.select("doc_id", F.explode("ids").alias("tok"))
     vecs = read_table(spark, sf_dir, "embeddings")
-    toks = toks.select("doc_id", (F.col("tok") % 500).alias("tok"))
+    toks = toks.select("doc_id", (F.col("tok") % F.lit(vecs.count())).alias("tok"))
     pooled = masked_mean_pool(toks, vecs, "doc_id", "tok", "vec_id", "embedding", pad=-1)
     v = F.col("vector")
     # sums whose order differs between engines are reported to 9 decimals

@@ -17,20 +17,32 @@ LATIN = "abcdefghijklmnopqrstuvwxyz"
 ARABIC = "ابتثجحخدذرزسشصضطظعغفقكلمنه"
 AR = f"translate(lower(text),'{LATIN}','{ARABIC}')"
 
+# Whole texts with what the cleaning steps look for, and for every document one
+# short row (placeholder, blank, emoji, numbers, spaced letters) beside it.
 POSTS = f"""
 SELECT doc_id AS id, source, CASE doc_id % 12
   WHEN 0 THEN text
-  WHEN 1 THEN '[deleted]'
-  WHEN 2 THEN CASE WHEN doc_id % 24 = 2 THEN NULL ELSE '   ' END
-  WHEN 3 THEN concat('سلام ', left({AR}, 12))
+  WHEN 1 THEN concat({AR}, ' ', 'ۗ۠۩', ' ', {AR})
+  WHEN 2 THEN concat('/u/someone r/place ', {AR}, ' u/other_1')
+  WHEN 3 THEN concat('.. ', {AR}, ' -- سلام ، ... عليكم')
   WHEN 4 THEN concat({AR}, ' https://ex.org/a?b=1 @user #tag ok')
   WHEN 5 THEN concat('<b> ', {AR}, ' </b> &amp; 😀😀 12:30 !!!')
-  WHEN 6 THEN '😀 😀 ❤'
+  WHEN 6 THEN concat('‏', {AR}, '‎ ‫سلام‬')
   WHEN 7 THEN concat('إلى مدرسةٌ كِتابـــ ', {AR})
-  WHEN 8 THEN concat(left(text, 200), ' ', left({AR}, 80))
-  WHEN 9 THEN '123 456 - 789'
+  WHEN 8 THEN concat(text, ' ', {AR})
+  WHEN 9 THEN concat({AR}, chr(10), '-----', chr(10), '... س ل ا م ع ل ي ك م ...')
   ELSE {AR} END AS text
 FROM {{documents}}
+UNION ALL
+SELECT -1 - doc_id AS id, source, CASE doc_id % 7
+  WHEN 0 THEN '[deleted]'
+  WHEN 1 THEN NULL
+  WHEN 2 THEN '   '
+  WHEN 3 THEN 'سلام عليكم'
+  WHEN 4 THEN '😀 😀 ❤'
+  WHEN 5 THEN '123 456 - 789'
+  ELSE 'س ل ا م كتاب ع ل ي ك باب و ر ح م ماء ا ل ل ه دار ب ر ك ا نور س ل ا م كتاب ع ل ي ك باب' END AS text
+FROM {{documents}}
 """
 
 TRANSCRIPTS = """
@@ -45,7 +57,7 @@ FROM {documents}
 PARALLEL_LONG = f"""
 SELECT CAST(floor(doc_id / 4) AS BIGINT) AS sent_id,
   CASE doc_id % 4 WHEN 0 THEN 'MSA' WHEN 1 THEN 'ALX' WHEN 2 THEN 'CAI' ELSE 'BEI' END AS lang,
-  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE translate(lower(left(text, 80)),'{LATIN}','{ARABIC}') END AS sent
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE {AR} END AS sent
 FROM {{documents}}
 """
 

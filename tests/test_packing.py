@@ -35,40 +35,44 @@ def test_pieces_rebuild_stream_and_shards_full(spark):
         assert all(p["split"] == ("val" if p["shard_index"] == 0 else "train") for p in pieces)
 
 
-def _loader(tokens, B, T, P, r):
-    """The loader rule, simulated: start r*BT, step P*BT, move on when the next
-    position plus P*BT+1 passes the end."""
-    out, pos = [], B * T * r
-    while True:
-        buf = tokens[pos: pos + B * T + 1]
-        out.append((buf[:-1], buf[1:]))
-        pos += B * T * P
-        if pos + (B * T * P + 1) > len(tokens):
-            return out
+def test_blocks_of_one_shard_worked_by_hand(spark):
+    """One training shard of the ids 0..29, B x T = 2 x 3, two ranks.  A block of 6 ids needs a
+    seventh as its last target.  Blocks start at 0, 6, 12, 18; rank 0 takes 0 and 12, rank 1 takes 6
+    and, as 6 + 2 * 12 + 1 is past the end, no other."""
+    df = spark.createDataFrame([("s", "train", 1, 0, list(range(13))), ("s", "train", 1, 13, list(range(13, 30)))],
+                               "source string, split string, shard_index long, pos long, piece array<int>")
+    got = {(b["rank"], b["step"], b["row"]): (list(b["x"]), list(b["y"])) for b in training_blocks(df, 2, 3, 2, "train").collect()}
+    assert got == {
+        (0, 0, 0): ([0, 1, 2], [1, 2, 3]), (0, 0, 1): ([3, 4, 5], [4, 5, 6]),
+        (0, 1, 0): ([12, 13, 14], [13, 14, 15]), (0, 1, 1): ([15, 16, 17], [16, 17, 18]),
+        (1, 0, 0): ([6, 7, 8], [7, 8, 9]), (1, 0, 1): ([9, 10, 11], [10, 11, 12])}
 
 
-def test_blocks_follow_loader(spark):
+def test_blocks_start_where_the_formula_says(spark):
+    """Over random shards: block k of rank r starts at (r + k * P) * B * T, and a rank's steps go on
+    from shard to shard."""
     rows, df = _docs(spark, 80, 3)
     S, B, T, P = 50, 2, 4, 2
     pieces = cut_shards(doc_offsets(df), "ids", S)
-    blk = training_blocks(pieces, B, T, P, "train").collect()
-    shards = {}
+    ids = {}
     for p in pieces.collect():
-        name = f"{p['source']}_{p['split']}_{p['shard_index']:06d}"
-        shards.setdefault(name, []).append((p["pos"], p["piece"]))
-    names = sorted(n for n in shards if "train" in n)
+        ids.setdefault(f"{p['source']}_{p['split']}_{p['shard_index']:06d}", {})[p["pos"]] = p["piece"]
+    ids = {n: [t for _, part in sorted(parts.items()) for t in part] for n, parts in ids.items() if "train" in n}
+    steps = {}
+    for b in training_blocks(pieces, B, T, P, "train").collect():
+        steps.setdefault((b["rank"], b["step"]), []).append(b)
     for r in range(P):
-        expect, step = [], 0
-        for n in names:
-            toks = [t for _, pc in sorted(shards[n]) for t in pc]
-            if len(toks) < r * B * T + B * T + 1:
-                continue
-            for k, (x, y) in enumerate(_loader(toks, B, T, P, r)):
-                for row in range(B):
-                    expect.append((n, step + k, row, x[row * T:(row + 1) * T], y[row * T:(row + 1) * T]))
-            step += len(_loader(toks, B, T, P, r))
-        got = sorted((b["name"], b["step"], b["row"], list(b["x"]), list(b["y"])) for b in blk if b["rank"] == r)
-        assert got == sorted(expect)
+        step = 0
+        for name in sorted(ids):
+            size = len(ids[name])
+            count = max(1, (size - 1 - r * B * T) // (P * B * T)) if size > (r + 1) * B * T else 0
+            for start in ((r + k * P) * B * T for k in range(count)):
+                block = sorted(steps.pop((r, step)), key=lambda b: b["row"])
+                assert [b["name"] for b in block] == [name] * B
+                assert sum((list(b["x"]) for b in block), []) == ids[name][start:start + B * T]
+                assert sum((list(b["y"]) for b in block), []) == ids[name][start + 1:start + B * T + 1]
+                step += 1
+    assert not steps
 
 
 def test_pad_truncate(spark):
