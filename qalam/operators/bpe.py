@@ -243,8 +243,8 @@ def decode(ids: DataFrame, vocab: DataFrame, key_cols, ids_col: str = "ids", pre
     v = vocab.select(F.col("id").cast("int").alias("__tid"), "token")
     if skip_special:
         v = v.filter(~F.col("token").isin(SPECIALS))
-    # the vocabulary is bounded by vocab_size: broadcast
-    per = (x.join(F.broadcast(v), "__tid")
+    # Spark broadcasts the vocabulary when its size allows
+    per = (x.join(v, "__tid")
             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__i", "token"))).alias("t")))
     text = F.replace(F.array_join(F.transform("t", lambda s: s["token"]), " "), F.lit(" " + prefix), F.lit(""))
     if cleanup:

@@ -26,8 +26,8 @@ def region_table(spark) -> DataFrame:
 
 
 def with_region(df: DataFrame, city_col: str, out_col: str, regions: DataFrame) -> DataFrame:
-    """Left join city → region, ``UNK`` when unknown (26-row table, broadcast)."""
-    r = F.broadcast(regions.withColumnRenamed("city", "__c").withColumnRenamed("region", out_col))
+    """Left join city → region, ``UNK`` when unknown (Spark broadcasts the table when it is small)."""
+    r = regions.withColumnRenamed("city", "__c").withColumnRenamed("region", out_col)
     return (df.join(r, df[city_col] == r["__c"], "left").drop("__c")
               .withColumn(out_col, F.coalesce(F.col(out_col), F.lit("UNK"))))
 
@@ -58,9 +58,10 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, test_size: flo
                       .drop("__c"))
     w = Window.partitionBy(label_col, "__p").orderBy("__h")
     rank = F.col("__off") + F.row_number().over(w)
-    return (d.join(buckets, [label_col, "__p"])
+    buckets = buckets.withColumnsRenamed({label_col: "__l", "__p": "__bp"})     # a null label is a label too
+    return (d.join(buckets, d[label_col].eqNullSafe(F.col("__l")) & (F.col("__p") == F.col("__bp")))
              .withColumn("is_test", rank <= F.round(F.col("__n") * test_size))
-             .drop("__h", "__p", "__off", "__n"))
+             .drop("__h", "__p", "__off", "__n", "__l", "__bp"))
 
 
 def class_weights(train: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:

@@ -43,7 +43,9 @@ def bigram_losses(encoded: DataFrame, key_cols, group_col: str, ids_col: str = "
     per_doc = bi.groupBy(*keys, group_col, "a", "b").agg(F.count(F.lit(1)).alias("m"))
     big = per_doc.groupBy("a", "b").agg(F.sum("m").alias("cab"))
     uni = big.groupBy("a").agg(F.sum("cab").alias("ca"))      # from the (smaller) bigram table
-    sc = per_doc.join(big, ["a", "b"]).join(uni, "a")
+    # the left token's count joins the small bigram table first: the documents' bigrams are
+    # shuffled once, by (a, b), not by the often hot left token
+    sc = per_doc.join(big.join(uni, "a"), ["a", "b"])
     if vocab_size is None:   # one scalar, computed once on the cluster
         vocab_size = int(encoded.select(F.explode(ids_col).alias("t")).agg(F.countDistinct("t")).first()[0])
     v = F.lit(vocab_size)

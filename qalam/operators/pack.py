@@ -1,10 +1,10 @@
 """Token packing: document offsets, shard pieces, manifests, training blocks.
 
 W1  document start offsets: two-level prefix sum (never one unpartitioned
-    window over documents): documents are bucketed by ``order_col div k``;
-    the bucket totals (a table ``k`` times smaller) get the running sum; each
-    bucket adds its own running sum.  Buckets bound the work per window
-    partition even when one source holds a third of all rows.
+    window over documents): documents are bucketed by sampled key ranges; the
+    bucket totals get the running sum; each bucket adds its own running sum.
+    Buckets bound the work per window partition even when one source holds a
+    third of all rows.
 U4  shard cut: a document covering tokens ``[start, end)`` is cut into one
     piece per shard it touches (``explode(sequence(start div S, (end-1) div S))``
     + ``slice``); a shard is never one row.
@@ -19,68 +19,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qalam.operators.ranges import range_numbered
+
 # Special tokens and their ids, in the reference's order.
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>", "<mask>"]
 PAD, UNK, BOS, EOS, MASK = 0, 1, 2, 3, 4
 TOKENS_PER_STEP = 131072   # fixed value: tokens per optimizer step
 
 
-def ordered_rank(df: DataFrame, n_col: str, key_col: str, prefix_len: int = 3,
-                 first: int = 1) -> DataFrame:
+def ordered_rank(df: DataFrame, n_col: str, key_col: str, first: int = 1, range_rows: int = 4096) -> DataFrame:
     """Dense 1-based rank of ``key_col`` by (``n_col`` desc, ``key_col`` asc) —
-    a global order without a window over all rows.
-
-    Bucket = (n, first ``prefix_len`` characters of the key): prefix order
-    agrees with full-key order, so rank = rows in earlier buckets + row number
-    inside the bucket.  Offsets come in three bounded windows: a running sum
-    over the distinct counts only, a running sum over prefixes within each
-    count (at most alphabet^prefix_len rows), and a row number within each
-    bucket; the joins back are planned by AQE from runtime sizes.
+    a global order without a window over all rows: rank = rows in earlier key
+    ranges + row number inside the range.  Ranges come from sampled keys, so
+    equal counts or a common prefix split like any other rows; the running sum
+    sees one row per range only.
     """
-    pre = F.substring(F.col(key_col), 1, prefix_len)
-    b = df.withColumn("__p", pre)
-    buckets = b.groupBy(n_col, "__p").agg(F.count(F.lit(1)).alias("__c"))
-    per_n = buckets.groupBy(n_col).agg(F.sum("__c").alias("__cn"))
-    wn = Window.orderBy(F.desc(n_col)).rowsBetween(Window.unboundedPreceding, -1)
-    per_n = per_n.select(n_col, F.coalesce(F.sum("__cn").over(wn), F.lit(0)).alias("__offn"))
-    wp = Window.partitionBy(n_col).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offs = (buckets.withColumn("__offp", F.coalesce(F.sum("__c").over(wp), F.lit(0)))
-                   .join(per_n, n_col)
-                   .select(n_col, "__p", (F.col("__offn") + F.col("__offp")).alias("__off")))
-    inner = Window.partitionBy(n_col, "__p").orderBy(F.col(key_col))
-    return (b.join(offs, [n_col, "__p"])
+    order = [F.col(n_col).desc_nulls_last(), F.col(key_col).asc_nulls_first()]
+    b = range_numbered(df, order, range_rows)
+    per = b.groupBy("__r").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__r", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"))
+    inner = Window.partitionBy("__r").orderBy(*order)
+    return (b.join(per, "__r")
              .withColumn("rank", (F.col("__off") + F.row_number().over(inner) - 1 + first).cast("long"))
-             .drop("__p", "__off"))
+             .drop("__r", "__off"))
 
 
 def doc_offsets(docs: DataFrame, n_col: str = "n_tokens", order_col: str = "doc_id",
                 part_col: str = "source", bucket_rows: int = 4096) -> DataFrame:
     """Per-source running start offset of every document in ``order_col``
-    order.  Adds ``start`` and ``end`` (LongType).  ``order_col`` must be
-    unique within a source (ties would make the order undefined).
+    order.  Adds ``start`` and ``end`` (LongType).
 
-    Buckets are ranges of ``order_col`` about ``bucket_rows`` documents wide,
-    with the width taken per source from (min, max, count), so they stay that
-    size however sparse the keys are; being a function of the data, they are
-    the same in every pass.
+    Keys may have any sortable type and spread; a null source is a source of its
+    own.  A key that stands twice in a source is an error: ties would make the
+    order undefined.  Buckets are sampled ranges of (source, key) of about
+    ``bucket_rows`` documents.
     """
-    o = F.col(order_col)
-    stats = (docs.groupBy(part_col)
-                 .agg(F.min(o).alias("__lo"), F.max(o).alias("__hi"), F.count(F.lit(1)).alias("__cnt"))
-                 .withColumn("__w", F.greatest(F.lit(1), F.ceil((F.col("__hi") - F.col("__lo") + 1) * F.lit(bucket_rows)
-                                                               / F.col("__cnt"))).cast("long"))
-                 .select(part_col, "__lo", "__w"))
-    d = (docs.join(stats, part_col)
-             .withColumn("__b", F.floor((o - F.col("__lo")) / F.col("__w")).cast("long"))
-             .drop("__lo", "__w"))
-    totals = d.groupBy(part_col, "__b").agg(F.sum(n_col).cast("long").alias("__tot"))
-    wb = Window.partitionBy(part_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("__boff", F.coalesce(F.sum("__tot").over(wb), F.lit(0)).cast("long")).drop("__tot")
-    wd = Window.partitionBy(part_col, "__b").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    return (d.join(totals, [part_col, "__b"])
-             .withColumn("start", (F.col("__boff") + F.coalesce(F.sum(n_col).over(wd), F.lit(0))).cast("long"))
-             .withColumn("end", (F.col("start") + F.col(n_col)).cast("long"))
-             .drop("__b", "__boff"))
+    d = range_numbered(docs.select(F.col(part_col).alias("__p"), F.col(order_col).alias("__k"), F.col(n_col).alias("__n")),
+                       [F.col("__p").asc_nulls_first(), F.col("__k").asc_nulls_first()], bucket_rows)
+    totals = d.groupBy("__p", "__r").agg(F.sum("__n").cast("long").alias("__tot"))
+    wb = Window.partitionBy("__p").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("__p").alias("__tp"), F.col("__r").alias("__tr"),
+                           F.coalesce(F.sum("__tot").over(wb), F.lit(0)).cast("long").alias("__boff"))
+    wk = Window.partitionBy("__p", "__r").orderBy("__k")
+    inner = F.coalesce(F.sum("__n").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    again = (F.row_number().over(wk) > 1) & F.col("__k").eqNullSafe(F.lag("__k").over(wk))
+    d = d.withColumn("__in", inner).withColumn("__again", again)
+    fail = F.raise_error(F.concat(F.lit("key twice in one source: "), F.coalesce(F.col("__k").cast("string"), F.lit("null"))))
+    starts = (d.join(totals, F.col("__p").eqNullSafe(F.col("__tp")) & (F.col("__r") == F.col("__tr")))
+               .select("__p", "__k", F.when(F.col("__again"), fail.cast("long")).otherwise(F.col("__boff") + F.col("__in"))
+                       .cast("long").alias("start")))
+    return (docs.join(starts, docs[part_col].eqNullSafe(F.col("__p")) & docs[order_col].eqNullSafe(F.col("__k")))
+                .withColumn("end", (F.col("start") + F.col(n_col)).cast("long")).drop("__p", "__k"))
 
 
 def cut_shards(docs: DataFrame, ids_col: str, shard_size: int, part_col: str = "source") -> DataFrame:
@@ -119,8 +109,10 @@ def shard_manifest(pieces: DataFrame, part_col: str = "source", extra=()) -> Dat
 
 
 def write_shards(pieces: DataFrame, path: str, part_col: str = "source") -> None:
-    """S11 sink: Parquet partitioned by source/split/shard, pieces kept as rows."""
+    """S11 sink: Parquet partitioned by source/split/shard, pieces kept as rows in
+    stream order (``pos``) within a shard's file."""
     (pieces.repartition(part_col, "split", "shard_index")
+           .sortWithinPartitions(part_col, "split", "shard_index", "pos")
            .write.mode("overwrite").partitionBy(part_col, "split", "shard_index").parquet(path))
 
 
@@ -187,18 +179,33 @@ def pad_truncate(ids: Column, max_len: int, pad: int = PAD) -> Column:
 
 
 def pack_accounting(encoded: DataFrame, pieces: DataFrame, part_col: str = "source",
-                    ids_col: str = "ids", min_ids: int = 3) -> DataFrame:
-    """Per source, documents kept and dropped (an encoding with only
-    bos/eos counts as dropped), drop rate, tokens, shards."""
-    docs = (encoded.groupBy(part_col)
-                   .agg(F.count_if(F.size(ids_col) >= min_ids).cast("long").alias("docs_kept"),
-                        F.count_if(F.size(ids_col) < min_ids).cast("long").alias("docs_dropped")))
-    sh = (pieces.groupBy(part_col)
-                .agg(F.sum(F.size("piece")).cast("long").alias("tokens"),
-                     F.countDistinct("shard_index").cast("long").alias("shards")))
-    return (docs.join(sh, part_col, "left")
-                .withColumn("drop_rate", F.col("docs_dropped") / F.greatest(F.col("docs_kept") + F.col("docs_dropped"), F.lit(1)))
-                .fillna(0, ["tokens", "shards"]))
+                    ids_col: str = "ids", min_ids: int = 3, filtered: DataFrame | None = None) -> DataFrame:
+    """Per source and in total (``is_total``), documents kept and dropped (an
+    encoding with only bos/eos counts as dropped), drop rate, tokens, shards.
+
+    ``filtered`` holds the documents a filter dropped before encoding; they are
+    counted as ``docs_filtered``."""
+    none = F.lit(0).cast("long")
+    docs = encoded.select(F.col(part_col), F.when(F.size(ids_col) >= min_ids, 1).otherwise(0).alias("k"),
+                          F.when(F.size(ids_col) < min_ids, 1).otherwise(0).alias("d"), none.alias("f"), none.alias("t"),
+                          F.lit(None).cast("long").alias("s"))
+    cut = pieces.select(F.col(part_col), F.lit(0).alias("k"), F.lit(0).alias("d"), none.alias("f"),
+                        F.size("piece").cast("long").alias("t"), F.col("shard_index").cast("long").alias("s"))
+    rows = docs.unionByName(cut)
+    if filtered is not None:
+        rows = rows.unionByName(filtered.select(F.col(part_col), F.lit(0).alias("k"), F.lit(0).alias("d"),
+                                                F.lit(1).cast("long").alias("f"), none.alias("t"),
+                                                F.lit(None).cast("long").alias("s")))
+    # a source's shards are numbered from 0 without gaps
+    per = rows.groupBy(part_col).agg(F.sum("k").cast("long").alias("docs_kept"), F.sum("d").cast("long").alias("docs_dropped"),
+                                     F.sum("f").cast("long").alias("docs_filtered"), F.sum("t").cast("long").alias("tokens"),
+                                     F.coalesce(F.max("s") + 1, F.lit(0)).cast("long").alias("shards"))
+    names = ["docs_kept", "docs_dropped", "docs_filtered", "tokens", "shards"]
+    whole = per.agg(*[F.sum(n).cast("long").alias(n) for n in names])
+    both = per.withColumn("is_total", F.lit(False)).unionByName(
+        whole.withColumn(part_col, F.lit(None).cast("string")).withColumn("is_total", F.lit(True)))
+    seen = F.col("docs_kept") + F.col("docs_dropped")
+    return both.withColumn("drop_rate", F.col("docs_dropped") / F.greatest(seen, F.lit(1)))
 
 
 def token_budget(pieces: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,25 +20,26 @@ def masked_mean_pool(tokens: DataFrame, vectors: DataFrame, doc_col: str, tok_co
                      vec_col: str, pad: int = 0) -> DataFrame:
     """A18 + J5: average the vectors of non-pad tokens per document (divisor at
     least 1), then L2-normalise.  Token counts are pre-aggregated per
-    (document, token) so each distinct token vector is joined once per
-    document; the per-document sum runs over a bounded group."""
+    (document, token), so each distinct token vector is joined once per
+    document; the weighted mean is partially aggregated in the JVM."""
     t = tokens.filter(F.col(tok_col) != pad)
     cnt = t.groupBy(doc_col, tok_col).agg(F.count(F.lit(1)).alias("__m"))
-    j = cnt.join(vectors.select(F.col(vec_key).alias(tok_col),
-                                F.transform(vec_col, lambda x: x.cast("double")).alias("__v")), tok_col)
-    dim = F.size(F.col("__v"))
-    summed = (j.groupBy(doc_col)
-               .agg(F.aggregate(F.collect_list(F.transform("__v", lambda x: x * F.col("__m").cast("double"))),
-                                F.array_repeat(F.lit(0.0), F.first(dim)),
-                                lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b)).alias("__s"),
-                    F.sum("__m").alias("n_tokens")))
-    mean = F.transform("__s", lambda x: x / F.greatest(F.col("n_tokens"), F.lit(1)))
-    return summed.select(doc_col, "n_tokens", l2_normalize(mean).alias("vector"))
+    v = vectors.select(F.col(vec_key).alias(tok_col), array_to_vector(F.transform(vec_col, lambda x: x.cast("double"))).alias("__v"))
+    pooled = (cnt.join(v, tok_col).groupBy(doc_col)
+                 .agg(vector_to_array(Summarizer.mean(F.col("__v"), F.col("__m").cast("double"))).alias("__s"),
+                      F.sum("__m").alias("n_tokens")))
+    one = vectors.select(F.size(vec_col).alias("d")).first()
+    zeros = F.array_repeat(F.lit(0.0), one["d"] if one else 0)
+    # a document of pads only keeps its row: no tokens, the zero vector
+    every = tokens.select(doc_col).distinct()
+    return every.join(pooled, doc_col, "left").select(
+        doc_col, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), l2_normalize(F.coalesce("__s", zeros)).alias("vector"))
 
 
-def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int = 512, chunk: int = 64) -> DataFrame:
+def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int = 4096, chunk: int = 256) -> DataFrame:
     """J3 + W2: rank of each source row's true partner among all targets by
-    cosine similarity: ``1 + #(sim > own) + #(sim = own and j < partner)``.
+    cosine similarity: ``1 + #(sim > own) + #(sim = own and j < partner)``;
+    null where the partner is not among the targets.
 
     ``src``: (i, partner, vec); ``tgt``: (j, vec).  All pairs are scored —
     the metric needs them — but never emitted as rows: both sides are cut into
@@ -51,6 +54,7 @@ def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int = 512, chunk: int
                    l2_normalize(F.col("vec")).alias("vec"))
     # each source row carries its partner's vector, so "own" is computed in
     # the cell with the very same arithmetic as every other similarity
+    alone = s.join(t.select(F.col("i").alias("partner")), "partner", "left_anti")     # no partner: no rank
     s = s.join(t.select(F.col("i").alias("partner"), F.col("vec").alias("pvec")), "partner")
     # blocks by a hash of the id, as many as ceil(rows / block) per side: sizes
     # stay near ``block`` however sparse the ids are.  The two counts are
@@ -75,20 +79,24 @@ def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int = 512, chunk: int
         partner = a["partner"].to_numpy()
         gt = np.zeros(len(a), dtype=np.int64)
         tie = np.zeros(len(a), dtype=np.int64)
-        # elementwise product + reduction over the last axis: the same
-        # summation for a pair whichever cell computes it (BLAS is not);
-        # rows in chunks keep the temporary at chunk x block x dim
+        # one matrix product decides all but the pairs within rounding of the own similarity;
+        # those are redone elementwise, the same summation whichever cell computes them
         for lo in range(0, len(a), chunk):
             hi = min(lo + chunk, len(a))
-            sim = (A[lo:hi, None, :] * Bm[None, :, :]).sum(axis=-1)
+            sim = A[lo:hi] @ Bm.T
             own_v = (A[lo:hi] * P[lo:hi]).sum(axis=-1)[:, None]
-            gt[lo:hi] = (sim > own_v).sum(axis=1)
-            tie[lo:hi] = ((sim == own_v) & (bj < partner[lo:hi, None])).sum(axis=1)
+            close = np.abs(sim - own_v) <= 1e-9
+            gt[lo:hi] = ((sim > own_v) & ~close).sum(axis=1)
+            for x, y in zip(*np.nonzero(close)):
+                exact = (A[lo + x] * Bm[y]).sum()
+                gt[lo + x] += exact > own_v[x, 0]
+                tie[lo + x] += exact == own_v[x, 0] and bj[0, y] < partner[lo + x]
         return pd.DataFrame({"i": a["i"].to_numpy(), "gt": gt.astype("int64"), "tie": tie.astype("int64")})
 
     parts = (sx.groupBy("sb", "tb").cogroup(tx.groupBy("sb", "tb"))
                .applyInPandas(cell, "i long, gt long, tie long"))
-    return (parts.groupBy("i").agg((F.sum("gt") + F.sum("tie") + 1).cast("long").alias("rank")))
+    ranks = parts.groupBy("i").agg((F.sum("gt") + F.sum("tie") + 1).cast("long").alias("rank"))
+    return ranks.unionByName(alone.select("i", F.lit(None).cast("long").alias("rank")))
 
 
 def retrieval_metrics(ranks: DataFrame, rank_col: str = "rank") -> DataFrame:

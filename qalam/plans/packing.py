@@ -18,12 +18,12 @@ MAX_LEN = 64
 
 
 def _vocab_and_encoded(spark, sf_dir):
-    """Word vocabulary (materialised once: it is read by the encoder and for
-    its size) and the encoded documents."""
+    """Word vocabulary and encoded documents, each written once: the vocabulary is
+    read by the encoder and for its size, the encoding by offsets, pieces and counts."""
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     vocab = materialize(word_vocabulary(docs))
     enc = encode_words(docs, vocab, ["doc_id", "source"])
-    return vocab, enc.withColumn("n_tokens", F.size("ids"))
+    return vocab, materialize(enc.withColumn("n_tokens", F.size("ids")))
 
 
 def _encoded(spark, sf_dir):
@@ -88,16 +88,19 @@ def pack_shards(spark, sf_dir):
 
 
 @query("pack_accounting", STREAM_SQL + f"""
-SELECT source, CAST(count(*) FILTER (WHERE n >= 3) AS BIGINT) AS docs_kept,
-  CAST(count(*) FILTER (WHERE n < 3) AS BIGINT) AS docs_dropped,
-  CAST(sum(n) AS BIGINT) AS tokens, CAST((max(start + n) - 1) // {SHARD} + 1 AS BIGINT) AS shards,
-  count(*) FILTER (WHERE n < 3) / greatest(count(*), 1) AS drop_rate
-FROM starts GROUP BY source""")
+, per AS (SELECT source, CAST(count(*) FILTER (WHERE n >= 3) AS BIGINT) AS docs_kept,
+  CAST(count(*) FILTER (WHERE n < 3) AS BIGINT) AS docs_dropped, CAST(0 AS BIGINT) AS docs_filtered,
+  CAST(sum(n) AS BIGINT) AS tokens, CAST((max(start + n) - 1) // {SHARD} + 1 AS BIGINT) AS shards, false AS is_total
+FROM starts GROUP BY source),
+whole AS (SELECT * FROM per UNION ALL SELECT NULL, CAST(sum(docs_kept) AS BIGINT), CAST(sum(docs_dropped) AS BIGINT),
+  CAST(sum(docs_filtered) AS BIGINT), CAST(sum(tokens) AS BIGINT), CAST(sum(shards) AS BIGINT), true FROM per)
+SELECT *, docs_dropped / greatest(docs_kept + docs_dropped, 1) AS drop_rate FROM whole""")
 def pack_accounting_q(spark, sf_dir):
-    """Per-source documents kept/dropped, tokens, shards."""
+    """Documents kept and dropped, tokens, shards; per source and in total."""
     enc = _encoded(spark, sf_dir)
     pieces = cut_shards(doc_offsets(enc), "ids", SHARD)
-    return pack_accounting(enc, pieces).select("source", "docs_kept", "docs_dropped", "tokens", "shards", "drop_rate")
+    return pack_accounting(enc, pieces).select("source", "docs_kept", "docs_dropped", "docs_filtered", "tokens",
+                                               "shards", "is_total", "drop_rate")
 
 
 @query("token_budget", STREAM_SQL + """

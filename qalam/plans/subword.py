@@ -23,7 +23,7 @@ _LEARNED: dict = {}
 
 def _learned(spark, sf_dir):
     """Learn once per session and input; the result is two small tables."""
-    key = (id(spark), sf_dir, VOCAB_SIZE)
+    key = (spark.sparkContext.applicationId, sf_dir, VOCAB_SIZE)
     if key not in _LEARNED:
         _LEARNED[key] = learn_bpe(spark, _corpus(spark, sf_dir), vocab_size=VOCAB_SIZE, min_frequency=2)
     return _LEARNED[key]

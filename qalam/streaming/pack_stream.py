@@ -14,6 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qalam.operators.pack import cut_shards, doc_offsets
+from qalam.plans.session import materialize
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists, on whatever storage the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def pack_batch(spark: SparkSession, batch: DataFrame, batch_id: int, encode_fn, shard_size: int, out_dir: str,
@@ -23,16 +30,17 @@ def pack_batch(spark: SparkSession, batch: DataFrame, batch_id: int, encode_fn,
     overwrite only their own partition)."""
     pieces_dir, offs_dir = f"{out_dir}/pieces", f"{out_dir}/offsets"
     enc = encode_fn(batch)
-    try:
+    # only a missing folder means that no batch is committed; any other failure to read stops the query
+    if path_exists(spark, offs_dir):
         prior = (spark.read.parquet(offs_dir).filter(F.col("batch_id") < batch_id)
-                      .groupBy(part_col).agg(F.max("end_offset").alias("base")))
-    except Exception:  # noqa: BLE001  (no committed batch yet)
-        prior = spark.createDataFrame([], f"{part_col} string, base long")
-    local = doc_offsets(enc, "n_tokens", order_col, part_col)
-    placed = (local.join(F.broadcast(prior), part_col, "left")   # one row per source
-                   .withColumn("base", F.coalesce("base", F.lit(0)))
-                   .withColumn("start", F.col("start") + F.col("base"))
-                   .withColumn("end", F.col("end") + F.col("base")))
+                      .groupBy(F.col(part_col).alias("__p")).agg(F.max("end_offset").alias("base")))
+    else:
+        prior = spark.createDataFrame([], "__p string, base long")
+    local = doc_offsets(materialize(enc), "n_tokens", order_col, part_col)
+    placed = materialize(local.join(prior, local[part_col].eqNullSafe(F.col("__p")), "left").drop("__p")
+                         .withColumn("base", F.coalesce("base", F.lit(0)))
+                         .withColumn("start", F.col("start") + F.col("base"))
+                         .withColumn("end", F.col("end") + F.col("base")))
     pieces = cut_shards(placed, "ids", shard_size, part_col).withColumn("batch_id", F.lit(batch_id))
     (pieces.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
            .partitionBy("batch_id").parquet(pieces_dir))

@@ -92,3 +92,44 @@ def test_offsets_with_sparse_order_keys(spark):
             if s == src:
                 assert got[(src, d * 1000003 + 7)] == pos
                 pos += len(ids)
+
+
+def test_offsets_with_string_keys_null_sources_and_an_outlier(spark):
+    rows = [(f"t3_{i:x}", None if i % 3 == 0 else "s", i % 5) for i in range(500)] + [("~~~~ far away", "s", 7)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, n_tokens int")
+    got = {(r["source"], r["doc_id"]): r["start"] for r in doc_offsets(df, bucket_rows=16).collect()}
+    assert len(got) == 501
+    for src in (None, "s"):
+        at = 0
+        for key, _, n in sorted(r for r in rows if r[1] == src) if src else sorted((r for r in rows if r[1] is None), key=lambda r: r[0]):
+            assert got[src, key] == at
+            at += n
+
+
+def test_a_key_twice_in_a_source_is_an_error(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "s", 2), (1, "s", 3), (1, "t", 3)], "doc_id long, source string, n_tokens int")
+    with pytest.raises(Exception, match="key twice"):
+        doc_offsets(df).collect()
+
+
+def test_ranges_stay_even_with_clustered_keys(spark):
+    from qalam.operators.ranges import range_numbered
+    df = spark.createDataFrame([(i,) for i in range(2000)] + [(10 ** 15,)], "k long")
+    sizes = [r["count"] for r in range_numbered(df, [F.col("k")], rows=100).groupBy("__r").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 400
+
+
+def test_rank_of_equal_counts_and_prefixes(spark):
+    from qalam.operators.pack import ordered_rank
+    words = [(f"ال{i:05d}", 1) for i in range(1500)] + [("b", 3), ("a", 3), ("c", 2)]
+    got = {r["w"]: r["rank"] for r in ordered_rank(spark.createDataFrame(words, "w string, n long"), "n", "w", range_rows=64).collect()}
+    want = {w: i + 1 for i, (w, _) in enumerate(sorted(words, key=lambda x: (-x[1], x[0].encode())))}
+    assert got == want
+
+
+def test_split_keeps_rows_with_a_null_label(spark):
+    from qalam.operators.dialect import stratified_split
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "x") for i in range(100)], "k long, l string")
+    out = stratified_split(df, "l", "k").collect()
+    assert len(out) == 100 and sum(r["is_test"] for r in out if r["l"] is None) == 5

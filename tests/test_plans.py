@@ -38,7 +38,7 @@ def test_offsets_use_partitioned_windows(spark):
     # no window over documents without a partition: the running sums are
     # partitioned by source (bucket totals) and by (source, bucket) (documents)
     assert specs and all(s.strip() for s in specs), specs
-    assert any("__b" in s for s in specs)
+    assert any("__r" in s for s in specs)
 
 
 def test_split_and_blocks_avoid_global_windows(spark):
