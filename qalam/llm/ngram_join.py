@@ -40,7 +40,7 @@ LEAST = 3                  # and this many at least
 PART_SETS = 1024           # sets that travel to one copy of a block, about
 BITS = 18                  # the sketch has 2 ** BITS counters at every size of the input
 LONG = 8192                # rows of a list that one task holds
-HEAVY = 3                  # counters above this many times the mean are heavy
+HEAVY = 5                  # counters this many (robust) deviations above the median are heavy
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 WORDS_KEPT = 500_000
 
@@ -359,9 +359,9 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
     bits = BITS
     sketch = materialize(given.select("text").mapInArrow(functools.partial(_count, k, bits), "c int, n long")
                          .groupBy("c").agg(F.sum("n").alias("n")))           # <= 2 ** bits rows
-    total = sketch.agg(F.sum("n").alias("n")).first()["n"] or 0
-    limit = max(64, HEAVY * total / (1 << bits))
-    top = sketch.filter(F.col("n") >= limit).orderBy("c").collect()          # <= 2 ** bits / HEAVY rows
+    median = sketch.agg(F.percentile_approx("n", F.lit(0.5)).alias("m")).first()["m"] or 0
+    spread = sketch.agg(F.percentile_approx(F.abs(F.col("n") - median), F.lit(0.5)).alias("m")).first()["m"] or 0
+    top = sketch.filter(F.col("n") >= max(32, median + HEAVY * spread)).orderBy("c").collect()   # <= 2 ** bits rows
     heavy = spark.sparkContext.broadcast((np.array([r["c"] for r in top], dtype=np.int64),
                                           np.array([r["n"] for r in top], dtype=np.int64)))
 
