@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pattern that cuts a text into pieces for this vocabulary family.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMORY = 400_000     # encoded pieces a worker remembers; it starts over when full
+MEMORY = 150_000     # encoded pieces a worker remembers; it starts over when full
 
 
 def default_path() -> str:
@@ -117,7 +117,7 @@ class PrefixBpe:
         key = (a, b)
         got = self._fits.get(key)
         if got is None:
-            if len(self._fits) > 500_000:
+            if len(self._fits) > 250_000:
                 self._fits.clear()
             rank = self.rank
             got = self._fits[key] = not any(

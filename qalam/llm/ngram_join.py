@@ -42,7 +42,7 @@ BITS = 18                  # the sketch has 2 ** BITS counters at every size of
 LONG = 8192                # rows of a list that one task holds
 HEAVY = 5                  # counters this many (robust) deviations above the median are heavy
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 
 
 class _Words(dict):
