@@ -190,8 +190,9 @@ def _bpe_word(word: str, ranks: dict, vocab: dict, prefix: str) -> list[int]:
 
 
 def encode(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key_cols, text_col: str = "text",
-           prefix: str = "##", add_bos_eos: bool = True) -> DataFrame:
-    """M3: token ids per document.  Each *distinct* word is encoded once in an
+           prefix: str = "##", add_bos_eos: bool = True, drop_empty: bool = False) -> DataFrame:
+    """M3: token ids per document; with ``drop_empty`` (the web profile's rule) a document
+    without any subword is dropped.  Each *distinct* word is encoded once in an
     Arrow UDF (merge ranks and vocabulary broadcast: both bounded by
     ``vocab_size``), joined back by word, reassembled in word order."""
     spark = docs.sparkSession
@@ -223,7 +224,7 @@ def encode(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key_cols, text_
             .groupBy(*keys)
             .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "wids"))),
                                        lambda s: s["wids"])).alias("__ids")))
-    out = docs.select(*keys).join(per, keys, "left")
+    out = docs.select(*keys).join(per, keys, "inner" if drop_empty else "left")
     ids = F.coalesce("__ids", F.array().cast("array<int>"))
     if add_bos_eos:
         ids = F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
@@ -279,5 +280,15 @@ def fertility_and_roundtrip(texts: DataFrame, encoded: DataFrame, decoded: DataF
     n_unk = F.size(F.filter("ids", lambda x: x == unk))
     status = (F.when(py_strip("dec") == py_strip("src"), "match")
                .when(n_unk > 0, "has_unk").otherwise("mismatch"))
-    return j.select(key, n.alias("n_tokens"), (n / F.greatest(F.length("src"), F.lit(1))).alias("fertility"),
+    return j.select(key, n.cast("long").alias("n_tokens"), (n / F.greatest(F.length("src"), F.lit(1))).alias("fertility"),
                     n_unk.alias("n_unk"), status.alias("status"))
+
+
+def tokenizer_report(per_text: DataFrame, vocab: DataFrame) -> DataFrame:
+    """A13 + A14 in one row: texts, mean fertility, texts per round-trip status, special token ids
+    (in the order of ``SPECIALS``)."""
+    per = per_text.agg(F.count(F.lit(1)).alias("n_texts"), F.avg("fertility").alias("mean_fertility"),
+                       *[F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("match", "has_unk", "mismatch")])
+    ids = vocab.filter(F.col("token").isin(SPECIALS)).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda x: x["id"].cast("int")).alias("special_ids"))
+    return per.withColumn("__k", F.lit(1)).join(ids.withColumn("__k", F.lit(1)), "__k").drop("__k")   # one row each

@@ -34,7 +34,7 @@ _COUNTER_NAMES = {"n_english": "english_words_removed", "n_urls": "urls_removed"
 
 
 def funnel(flagged: DataFrame, profile: str, text_col: str) -> DataFrame:
-    """One-row funnel: rows removed per gate in gate order, totals, counters.
+    """One-row funnel: rows removed per gate in gate order, totals, shares, counters.
 
     ``chars_before`` counts every input row (null counts 0), counters count
     every row that reached cleaning, ``chars_after`` the kept rows.
@@ -48,7 +48,11 @@ def funnel(flagged: DataFrame, profile: str, text_col: str) -> DataFrame:
              F.coalesce(F.sum(F.when(r.isNull(), F.length("clean"))), F.lit(0))
               .cast("long").alias("chars_after")]
     aggs += [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(_COUNTER_NAMES[c]) for c in counters]
-    return flagged.agg(*aggs)
+    out = flagged.agg(*aggs)
+    total, kept = F.col("total_raw"), F.col("final_clean")
+    return (out.withColumn("total_removed", total - kept)
+               .withColumn("kept_share", kept / F.greatest(total, F.lit(1)))
+               .withColumn("char_retention", F.col("chars_after") / F.greatest(F.col("chars_before"), F.lit(1))))
 
 
 def funnel_long(flagged: DataFrame, profile: str) -> DataFrame:

@@ -27,6 +27,12 @@ def comment_flagged(spark, sf_dir):
     return clean_comment(fixture(spark, sf_dir, "posts"), "text", **COMMENT_ARGS)
 
 
+def clean_to_table(flagged):
+    """Flagged rows written once: the cleaning runs a single time for kept rows and counts."""
+    from qalam.plans.session import materialize
+    return materialize(flagged)
+
+
 def web_flagged(spark, sf_dir):
     return clean_web(fixture(spark, sf_dir, "posts"), "text", **WEB_ARGS)
 
@@ -141,7 +147,9 @@ def _funnel_sql(flagged_sql: str, reasons: list[tuple[str, str]], counters: list
     names = {"n_english": "english_words_removed", "n_urls": "urls_removed",
              "n_times": "timestamps_removed", "n_quran": "quran_chars_removed"}
     cols += [f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {names[c]}" for c in counters]
-    return flagged_sql + "SELECT " + ",\n  ".join(cols) + " FROM f6"
+    return flagged_sql + ", fun AS (SELECT " + ",\n  ".join(cols) + """ FROM f6)
+SELECT *, total_raw - final_clean AS total_removed, final_clean / greatest(total_raw, 1) AS kept_share,
+  chars_after / greatest(chars_before, 1) AS char_retention FROM fun"""
 
 
 def _steps_sql(flagged_sql: str, reasons: list[str]) -> str:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from qalam.operators.pack import shard_manifest
 from qalam.operators.vocab import encode_words, word_vocabulary
-from qalam.plans.cleaning import FORUM_ARGS, forum_flagged_sql
+from qalam.operators.cleaning import clean_web, kept
+from qalam.plans.cleaning import FORUM_ARGS, WEB_ARGS, forum_flagged_sql, web_flagged_sql
 from qalam.plans.packing import SHARD, STREAM_SQL
 from qalam.plans.registry import query
 from qalam.sources.files import scratch_path
@@ -27,6 +28,16 @@ def stream_clean_kept(spark, sf_dir):
     return spark.read.parquet(run_to_table(spark, kept, "t1-clean"))
 
 
+@query("stream_web_kept", web_flagged_sql() + "SELECT id, source, clean AS text FROM f6 WHERE drop_reason IS NULL")
+def stream_web_kept(spark, sf_dir):
+    """Web cleaning on a file stream of documents; kept rows."""
+    schema = read_table(spark, sf_dir, "documents").schema
+    docs = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
+                 .parquet(sf_dir.rstrip("/") + "/"))
+    web = kept(clean_web(spark.sql(POSTS, documents=docs), "text", **WEB_ARGS)).select("id", "source", F.col("clean").alias("text"))
+    return spark.read.parquet(run_to_table(spark, web, "t1-web"))
+
+
 @query("stream_pack_manifest", STREAM_SQL + """
 SELECT source, split, CAST(shard_index AS BIGINT) AS shard_index, CAST(count(*) AS BIGINT) AS n_tokens
 FROM shards GROUP BY ALL""")
@@ -36,13 +47,20 @@ def stream_pack_manifest(spark, sf_dir):
     docs_b = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     vocab = word_vocabulary(docs_b)            # fixed vocabulary learned beforehand
     schema = read_table(spark, sf_dir, "documents").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet")
-                   .parquet(sf_dir.rstrip("/") + "/").select("doc_id", "source", "text"))
+    # the documents arrive in three lots by id; after each the query runs on with its checkpoint
+    files = scratch_path(spark, "t2-files")
+    docs_t = read_table(spark, sf_dir, "documents")
+    cuts = docs_t.approxQuantile("doc_id", [1 / 3, 2 / 3], 0.01)
 
     def enc(batch):
         return encode_words(batch, vocab, ["doc_id", "source"]).withColumn("n_tokens", F.size("ids"))
 
     out = scratch_path(spark, "t2-pack")
-    pack_stream(spark, stream, enc, SHARD, out).awaitTermination()
+    low, high = cuts
+    for lot in (F.col("doc_id") <= low, (F.col("doc_id") > low) & (F.col("doc_id") <= high), F.col("doc_id") > high):
+        docs_t.filter(lot).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(schema).parquet(files).select("doc_id", "source", "text")
+        pack_stream(spark, stream, enc, SHARD, out).awaitTermination()
     pieces = spark.read.parquet(out + "/pieces")
+    assert pieces.select("batch_id").distinct().count() > 1
     return shard_manifest(pieces).select("source", "split", F.col("shard_index").cast("long"), "n_tokens")

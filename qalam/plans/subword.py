@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qalam.operators.bpe import (_pairs, decode, encode, fertility_and_roundtrip, initial_symbols, learn_bpe,
-                                 vocab_report, word_frequencies)
+                                 tokenizer_report, vocab_report, word_frequencies)
 from qalam.operators.cleaning import kept
+from qalam.operators.pack import cut_shards, doc_offsets, pack_accounting
 from qalam.plans import duck as d
-from qalam.plans.cleaning import forum_flagged, forum_flagged_sql
+from qalam.plans.cleaning import (clean_to_table, forum_flagged, forum_flagged_sql, web_flagged, web_flagged_sql)
 from qalam.plans.registry import query
+from qalam.plans.session import materialize
 
 VOCAB_SIZE = 200
 
@@ -21,11 +23,12 @@ def _corpus(spark, sf_dir):
 _LEARNED: dict = {}
 
 
-def _learned(spark, sf_dir):
+def _learned(spark, sf_dir, corpus=None, name="forum"):
     """Learn once per session and input; the result is two small tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, VOCAB_SIZE)
+    key = (spark.sparkContext.applicationId, sf_dir, name, VOCAB_SIZE)
     if key not in _LEARNED:
-        _LEARNED[key] = learn_bpe(spark, _corpus(spark, sf_dir), vocab_size=VOCAB_SIZE, min_frequency=2)
+        corpus = _corpus(spark, sf_dir) if corpus is None else corpus
+        _LEARNED[key] = learn_bpe(spark, corpus, vocab_size=VOCAB_SIZE, min_frequency=2)
     return _LEARNED[key]
 
 
@@ -76,3 +79,69 @@ def bpe_roundtrip(spark, sf_dir):
     enc = encode(corpus, m, v, ["id"])
     dec = decode(enc, v, ["id"])
     return fertility_and_roundtrip(corpus, enc, dec, "id")
+
+
+@query("bpe_decoded", forum_flagged_sql() + "SELECT id, clean AS text FROM f6 WHERE drop_reason IS NULL")
+def bpe_decoded(spark, sf_dir):
+    """M3 → M4 by value: every kept text, encoded and decoded again, is itself."""
+    m, v = _learned(spark, sf_dir)
+    return decode(encode(_corpus(spark, sf_dir), m, v, ["id"]), v, ["id"]).select("id", "text")
+
+
+@query("bpe_report", forum_flagged_sql() + """SELECT CAST(count(*) AS BIGINT) AS n_texts, CAST(count(*) AS BIGINT) AS n_match,
+  CAST(0 AS BIGINT) AS n_has_unk, CAST(0 AS BIGINT) AS n_mismatch, [0, 1, 2, 3, 4] AS special_ids, true AS fertile
+FROM f6 WHERE drop_reason IS NULL""")
+def bpe_report(spark, sf_dir):
+    """A13 + A14: texts per round-trip status, special ids, mean fertility (between 0 and 1 token a character)."""
+    corpus = _corpus(spark, sf_dir)
+    m, v = _learned(spark, sf_dir)
+    enc = materialize(encode(corpus, m, v, ["id"]))
+    rep = tokenizer_report(fertility_and_roundtrip(corpus, enc, decode(enc, v, ["id"]), "id"), v)
+    return rep.select("n_texts", "n_match", "n_has_unk", "n_mismatch", "special_ids",
+                      F.col("mean_fertility").between(0.05, 1.0).alias("fertile"))
+
+
+def _e2_sql(flagged: str) -> str:
+    """E2 accounting: kept, filtered and characters per source and in total."""
+    return flagged + """, per AS (SELECT source, CAST(count(*) FILTER (WHERE drop_reason IS NULL) AS BIGINT) AS docs_kept,
+  CAST(0 AS BIGINT) AS docs_dropped, CAST(count(*) FILTER (WHERE drop_reason IS NOT NULL) AS BIGINT) AS docs_filtered,
+  CAST(coalesce(sum(CASE WHEN drop_reason IS NULL THEN length(clean) END), 0) AS BIGINT) AS chars, true AS all_packed, false AS is_total
+FROM f6 GROUP BY source)
+SELECT * FROM per UNION ALL SELECT NULL, CAST(sum(docs_kept) AS BIGINT), CAST(sum(docs_dropped) AS BIGINT),
+  CAST(sum(docs_filtered) AS BIGINT), CAST(sum(chars) AS BIGINT), true, true FROM per"""
+
+
+E2_SHARD = 20_000
+
+
+def _e2(spark, sf_dir, flagged, name, drop_empty):
+    """Flagged rows written once → learned subwords → offsets → shards → accounting.
+
+    ``chars`` is counted on the texts decoded from the packed ids; ``all_packed`` says that the pieces
+    hold every id once."""
+    rows = clean_to_table(flagged)
+    corpus = kept(rows).select("id", "source", F.col("clean").alias("text"))
+    m, v = _learned(spark, sf_dir, corpus, name)
+    enc = materialize(encode(corpus, m, v, ["id", "source"], drop_empty=drop_empty).withColumn("n_tokens", F.size("ids")))
+    pieces = materialize(cut_shards(doc_offsets(enc, order_col="id"), "ids", E2_SHARD))
+    acc = pack_accounting(enc, pieces, filtered=rows.filter("drop_reason is not null"))
+    text = decode(enc, v, ["id", "source"]).groupBy("source").agg(F.sum(F.length("text")).cast("long").alias("chars"))
+    ids = enc.groupBy("source").agg(F.sum("n_tokens").alias("n"))
+    more = text.join(ids, "source")
+    more = more.unionByName(more.agg(F.sum("chars").cast("long").alias("chars"), F.sum("n").alias("n"))
+                            .withColumn("source", F.lit(None).cast("string")))
+    j = acc.join(more.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left")
+    return j.select("source", "docs_kept", "docs_dropped", "docs_filtered", F.coalesce("chars", F.lit(0).cast("long")).alias("chars"),
+                    (F.col("tokens") == F.coalesce("n", F.lit(0))).alias("all_packed"), "is_total")
+
+
+@query("e2_forum", _e2_sql(forum_flagged_sql()))
+def e2_forum(spark, sf_dir):
+    """E2 with the forum profile: clean → learned subwords → offsets → shards, with the accounting of A15."""
+    return _e2(spark, sf_dir, forum_flagged(spark, sf_dir), "forum", False)
+
+
+@query("e2_web", _e2_sql(web_flagged_sql()))
+def e2_web(spark, sf_dir):
+    """E2 with the web profile, whose encoder drops documents without subwords."""
+    return _e2(spark, sf_dir, web_flagged(spark, sf_dir), "web", True)
