@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from qalam.functions import regex as rx
 from qalam.functions.text import py_strip
 
-# --- patterns shared by the profiles (Java syntax, Python semantics) -------
+# --- Fixed values: patterns of the profiles (Java syntax, Python semantics) ---
 
 URL = f"(?i)https?://{rx.NOT_S}+|www\\.{rx.NOT_S}+"
 MENTION = f"@{rx.W}+"
@@ -25,8 +25,9 @@ FORUM_REF = f"r/{rx.W}+|u/{rx.W}+"
 HASHTAG = f"#{rx.W}+"
 HTML_ENTITY = f"(?i)&{rx.S}*#?{rx.S}*[a-zA-Z0-9][{rx.SPACE_BODY}a-zA-Z0-9]*{rx.S}*;"
 HTML_TAG = "<[^>]+>"
-ENGLISH_WORD = f"{rx.B}[A-Za-z][A-Za-z0-9'-]*{rx.B}"
-CLOCK_TIME = f"{rx.B}{rx.D}{{1,2}}:{rx.D}{{2}}(?::{rx.D}{{2}})?{rx.B}"
+# before a letter or digit a word boundary is simply "no word character before"
+ENGLISH_WORD = f"(?<!{rx.W})[A-Za-z][A-Za-z0-9'-]*{rx.B}"
+CLOCK_TIME = f"(?<!{rx.W}){rx.D}{{1,2}}:{rx.D}{{2}}(?::{rx.D}{{2}})?(?!{rx.W})"
 DIVIDER = "(?:[-_=*~#][ \\t]*){3,}"
 NEWLINE_RUN = f"{rx.S}*\\n{rx.S}*"
 # Same matches as NEWLINE_RUN (a whitespace run that holds a newline, whole),
@@ -42,7 +43,9 @@ _A3 = rx.body("0600-06FF", "0750-077F", "08A0-08FF")
 SPACED_PUNCT_FORUM = f"(?:[^\\p{{L}}\\p{{N}}_{rx.SPACE_BODY}{rx.body('0600-06FF')}][ \\t]*){{3,}}"
 SPACED_PUNCT_COMMENT = f"(?:[^\\p{{L}}\\p{{N}}_{rx.SPACE_BODY}{_A3}][ \\t]*){{3,}}"
 SPACED_ARABIC_SPAN = f"(?:(?:[{_A3}] ){{5,}}[{_A3}])"
-SINGLE_ARABIC = f"^[{_A3}]\\z"
+# tokens (runs without white space) counted in one scan of the text
+TOKEN = f"{rx.NOT_S}++"
+SINGLE_ARABIC_TOKEN = f"(?<!{rx.NOT_S})[{_A3}](?!{rx.NOT_S})"
 
 _QUOTES = "\\(\\[\\x{AB}\"'"
 _AR06 = f"[{rx.body('0600-06FF')}]"
@@ -79,6 +82,17 @@ BOUNDARY_NEEDLE = ("re:" + rx.cls("08B6-08BD"),)
 ARABIC_ANY = rx.cls(*rx.ARABIC_BLOCKS, *rx.ARABIC_MATH)   # forum "has Arabic" (ratio)
 ARABIC_BLOCK = rx.cls(*rx.ARABIC_BLOCKS)                  # "no Arabic left" gates
 FOREIGN = rx.cls(*rx.FOREIGN)
+_AR, _FO = rx.body(*rx.ARABIC_BLOCKS), rx.body(*rx.FOREIGN)
+FOREIGN_TOKEN = (f"(?<!{rx.NOT_S})[^{rx.SPACE_BODY}{_AR}{_FO}]*+[{_FO}][^{rx.SPACE_BODY}{_AR}]*+(?!{rx.NOT_S})")
+
+
+def token_with(body: str) -> str:
+    """Tokens that hold a character of the class body."""
+    return f"(?<!{rx.NOT_S})[^{rx.SPACE_BODY}{body}]*+[{body}]"
+
+
+ARABIC_ANY_TOKEN = token_with(rx.body(*rx.ARABIC_BLOCKS, *rx.ARABIC_MATH))
+ARABIC_BLOCK_TOKEN = token_with(_AR)
 
 # Letter normalisation (C14) — alef forms to bare alef,
 # taa marbuta to haa, alef maqsura to yaa.

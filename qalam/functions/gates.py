@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from qalam.functions import clean as cl
 from qalam.functions import regex as rx
-from qalam.functions.text import py_split, py_strip, share_of_tokens
+from qalam.functions.text import py_strip
 
 PLACEHOLDER = (f"(?i)^{rx.S}*\\[?(?:deleted|removed|AutoModerator)\\]?{rx.S}*\\z")
 EMOJI_ONLY = (f"^[{rx.SPACE_BODY}{rx.body(*rx.HEARTS)}{rx.body(*rx.EMOJI_COMMENT)}]+\\z")
@@ -33,15 +33,20 @@ def is_emoji_only(c: Column) -> Column:
     return py_strip(c).rlike(EMOJI_ONLY)
 
 
+def _share(c: Column, token: str) -> Column:
+    """Tokens that match over all tokens; 0 for no tokens."""
+    n = F.regexp_count(c, F.lit(cl.TOKEN))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.regexp_count(c, F.lit(token)) / n)
+
+
 def foreign_share(c: Column) -> Column:
     """G4 measure: share of tokens with a foreign-script char and no Arabic char."""
-    return share_of_tokens(py_split(c), lambda t: t.rlike(cl.FOREIGN) & ~t.rlike(cl.ARABIC_BLOCK))
+    return _share(c, cl.FOREIGN_TOKEN)
 
 
-def is_spaced_arabic(c: Column, toks: Column | None = None) -> Column:
+def is_spaced_arabic(c: Column) -> Column:
     """At least 6 tokens and more than half are single Arabic letters."""
-    toks = py_split(c) if toks is None else toks
-    return (F.size(toks) >= 6) & (share_of_tokens(toks, lambda t: t.rlike(cl.SINGLE_ARABIC)) > 0.5)
+    return (F.regexp_count(c, F.lit(cl.TOKEN)) >= 6) & (_share(c, cl.SINGLE_ARABIC_TOKEN) > 0.5)
 
 
 def has_no_arabic(c: Column) -> Column:
@@ -49,9 +54,9 @@ def has_no_arabic(c: Column) -> Column:
     return ~c.rlike(cl.ARABIC_BLOCK)
 
 
-def arabic_share(c: Column, arabic_class: str, toks: Column | None = None) -> Column:
-    """G7 measure: share of tokens containing an Arabic character."""
-    return share_of_tokens(py_split(c) if toks is None else toks, lambda t: t.rlike(arabic_class))
+def arabic_share(c: Column, arabic_token: str) -> Column:
+    """G7 measure: share of tokens containing an Arabic character (``clean.ARABIC_*_TOKEN``)."""
+    return _share(c, arabic_token)
 
 
 def is_too_short(c: Column, min_chars: int) -> Column:

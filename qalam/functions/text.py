@@ -34,13 +34,6 @@ def py_split(c: Column | str) -> Column:
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"{S}+"))
 
 
-def share_of_tokens(tokens: Column, pred) -> Column:
-    """Share of tokens satisfying ``pred``; 0.0 for no tokens (reference convention)."""
-    n = F.size(tokens)
-    hit = F.size(F.filter(tokens, pred))
-    return F.when(n == 0, F.lit(0.0)).otherwise(hit / n)
-
-
 def py_splitlines_pattern() -> str:
     """Line separators of ``str.splitlines()``."""
     return "\\r\\n|[\\n\\r\\x{0B}\\x{0C}\\x{1C}-\\x{1E}\\x{85}\\x{2028}\\x{2029}]"

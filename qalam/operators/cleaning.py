@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from qalam.functions import clean as cl
 from qalam.functions import gates as g
-from qalam.functions.text import py_split
 from qalam.plans.session import spread
 
 FORUM_REASONS = ["empty", "deleted", "spaced_arabic", "no_arabic", "low_arabic",
@@ -75,20 +74,17 @@ def clean_forum(df: DataFrame, text_col: str = "text", *, min_arabic_ratio: floa
     src = F.when(F.col("__pre").isNull(), raw)
     df = _run_stages(df, src, cl.forum_stages(remove_emojis, strip_english), "clean")
     c = F.col("clean")
-    df = df.withColumn("__tok", py_split(c))          # split once, read by G5 and G7
-    toks = F.col("__tok")
     ratio_on = c if measure_on == "cleaned" else raw
     post = _first([
-        (g.is_spaced_arabic(c, toks), "spaced_arabic"),
+        (g.is_spaced_arabic(c), "spaced_arabic"),
         (g.has_no_arabic(c), "no_arabic"),
-        (g.arabic_share(ratio_on, cl.ARABIC_ANY, toks if measure_on == "cleaned" else None) < min_arabic_ratio,
-         "low_arabic"),
+        (g.arabic_share(ratio_on, cl.ARABIC_ANY_TOKEN) < min_arabic_ratio, "low_arabic"),
         (g.is_too_short(c, min_chars), "too_short"),
         (g.is_numbers_only_forum(c), "numbers_only"),
     ])
     if not strip_english:
         df = df.withColumn("n_english", F.when(c.isNotNull(), F.lit(0)))
-    return df.withColumn("drop_reason", F.coalesce(F.col("__pre"), post)).drop("__pre", "__tok")
+    return df.withColumn("drop_reason", F.coalesce(F.col("__pre"), post)).drop("__pre")
 
 
 def clean_comment(df: DataFrame, text_col: str = "comment", *, min_arabic_ratio: float = 0.60,
@@ -112,7 +108,7 @@ def clean_comment(df: DataFrame, text_col: str = "comment", *, min_arabic_ratio:
     ratio_on = c if measure_on == "cleaned" else raw
     post = _first([
         (g.has_no_arabic(c), "no_arabic"),
-        (g.arabic_share(ratio_on, cl.ARABIC_BLOCK) < min_arabic_ratio, "low_arabic"),
+        (g.arabic_share(ratio_on, cl.ARABIC_BLOCK_TOKEN) < min_arabic_ratio, "low_arabic"),
         (g.is_too_short(c, min_chars), "too_short"),
         (g.is_numbers_only_comment(c), "numbers_only"),
     ])

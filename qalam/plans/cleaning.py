@@ -45,6 +45,7 @@ def web_flagged(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 ENGLISH_RE2 = "\\b[A-Za-z][A-Za-z0-9'-]*\\b"
+SINGLE_ARABIC_RE2 = "^[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}]\\z"
 CLOCK_RE2 = "\\b\\d{1,2}:\\d{2}(?::\\d{2})?\\b"
 
 
@@ -85,7 +86,7 @@ f4 AS (SELECT *, {d.sub('t2', cl.EMOJI_FORUM)} AS t3 FROM f3),
 f5 AS (SELECT *, {d.count(d.py_word_ascii('t3'), ENGLISH_RE2)} AS n_english,
               {_tail('t3', True)} AS clean FROM f4),
 f6 AS (SELECT *, coalesce(pre, CASE
-    WHEN len({toks}) >= 6 AND {d.share(toks, d.rlike('t', cl.SINGLE_ARABIC))} > 0.5 THEN 'spaced_arabic'
+    WHEN len({toks}) >= 6 AND {d.share(toks, d.rlike('t', SINGLE_ARABIC_RE2))} > 0.5 THEN 'spaced_arabic'
     WHEN NOT {d.rlike('clean', cl.ARABIC_BLOCK)} THEN 'no_arabic'
     WHEN {d.share(toks, d.rlike('t', cl.ARABIC_ANY))} < {FORUM_ARGS['min_arabic_ratio']} THEN 'low_arabic'
     WHEN length(clean) < {FORUM_ARGS['min_chars']} THEN 'too_short'

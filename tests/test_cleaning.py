@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from qalam.functions import clean as cl
 from qalam.functions.clean import clean_comment_text, clean_forum_text, clean_web_text
 from qalam.operators.cleaning import clean_comment, clean_forum, kept
 from qalam.operators.funnel import funnel, funnel_long
@@ -51,13 +52,14 @@ def test_comment_and_web(spark):
 
 def test_forum_gates_and_funnel(spark):
     vals = [None, "   ", "[deleted]", " Removed ", "hello world", "123 456",
-            "ا ب ت ث ج ح خ", "سلام عليكم ورحمة الله وبركاته يا اصدقائي الاعزاء في كل مكان من العالم"]
+            "ا ب ت ث ج ح خ", "ا ب ت ث كلمة ج ح خ د كلمة ر ز س ش", "سلام عليكم ورحمة الله وبركاته يا اصدقائي الاعزاء في كل مكان من العالم"]
     fl = clean_forum(one_col(spark, vals, "text"), "text", min_arabic_ratio=0.5, min_chars=20)
     reasons = {r["text"]: r["drop_reason"] for r in fl.collect()}
     assert reasons[None] == "empty" and reasons["   "] == "empty"
     assert reasons["[deleted]"] == "deleted" and reasons[" Removed "] == "deleted"
     assert reasons["hello world"] == "no_arabic" and reasons["123 456"] == "no_arabic"
-    assert reasons["ا ب ت ث ج ح خ"] is not None
+    assert reasons["ا ب ت ث ج ح خ"] == "no_arabic"            # C12 removes the whole span
+    assert reasons["ا ب ت ث كلمة ج ح خ د كلمة ر ز س ش"] == "spaced_arabic"
     assert reasons[vals[-1]] is None
     f = funnel(fl, "forum", "text").first().asDict()
     removed = sum(v for k, v in f.items() if k.startswith("removed_"))
@@ -115,3 +117,39 @@ def test_two_sinks_from_one_pass(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "kept"))
     assert back.count() == f["final_clean"] == kept(fl).count()
     assert back.agg(F.sum(F.length("clean"))).first()[0] == f["chars_after"]
+
+
+def test_token_shares_match_python(spark):
+    """G4, G5, G7 measures against the plain definitions over str.split()."""
+    import random
+
+    from qalam.functions import gates as g
+    rng = random.Random(6)
+    pieces = ["a", "é", "ж", "س", "ا", "سل", "1", ".", " ", " ", "\n", "\u00a0", "\u2003", "_", "😀", "𞸀", "漢"]
+    vals = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 25))) for _ in range(300)] + ["", "  "]
+
+    def cls(ranges):
+        out = []
+        for r in ranges:
+            lo, _, hi = r.partition("-")
+            out.append((int(lo, 16), int(hi or lo, 16)))
+        return lambda c: any(lo <= ord(c) <= hi for lo, hi in out)
+
+    from qalam.functions import regex as rx
+    foreign, arabic, any_arabic = cls(rx.FOREIGN), cls(rx.ARABIC_BLOCKS), cls(rx.ARABIC_BLOCKS + rx.ARABIC_MATH)
+    letter = cls(("0600-06FF", "0750-077F", "08A0-08FF"))
+
+    def share(v, pred):
+        toks = v.split()
+        return sum(map(pred, toks)) / len(toks) if toks else 0.0
+
+    c = F.col("t")
+    df = one_col(spark, vals).select("t", g.foreign_share(c).alias("f"), g.arabic_share(c, cl.ARABIC_ANY_TOKEN).alias("a"),
+                                     g.arabic_share(c, cl.ARABIC_BLOCK_TOKEN).alias("b"), g.is_spaced_arabic(c).alias("s"))
+    for r in df.collect():
+        v = r["t"]
+        assert r["f"] == share(v, lambda t: any(map(foreign, t)) and not any(map(arabic, t))), repr(v)
+        assert r["a"] == share(v, lambda t: any(map(any_arabic, t))), repr(v)
+        assert r["b"] == share(v, lambda t: any(map(arabic, t))), repr(v)
+        single = share(v, lambda t: len(t) == 1 and letter(t))
+        assert r["s"] == (len(v.split()) >= 6 and single > 0.5), repr(v)
