@@ -39,6 +39,7 @@ SHARED = 0.05              # share of a set by which its prefix is longer, so th
 LEAST = 3                  # and this many at least
 PART_SETS = 1024           # sets that travel to one copy of a block, about
 BITS = 18                  # the sketch has 2 ** BITS counters at every size of the input
+SALTS = 16                 # parts of a minimum hash when its chunks are looked up
 LONG = 8192                # rows of a list that one task holds
 HEAVY = 5                  # counters this many (robust) deviations above the median are heavy
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -374,9 +375,11 @@ def link_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, i
                                                         F.count(F.lit(1)).alias("copies"), F.min("low").alias("low"),
                                                         F.min("n").alias("n")))
     # blocks: sets with one minimum hash, dealt into chunks where there are many
-    parts = classes.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("parts"))
-    classes = materialize(classes.join(parts, "low").withColumn(
-        "block", F.xxhash64("low", F.pmod(F.xxhash64("sid"), F.col("parts")))).drop("low", "parts"))
+    parts = (classes.groupBy("low").agg(F.ceil(F.count(F.lit(1)) / block_sets).alias("parts")).filter("parts > 1")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = classes.withColumn("salt", F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(SALTS)).cast("int"))
+    classes = materialize(salted.join(parts, ["low", "salt"], "left").withColumn(
+        "block", F.xxhash64("low", F.pmod(F.xxhash64("sid"), F.coalesce("parts", F.lit(1))))).drop("low", "parts", "salt"))
 
     post = (sets.select("row", "tokens", "heavy").join(classes.select("row", "block", "n"), "row")
             .select("block", "n", F.posexplode(F.arrays_zip("tokens", "heavy")).alias("pos", "t"))
