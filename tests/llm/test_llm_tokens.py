@@ -64,6 +64,17 @@ def test_bpe_and_file_queries(spark, library):
         at += len(ids) + 1
 
 
+def test_starts_run_on_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(id_files, "DOCS_PER_SHARD", 30)
+    folder = tempfile.mkdtemp() + "/ids"
+    id_files.write_ids(documents(spark).repartition(5), folder)
+    assert spark.read.parquet(folder).select("shard").distinct().count() > 3
+    at = 0
+    for r in id_files.read_ids(spark, folder).orderBy("doc_id").collect():
+        assert r.start == at and len(r.ids) == 4 * r.n_tokens and r.ids.endswith(bytes(4))
+        at += r.n_tokens
+
+
 @pytest.mark.parametrize("values", [1, 2, 40, 3000, 1 << 16])
 def test_coder_round_trip(values):
     rng = np.random.default_rng(values)
