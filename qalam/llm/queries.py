@@ -70,7 +70,20 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(documents(spark, sf_dir))
 
 
-@query("op5_ngram_join")
+@query("op5_ngram_join", oracle=r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS grams FROM w),
+g AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM s),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+low AS (SELECT x, min(y) AS y FROM reach GROUP BY x), deg AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT s.doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(low.y, s.doc_id)) AS component_id,
+    CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links
+FROM s LEFT JOIN low ON low.x = s.doc_id LEFT JOIN deg ON deg.x = s.doc_id""")
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component of the 4-gram Jaccard join at 0.85 and its links."""
     return ngram_join.link_documents(documents(spark, sf_dir), k=4, num=85, den=100)
