@@ -97,11 +97,9 @@ def _featured(rows: DataFrame) -> DataFrame:
     return Normalizer(p=2.0, inputCol="tf", outputCol="features").transform(hashed).drop("tokens", "tf")
 
 
-def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
-    """``doc_id, shape, words`` of every row, written once and read by all steps (with
-    ``whole`` also ``doc``, the row itself)."""
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if whole else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), *row, shape(F.coalesce(F.col(text_col), F.lit(""))).alias("shape"))
+def prepare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, shape, words`` of every row, written once and read by all steps."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), shape(F.coalesce(F.col(text_col), F.lit(""))).alias("shape"))
     return materialize(rows).withColumn("words", F.regexp_count("shape", F.lit(r"[^ \n]+")))
 
 
@@ -157,13 +155,19 @@ def score(shaped: DataFrame, model: LogisticRegressionModel | None, keep_from: f
 
 
 def keep_good(docs: DataFrame, model: LogisticRegressionModel | None = None, keep_from: float = KEEP_FROM,
-              **options) -> DataFrame:
+              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A filtering stage: the rows of ``docs`` that ``score`` keeps, columns as they were.
-    Without ``model`` the scorer is fitted on ``docs`` itself."""
-    shaped = prepare(docs, whole=True, **options)
+    Without ``model`` the scorer is fitted on ``docs`` itself.
+
+    The last filter stands in a generator: Spark would copy the features' whole
+    expression into a plain filter, once for every use."""
+    if model is None:
+        model, _ = fit(prepare(docs, id_col, text_col))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.filter(text.rlike(r"[^ \n]")).select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), shape(text).alias("shape"))
     if model is None:
-        model, _ = fit(shaped.drop("doc"))
-    rows = shaped.filter("words > 0")
-    if model is not None:
-        rows = model.transform(_featured(rows)).filter(vector_to_array("probability")[1] >= keep_from)
-    return rows.select("doc.*")
+        return rows.select("doc.*")
+    scored = model.transform(_featured(rows))
+    one = F.array(F.struct(F.col("doc"), vector_to_array("probability")[1].alias("p")))
+    return scored.select(F.inline(F.filter(one, lambda x: x["p"] >= keep_from))).select("doc.*")
