@@ -10,7 +10,7 @@ from qalam.operators.cleaning import clean_web, kept
 from qalam.plans.cleaning import FORUM_ARGS, WEB_ARGS, forum_flagged_sql, web_flagged_sql
 from qalam.plans.packing import SHARD, STREAM_SQL
 from qalam.plans.registry import query
-from qalam.sources.files import scratch_path
+from qalam.sources.files import read_corpus, scratch_path
 from qalam.sources.fixtures import POSTS
 from qalam.sources.tables import read_table
 from qalam.streaming.clean_stream import clean_stream, run_to_table
@@ -38,6 +38,14 @@ def stream_web_kept(spark, sf_dir):
     return spark.read.parquet(run_to_table(spark, web, "t1-web"))
 
 
+@query("stream_corpus_read", "SELECT page_id, html AS text FROM pages")
+def stream_corpus_read(spark, sf_dir):
+    """S6 streamed: a corpus whose text column has another name, drained into a table."""
+    schema = read_table(spark, sf_dir, "pages").schema
+    pages = read_corpus(spark, f"{sf_dir.rstrip('/')}/pages.parque[t]", text_col="html", streaming=True, schema=schema)
+    return spark.read.parquet(run_to_table(spark, pages.select("page_id", "text"), "s6-stream"))
+
+
 @query("stream_pack_manifest", STREAM_SQL + """
 SELECT source, split, CAST(shard_index AS BIGINT) AS shard_index, CAST(count(*) AS BIGINT) AS n_tokens
 FROM shards GROUP BY ALL""")

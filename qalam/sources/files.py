@@ -164,7 +164,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str | None
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text_col: str = "text",
                 limit: int | None = None, order_col: str | None = None,
                 streaming: bool = False, schema: T.StructType | None = None) -> DataFrame:
-    """A tabular corpus with one text column, bounded or streamed.
+    """A tabular corpus with one text column (called ``text`` in the result), bounded or streamed.
 
     ``limit`` keeps the first N rows by ``order_col`` (top-k, no full sort);
     without ``order_col`` it is Spark's unordered limit.  A stream has no first
@@ -176,6 +176,8 @@ def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text_col:
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.format(fmt).load(path)
+    if text_col != "text":
+        df = df.drop("text").withColumnRenamed(pick_text_column(df, [text_col]), "text")
     if limit is not None:
         df = (df.orderBy(order_col) if order_col else df).limit(limit)
     return df
