@@ -244,8 +244,9 @@ WEB_ARABIC = rx.cls(*rx.WEB_ARABIC)
 def clean_web_text(c: Column) -> Column:
     """C20 rewrite without the gates: Latin runs out, keep Arabic letters and
     Arabic-Indic digits, drop harakat, collapse whitespace, strip."""
-    c = F.regexp_replace(c, WEB_LATIN, " ")
-    c = F.regexp_replace(c, WEB_NOT_KEPT, " ")
+    # Latin letters are not kept either: both steps are one replacement of runs, as the
+    # collapse of white space makes any number of spaces one
+    c = F.regexp_replace(c, f"{WEB_NOT_KEPT}+", " ")
     c = F.regexp_replace(c, WEB_DIACRITICS, "")
     c = F.regexp_replace(c, f"{rx.S}+", " ")
     return py_strip(c)

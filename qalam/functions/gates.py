@@ -76,5 +76,6 @@ def is_numbers_only_comment(c: Column) -> Column:
 
 def web_arabic_share(c: Column) -> Column:
     """G10 measure: Arabic chars over non-space chars (denominator at least 1)."""
-    return F.regexp_count(c, F.lit(cl.WEB_ARABIC)) / F.greatest(
+    arabic = F.length(c) - F.length(F.regexp_replace(c, f"{cl.WEB_ARABIC}+", ""))
+    return arabic / F.greatest(
         F.length(F.regexp_replace(c, " ", "")), F.lit(1))
