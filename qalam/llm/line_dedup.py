@@ -3,7 +3,7 @@
 Lines are parsed to a fixed depth: token count, then the leading tokens (a token
 with a digit is a variable field and reads ``<*>``).  Inside a leaf of the tree a
 token is constant when it stands at its position in enough documents, else the
-position is a variable field.  The line with its variable fields starred is its
+position is a variable field; lines of up to three tokens have no such position.  The line with its variable fields starred is its
 template.  A template that recurs in enough documents is dropped everywhere but
 in the document with the smallest id.
 
@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from qalam.llm.common import materialize
 
 MIN_DOCS = 3           # documents that make a template recurring
-MIN_WORDS = 4          # shorter lines are left alone
 LEADING = 3            # leading tokens in the tree
 CONSTANT = 0.75        # a template needs a larger share of constant tokens
 FIELD = "<*>"
@@ -40,14 +39,14 @@ def line_id(normal: Column) -> Column:
 
 
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
-              min_words: int = MIN_WORDS, leading: int = LEADING, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
+              leading: int = LEADING, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
     """``(lines, recurring)``: ``lines`` has ``doc, id`` per document and distinct line;
     ``recurring`` has ``id, template, docs, first`` for lines of recurring templates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1      # tokens
     lines = (docs.select(F.col(id_col).alias("doc"),
                          F.explode(F.array_distinct(F.transform(F.split(text, "\n"), normal_line))).alias("line"))
-             .withColumn("count", count).filter((F.col("count") >= min_words) & (F.col("line") != ""))
+             .filter(F.col("line") != "").withColumn("count", count)
              .withColumn("leaf", F.xxhash64("count", F.substring_index("line", " ", leading)))
              .withColumn("id", line_id(F.col("line"))).drop("count"))
     keyed = materialize(lines.select("doc", "leaf", "id"))
@@ -91,8 +90,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with two more columns: ``kept_text`` and ``dropped_lines``.
 
     Lines are what stands between line feeds; the kept ones stay as they were, in
-    order.  Lines shorter than ``min_words`` tokens, blank ones too, are never
-    dropped.  A null text stays null with 0 dropped lines.  Rows with the same
+    order.  Blank lines are never dropped; any other may be, however short.  A null text stays null with 0 dropped lines.  Rows with the same
     id are one document; null ids together are one document too.  An empty
     table gives an empty result.  Columns of ``docs`` with the new names are
     replaced."""
