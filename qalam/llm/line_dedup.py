@@ -4,12 +4,12 @@ Lines are parsed to a fixed depth: token count, then the leading tokens (a token
 with a digit is a variable field and reads ``<*>``).  Inside a leaf of the tree a
 token is constant when it stands at its position in enough documents, else the
 position is a variable field; lines of up to three tokens have no such position.  The line with its variable fields starred is its
-template.  A template that recurs in enough documents is dropped everywhere but
-in the document with the smallest id.
+template.  A line that stands in two documents, or whose template does, is dropped
+everywhere but in the document with the smallest id.
 
 Everything is counted over distinct lines with their document counts, so a line
-of a third of all documents is one row; leaves that no second document reaches
-leave the work after the first, text-free count.
+of a third of all documents is one row; leaves of a single distinct line or of
+fewer than ``MIN_DOCS`` documents leave the work after the first, text-free count.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from qalam.llm.common import materialize
 
-MIN_DOCS = 3           # documents that make a template recurring
+MIN_DOCS = 3           # documents that make a token constant at its position
 LEADING = 3            # leading tokens in the tree
 CONSTANT = 0.75        # a template needs a larger share of constant tokens
 FIELD = "<*>"
@@ -41,7 +41,8 @@ def line_id(normal: Column) -> Column:
 def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS,
               leading: int = LEADING, constant: float = CONSTANT) -> tuple[DataFrame, DataFrame]:
     """``(lines, recurring)``: ``lines`` has ``doc, id`` per document and distinct line;
-    ``recurring`` has ``id, template, docs, first`` for lines of recurring templates."""
+    ``recurring`` has ``id, first`` for lines that recur, by themselves or by their template
+    (such a line may stand there twice; each document but a ``first`` drops it)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1      # tokens
     lines = (docs.select(F.col(id_col).alias("doc"),
@@ -50,8 +51,15 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
              .withColumn("leaf", F.xxhash64("count", F.substring_index("line", " ", leading)))
              .withColumn("id", line_id(F.col("line"))).drop("count"))
     keyed = materialize(lines.select("doc", "leaf", "id"))
-    leaves = keyed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs) \
-        .select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    per = materialize(keyed.groupBy("leaf", "id").agg(
+        F.count(F.lit(1)).alias("docs"), F.count("doc").alias("named"), F.min("doc").alias("first"), F.max("doc").alias("last")))
+    # two documents or more: two ids, or one and the null id
+    several = (F.col("first") < F.col("last")) | ((F.col("named") > 0) & (F.col("named") < F.col("docs")))
+    equal = per.filter(several).select("id", "first")
+    # a leaf of one distinct line has nothing to generalise
+    leaves = (per.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("kinds"))
+              .filter((F.col("n") >= min_docs) & (F.col("kinds") > 1))
+              .select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc", "id"), F.lit(SALTS)).cast("int"))
     known = materialize(salted.join(leaves, ["leaf", "salt"], "left_semi").groupBy("leaf", "id", "line")
                         .agg(F.count(F.lit(1)).alias("docs")))
@@ -65,10 +73,10 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
             .filter(F.col("share") > constant)
             .select("id", line_id(F.concat_ws(" ", F.col("ts.t"))).alias("template")))
     made = materialize(made)
-    seen = keyed.join(made, "id").select("template", "doc").distinct()
-    recurring = (seen.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"))
-                 .filter(F.col("docs") >= min_docs))
-    return keyed.select("doc", "id"), materialize(made.join(recurring, "template"))
+    alike = per.join(made, "id").groupBy("template").agg(
+        F.sum("docs").alias("docs"), F.sum("named").alias("named"), F.min("first").alias("first"), F.max("last").alias("last"))
+    alike = made.join(alike.filter(several), "template").select("id", "first")
+    return keyed.select("doc", "id"), materialize(equal.unionByName(alike))
 
 
 def _kept(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:

@@ -16,3 +16,20 @@ def test_short_lines_go_too(spark):
     assert got[0] == [own[0], "All rights reserved.", "", "Thanks!", "Only Red"]
     for o, lines in zip(own[1:], got[1:]):
         assert lines == [o, "", f"Only {o.split(' ')[0]}"]
+
+
+def test_two_documents_make_a_line_recurring(spark):
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    got = kept(spark, [f"The first page of all\n{passage}", f"Another page by someone else\n{passage}", "A third page without it"])
+    assert got == [["The first page of all", passage], ["Another page by someone else"], ["A third page without it"]]
+    # the same id twice is one document; the null id is one of its own
+    df = spark.createDataFrame([(1, passage), (1, passage), (2, "x y"), (None, "x y")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.dropped_lines) for r in line_dedup.dedup_lines(df).collect())
+    assert got == [(0, 1), (1, 0), (1, 0), (2, 0)]
+
+
+def test_templates_of_two_documents(spark):
+    """Constant tokens need three documents, a template two: the first two lines share theirs."""
+    start = "User Ann wrote many good comments in"
+    texts = [f"{start} {end}" for end in ("this old forum today", "this old forum now", "this old board here", "this new forum again")]
+    assert kept(spark, texts) == [[texts[0]], [""], [texts[2]], [texts[3]]]
