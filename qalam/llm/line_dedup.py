@@ -21,15 +21,17 @@ from qalam.llm.common import materialize
 
 MIN_DOCS = 3           # documents that make a token constant at its position
 LEADING = 3            # leading tokens in the tree
-CONSTANT = 0.75        # a template needs a larger share of constant tokens
+CONSTANT = 0.75        # a template needs a larger share of constant tokens (or fields starred in the whole leaf)
 FIELD = "<*>"
 SALTS = 16             # parts of a leaf when its lines are looked up
 
 
 def normal_line(line: Column) -> Column:
-    """The line's tokens with fields that hold a digit starred, one space between.  Most
+    """The line's tokens with fields that hold a digit starred, one space between; a line
+    of such fields alone keeps them, as two numbers are not the same line.  Most
     lines hold neither digits nor odd white space and are only trimmed."""
-    starred = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)
+    starred = F.when(line.rlike(r"(?<!\S)[^\s0-9]++(?!\S)"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)) \
+        .otherwise(line)
     full = F.trim(F.regexp_replace(starred, r"\s+", " "))
     return F.when(line.rlike(r"[0-9\t\x0B-\r]|  "), full).otherwise(F.trim(line))
 
@@ -59,13 +61,15 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     # a leaf of one distinct line has nothing to generalise
     leaves = (per.groupBy("leaf").agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("kinds"))
               .filter((F.col("n") >= min_docs) & (F.col("kinds") > 1))
-              .select("leaf", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
+              .select("leaf", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")))
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("doc", "id"), F.lit(SALTS)).cast("int"))
-    known = materialize(salted.join(leaves, ["leaf", "salt"], "left_semi").groupBy("leaf", "id", "line")
-                        .agg(F.count(F.lit(1)).alias("docs")))
-    tokens = known.select("leaf", "id", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
-    often = (tokens.filter(F.col("token") != FIELD).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"))
-             .filter(F.col("n") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("fixed")))
+    known = materialize(salted.join(leaves, ["leaf", "salt"]).groupBy("leaf", "id", "line")
+                        .agg(F.count(F.lit(1)).alias("docs"), F.first("n").alias("of")))
+    tokens = known.select("leaf", "id", "docs", "of", F.posexplode(F.split("line", " ")).alias("pos", "token"))
+    # a position starred in the whole leaf is agreed upon like a constant one
+    agreed = (F.col("token") != FIELD) | (F.col("n") == F.col("of"))
+    often = (tokens.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("n"), F.first("of").alias("of"))
+             .filter((F.col("n") >= min_docs) & agreed).select("leaf", "pos", "token", F.lit(True).alias("fixed")))
     shown = F.when(F.col("fixed"), F.col("token")).otherwise(FIELD)
     made = (tokens.join(often, ["leaf", "pos", "token"], "left")
             .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", shown.alias("t")))).alias("ts"),

@@ -33,3 +33,13 @@ def test_templates_of_two_documents(spark):
     start = "User Ann wrote many good comments in"
     texts = [f"{start} {end}" for end in ("this old forum today", "this old forum now", "this old board here", "this new forum again")]
     assert kept(spark, texts) == [[texts[0]], [""], [texts[2]], [texts[3]]]
+
+
+def test_lines_with_digits(spark):
+    same = ["Copyright 2024 Acme Inc", "Page 3 of 10", "12:30:01 2024-05-06 GET", "1 2 3 4"]
+    texts = ["\n".join([f"Own words of {name}", *same, f"{n} {n}"]) for name, n in (("Ann", 5), ("Bob", 6))]
+    got = kept(spark, texts)
+    assert got[0] == texts[0].split("\n") and got[1] == ["Own words of Bob", "6 6"]    # numbers alone: verbatim only
+    # fields starred in the whole leaf count as agreed: 9 of 10 with them, 6 without
+    texts = [f"On {i} at {i} from {i} user {name} wrote this" for i, name in enumerate(["Ann", "Bob", "Cid", "Dan"])]
+    assert kept(spark, texts) == [[texts[0]], [""], [""], [""]]
