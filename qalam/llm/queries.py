@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qalam.llm import bpe_prefix, fingerprint, id_files, line_dedup, mixing, ngram_join, pii, quality, sharding
+from qalam.llm import (best_fit, bpe_prefix, filter_audit, fingerprint, id_files, line_dedup, mixing, ngram_join, pii,
+                       piece_table, quality, sharding)
 from qalam.llm import exact_dedup as ed
 from qalam.llm.common import documents, fresh_folder
+from qalam.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +132,67 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     shaped = quality.prepare(documents(spark, sf_dir))
     model, _ = quality.fit(shaped)
     return quality.score(shaped, model)
+
+
+_MASKS = r"""
+words AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+lab AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    {'A': len(w) < 100, 'B': 100 * len(list_distinct(w)) < 80 * len(w),
+     'C': 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+     'D': regexp_matches(t, '[#$%&*|]'),
+     'E': coalesce(min(words.doc_id) OVER (PARTITION BY t) < words.doc_id, false)} AS f
+    FROM words LEFT JOIN lab ON lab.doc_id = words.doc_id),
+m AS (SELECT part, good, toxic, [f.A, f.B, f.C, f.D, f.E] AS f, count(*) AS n FROM fails GROUP BY ALL)"""
+
+
+@query("op11_filter_audit", oracle=f"""
+WITH {_MASKS},
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM l a, l b, l c, l d, l e
+    WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+x AS (SELECT part, good, toxic, n, o, step, f[o[step]] AS fails,
+    coalesce(list_bool_or(list_transform(o[1:step - 1], lambda k: f[k])), false) AS gone,
+    f[o[step]] AND len(list_filter(f, lambda y: y)) = 1 AS alone FROM m, s),
+r AS (SELECT part, o, step,
+    coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept,
+    coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fails AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (fails AND NOT gone AND good), 0) AS good_lost,
+    coalesce(sum(n) FILTER (fails AND NOT gone AND toxic), 0) AS toxic_lost FROM x GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, step, kept::BIGINT AS kept,
+    removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, o[step]))::BIGINT AS shapley FROM r""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from the documents in each order of the filters."""
+    path = f"{sf_dir.rstrip('/')}/documents.parque[t]"       # a file or a folder
+    return filter_audit.audit(spark, path, read_table(spark, sf_dir, "labels"))
+
+
+@query("op12_fill_in_middle", oracle=r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units, ('0x' || h[1:8])::BIGINT AS h1,
+    ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS lo,
+    greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS hi FROM u),
+p AS (SELECT *, array_to_string(units[1:lo], '') AS pre, array_to_string(units[lo + 1:hi], '') AS mid,
+    array_to_string(units[hi + 1:n], '') AS suf, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>')
+    OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""")
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut into prefix, middle and suffix, arranged, and restored."""
+    back = piece_table.restore(piece_table.fill_in_middle(documents(spark, sf_dir)))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query("op13_best_fit")
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in the packed sequences."""
+    packed = best_fit.pack(documents(spark, sf_dir), ids_crc32=F.crc32("ids"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
