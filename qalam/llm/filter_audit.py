@@ -144,8 +144,8 @@ def count_masks(spark: SparkSession, path: str, labels: DataFrame, batches: int
     known = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long" if whole else "string").alias("id")).agg(
         F.max(F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))).alias("good"),
         F.max(F.coalesce((F.col("toxic") == 1).cast("int"), F.lit(0))).alias("toxic")).withColumn("salt", F.lit(0))
-    # rows without an id find no label: a salt from the text spreads them
-    salt = F.when(F.col("id").isNull(), F.xxhash64("digest", "part").cast("int")).otherwise(F.lit(0))
+    # rows without an id find no label: a seeded draw (the same when a scan task runs again) spreads them
+    salt = F.when(F.col("id").isNull(), F.floor(F.rand(17) * (1 << 20))).otherwise(F.lit(0)).cast("int")
     rows = rows.withColumn("salt", salt).join(known, ["id", "salt"], "left").select(
         "id", "digest", "part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
     id_kind = "long" if whole else "string"
