@@ -18,6 +18,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def count_words(text: Column) -> Column:
+    """Words of a text that is not null, without an array of them: runs of space between words, and one."""
+    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    joined = F.regexp_replace(inner, r"[\x20\x09-\x0D]+", " ")
+    gaps = F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(" "), F.lit("")))
+    return (gaps + (inner != "").cast("int")).cast("long")
+
+
 def fresh_folder(spark: SparkSession, kind: str) -> str:
     """A new path in the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex[:16]}"
@@ -39,6 +47,12 @@ def seeded_key(seed: int, *cols: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary"))
 
 
+def spread_key(seed: int, id_col: Column, text: Column, row: Column) -> Column:
+    """``seeded_key`` of the id; rows without an id take their text and row number in its
+    place, so that many of them spread like others."""
+    return F.when(id_col.isNull(), seeded_key(seed, F.lit("null"), F.xxhash64(text), row)).otherwise(seeded_key(seed, id_col))
+
+
 def key_bucket(key: Column, n: int) -> Column:
     """Bucket 0..n-1 of a hex MD5 key; buckets follow the order of the keys."""
     head = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")

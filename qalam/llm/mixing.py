@@ -3,8 +3,8 @@
 A multivariate-hypergeometric splitting tree.  The documents of each source
 are permuted by a seeded key and cut into blocks (ranges of the key).  The
 target of a source says how often each of its blocks is used: whole passes
-first, then the first blocks of the permutation up to the target, the last one
-filled document by document.  The tree then deals these block uses to output
+first, then the first blocks of the permutation up to the target, the rest of
+the room filled document by document.  The tree then deals these block uses to output
 shards: a node holds the block count of every source and draws the counts of
 its left half without replacement, exactly, down to single shards.  Each shard
 takes a disjoint run of every source's permuted blocks and shuffles locally.
@@ -12,16 +12,18 @@ takes a disjoint run of every source's permuted blocks and shuffles locally.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qalam.llm.common import WORD, buckets_for, key_bucket, materialize, running_offsets, seeded_key, source_key
+from qalam.llm.common import buckets_for, count_words, key_bucket, materialize, running_offsets, source_key, spread_key
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
 ROWS_PER_BLOCK = 256
+BLOCKS_AT_ONCE = 4
 #: One row per source reaches the driver; more sources than this are refused, never cut.
 MOST_SOURCES = 100_000
 
@@ -67,20 +69,43 @@ def split_tree(counts: list[int], shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def _fill(room_col: str):
-    """First-fit of one boundary block: documents in permuted order while they fit."""
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", "doc_id", "size"], kind="stable", na_position="first")
-        room, size = float(pdf[room_col].iloc[0]), pdf["size"].to_numpy()
-        takes = np.zeros(len(size), dtype=np.int64)
-        for i, s in enumerate(size):
-            if 0 < s <= room:
-                takes[i], room = 1, room - s
-        over = np.flatnonzero((takes == 0) & (size > room))
-        if len(over) and (i := over[np.argmin(size[over])]) >= 0 and size[i] - room < room:
-            takes[i] = 1                     # one too many is nearer than one too few
-        return pdf.assign(extra=takes)[["row", "extra"]]
-    return fill
+def _fitting(rows: DataFrame, edges: list[tuple[str, int, int]]) -> DataFrame:
+    """Documents that fill what whole blocks leave: ``src, row``.
+
+    ``edges`` has for each source with room its name, the room and its first unused
+    block.  Each round goes, for all such sources at once, to the next block that
+    holds a document within the room, and takes documents of that block and a few
+    after it while they fit, in permuted order; it ends when no unused document
+    fits.  Last, one too many is nearer than one too few where the smallest unused
+    document exceeds the room by less than the room."""
+    spark, open_now = rows.sparkSession, edges
+    used = spark.createDataFrame([], "src string, row long")
+    while open_now:
+        at = spark.createDataFrame(open_now, "src string, room long, edge long")
+        near = rows.join(F.broadcast(at), "src").filter("block >= edge AND size > 0 AND size <= room")
+        hops = [(r["src"], r["room"], r["edge"]) for r in
+                near.groupBy("src", "room").agg(F.min("block").alias("edge")).collect()]     # <= MOST_SOURCES rows
+        if not hops:
+            break
+        at = spark.createDataFrame(hops, "src string, room long, edge long")
+        some = rows.join(F.broadcast(at), "src").filter(
+            f"block >= edge AND block < edge + {BLOCKS_AT_ONCE} AND size > 0 AND size <= room")
+        docs = F.array_sort(F.collect_list(F.struct("key", "row", "size")))
+        start = F.struct(F.col("room"), F.array().cast("array<long>").alias("rows"))
+        taken = some.groupBy("src", "room", "edge").agg(docs.alias("docs")).withColumn("took", F.aggregate(
+            "docs", start, lambda a, d: F.when(d["size"] <= a["room"], F.struct(
+                (a["room"] - d["size"]).alias("room"), F.concat(a["rows"], F.array(d["row"])).alias("rows"))).otherwise(a)))
+        taken = materialize(taken.select("src", "took.*", (F.col("edge") + BLOCKS_AT_ONCE).alias("edge")))
+        used = used.unionByName(taken.select("src", F.explode("rows").alias("row")))
+        rooms = {r["src"]: (r["room"], r["edge"]) for r in taken.select("src", "room", "edge").collect()}
+        open_now = [(s, *rooms[s]) for s, _, _ in hops if rooms[s][0] > 0]
+    filled = used.join(rows.select("row", "size"), "row").groupBy("src").agg(F.sum("size").alias("filled"))
+    left = spark.createDataFrame(edges, "src string, room long, edge long").join(filled, "src", "left") \
+        .withColumn("room", F.col("room") - F.coalesce("filled", F.lit(0)))
+    rest = rows.filter("size > 0").join(F.broadcast(left), "src").filter("block >= edge") \
+        .join(used.select("row"), "row", "left_anti")
+    least = rest.groupBy("src", "room").agg(F.min(F.struct("size", "key", "row")).alias("least"))
+    return used.unionByName(least.filter("least.size - room < room").select("src", "least.row"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, shards: int = 8, seed: int = 29,
@@ -93,18 +118,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, shards: in
     ``size`` counts the words of the text (null: 0).  Sources are ordered by code
     point, null last, and weigh ``weights`` in turn.  A document without words
     is used once for each whole pass over its source.  A null id is an id like
-    any other; repeated rows are used independently.  ``row_col`` names a column of
+    any other, spread by the text and the row; repeated rows are used independently.
+    Texts of any length are counted whole.  Each source's used words end nearer to
+    its target than its smallest unused document.  ``row_col`` names a column of
     unique row numbers; without it rows are numbered here.  An empty table gives
     empty results.  Other columns are ignored.
     """
     k = buckets_for(docs.count(), rows_per_block)
-    given = [F.col(row_col).alias("row")] if row_col else []
-    rows = docs.select(
-        *given, F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-    rows = (rows.withColumn("src", source_key(F.col("source"))).withColumn("key", seeded_key(seed, F.col("doc_id")))
-            .withColumn("block", key_bucket(F.col("key"), k)))
-    rows = materialize(rows if row_col else rows.withColumn("row", F.monotonically_increasing_id()))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+                       text.alias("text"))
+    rows = materialize(rows.select(
+        "row", "doc_id", "source", source_key(F.col("source")).alias("src"), count_words(F.col("text")).alias("size"),
+        spread_key(seed, F.col("doc_id"), F.col("text"), F.col("row")).alias("key"))
+        .withColumn("block", key_bucket(F.col("key"), k)))
 
     blocks = rows.groupBy("src", "block").agg(F.sum("size").alias("words"))
     blocks = materialize(running_offsets(blocks, ["src"], "block", "words", "before"))
@@ -121,19 +149,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: float = MOST_REPEATS, shards: in
     plan_rows = [(r["src"], s, g, p, g - p * s if s else 0.0) for r, s, g, p in zip(table, of, goal, passes)]
     plan = spark.createDataFrame(plan_rows, "src string, source_size long, target double, passes int, room double")
 
-    dealt = blocks.join(F.broadcast(plan), "src")       # <= MOST_SOURCES rows
-    fits = (F.col("room") > 0) & (F.col("before") + F.col("words") <= F.col("room"))
-    dealt = dealt.withColumn("extra_block", fits.cast("int")) \
-        .withColumn("edge", ~fits & (F.col("before") < F.col("room"))) \
-        .withColumn("edge_room", F.col("room") - F.col("before"))
-    per_row = rows.join(dealt.drop("words", "before", "room"), ["src", "block"])
-    edge = per_row.filter("edge").select("src", "block", "row", "key", "doc_id", "size", "edge_room")
-    filled = edge.groupBy("src", "block").applyInPandas(_fill("edge_room"), "row long, extra int")
-    out = (per_row.join(filled, "row", "left")
-           .withColumn("copies", F.col("passes") + F.when(F.col("edge"), F.coalesce("extra", F.lit(0)))
-                       .otherwise(F.col("extra_block"))))
-    out = materialize(out.select("row", "doc_id", "source", "src", "block", "key", "size", "source_size", "target",
-                                 "copies"))
+    # whole blocks up to the room, then documents of the blocks after them
+    dealt = materialize(blocks.join(F.broadcast(plan), "src")       # <= MOST_SOURCES rows
+                        .withColumn("extra", ((F.col("room") > 0) & (F.col("before") + F.col("words") <= F.col("room"))).cast("int"))
+                        .drop("before"))
+    edges = dealt.groupBy("src").agg(F.min(F.when(F.col("extra") == 0, F.col("block"))).alias("edge"),
+                                     F.floor(F.max("room") - F.sum(F.col("words") * F.col("extra"))).alias("room"))
+    edges = [(r["src"], r["room"], r["edge"]) for r in edges.filter("edge IS NOT NULL AND room > 0").collect()]
+    out = rows.join(dealt.drop("words", "room"), ["src", "block"]).withColumn("one", F.lit(0))
+    if edges:
+        one = _fitting(rows, edges).select("row", F.lit(1).alias("one"))
+        out = out.drop("one").join(one, "row", "left").withColumn("one", F.coalesce("one", F.lit(0)))
+    out = materialize(out.withColumn("copies", F.col("passes") + F.col("extra") + F.col("one")).select(
+        "row", "doc_id", "source", "src", "block", "key", "size", "source_size", "target", "copies"))
 
     # block uses: (pass, block) in order; the tree deals their numbers to the shards
     used = out.filter("copies > 0").select("src", "block", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("pass"))
