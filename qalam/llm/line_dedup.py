@@ -83,14 +83,24 @@ def templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return keyed.select("doc", "id"), materialize(equal.unionByName(alike))
 
 
+def _set(line: Column, sets: Column) -> Column:
+    return F.pmod(F.xxhash64(line), sets).cast("int")
+
+
 def _kept(docs: DataFrame, id_col: str, text_col: str, **options) -> DataFrame:
     """``docs`` with ``__text`` (kept lines) and ``__dropped`` (their number)."""
     lines, recurring = templates(docs, id_col, text_col, **options)
     drops = (lines.join(recurring.select("id", "first"), "id").filter(~F.col("doc").eqNullSafe(F.col("first")))
-             .groupBy("doc").agg(F.collect_set("id").alias("__drop")).withColumnRenamed("doc", "__doc"))
+             .groupBy("doc").agg(F.collect_set("id").alias("ids")))
+    # a document's dropped lines in as many sets as each set has lines: a look-up reads one set
+    sets = F.ceil(F.sqrt(F.size("ids"))).cast("int")
+    drops = drops.select(F.col("doc").alias("__doc"), F.transform(
+        F.sequence(F.lit(0), sets - 1), lambda k: F.filter("ids", lambda x: _set(x, sets) == k)).alias("__drop"))
     joined = docs.join(drops, docs[id_col].eqNullSafe(F.col("__doc")), "left")
     parts = F.split(F.col(text_col), "\n")
-    kept = F.filter(parts, lambda x: ~F.array_contains(F.col("__drop"), line_id(normal_line(x))))
+    named = F.transform(parts, lambda x: F.struct(x.alias("line"), line_id(normal_line(x)).alias("id")))
+    kept = F.transform(F.filter(named, lambda x: ~F.array_contains(
+        F.get("__drop", _set(x["id"], F.size("__drop"))), x["id"])), lambda x: x["line"])
     out = joined.withColumn("__kept", F.when(F.col("__drop").isNotNull(), kept))
     none = F.col("__drop").isNull() | F.col(text_col).isNull()
     return (out.withColumn("__text", F.when(none, F.col(text_col)).otherwise(F.array_join("__kept", "\n")))
@@ -102,8 +112,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with two more columns: ``kept_text`` and ``dropped_lines``.
 
     Lines are what stands between line feeds; the kept ones stay as they were, in
-    order.  Blank lines are never dropped; any other may be, however short.  A null text stays null with 0 dropped lines.  Rows with the same
-    id are one document; null ids together are one document too.  An empty
+    order.  Blank lines are never dropped; any other may be, however short.  A text of n
+    lines, d of them dropped, takes n times the root of d look-ups.  A null text
+    stays null with 0 dropped lines.  Rows with the same id are one document; null ids together are one document too.  An empty
     table gives an empty result.  Columns of ``docs`` with the new names are
     replaced."""
     out = _kept(docs, id_col, text_col, **options).drop("kept_text", "dropped_lines")

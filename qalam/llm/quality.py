@@ -46,7 +46,7 @@ def labellers(s: Column, words: Column) -> dict[str, Column]:
     def bad(pattern: str, at_least: float) -> Column:
         return F.when(_share(s, pattern, words) >= at_least, 0).otherwise(2)
 
-    plain = _share(s, r"(?<![^ \n])[('\"]?2?1?(['-][12]+)*[.,;:!?)'\"]?(?![^ \n])", words)
+    plain = _share(s, r"(?<![^ \n])[('\"]?2?1?(?:['-][12]++)*+[.,;:!?)'\"]?(?![^ \n])", words)
     breaks = _share(s, r"1[.!?]['\")]?[ \n]+2", words)
     runs = _share(s, r"1[,;]?[ \n](?=1)", words)
     votes = {
