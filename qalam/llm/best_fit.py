@@ -172,7 +172,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     before = running_offsets(counts, ["length"], "__part", "__n", "__before").drop("__n")
     own = Window.partitionBy("length", "__part").orderBy("__row")
-    ranked = rows.withColumn("__rank", F.row_number().over(own)).join(before, ["length", "__part"])
+    ranked = rows.withColumn("__rank", F.row_number().over(own)).join(before.hint("merge"), ["length", "__part"])
     return (ranked.withColumn("__at", slot("length", F.col("__before") + F.col("__rank") - 1))
             .select(*cut.columns, "__at.sequence_id", "__at.offset"))
 
