@@ -18,6 +18,8 @@ from qalam.functions import regex as rx
 from qalam.functions.text import py_strip
 
 # --- Fixed values: patterns of the profiles (Java syntax, Python semantics) ---
+# Repeated groups are possessive: Java runs them as a loop, other groups of varying
+# length by recursion, which a long text turns into a stack overflow.
 
 URL = f"(?i)https?://{rx.NOT_S}+|www\\.{rx.NOT_S}+"
 MENTION = f"@{rx.W}+"
@@ -28,7 +30,7 @@ HTML_TAG = "<[^>]+>"
 # before a letter or digit a word boundary is simply "no word character before"
 ENGLISH_WORD = f"(?<!{rx.W})[A-Za-z][A-Za-z0-9'-]*{rx.B}"
 CLOCK_TIME = f"(?<!{rx.W}){rx.D}{{1,2}}:{rx.D}{{2}}(?::{rx.D}{{2}})?(?!{rx.W})"
-DIVIDER = "(?:[-_=*~#][ \\t]*){3,}"
+DIVIDER = "(?:[-_=*~#][ \\t]*+){3,}+"
 NEWLINE_RUN = f"{rx.S}*\\n{rx.S}*"
 # Same matches as NEWLINE_RUN (a whitespace run that holds a newline, whole),
 # but tried only at run starts: linear instead of quadratic on long runs.
@@ -40,8 +42,8 @@ EMOJI_FORUM = rx.cls(*rx.EMOJI_FORUM) + "+"
 EMOJI_COMMENT = rx.cls(*rx.EMOJI_COMMENT) + "+"
 
 _A3 = rx.body("0600-06FF", "0750-077F", "08A0-08FF")
-SPACED_PUNCT_FORUM = f"(?:[^\\p{{L}}\\p{{N}}_{rx.SPACE_BODY}{rx.body('0600-06FF')}][ \\t]*){{3,}}"
-SPACED_PUNCT_COMMENT = f"(?:[^\\p{{L}}\\p{{N}}_{rx.SPACE_BODY}{_A3}][ \\t]*){{3,}}"
+SPACED_PUNCT_FORUM = f"(?:[^\\p{{L}}\\p{{N}}_{rx.SPACE_BODY}{rx.body('0600-06FF')}][ \\t]*+){{3,}}+"
+SPACED_PUNCT_COMMENT = f"(?:[^\\p{{L}}\\p{{N}}_{rx.SPACE_BODY}{_A3}][ \\t]*+){{3,}}+"
 SPACED_ARABIC_SPAN = f"(?:(?:[{_A3}] ){{5,}}[{_A3}])"
 # tokens (runs without white space) counted in one scan of the text
 TOKEN = f"{rx.NOT_S}++"

@@ -16,7 +16,7 @@ from qalam.functions.html import unescape_html
 from qalam.functions.text import py_splitlines_pattern, py_strip
 from qalam.plans.session import spread
 
-TAG_ONLY = f"^(?:\\[[^\\]]*\\]{rx.S}*)+\\z"
+TAG_ONLY = f"^(?:\\[[^\\]]*+\\]{rx.S}*+)++\\z"
 SOUND_TAG = "\\[[^\\]]*\\]"
 INLINE_TIME = f"<{rx.D}{{2}}:{rx.D}{{2}}:{rx.D}{{2}}\\.{rx.D}+>"
 CAPTION_TAG = "</?c>"
