@@ -1,33 +1,28 @@
 """Subword vocabulary learning and use.
 
-Learning (M1) runs as Spark rounds over the table of distinct words with
-their frequencies; a word's symbols are one space-joined string.  A round
-counts adjacent symbol pairs (``explode`` + ``groupBy().sum(freq)``, partial
-aggregation map-side), brings only the top ranked pairs to the driver
-(bounded by ``batch``), and applies the chosen merges as JVM regex rewrites.
-
-Batched rounds stay exact: merging (A,B) only lowers counts of pairs that
-share A or B, and a new pair (X,AB) never outcounts (X,A).  So after the
-best pair, the next ranked pairs that share no symbol with the ones taken
-are the same choices one-at-a-time merging would make, as long as each
-count is strictly above every untaken pair touching a taken symbol.  A pair
-of equal symbols, or one whose merged string already exists, goes alone.
+``learn_bpe`` learns the merges one at a time in few passes (``bpe_learn``), or in
+fast mode several at once.  ``encode`` cuts texts into words in the JVM and
+encodes them per document in an Arrow function: no token is shuffled.
 
 Ids: specials 0–4, sorted alphabet (initial then ``##`` pieces), merges in rank order.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import functools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from qalam.operators.bpe_learn import MOST_RUNS, joined, learn_merges, merge_symbols, pair_counts
 from qalam.operators.pack import BOS, EOS, SPECIALS, UNK
 from qalam.plans.session import materialize
 
 PRETOKEN = "(?U)\\w+|[^\\w\\s]+"   # the Whitespace pre-tokenizer: \w+|[^\w\s]+
 MAX_BROADCAST_VOCAB = 1_000_000   # subword vocabularies are 32k-64k; refuse anything unbounded
+WORD_BYTES = 64 << 20             # encoded words a worker remembers, about; it starts over when full
 
 
 def pretokenize(text_col: str = "text") -> F.Column:
@@ -46,19 +41,6 @@ def initial_symbols(word: F.Column, prefix: str = "##") -> F.Column:
     return F.array_join(F.transform(chars, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(prefix), c))), " ")
 
 
-def _pairs(words: DataFrame) -> DataFrame:
-    s = F.split("sym", " ")
-    n = F.size(s)
-    z = F.arrays_zip(F.slice(s, 1, n - 1).alias("l"), F.slice(s, 2, n - 1).alias("r"))
-    return (words.filter(n > 1).select(F.explode(z).alias("p"), "freq")
-                 .groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r"))
-                 .agg(F.sum("freq").cast("long").alias("c")))
-
-
-def _merged(l: str, r: str, prefix: str) -> str:
-    return l + (r[len(prefix):] if r.startswith(prefix) else r)
-
-
 def _java_quote(s: str) -> str:
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
@@ -70,164 +52,131 @@ def _apply(sym: F.Column, merges) -> F.Column:
     return sym
 
 
-def choose_batch(ranked, existing: set[str], prefix: str, batch: int, exact: bool = True):
-    """Pick the merges of one round from pairs ranked by (count desc, l, r).
-    ``ranked`` holds up to batch+1 rows; the extra row bounds unseen pairs.
-    ``exact=False``: every symbol-disjoint pair of the list (fast mode)."""
-    if not exact:
-        taken, used, made = [], set(), set()
-        for l, r, c in ranked[:batch]:
-            m = _merged(l, r, prefix)
-            if l in used or r in used or l == r or m in existing or m in made:
-                continue
-            taken.append((l, r, c))
-            used |= {l, r}
-            made.add(m)
-        return taken or [ranked[0]]
-    first = ranked[0]
-    taken = [first]
-    used = {first[0], first[1]}
-    m0 = _merged(first[0], first[1], prefix)
-    if first[0] == first[1] or m0 in existing:
-        return taken
-    bound = 0   # highest count of an untaken pair touching a taken symbol
-    for l, r, c in ranked[1:batch]:
-        touches = l in used or r in used
-        if touches:
-            bound = max(bound, c)
+def disjoint_pairs(ranked: list[tuple[str, str, int]], existing: set[str], prefix: str) -> list[tuple[str, str, int]]:
+    """The merges of a round in fast mode: every pair of the ranked list that shares no symbol with a better one."""
+    taken, used, made = [], set(), set()
+    for l, r, c in ranked:
+        m = joined(l, r, prefix)
+        if l in used or r in used or l == r or m in existing or m in made:
             continue
-        m = _merged(l, r, prefix)
-        if l == r or m in existing or c <= bound or m in {_merged(a, b, prefix) for a, b, _ in taken}:
-            break
         taken.append((l, r, c))
         used |= {l, r}
-    tail = ranked[batch][2] if len(ranked) > batch else 0
-    # pairs beyond the list are bounded by the last listed count
-    while len(taken) > 1 and taken[-1][2] <= max(bound, tail):
-        taken.pop()
-    return taken
+        made.add(m)
+    return taken or [ranked[0]]
+
+
+def _fast_merges(spark: SparkSession, words: DataFrame, alphabet: list[str], budget: int, min_frequency: int, prefix: str,
+                 batch: int, checkpoint_every: int = 10):
+    """Rounds that merge all symbol-disjoint pairs among the ``batch`` best."""
+    existing, merges, rounds, prev = set(SPECIALS) | set(alphabet), [], [], None
+    words = words.persist()
+    while len(merges) < budget:
+        ranked = [(r["l"], r["r"], r["c"]) for r in pair_counts(words).orderBy(F.desc("c"), "l", "r").limit(batch).collect()]
+        if not ranked or ranked[0][2] < min_frequency:
+            break
+        take = [t for t in disjoint_pairs(ranked, existing, prefix) if t[2] >= min_frequency][: budget - len(merges)]
+        step = [(l, r, joined(l, r, prefix)) for l, r, _ in take]
+        merges += [(l, r, m, c) for (l, r, m), (_, _, c) in zip(step, take)]
+        existing |= {m for _, _, m in step}
+        rounds.append(len(step))
+        if prev is not None:
+            prev.unpersist()      # the table it fed is cached by now (last job)
+        prev, words = words, words.select("freq", _apply(F.col("sym"), step).alias("sym"))
+        words = (materialize(words) if len(rounds) % checkpoint_every == 0 else words).persist()
+    for one in (words, prev):
+        if one is not None:
+            one.unpersist()
+    return merges, rounds
 
 
 def learn_bpe(spark: SparkSession, corpus: DataFrame, text_col: str = "text", vocab_size: int = 32000,
-              min_frequency: int = 2, prefix: str = "##", batch: int = 64, checkpoint_every: int = 10,
-              exact: bool = True):
+              min_frequency: int = 2, prefix: str = "##", batch: int = 64, exact: bool = True,
+              most_runs: int = MOST_RUNS):
     """M1: returns ``(merges, vocab)`` DataFrames:
     ``merges(rank, left, right, merged, count, exact)`` and ``vocab(token, id)``.
 
-    ``exact=True`` gives the one-merge-at-a-time result (batched only where
-    provably equal); ``exact=False`` merges all symbol-disjoint top pairs of
-    a round — far fewer rounds, slightly different merge order (flagged in
+    ``exact=True`` gives the one-merge-at-a-time result (``most_runs`` bounds what a
+    pass brings to the driver); ``exact=False`` merges all symbol-disjoint pairs
+    among the ``batch`` best of a round, a slightly different order (flagged in
     the ``exact`` column)."""
-    words = word_frequencies(corpus, text_col).select("freq", initial_symbols(F.col("word"), prefix).alias("sym"))
-    words = materialize(words).persist()
+    words = word_frequencies(corpus, text_col).select(initial_symbols(F.col("word"), prefix).alias("sym"), "freq")
+    words = materialize(words)
     alpha = (words.select(F.explode(F.split("sym", " ")).alias("t")).distinct()
                   .agg(F.collect_list("t")).first()[0])
     alphabet = sorted(a for a in alpha if not a.startswith(prefix)) + sorted(a for a in alpha if a.startswith(prefix))
-    existing = set(SPECIALS) | set(alphabet)
-    merges: list[tuple[str, str, str, int]] = []
     budget = vocab_size - len(SPECIALS) - len(alphabet)
-    rounds = 0
-    prev = None
-    log: list[int] = []
-    while len(merges) < budget:
-        ranked = [(r["l"], r["r"], r["c"]) for r in
-                  _pairs(words).orderBy(F.desc("c"), "l", "r").limit(batch + 1).collect()]
-        if not ranked or ranked[0][2] < min_frequency:
-            break
-        take = [t for t in choose_batch(ranked, existing, prefix, batch, exact) if t[2] >= min_frequency]
-        take = take[: budget - len(merges)]
-        step = [(l, r, _merged(l, r, prefix)) for l, r, _ in take]
-        merges += [(l, r, m, c) for (l, r, m), (_, _, c) in zip(step, take)]
-        existing |= {m for _, _, m in step}
-        if prev is not None:
-            prev.unpersist()      # the table it fed is cached by now (last job)
-        prev = words
-        words = words.select("freq", _apply(F.col("sym"), step).alias("sym"))
-        rounds += 1
-        # the distinct-word table is reused every round: keep it cached (the
-        # previous copy is released only after the next job filled this one),
-        # and cut lineage with a written table every few rounds
-        words = (materialize(words) if rounds % checkpoint_every == 0 else words).persist()
-        log.append(len(step))
-    words.unpersist()
-    if prev is not None:
-        prev.unpersist()
+    if exact:
+        merges, log = learn_merges(spark, words, alphabet, budget, min_frequency, prefix, most_runs)
+    else:
+        merges, log = _fast_merges(spark, words, alphabet, budget, min_frequency, prefix, batch)
     learn_bpe.last_rounds = log
     mdf = spark.createDataFrame([(i, l, r, m, c, exact) for i, (l, r, m, c) in enumerate(merges)],
                                 "rank int, left string, right string, merged string, count long, exact boolean")
-    tokens = list(SPECIALS) + alphabet
-    seen = set(tokens)
-    for _, _, m, _ in merges:
-        if m not in seen:
-            tokens.append(m)
-            seen.add(m)
+    tokens = list(dict.fromkeys([*SPECIALS, *alphabet, *(m for _, _, m, _ in merges)]))
     vdf = spark.createDataFrame(list(enumerate(tokens)), "id int, token string").select("token", "id")
     return mdf, vdf
 
 
-def _bpe_word(word: str, ranks: dict, vocab: dict, prefix: str) -> list[int]:
-    syms = [c if i == 0 else prefix + c for i, c in enumerate(word)]
-    while len(syms) > 1:
-        best, at = None, -1
-        for i in range(len(syms) - 1):
-            rk = ranks.get((syms[i], syms[i + 1]))
-            if rk is not None and (best is None or rk < best):
-                best, at = rk, i
-        if best is None:
-            break
-        merged = _merged(syms[at], syms[at + 1], prefix)
-        out, i = [], 0
-        pair = (syms[at], syms[at + 1])
-        while i < len(syms):
-            if i < len(syms) - 1 and (syms[i], syms[i + 1]) == pair:
-                out.append(merged)
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return [vocab.get(s, UNK) for s in syms]
+class WordEncoder(dict):
+    """Ids of words, remembered up to about ``room`` bytes."""
+
+    def __init__(self, ranks: dict[tuple[str, str], int], vocab: dict[str, int], prefix: str, room: int = WORD_BYTES):
+        super().__init__()
+        self.ranks, self.vocab, self.prefix, self.room, self.held = ranks, vocab, prefix, room, 0
+
+    def rank(self, left: str, right: str, now: int) -> int | None:
+        return self.ranks.get((left, right))
+
+    def __missing__(self, word: str) -> list[int]:
+        symbols = [c if i == 0 else self.prefix + c for i, c in enumerate(word)]
+        ids = [self.vocab.get(s, UNK) for s in merge_symbols(symbols, self.rank, self.prefix)]
+        size = 200 + 2 * len(word) + 8 * len(ids)
+        if self.held + size > self.room:
+            self.clear()
+            self.held = 0
+        if size <= self.room:
+            self.held += size
+            self[word] = ids
+        return ids
+
+
+def _encoded(tables, prefix: str, drop_empty: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    coder = WordEncoder(*tables(), prefix)
+    for batch in batches:
+        ids = [[i for w in words or () for i in coder[w]] for words in batch.column(batch.num_columns - 1).to_pylist()]
+        out = pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))],
+                                         names=[*batch.schema.names[:-1], "ids"])
+        yield out.filter(pa.array([bool(x) for x in ids], pa.bool_())) if drop_empty else out
 
 
 def encode(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key_cols, text_col: str = "text",
            prefix: str = "##", add_bos_eos: bool = True, drop_empty: bool = False) -> DataFrame:
     """M3: token ids per document; with ``drop_empty`` (the web profile's rule) a document
-    without any subword is dropped.  Each *distinct* word is encoded once in an
-    Arrow UDF (merge ranks and vocabulary broadcast: both bounded by
-    ``vocab_size``), joined back by word, reassembled in word order."""
+    without any subword is dropped.  One pass, no shuffle: words are cut in the JVM, an
+    Arrow function encodes each document's words by merge rank (a heap, so a
+    word of any length takes n log n steps) and remembers words up to a number
+    of bytes.  Merges and vocabulary are broadcast; both are bounded by
+    ``vocab_size``."""
     spark = docs.sparkSession
-    for s in ("<bos>", "<eos>", "<unk>"):
-        if vocab.filter(F.col("token") == s).limit(1).count() == 0:
-            raise ValueError(f"{s} not found in vocabulary")
-    # broadcast only with a checked bound: both tables are at most vocab_size rows
     n_vocab = vocab.count()
     if n_vocab > MAX_BROADCAST_VOCAB:
         raise ValueError(f"vocabulary of {n_vocab} entries is too large to broadcast (limit {MAX_BROADCAST_VOCAB})")
     ranks = {(r["left"], r["right"]): r["rank"] for r in merges.collect()}
-    vocab_map = {r["token"]: r["id"] for r in vocab.collect()}
+    ids_of = {r["token"]: r["id"] for r in vocab.collect()}
+    for s in ("<bos>", "<eos>", "<unk>"):
+        if s not in ids_of:
+            raise ValueError(f"{s} not found in vocabulary")
     try:
-        ranks_b, vocab_b = spark.sparkContext.broadcast(ranks), spark.sparkContext.broadcast(vocab_map)
-        get = lambda: (ranks_b.value, vocab_b.value)
-    except Exception:  # noqa: BLE001  (Spark Connect: ship the bounded tables with the UDF)
-        get = lambda: (ranks, vocab_map)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def enc(words: pd.Series) -> pd.Series:
-        rk, vb = get()
-        return words.map(lambda w: _bpe_word(w, rk, vb, prefix))
+        held = spark.sparkContext.broadcast((ranks, ids_of))
+        tables = lambda: held.value
+    except Exception:  # noqa: BLE001  (Spark Connect: ship the bounded tables with the function)
+        tables = lambda: (ranks, ids_of)
 
     keys = list(key_cols)
-    w = docs.select(*keys, F.posexplode(pretokenize(text_col)).alias("i", "word"))
-    distinct = w.select("word").distinct()
-    coded = distinct.select("word", enc(F.col("word")).alias("wids"))
-    per = (w.join(coded, "word")
-            .groupBy(*keys)
-            .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "wids"))),
-                                       lambda s: s["wids"])).alias("__ids")))
-    out = docs.select(*keys).join(per, keys, "inner" if drop_empty else "left")
-    ids = F.coalesce("__ids", F.array().cast("array<int>"))
-    if add_bos_eos:
-        ids = F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
+    rows = docs.select(*keys, pretokenize(text_col).alias("__words"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    out = rows.mapInArrow(functools.partial(_encoded, tables, prefix, drop_empty), f"{kinds}, ids array<int>")
+    ids = F.concat(F.array(F.lit(BOS)), F.col("ids"), F.array(F.lit(EOS))) if add_bos_eos else F.col("ids")
     return out.select(*keys, ids.alias("ids"))
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qalam.operators.bpe import (_pairs, decode, encode, fertility_and_roundtrip, initial_symbols, learn_bpe,
-                                 tokenizer_report, vocab_report, word_frequencies)
+from qalam.operators.bpe import (decode, encode, fertility_and_roundtrip, initial_symbols, learn_bpe, tokenizer_report,
+                                 vocab_report, word_frequencies)
+from qalam.operators.bpe_learn import pair_counts
 from qalam.operators.cleaning import kept
 from qalam.operators.pack import cut_shards, doc_offsets, pack_accounting
 from qalam.plans import duck as d
@@ -50,7 +51,7 @@ SELECT p[1] AS l, p[2] AS r, CAST(sum(freq) AS BIGINT) AS c FROM pr GROUP BY ALL
 def bpe_first_merge(spark, sf_dir):
     """M1 round 1: the best adjacent pair (count desc, left, right)."""
     w = word_frequencies(_corpus(spark, sf_dir)).select("freq", initial_symbols(F.col("word")).alias("sym"))
-    return _pairs(w).orderBy(F.desc("c"), "l", "r").limit(1)
+    return pair_counts(w).orderBy(F.desc("c"), "l", "r").limit(1)
 
 
 # M1 one merge at a time: every step counts the pairs of all words and rewrites the words.

@@ -1,11 +1,14 @@
-"""Subword learning: batched rounds equal one-merge-at-a-time; encode/decode round trip."""
+"""Subword learning: passes equal one merge at a time; encode/decode round trip."""
 
 import random
 from collections import Counter
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from qalam.operators.bpe import decode, encode, learn_bpe, vocab_report
+from qalam.operators.bpe import WordEncoder, decode, encode, learn_bpe, vocab_report
+from qalam.operators.bpe_learn import _apply, _cut, joined, learn_runs
 from tests.conftest import one_col
 
 
@@ -45,19 +48,18 @@ def _corpus(seed):
     return lines
 
 
-def test_batched_rounds_equal_sequential(spark):
+def test_passes_over_runs_equal_one_merge_at_a_time(spark):
     for seed in (1, 2):
         lines = _corpus(seed)
         df = one_col(spark, lines, "text")
         wc = Counter(w for ln in lines for w in ln.split())
         n_alpha = len({c for w in wc for c in w[:1]}) + len({"##" + c for w in wc for c in w[1:]})
         size = 5 + n_alpha + 25
-        m1, _ = learn_bpe(spark, df, vocab_size=size, batch=1)
-        mb, _ = learn_bpe(spark, df, vocab_size=size, batch=32)
-        seq = [tuple(r) for r in m1.orderBy("rank").select("left", "right", "merged", "count").collect()]
-        bat = [tuple(r) for r in mb.orderBy("rank").select("left", "right", "merged", "count").collect()]
-        assert seq == _sequential(wc, 25)
-        assert bat == seq
+        for runs in (100_000, 30, 8):       # whole words, then few runs and many passes
+            m, _ = learn_bpe(spark, df, vocab_size=size, most_runs=runs)
+            got = [tuple(r) for r in m.orderBy("rank").select("left", "right", "merged", "count").collect()]
+            assert got == _sequential(wc, 25)
+            assert len(learn_bpe.last_rounds) == 1 or runs < 100
 
 
 def test_encode_decode_round_trip(spark):
@@ -75,14 +77,75 @@ def test_encode_decode_round_trip(spark):
     assert rep["size"] == v.count() and rep["subword"] > 0
 
 
-def test_fast_mode_takes_fewer_rounds(spark):
+def test_fast_mode_takes_several_merges_a_round(spark):
     lines = _corpus(4)
     df = one_col(spark, lines, "text")
     m_exact, v_exact = learn_bpe(spark, df, vocab_size=45)
-    exact_rounds = len(learn_bpe.last_rounds)
     m_fast, v_fast = learn_bpe(spark, df, vocab_size=45, exact=False)
-    fast_rounds = len(learn_bpe.last_rounds)
-    assert fast_rounds <= exact_rounds
+    assert len(learn_bpe.last_rounds) < m_fast.count() == m_exact.count()
     assert v_fast.count() == v_exact.count()
     assert m_fast.filter(F.col("count") < 2).count() == 0
     assert m_fast.select("exact").distinct().collect()[0][0] is False
+
+
+def _passes(words: Counter, budget: int, most_pairs: int):
+    """The passes of the learner without Spark, with few pairs in each."""
+    import pandas as pd
+    table = pd.DataFrame([(" ".join(c if i == 0 else "##" + c for i, c in enumerate(w)), n) for w, n in words.items()],
+                         columns=["sym", "freq"])
+    existing, out = {s for w in table["sym"] for s in w.split(" ")}, []
+    while len(out) < budget:
+        counts = Counter()
+        for s, n in zip(table["sym"], table["freq"]):
+            for p in zip(s.split(" "), s.split(" ")[1:]):
+                counts[p] += n
+        top = sorted(((c, p) for p, c in counts.items() if c >= 2), key=lambda x: (-x[0], x[1]))
+        if not top:
+            break
+        floor = top[most_pairs][0] if most_pairs < len(top) else 1
+        most, active = budget - len(out), {p for c, p in top[:most_pairs] if c > floor}
+        if not active:
+            active, floor, most = {top[0][1]}, top[0][0] - 1, 1
+        runs = pd.concat(_cut(active)([table]))
+        got = list(learn_runs([(r.split(" "), n) for r, n in zip(runs["run"], runs["n"])], floor, most, existing, "##", False))
+        out += [(l, r, joined(l, r, "##"), c) for l, r, c in got]
+        table = next(_apply([m[:2] for m in got], "##")([table.copy()]))
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=9), min_size=1, max_size=25), st.integers(1, 12))
+def test_any_floor_gives_the_same_merges(words, most_pairs):
+    # few letters: merged strings come up again, pairs of equal symbols and ties abound
+    counts = Counter({w: 1 + 3 * k % 7 for k, w in enumerate(words)})
+    assert _passes(counts, 40, most_pairs) == _sequential(counts, 40)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ab", min_size=1, max_size=30), st.integers(0, 2**16))
+def test_heap_encoding_equals_merging_the_lowest_rank_first(word, seed):
+    rnd = random.Random(seed)
+    symbols, merges = ["a", "b", "##a", "##b"], []
+    for _ in range(8):
+        pair = rnd.choice(symbols), rnd.choice([s for s in symbols if s.startswith("##")])
+        merges.append(pair)
+        symbols.append(joined(*pair, "##"))
+    ranks = {p: k for k, p in enumerate(merges)}
+    got = [c if i == 0 else "##" + c for i, c in enumerate(word)]
+    while found := [ranks[p] for p in zip(got, got[1:]) if p in ranks]:
+        pair, out, i = next(p for p, k in ranks.items() if k == min(found)), [], 0
+        while i < len(got):
+            hit = i + 1 < len(got) and (got[i], got[i + 1]) == pair
+            out.append(joined(*pair, "##") if hit else got[i])
+            i += 1 + hit
+        got = out
+    vocab = {s: k for k, s in enumerate(dict.fromkeys(symbols))}
+    assert WordEncoder(ranks, vocab, "##")[word] == [vocab[s] for s in got]
+
+
+def test_long_words_and_bounded_memory():
+    coder = WordEncoder({("a", "##a"): 0, ("##a", "##a"): 1}, {"a": 0, "##a": 1, "aa": 2, "##aa": 3}, "##", room=2000)
+    assert len(coder["a" * 100_000]) == 50_000 and not coder
+    for k in range(50):
+        coder["a" * k]
+    assert 0 < len(coder) < 10 and coder.held <= 2000
