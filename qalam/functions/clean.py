@@ -47,7 +47,7 @@ SPACED_PUNCT_COMMENT = f"(?:[^\\p{{L}}\\p{{N}}_{rx.SPACE_BODY}{_A3}][ \\t]*+){{3
 SPACED_ARABIC_SPAN = f"(?:(?:[{_A3}] ){{5,}}[{_A3}])"
 # tokens (runs without white space) counted in one scan of the text
 TOKEN = f"{rx.NOT_S}++"
-SINGLE_ARABIC_TOKEN = f"(?<!{rx.NOT_S})[{_A3}](?!{rx.NOT_S})"
+SINGLE_ARABIC = f"[{_A3}]"
 
 _QUOTES = "\\(\\[\\x{AB}\"'"
 _AR06 = f"[{rx.body('0600-06FF')}]"
@@ -143,6 +143,22 @@ def _count(pattern: str, needles: tuple = ()):
     return f
 
 
+#: Stands for a counted match until it is blanked; private use, so never kept by C15.
+MARK = "\ue000"
+
+
+def count_marks(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(MARK), F.lit("")))
+
+
+def count_matches(c: Column, pattern: str) -> Column:
+    """Matches of ``pattern`` without an array of them: each becomes one mark, all else goes.
+
+    ``c`` is read up to three times: pass a column, not a chain."""
+    marked = F.regexp_replace(F.regexp_replace(c, pattern, MARK), f"[^{MARK}]++", "")
+    return F.when(c.contains(MARK), F.regexp_count(c, F.lit(pattern))).otherwise(F.length(marked))
+
+
 URL_NEEDLES = ("://", "w.", "W.")          # every URL match holds "://" or "www."
 LATIN = ("re:[A-Za-z]",)
 
@@ -158,14 +174,48 @@ def _letters_only_steps(guard: bool):
     ]
 
 
-AR06_NEEDLE = ("re:" + rx.cls("0600-06FF"),)
-A3_NEEDLE = ("re:" + rx.cls("0600-06FF", "0750-077F", "08A0-08FF"),)
+# The noise steps (emoji, C10-C13, boundary fix) turn what is no Arabic letter into
+# spaces, which the letters-only step does as well.  They make a difference in
+# three cases only, and texts without them skip the steps: white space other than
+# space and newline; characters at U+08B5 to U+08FF (kept non-letters, marks); and,
+# in the forum profile, four single Arabic characters in a row, without which no
+# run of spaced letters (C12) can stand in the text, whatever becomes a space.
+_ODD = f"[{rx.body('0009', '000B-000D', '001C-001F', '0085', '00A0', '1680', '2000-200A', '2028', '2029', '202F', '205F', '3000', '08B5-08FF')}]"
+NOISE_MATTERS_FORUM = f"{_ODD}|(?<![{_A3}])(?:[{_A3}][^{_A3}]++){{3}}[{_A3}](?![{_A3}])"
+NOISE_MATTERS_COMMENT = _ODD
+# newlines are spaces then, and one pass collapses and keeps letters only
+_KEEP = rx.body(*rx.ARABIC_LETTERS_KEEP)
+NOT_LETTERS_OR_WIDE = f" *+[^{_KEEP} ][^{_KEEP}]*+| {{2,}}+"
+_DROPPED = "".join(map(chr, range(0x64B, 0x660))) + "\u0640"
+
+
+def _noise(full: list, matters: str):
+    """The steps from the noise to the letters, by the short way where it gives the same text."""
+    def rewrite(c: Column) -> Column:
+        long = c
+        for step in full:
+            long = step(long)
+        short = F.translate(c, "\n" + NORM_FROM + _DROPPED, " " + NORM_TO)
+        short = F.regexp_replace(short, NOT_LETTERS_OR_WIDE, " ")
+        return py_strip(F.when(c.rlike(matters), long).otherwise(short))
+    return rewrite
 
 
 # A profile is a flat list of stages (name, rewrite, taps); taps are counters
 # computed on the stage's *input*.  Each stage reads the previous stage's
 # column, so a guarded step never duplicates a chain.
+def _english(guard: bool) -> list:
+    """English words, counted by the marks that replace them."""
+    if not guard:
+        return [("english", _step(ENGLISH_WORD), {})]
+    # a mark that the text brought along becomes another private sign, which no step treats differently
+    return [("own marks", lambda c: F.replace(c, F.lit(MARK), F.lit("\ue001")), {}),
+            ("english", _step(ENGLISH_WORD, MARK, LATIN), {"n_english": "marks"}),
+            ("blank", lambda c: F.replace(c, F.lit(MARK), F.lit(" ")), {})]
+
+
 def forum_stages(remove_emojis: bool = True, strip_english: bool = True, guard: bool = True):
+    """``guard=False``: every step of the profile in its order, as the specification has it."""
     st = [
         ("quran", _step(QURANIC, ""), {"n_quran": None}),
         ("url", _step(URL, " ", URL_NEEDLES, guard), {"n_urls": _count(URL, URL_NEEDLES)}),
@@ -175,17 +225,20 @@ def forum_stages(remove_emojis: bool = True, strip_english: bool = True, guard:
         ("entity", _step(HTML_ENTITY, " ", ("&",), guard), {}),
         ("tag", _step(HTML_TAG, " ", ("<",), guard), {}),
     ]
-    if remove_emojis:
-        st.append(("emoji", _step(EMOJI_FORUM), {}))
-    if strip_english:
-        st.append(("english", _step(ENGLISH_WORD, " ", LATIN, guard), {"n_english": _count(ENGLISH_WORD, LATIN)}))
-    st += [
-        ("punct", lambda c: F.regexp_replace(F.regexp_replace(c, DIVIDER, " "), SPACED_PUNCT_FORUM, " "), {}),
-        ("spaced_span", _step(SPACED_ARABIC_SPAN, " ", A3_NEEDLE, guard), {}),
-        ("leading", _step(LEADING_PUNCT_FORUM, LEADING_PUNCT_REPL, AR06_NEEDLE, guard), {}),
-        ("normalise", normalise_arabic, {}),
-    ]
-    return st + _letters_only_steps(guard)
+    noise = [_step(DIVIDER), _step(SPACED_PUNCT_FORUM), _step(SPACED_ARABIC_SPAN),
+             _step(LEADING_PUNCT_FORUM, LEADING_PUNCT_REPL), normalise_arabic,
+             *(s for _, s, _t in _letters_only_steps(False))]
+    return st + _from_emoji(_step(EMOJI_FORUM) if remove_emojis else None, noise, strip_english, guard, NOISE_MATTERS_FORUM)
+
+
+def _from_emoji(emoji, noise: list, strip_english: bool, guard: bool, matters: str) -> list:
+    """Emoji, English words and noise; as no English word holds or borders on an emoji in
+    another way than on a space, the two may change places."""
+    english = _english(guard) if strip_english else []
+    emojis = [emoji] if emoji else []
+    if guard:
+        return english + [("noise", _noise(emojis + noise, matters), {})]
+    return [("emoji", e, {}) for e in emojis] + english + [("noise", s, {}) for s in noise]
 
 
 def comment_stages(remove_emojis: bool = True, strip_english: bool = True, guard: bool = True):
@@ -199,16 +252,9 @@ def comment_stages(remove_emojis: bool = True, strip_english: bool = True, guard
         ("entity", _step(HTML_ENTITY, " ", ("&",), guard), {}),
         ("tag", _step(HTML_TAG, " ", ("<",), guard), {}),
     ]
-    if remove_emojis:
-        st.append(("emoji", _step(EMOJI_COMMENT), {}))
-    if strip_english:
-        st.append(("english", _step(ENGLISH_WORD, " ", LATIN, guard), {"n_english": _count(ENGLISH_WORD, LATIN)}))
-    st += [
-        ("punct", lambda c: F.regexp_replace(F.regexp_replace(c, DIVIDER, " "), SPACED_PUNCT_COMMENT, " "), {}),
-        ("leading", _step(LEADING_PUNCT_COMMENT, LEADING_PUNCT_REPL, AR06_NEEDLE, guard), {}),
-        ("normalise", normalise_arabic, {}),
-    ]
-    return st + _letters_only_steps(guard)
+    noise = [_step(DIVIDER), _step(SPACED_PUNCT_COMMENT), _step(LEADING_PUNCT_COMMENT, LEADING_PUNCT_REPL), normalise_arabic,
+             *(s for _, s, _t in _letters_only_steps(False))]
+    return st + _from_emoji(_step(EMOJI_COMMENT) if remove_emojis else None, noise, strip_english, guard, NOISE_MATTERS_COMMENT)
 
 
 def letters_only(c: Column) -> Column:

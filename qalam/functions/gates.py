@@ -34,9 +34,22 @@ def is_emoji_only(c: Column) -> Column:
 
 
 def _share(c: Column, token: str) -> Column:
-    """Tokens that match over all tokens; 0 for no tokens."""
-    n = F.regexp_count(c, F.lit(cl.TOKEN))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.regexp_count(c, F.lit(token)) / n)
+    """Tokens that match over all tokens; 0 for no tokens.  Neither is listed, only counted."""
+    n = F.length(F.regexp_replace(F.regexp_replace(c, cl.TOKEN, "x"), f"{rx.S}++", ""))
+    return cl.count_matches(c, token) / F.greatest(n, F.lit(1))
+
+
+def token_shape(c: Column) -> Column:
+    """The text with every token of two or more characters as one ``0``: a short string
+    from which tokens and single characters are counted."""
+    return F.regexp_replace(c, f"{rx.NOT_S}{{2,}}+", "0")
+
+
+def is_spaced_shape(shape: Column) -> Column:
+    """G5 on a ``token_shape``."""
+    n = F.length(F.regexp_replace(shape, f"{rx.S}++", ""))
+    singles = F.length(shape) - F.length(F.regexp_replace(shape, cl.SINGLE_ARABIC, ""))
+    return (n >= 6) & (singles * 2 > n)
 
 
 def foreign_share(c: Column) -> Column:
@@ -46,7 +59,7 @@ def foreign_share(c: Column) -> Column:
 
 def is_spaced_arabic(c: Column) -> Column:
     """At least 6 tokens and more than half are single Arabic letters."""
-    return (F.regexp_count(c, F.lit(cl.TOKEN)) >= 6) & (_share(c, cl.SINGLE_ARABIC_TOKEN) > 0.5)
+    return is_spaced_shape(token_shape(c))
 
 
 def has_no_arabic(c: Column) -> Column:

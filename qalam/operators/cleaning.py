@@ -47,12 +47,14 @@ def _run_stages(df: DataFrame, src: Column, stages, out_col: str) -> DataFrame:
         nxt = f"__t{i}"
         cols = {nxt: rewrite(F.col(cur))}
         for k, tap in taps.items():
-            if tap is not None:
+            if callable(tap):
                 cols[k] = tap(F.col(cur))
         df = df.withColumns(cols)
         for k, tap in taps.items():
             if tap is None:   # characters removed by this stage
                 df = df.withColumn(k, F.length(F.col(cur)) - F.length(F.col(nxt)))
+            elif tap == "marks":   # matches that this stage replaced by a mark
+                df = df.withColumn(k, cl.count_marks(F.col(nxt)))
         tmp.append(nxt)
         cur = nxt
     return df.withColumn(out_col, F.col(cur)).drop(*tmp)
@@ -74,17 +76,19 @@ def clean_forum(df: DataFrame, text_col: str = "text", *, min_arabic_ratio: floa
     src = F.when(F.col("__pre").isNull(), raw)
     df = _run_stages(df, src, cl.forum_stages(remove_emojis, strip_english), "clean")
     c = F.col("clean")
-    ratio_on = c if measure_on == "cleaned" else raw
+    # C15 leaves Arabic letters and white space: past the gate before it the share is 1
+    share = F.lit(1.0) if measure_on == "cleaned" else g.arabic_share(raw, cl.ARABIC_ANY_TOKEN)
+    df = df.withColumn("__shape", g.token_shape(c))
     post = _first([
-        (g.is_spaced_arabic(c), "spaced_arabic"),
+        (g.is_spaced_shape(F.col("__shape")), "spaced_arabic"),
         (g.has_no_arabic(c), "no_arabic"),
-        (g.arabic_share(ratio_on, cl.ARABIC_ANY_TOKEN) < min_arabic_ratio, "low_arabic"),
+        (share < min_arabic_ratio, "low_arabic"),
         (g.is_too_short(c, min_chars), "too_short"),
         (g.is_numbers_only_forum(c), "numbers_only"),
     ])
     if not strip_english:
         df = df.withColumn("n_english", F.when(c.isNotNull(), F.lit(0)))
-    return df.withColumn("drop_reason", F.coalesce(F.col("__pre"), post)).drop("__pre")
+    return df.withColumn("drop_reason", F.coalesce(F.col("__pre"), post)).drop("__pre", "__shape")
 
 
 def clean_comment(df: DataFrame, text_col: str = "comment", *, min_arabic_ratio: float = 0.60,
@@ -105,10 +109,10 @@ def clean_comment(df: DataFrame, text_col: str = "comment", *, min_arabic_ratio:
     src = F.when(F.col("__pre").isNull(), raw)
     df = _run_stages(df, src, cl.comment_stages(remove_emojis, strip_english), "clean")
     c = F.col("clean")
-    ratio_on = c if measure_on == "cleaned" else raw
+    share = F.lit(1.0) if measure_on == "cleaned" else g.arabic_share(raw, cl.ARABIC_BLOCK_TOKEN)
     post = _first([
         (g.has_no_arabic(c), "no_arabic"),
-        (g.arabic_share(ratio_on, cl.ARABIC_BLOCK_TOKEN) < min_arabic_ratio, "low_arabic"),
+        (share < min_arabic_ratio, "low_arabic"),
         (g.is_too_short(c, min_chars), "too_short"),
         (g.is_numbers_only_comment(c), "numbers_only"),
     ])

@@ -6,11 +6,20 @@ vocabulary: ids are word ranks (count desc, word asc) after the specials.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qalam.functions.text import py_split
 from qalam.operators.pack import BOS, EOS, ordered_rank
+from qalam.plans.session import materialize
+
+MOST_LOCAL_WORDS = 500_000
+MOST_LOCAL_BYTES = 16 << 20
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -21,18 +30,42 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def word_vocabulary(docs: DataFrame, text_col: str = "text", first_id: int = 5) -> DataFrame:
     """``(word, n, id)``: id = rank by (n desc, word asc) + ``first_id`` - 1."""
-    return ordered_rank(word_counts(docs, text_col), "n", "word", first=first_id).withColumnRenamed("rank", "id")
+    counts = materialize(word_counts(docs, text_col))      # ranking reads the counts several times
+    return ordered_rank(counts, "n", "word", first=first_id).withColumnRenamed("rank", "id")
+
+
+def _looked_up(ids: dict[str, int], unk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = batch.column(batch.num_columns - 1)
+        flat = words.flatten().dictionary_encode()           # every distinct word of a batch is looked up once
+        known = pa.array([ids.get(w, unk) for w in flat.dictionary.to_pylist()], pa.int32())
+        lists = pa.ListArray.from_arrays(_offsets(words), known.take(flat.indices))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], "ids"])
+
+
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
 
 
 def encode_words(docs: DataFrame, vocab: DataFrame, key_cols, text_col: str = "text",
                  unk: int = 1) -> DataFrame:
     """J5 + M3 (word level): ``[bos] + ids + [eos]`` per document.
 
-    Words are exploded with their position, joined to the vocabulary (AQE
-    picks broadcast or a skew-aware shuffle join from runtime sizes) and
-    reassembled per document in position order; a document is a bounded group.
+    A vocabulary of at most ``MOST_LOCAL_WORDS`` entries and ``MOST_LOCAL_BYTES`` goes to
+    the tasks, and each document's words are looked up where they are: no token is
+    shuffled.  A larger one is joined: words are exploded with their position,
+    joined (AQE picks broadcast or a skew-aware shuffle join from runtime sizes)
+    and reassembled per document in position order; a document is a bounded group.
     """
     keys = list(key_cols)
+    size = vocab.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("bytes")).first()
+    if size["n"] <= MOST_LOCAL_WORDS and (size["bytes"] or 0) <= MOST_LOCAL_BYTES:
+        held = docs.sparkSession.sparkContext.broadcast({r["word"]: r["id"] for r in vocab.select("word", "id").collect()})
+        rows = docs.select(*keys, py_split(F.col(text_col)).alias("__words"))
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+        out = rows.mapInArrow(lambda batches: _looked_up(held.value, unk, batches), f"{kinds}, ids array<int>")
+        return out.select(*keys, F.concat(F.array(F.lit(BOS)), "ids", F.array(F.lit(EOS))).alias("ids"))
     # explode_outer keeps a document without words as one row with a null
     # word, so no join back to the document keys is needed
     w = docs.select(*keys, F.posexplode_outer(py_split(F.col(text_col))).alias("i", "word"))

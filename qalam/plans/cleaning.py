@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qalam.functions import clean as cl
-from qalam.functions import gates as g
-from qalam.functions import regex as rx
 from qalam.operators.cleaning import clean_comment, clean_forum, clean_web, kept
 from qalam.operators.funnel import funnel, funnel_long
 from qalam.plans import duck as d
+from qalam.plans import patterns as p
 from qalam.plans.registry import query
 from qalam.sources.fixtures import fixture, fixture_sql
 
-# Parameters the reference ran its cleaners with.
+# The parameters of the cleaning runs.
 FORUM_ARGS = dict(min_arabic_ratio=0.50, min_chars=50)
 COMMENT_ARGS = dict(min_arabic_ratio=0.20, min_chars=50, max_foreign_ratio=0.20)
 WEB_ARGS = dict(min_chars=20, arabic_threshold=0.4)
@@ -44,29 +42,24 @@ def web_flagged(spark, sf_dir):
 # them out of the text and keeps them in the counts.
 # ---------------------------------------------------------------------------
 
-ENGLISH_RE2 = "\\b[A-Za-z][A-Za-z0-9'-]*\\b"
-SINGLE_ARABIC_RE2 = "^[\\x{0600}-\\x{06FF}\\x{0750}-\\x{077F}\\x{08A0}-\\x{08FF}]\\z"
-CLOCK_RE2 = "\\b\\d{1,2}:\\d{2}(?::\\d{2})?\\b"
-
-
 def _refs(x: str, forum: bool) -> str:
-    x = d.sub(x, cl.MENTION)
+    x = d.sub(x, p.MENTION)
     if forum:
-        x = d.sub(x, cl.FORUM_REF)
-    x = d.sub(x, cl.HASHTAG)
-    x = d.sub(x, cl.HTML_ENTITY)
-    return d.sub(x, cl.HTML_TAG)
+        x = d.sub(x, p.FORUM_REF)
+    x = d.sub(x, p.HASHTAG)
+    x = d.sub(x, p.HTML_ENTITY)
+    return d.sub(x, p.HTML_TAG)
 
 
 def _tail(x: str, forum: bool) -> str:
-    x = d.sub(x, cl.DIVIDER)
-    x = d.sub(x, cl.SPACED_PUNCT_FORUM if forum else cl.SPACED_PUNCT_COMMENT)
+    x = d.sub(x, p.DIVIDER)
+    x = d.sub(x, p.SPACED_PUNCT_FORUM if forum else p.SPACED_PUNCT_COMMENT)
     if forum:
-        x = d.sub(x, cl.SPACED_ARABIC_SPAN)
-    x = f"translate({x}, {d.q(cl.NORM_FROM)}, {d.q(cl.NORM_TO)})"
-    x = d.sub(x, cl.DIACRITICS_AND_TATWEEL, "")
-    x = d.sub(x, cl.NEWLINE_RUN)
-    x = d.sub(x, cl.KEEP_ONLY_ARABIC)
+        x = d.sub(x, p.SPACED_ARABIC_SPAN)
+    x = f"translate({x}, {d.q(p.NORM_FROM)}, {d.q(p.NORM_TO)})"
+    x = d.sub(x, p.MARKS_AND_TATWEEL, "")
+    x = d.sub(x, p.NEWLINE_RUN)
+    x = d.sub(x, p.NOT_ARABIC_LETTERS)
     x = d.sub(x, " {2,}")
     return d.strip(x)
 
@@ -77,20 +70,20 @@ def forum_flagged_sql(posts_sql: str | None = None) -> str:
     return f"""
 WITH posts AS ({posts_sql or fixture_sql('posts')}),
 f0 AS (SELECT *, CASE WHEN text IS NULL OR {d.strip('text')} = '' THEN 'empty'
-                      WHEN {d.rlike('text', g.PLACEHOLDER)} THEN 'deleted' END AS pre FROM posts),
+                      WHEN {d.rlike('text', p.PLACEHOLDER)} THEN 'deleted' END AS pre FROM posts),
 f1 AS (SELECT *, CASE WHEN pre IS NULL THEN text END AS t0 FROM f0),
-f2 AS (SELECT *, {d.sub('t0', cl.QURANIC, '')} AS t1 FROM f1),
-f3 AS (SELECT *, length(t0) - length(t1) AS n_quran, {d.count('t1', cl.URL)} AS n_urls,
-              {_refs(d.sub('t1', cl.URL), True)} AS t2 FROM f2),
-f4 AS (SELECT *, {d.sub('t2', cl.EMOJI_FORUM)} AS t3 FROM f3),
-f5 AS (SELECT *, {d.count(d.py_word_ascii('t3'), ENGLISH_RE2)} AS n_english,
+f2 AS (SELECT *, {d.sub('t0', p.QURANIC, '')} AS t1 FROM f1),
+f3 AS (SELECT *, length(t0) - length(t1) AS n_quran, {d.count('t1', p.URL)} AS n_urls,
+              {_refs(d.sub('t1', p.URL), True)} AS t2 FROM f2),
+f4 AS (SELECT *, {d.sub('t2', p.EMOJI_FORUM)} AS t3 FROM f3),
+f5 AS (SELECT *, {d.count(d.py_word_ascii('t3'), p.ENGLISH_WORD)} AS n_english,
               {_tail('t3', True)} AS clean FROM f4),
 f6 AS (SELECT *, coalesce(pre, CASE
-    WHEN len({toks}) >= 6 AND {d.share(toks, d.rlike('t', SINGLE_ARABIC_RE2))} > 0.5 THEN 'spaced_arabic'
-    WHEN NOT {d.rlike('clean', cl.ARABIC_BLOCK)} THEN 'no_arabic'
-    WHEN {d.share(toks, d.rlike('t', cl.ARABIC_ANY))} < {FORUM_ARGS['min_arabic_ratio']} THEN 'low_arabic'
+    WHEN len({toks}) >= 6 AND {d.share(toks, d.rlike('t', p.SINGLE_ARABIC))} > 0.5 THEN 'spaced_arabic'
+    WHEN NOT {d.rlike('clean', p.ARABIC_BLOCK)} THEN 'no_arabic'
+    WHEN {d.share(toks, d.rlike('t', p.ARABIC_ANY))} < {FORUM_ARGS['min_arabic_ratio']} THEN 'low_arabic'
     WHEN length(clean) < {FORUM_ARGS['min_chars']} THEN 'too_short'
-    WHEN {d.rlike(d.strip('clean'), g.NUMBERS_ONLY_FORUM)} THEN 'numbers_only' END) AS drop_reason
+    WHEN {d.rlike(d.strip('clean'), p.NUMBERS_ONLY_FORUM)} THEN 'numbers_only' END) AS drop_reason
   FROM f5)
 """
 
@@ -102,37 +95,37 @@ def comment_flagged_sql() -> str:
 WITH posts0 AS ({fixture_sql('posts')}),
 posts AS (SELECT id, source, text AS text_in, coalesce(text, '') AS text FROM posts0),
 f0 AS (SELECT *, CASE WHEN {d.strip('text')} = '' THEN 'empty'
-                      WHEN {d.rlike(d.strip('text'), g.EMOJI_ONLY)} THEN 'emoji_only'
-                      WHEN {d.share(raw_toks, d.rlike('t', cl.FOREIGN) + ' AND NOT ' + d.rlike('t', cl.ARABIC_BLOCK))}
+                      WHEN {d.rlike(d.strip('text'), p.EMOJI_ONLY)} THEN 'emoji_only'
+                      WHEN {d.share(raw_toks, d.rlike('t', p.FOREIGN) + ' AND NOT ' + d.rlike('t', p.ARABIC_BLOCK))}
                            > {COMMENT_ARGS['max_foreign_ratio']} THEN 'foreign' END AS pre FROM posts),
-f1 AS (SELECT *, CASE WHEN pre IS NULL THEN {d.sub('text', cl.BIDI, '')} END AS t0 FROM f0),
-f2 AS (SELECT *, {d.sub('t0', cl.QURANIC, '')} AS t1 FROM f1),
-f3 AS (SELECT *, length(t0) - length(t1) AS n_quran, {d.count('t1', cl.URL)} AS n_urls,
-              {d.sub('t1', cl.URL)} AS t2 FROM f2),
-f4 AS (SELECT *, {d.count(d.py_word_ascii('t2'), CLOCK_RE2)} AS n_times,
-              {d.sub(_refs('t2', False), cl.EMOJI_COMMENT)} AS t3 FROM f3),
-f5 AS (SELECT *, {d.count(d.py_word_ascii('t3'), ENGLISH_RE2)} AS n_english,
+f1 AS (SELECT *, CASE WHEN pre IS NULL THEN {d.sub('text', p.BIDI, '')} END AS t0 FROM f0),
+f2 AS (SELECT *, {d.sub('t0', p.QURANIC, '')} AS t1 FROM f1),
+f3 AS (SELECT *, length(t0) - length(t1) AS n_quran, {d.count('t1', p.URL)} AS n_urls,
+              {d.sub('t1', p.URL)} AS t2 FROM f2),
+f4 AS (SELECT *, {d.count(d.py_word_ascii('t2'), p.CLOCK_TIME)} AS n_times,
+              {d.sub(_refs('t2', False), p.EMOJI_COMMENT)} AS t3 FROM f3),
+f5 AS (SELECT *, {d.count(d.py_word_ascii('t3'), p.ENGLISH_WORD)} AS n_english,
               {_tail('t3', False)} AS clean FROM f4),
 f6 AS (SELECT *, coalesce(pre, CASE
-    WHEN NOT {d.rlike('clean', cl.ARABIC_BLOCK)} THEN 'no_arabic'
-    WHEN {d.share(toks, d.rlike('t', cl.ARABIC_BLOCK))} < {COMMENT_ARGS['min_arabic_ratio']} THEN 'low_arabic'
+    WHEN NOT {d.rlike('clean', p.ARABIC_BLOCK)} THEN 'no_arabic'
+    WHEN {d.share(toks, d.rlike('t', p.ARABIC_BLOCK))} < {COMMENT_ARGS['min_arabic_ratio']} THEN 'low_arabic'
     WHEN length(clean) < {COMMENT_ARGS['min_chars']} THEN 'too_short'
-    WHEN NOT {d.rlike(d.strip('clean'), g.NOT_NUMBER_CHAR_COMMENT)} THEN 'numbers_only' END) AS drop_reason
+    WHEN NOT {d.rlike(d.strip('clean'), p.NOT_NUMBER_COMMENT)} THEN 'numbers_only' END) AS drop_reason
   FROM f5)
 """
 
 
 def web_flagged_sql() -> str:
     m = WEB_ARGS["min_chars"]
-    c = d.strip(d.sub(d.sub(d.sub(d.sub("text", cl.WEB_LATIN), cl.WEB_NOT_KEPT), cl.WEB_DIACRITICS, ""),
-                      rx.S + "+"))
+    c = d.strip(d.sub(d.sub(d.sub(d.sub("text", p.WEB_LATIN), p.WEB_NOT_KEPT), p.WEB_MARKS, ""),
+                      p.S + "+"))
     return f"""
 WITH posts AS ({fixture_sql('posts')}),
 w0 AS (SELECT *, text IS NULL OR length(text) < {m} AS early FROM posts),
 w1 AS (SELECT *, CASE WHEN NOT early THEN {c} END AS c FROM w0),
 w2 AS (SELECT *, CASE WHEN early THEN 'too_short_raw'
                       WHEN length(c) < {m} THEN 'too_short_clean'
-                      WHEN {d.count('c', cl.WEB_ARABIC)} / greatest(length(replace(c, ' ', '')), 1)
+                      WHEN {d.count('c', p.WEB_ARABIC)} / greatest(length(replace(c, ' ', '')), 1)
                            < {WEB_ARGS['arabic_threshold']} THEN 'low_arabic' END AS drop_reason FROM w1),
 f6 AS (SELECT *, CASE WHEN drop_reason IS NULL THEN c END AS clean FROM w2)
 """
@@ -236,11 +229,11 @@ def merged_forum_funnel(spark, sf_dir):
     forum profile and report the funnel (A1, A2)."""
     from qalam.operators.merge import new_rows, post_text, union_sources
     from qalam.sources.tables import read_table
-    p = fixture(spark, sf_dir, "posts")
+    posts = fixture(spark, sf_dir, "posts")
     labels = read_table(spark, sf_dir, "labels")
-    scraped = p.select(F.col("id").cast("string").alias("id"), F.col("text").alias("selftext"),
+    scraped = posts.select(F.col("id").cast("string").alias("id"), F.col("text").alias("selftext"),
                        F.col("source").alias("title"))
-    base = (p.join(labels, p["id"] == labels["doc_id"], "left_semi")
+    base = (posts.join(labels, posts["id"] == labels["doc_id"], "left_semi")
              .select(F.col("id").cast("string").alias("id"), F.col("text").alias("selftext")))
     merged = union_sources(new_rows(scraped, base, "id"), base)
     posts = merged.select("id", F.col("title").alias("source"), post_text().alias("text"))

@@ -5,7 +5,7 @@ Used only to build oracle strings; the Spark side never reads these.
 
 from __future__ import annotations
 
-from qalam.functions import regex as rx
+from qalam.plans import patterns as p
 
 
 def q(s: str) -> str:
@@ -14,7 +14,7 @@ def q(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, {q('^' + rx.S + '+|' + rx.S + '+' + chr(92) + 'z')}, '', 'g')"
+    return f"regexp_replace({x}, {q('^' + p.S + '+|' + p.S + '+' + chr(92) + 'z')}, '', 'g')"
 
 
 def sub(x: str, pattern: str, repl: str = " ") -> str:
@@ -30,7 +30,7 @@ def rlike(x: str, pattern: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"list_filter(string_split_regex({strip(x)}, {q(rx.S + '+')}), lambda t: t <> '')"
+    return f"list_filter(string_split_regex({strip(x)}, {q(p.S + '+')}), lambda t: t <> '')"
 
 
 def share(toks: str, pred_on_t: str) -> str:

@@ -37,18 +37,23 @@ def parallel_examples(spark, sf_dir):
     return unpivot_texts(_wide(spark, sf_dir), LANGS)
 
 
-@query("parallel_first_n", PL + """SELECT sent_id, lang, sent AS text FROM (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sent_id) AS rn FROM pl WHERE sent IS NOT NULL) WHERE rn <= 100""")
+PS = f"WITH ps AS ({fixture_sql('parallel_sentences')})\n"
+
+
+@query("parallel_first_n", PS + """SELECT sent_id, lang, sent AS text FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sent_id) AS rn FROM ps WHERE sent IS NOT NULL) WHERE rn <= 1000""")
 def parallel_first_n(spark, sf_dir):
-    """L1: first 100 non-null sentences per dialect (the limit is the feature)."""
-    return first_n_per_group(unpivot_texts(_wide(spark, sf_dir), LANGS), 100, "lang", "sent_id")
+    """L1: first 1,000 non-null sentences per dialect (the limit is the feature)."""
+    wide = widen(fixture(spark, sf_dir, "parallel_sentences"), LANGS)
+    return first_n_per_group(unpivot_texts(wide, LANGS), 1000, "lang", "sent_id")
 
 
-@query("parallel_first_pairs", WIDE + """SELECT sent_id, MSA AS src, CAI AS tgt FROM wide
-WHERE MSA IS NOT NULL AND CAI IS NOT NULL ORDER BY sent_id LIMIT 100""")
+@query("parallel_first_pairs", PS + """SELECT * FROM (SELECT sent_id, max(sent) FILTER (WHERE lang = 'MSA') AS src,
+  max(sent) FILTER (WHERE lang = 'CAI') AS tgt FROM ps GROUP BY sent_id)
+WHERE src IS NOT NULL AND tgt IS NOT NULL ORDER BY sent_id LIMIT 1000""")
 def parallel_first_pairs(spark, sf_dir):
-    """L1, pair form: first 100 rows with a sentence in both columns (the limit is the feature)."""
-    return first_pairs(_wide(spark, sf_dir), "MSA", "CAI", 100)
+    """L1, pair form: first 1,000 rows with a sentence in both columns (the limit is the feature)."""
+    return first_pairs(widen(fixture(spark, sf_dir, "parallel_sentences"), LANGS), "MSA", "CAI", 1000)
 
 
 @query("parallel_nonempty", WIDE + "SELECT * FROM wide WHERE " + " OR ".join(f"{l} IS NOT NULL" for l in LANGS))

@@ -61,6 +61,15 @@ SELECT CAST(floor(doc_id / 4) AS BIGINT) AS sent_id,
 FROM {{documents}}
 """
 
+# The same with many sentences: every text in sixteen consecutive parts, one null in fourteen.
+PARALLEL_SENTENCES = f"""
+SELECT CAST(floor(doc_id / 4) AS BIGINT) * 16 + k AS sent_id,
+  CASE doc_id % 4 WHEN 0 THEN 'MSA' WHEN 1 THEN 'ALX' WHEN 2 THEN 'CAI' ELSE 'BEI' END AS lang,
+  CASE WHEN doc_id % 7 = 0 AND k % 2 = 0 THEN NULL ELSE translate(lower(substr(text, CAST(floor(length(text) * k / 16) AS INT) + 1,
+    CAST(floor(length(text) * (k + 1) / 16) AS INT) - CAST(floor(length(text) * k / 16) AS INT))), '{LATIN}', '{ARABIC}') END AS sent
+FROM {{documents}} CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15)) AS v(k)
+"""
+
 PREDICTIONS = """
 SELECT c.k AS checkpoint, e.vec_id,
   e.label AS target,
@@ -83,6 +92,7 @@ RECIPES = {
     "posts": (POSTS, ("documents",)),
     "transcripts": (TRANSCRIPTS, ("documents",)),
     "parallel_long": (PARALLEL_LONG, ("documents",)),
+    "parallel_sentences": (PARALLEL_SENTENCES, ("documents",)),
     "predictions": (PREDICTIONS, ("embeddings",)),
     "run_log": (RUN_LOG, ("events",)),
     "losses": (LOSSES, ("events",)),

@@ -104,3 +104,29 @@ def test_letters_only_properties(spark, values):
     for r in twice.collect():
         assert set(r["p"]) <= KEPT and "  " not in r["p"] and r["p"] == r["p"].strip() and r["q"] == r["p"]
         assert [c for c in r["p"] if c in "بس"] == [c for c in r["t"] if c in "بس"]
+
+
+PARTS = ["ا", "ب ", "كلمة ", " ", "\n", "ـ", "ٌ", "،", "...", "- ", "ا - ب - ", "س ل ا م ", "ا.ب.ت.ث.ج.ح ", "😀", "abc ", "don't-", "A", "\t",
+         "ࢶ", "ࣔ", "ࣃ", "ۗ", "إ", "1 ", "٣", "(", "«", "'", "_", "#", "@u ", "&amp;", "<b>", "http://x ", "", "é", "漢", " ", "﷐", "ݐ",
+         "ࢠ", "=== ", "، ، ، ", "ا ", "ى ", "12:30 "]
+
+
+def test_the_short_way_gives_the_text_of_every_step(spark):
+    import random
+    from qalam.operators.cleaning import _run_stages
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(PARTS) for _ in range(rnd.randint(0, n))) for n in (5, 12, 30) for _ in range(3000)]
+    for stages, plain, matters in ((cl.forum_stages, cl.clean_forum_text, cl.NOISE_MATTERS_FORUM),
+                                   (cl.comment_stages, cl.clean_comment_text, cl.NOISE_MATTERS_COMMENT)):
+        df = _run_stages(one_col(spark, texts).repartition(8), F.col("t"), stages(), "fast")
+        rows = df.select("t", "fast", plain(F.col("t")).alias("slow"), F.col("t").rlike(matters).alias("m")).collect()
+        bad = [(ascii(r.t), ascii(r.fast), ascii(r.slow)) for r in rows if r.fast != r.slow]
+        assert not bad, bad[:3]
+        assert sum(not r.m for r in rows) > 500 and sum(r.m for r in rows) > 500
+
+
+def test_english_words_are_counted_by_marks(spark):
+    from qalam.operators.cleaning import _run_stages
+    want = {"one two": 2, "\ue000one\ue000two\ue000": 2, "لا شيء": 0, "a-b c'd ا": 2, "": 0}
+    got = {r.t: r.n_english for r in _run_stages(one_col(spark, list(want)), F.col("t"), cl.forum_stages(), "o").collect()}
+    assert got == want
