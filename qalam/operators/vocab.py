@@ -6,6 +6,7 @@ vocabulary: ids are word ranks (count desc, word asc) after the specials.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,24 @@ def word_vocabulary(docs: DataFrame, text_col: str = "text", first_id: int = 5)
     return ordered_rank(counts, "n", "word", first=first_id).withColumnRenamed("rank", "id")
 
 
-def _looked_up(ids: dict[str, int], unk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_LOOKUP: dict[bytes, dict[str, int]] = {}      # of a worker: the last vocabulary it was given
+
+
+def _ipc(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _looked_up(vocab: bytes, unk: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key = hashlib.sha256(vocab).digest()
+    if key not in _LOOKUP:
+        with pa.ipc.open_stream(vocab) as r:
+            table = r.read_all()
+        _LOOKUP.clear()
+        _LOOKUP[key] = dict(zip(table.column("word").to_pylist(), table.column("id").to_pylist()))
+    ids = _LOOKUP[key]
     for batch in batches:
         words = batch.column(batch.num_columns - 1)
         flat = words.flatten().dictionary_encode()           # every distinct word of a batch is looked up once
@@ -61,7 +79,8 @@ def encode_words(docs: DataFrame, vocab: DataFrame, key_cols, text_col: str = "t
     keys = list(key_cols)
     size = vocab.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("bytes")).first()
     if size["n"] <= MOST_LOCAL_WORDS and (size["bytes"] or 0) <= MOST_LOCAL_BYTES:
-        held = docs.sparkSession.sparkContext.broadcast({r["word"]: r["id"] for r in vocab.select("word", "id").collect()})
+        table = vocab.select("word", F.col("id").cast("int").alias("id")).toArrow().combine_chunks()
+        held = docs.sparkSession.sparkContext.broadcast(_ipc(table))      # each worker makes its own look-up of it
         rows = docs.select(*keys, py_split(F.col(text_col)).alias("__words"))
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
         out = rows.mapInArrow(lambda batches: _looked_up(held.value, unk, batches), f"{kinds}, ids array<int>")

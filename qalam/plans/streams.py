@@ -8,12 +8,13 @@ from qalam.operators.pack import shard_manifest
 from qalam.operators.vocab import encode_words, word_vocabulary
 from qalam.operators.cleaning import clean_web, kept
 from qalam.plans.cleaning import FORUM_ARGS, WEB_ARGS, forum_flagged_sql, web_flagged_sql
-from qalam.plans.packing import SHARD, STREAM_SQL
+from qalam.plans.packing import SHARD, STREAM_SQL, _possum
 from qalam.plans.registry import query
 from qalam.sources.files import read_corpus, scratch_path
 from qalam.sources.fixtures import POSTS
 from qalam.sources.tables import read_table
 from qalam.streaming.clean_stream import clean_stream, run_to_table
+from qalam.streaming.pack_state import open_pieces, pack_state_stream
 from qalam.streaming.pack_stream import pack_stream
 
 
@@ -72,3 +73,45 @@ def stream_pack_manifest(spark, sf_dir):
     pieces = spark.read.parquet(out + "/pieces")
     assert pieces.select("batch_id").distinct().count() > 1
     return shard_manifest(pieces).select("source", "split", F.col("shard_index").cast("long"), "n_tokens")
+
+
+@query("stream_state_manifest", STREAM_SQL + """
+SELECT source, split, CAST(shard_index AS BIGINT) AS shard_index, CAST(count(*) AS BIGINT) AS n_tokens,
+  CAST(sum(id) AS BIGINT) AS id_sum, CAST(sum(id * q) AS BIGINT) AS id_possum
+FROM shards GROUP BY ALL""")
+def stream_state_manifest(spark, sf_dir):
+    """T2 in Spark's state: twelve micro-batches, a restart after the first six; full blocks from the
+    sink and the open shards from the state make the batch packer's shards, ids included."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    vocab = word_vocabulary(docs)
+    encoded = encode_words(docs, vocab, ["doc_id", "source"])
+    schema = encoded.schema
+    files, out = scratch_path(spark, "t2s-files"), scratch_path(spark, "t2s-pack")
+    cuts = encoded.select("doc_id").approxQuantile("doc_id", [k / 12 for k in range(1, 12)], 0.001)
+    lot = sum((F.col("doc_id") > c).cast("int") for c in cuts)
+    encoded.withColumn("lot", lot).repartition("lot").write.partitionBy("lot").parquet(f"{files}/all")
+    lots = spark.read.parquet(f"{files}/all")
+    for half in (range(0, 6), range(6, 12)):
+        for k in half:       # files in the order of the lots
+            lots.filter(F.col("lot") == k).drop("lot").coalesce(1).write.mode("append").parquet(f"{files}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{files}/in")
+        pack_state_stream(stream, SHARD, out).awaitTermination()
+    pieces = spark.read.parquet(f"{out}/pieces").unionByName(open_pieces(spark, out, SHARD))
+    man = shard_manifest(pieces, extra=[
+        F.sum(F.aggregate("piece", F.lit(0).cast("long"), lambda a, x: a + x)).cast("long").alias("id_sum"),
+        F.sum(_possum("piece", F.col("pos"))).cast("long").alias("id_possum")])
+    return man.select("source", "split", F.col("shard_index").cast("long"), "n_tokens", "id_sum", "id_possum")
+
+
+FIRST = 100
+
+
+@query("stream_first_documents", f"SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT {FIRST}")
+def stream_first_documents(spark, sf_dir):
+    """S6/L5 on a stream: the first 100 documents over three batches (the limit is the feature)."""
+    docs = read_table(spark, sf_dir, "documents")
+    files = scratch_path(spark, "s6-first")
+    for lot in (F.col("doc_id") < 40, F.col("doc_id").between(40, 79), F.col("doc_id") >= 80):
+        docs.filter(lot).coalesce(1).sortWithinPartitions("doc_id").write.mode("append").parquet(files)
+    stream = read_corpus(spark, files, limit=FIRST, streaming=True, schema=docs.schema, max_files=1)
+    return spark.read.parquet(run_to_table(spark, stream.select("doc_id", "text"), "s6-first-out"))

@@ -163,18 +163,22 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", sep: str | None
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet", text_col: str = "text",
                 limit: int | None = None, order_col: str | None = None,
-                streaming: bool = False, schema: T.StructType | None = None) -> DataFrame:
+                streaming: bool = False, schema: T.StructType | None = None,
+                max_files: int | None = None) -> DataFrame:
     """A tabular corpus with one text column (called ``text`` in the result), bounded or streamed.
 
     ``limit`` keeps the first N rows by ``order_col`` (top-k, no full sort);
-    without ``order_col`` it is Spark's unordered limit.  A stream has no first
-    rows to wait for: ``limit`` with ``streaming`` is refused.
+    without ``order_col`` it is Spark's unordered limit.  On a stream it keeps the
+    first N rows as they arrive, over all batches: a counter in the stream's state
+    (append mode), behind a limit per task.  An order cannot be had there.
     """
-    if limit is not None and streaming:
-        raise ValueError("limit needs a bounded read")
+    if limit is not None and streaming and order_col:
+        raise ValueError("a stream's first rows are those that arrive first: no order_col")
     reader = spark.readStream if streaming else spark.read
     if schema is not None:
         reader = reader.schema(schema)
+    if max_files is not None:      # files in a micro-batch
+        reader = reader.option("maxFilesPerTrigger", max_files)
     df = reader.format(fmt).load(path)
     if text_col != "text":
         df = df.drop("text").withColumnRenamed(pick_text_column(df, [text_col]), "text")
