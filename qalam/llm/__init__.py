@@ -1,5 +1,6 @@
 """Operations of a training-data pipeline: sharding, deduplication, fingerprints,
-personal data, quality, mixing, subword encoding and compressed id files.
+personal data, quality, mixing, subword encoding, compressed id files, filter audit,
+fill-in-middle and sequence packing.
 
 Nothing outside this package imports it; ``queries.py`` registers its queries.
 """
