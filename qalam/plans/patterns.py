@@ -56,3 +56,10 @@ WEB_NOT_KEPT = (r"[^\x{0620}-\x{06B0}\x{06BA}-\x{06BF}\x{06CC}-\x{06D3}\x{0660}-
                 rf"\x{{08A0}}-\x{{08FF}}{_SPACE}]")
 WEB_MARKS = r"[\x{064B}-\x{065F}\x{0670}]"
 WEB_ARABIC = r"[\x{0620}-\x{06B0}\x{06BA}-\x{06BF}\x{06CC}-\x{06D3}\x{0750}-\x{077F}\x{08A0}-\x{08FF}]"
+
+TAG_ONLY = rf"^(?:\[[^\]]*\]{S}*)+\z"
+SOUND_TAG = r"\[[^\]]*\]"
+INLINE_TIME = r"<\p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}\.\p{Nd}+>"
+CAPTION_TAG = "</?c>"
+SPEAKER = f"^>>{S}*"
+ANY_TAG = "<[^>]+>"
