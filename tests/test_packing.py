@@ -133,3 +133,21 @@ def test_split_keeps_rows_with_a_null_label(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else "x") for i in range(100)], "k long, l string")
     out = stratified_split(df, "l", "k").collect()
     assert len(out) == 100 and sum(r["is_test"] for r in out if r["l"] is None) == 5
+
+
+def test_word_ids_by_look_up_equal_the_join(spark, monkeypatch):
+    from qalam.operators import vocab as v
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, " c\u00a0zz\tb "), (None, "a")], "doc_id long, text string")
+    words = v.word_vocabulary(docs.filter("doc_id < 4 OR doc_id IS NULL"))
+    local = {r.doc_id: r.ids for r in v.encode_words(docs, words, ["doc_id"]).collect()}
+    monkeypatch.setattr(v, "MOST_LOCAL_WORDS", 0)
+    plan = v.encode_words(docs, words, ["doc_id"])
+    assert {r.doc_id: r.ids for r in plan.collect()} == local
+    assert local == {1: [2, 5, 6, 5, 3], 2: [2, 3], 3: [2, 3], 4: [2, 1, 1, 6, 3], None: [2, 5, 3]}
+
+
+def test_word_ids_shuffle_no_token(spark):
+    from qalam.operators.vocab import encode_words, word_vocabulary
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = encode_words(docs, word_vocabulary(docs), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan

@@ -49,9 +49,10 @@ def test_transcripts_keep_genuine_replacement_characters(spark):
     assert got == {"a.vtt": "a�b", "b.vtt": "a�bc"}
 
 
-def test_a_limit_needs_a_bounded_read(spark):
+def test_an_ordered_limit_needs_a_bounded_read(spark):
+    # a stream's first rows are those that arrive first (test_streaming); an order it cannot have
     with pytest.raises(ValueError):
-        f.read_corpus(spark, "/root/testdata/sf0.001/documents.parquet", limit=3, streaming=True)
+        f.read_corpus(spark, "/root/testdata/sf0.001/documents.parquet", limit=3, streaming=True, order_col="doc_id")
 
 
 def test_describe_text_ties(spark):
