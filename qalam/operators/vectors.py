@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qalam.plans.session import materialize
+
 
 def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
     """x / max(||x||, eps) on an array column."""
@@ -36,67 +42,172 @@ def masked_mean_pool(tokens: DataFrame, vectors: DataFrame, doc_col: str, tok_co
         doc_col, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), l2_normalize(F.coalesce("__s", zeros)).alias("vector"))
 
 
-def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int = 4096, chunk: int = 256) -> DataFrame:
-    """J3 + W2: rank of each source row's true partner among all targets by
-    cosine similarity: ``1 + #(sim > own) + #(sim = own and j < partner)``;
-    null where the partner is not among the targets.
+MOST_PIVOTS = 64       # the driver and every task hold this many vectors
+MOST_SLICES = 64       # ... and at most this many blocks for each of them (a block: a number, a distance range, a count)
+SAMPLED = 64           # targets sampled per pivot; pivots decide how much is skipped, never the result
+SLACK = 1e-6           # distances this near to the own one are left to the products
 
-    ``src``: (i, partner, vec); ``tgt``: (j, vec).  All pairs are scored —
-    the metric needs them — but never emitted as rows: both sides are cut into
-    hash blocks of about ``block`` rows and each (source block, target block)
-    cell is one vectorised numpy product in ``applyInPandas`` that emits one
-    partial count per source row; a cell holds at most 2·block vectors and
-    each vector is copied once per block of the other side.
-    """
-    s = src.select(F.col("i").cast("long").alias("i"), F.col("partner").cast("long").alias("partner"),
-                   l2_normalize(F.col("vec")).alias("vec"))
-    t = tgt.select(F.col("j").cast("long").alias("i"), F.lit(None).cast("long").alias("partner"),
-                   l2_normalize(F.col("vec")).alias("vec"))
-    # each source row carries its partner's vector, so "own" is computed in
-    # the cell with the very same arithmetic as every other similarity
-    alone = s.join(t.select(F.col("i").alias("partner")), "partner", "left_anti")     # no partner: no rank
-    s = s.join(t.select(F.col("i").alias("partner"), F.col("vec").alias("pvec")), "partner")
-    # blocks by a hash of the id, as many as ceil(rows / block) per side: sizes
-    # stay near ``block`` however sparse the ids are.  The two counts are
-    # scalars (driver-side); rows are replicated to the other side's blocks by
-    # explode, so each cell is an equi-join key.
-    nt = max(1, -(-t.count() // block))
-    ns = max(1, -(-s.count() // block))
-    sx = s.select(F.pmod(F.xxhash64("i"), F.lit(ns)).cast("long").alias("sb"),
-                  F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nt - 1).cast("long"))).alias("tb"),
-                  "i", "partner", "vec", "pvec")
-    tx = t.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ns - 1).cast("long"))).alias("sb"),
-                  F.pmod(F.xxhash64("i"), F.lit(nt)).cast("long").alias("tb"), "i", "vec")
-
-    def cell(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"i": pd.Series([], dtype="int64"), "gt": pd.Series([], dtype="int64"),
-                                 "tie": pd.Series([], dtype="int64")})
+
+def _matrix(col: pa.Array) -> np.ndarray:
+    return np.asarray(col.flatten(), dtype=np.float64).reshape(len(col), -1)
+
+
+def _chords(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    sq = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2.0 * (x @ pivots.T)
+    return np.sqrt(np.maximum(sq, 0.0))
+
+
+def _no_unit(x: np.ndarray) -> np.ndarray:
+    """Rows that are no unit vectors (zero or not finite): no distance speaks for them."""
+    return ~(np.abs((x * x).sum(axis=1) - 1.0) <= SLACK)
+
+
+def _far_apart(sample: np.ndarray, k: int) -> np.ndarray:
+    """Up to ``k`` rows of the sample, each the farthest from those before."""
+    taken, near = [0], np.sqrt(((sample - sample[0]) ** 2).sum(axis=1))
+    while len(taken) < k and near.max() > SLACK:
+        taken.append(int(near.argmax()))
+        near = np.minimum(near, np.sqrt(((sample - sample[taken[-1]]) ** 2).sum(axis=1)))
+    return sample[taken]
+
+
+def _tagged(pivots: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Targets with their nearest pivot and its distance (-1 for a vector without length)."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = _matrix(batch.column(1))
+        far = _chords(x, pivots)
+        k = far.argmin(axis=1)
+        r = far[np.arange(len(k)), k]
+        loose = _no_unit(x)
+        k[loose], r[loose] = -1, 0.0
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k, pa.int32()), pa.array(r)], names=["i", "vec", "k", "r"])
+
+
+def _decided(pivots: np.ndarray, blocks: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sources with the targets that distances alone count, and the blocks they leave open."""
+    b, k, low, high, n = (np.array(c) for c in zip(*blocks))
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 256):
+            batch = whole.slice(lo, 256)
+            x, partner = _matrix(batch.column(2)), _matrix(batch.column(3))
+            own = np.sqrt(((x - partner) ** 2).sum(axis=1))[:, None]
+            far = _chords(x, pivots)[:, k]
+            bound = ~(_no_unit(x) | _no_unit(partner))[:, None] & (k >= 0)[None, :]
+            nearer = bound & (far + high < own - SLACK)
+            beyond = bound & (np.maximum(far - high, low - far) > own + SLACK)
+            left = ~(nearer | beyond)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], left.sum(axis=1).cumsum()]).astype("int32")),
+                                             pa.array(b[np.nonzero(left)[1]].astype("int32")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((nearer * n).sum(axis=1).astype("int64")), lists],
+                                             names=["i", "partner", "vec", "pvec", "gt", "open"])
+
+
+def _cell(chunk: int, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    """One product of sources and targets: per source the targets above and at its own similarity."""
+    gt, tie = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
+    if len(a) and len(b):
         A = np.vstack(a["vec"].to_numpy()).astype(np.float64)
         P = np.vstack(a["pvec"].to_numpy()).astype(np.float64)
-        Bm = np.vstack(b["vec"].to_numpy()).astype(np.float64)
-        bj = b["i"].to_numpy()[None, :]
-        partner = a["partner"].to_numpy()
-        gt = np.zeros(len(a), dtype=np.int64)
-        tie = np.zeros(len(a), dtype=np.int64)
-        # one matrix product decides all but the pairs within rounding of the own similarity;
+        B = np.vstack(b["vec"].to_numpy()).astype(np.float64)
+        ids, partner = b["i"].to_numpy(), a["partner"].to_numpy()
+        # the product decides all but the pairs within rounding of the own similarity;
         # those are redone elementwise, the same summation whichever cell computes them
         for lo in range(0, len(a), chunk):
             hi = min(lo + chunk, len(a))
-            sim = A[lo:hi] @ Bm.T
-            own_v = (A[lo:hi] * P[lo:hi]).sum(axis=-1)[:, None]
-            close = np.abs(sim - own_v) <= 1e-9
-            gt[lo:hi] = ((sim > own_v) & ~close).sum(axis=1)
-            for x, y in zip(*np.nonzero(close)):
-                exact = (A[lo + x] * Bm[y]).sum()
-                gt[lo + x] += exact > own_v[x, 0]
-                tie[lo + x] += exact == own_v[x, 0] and bj[0, y] < partner[lo + x]
-        return pd.DataFrame({"i": a["i"].to_numpy(), "gt": gt.astype("int64"), "tie": tie.astype("int64")})
-
-    parts = (sx.groupBy("sb", "tb").cogroup(tx.groupBy("sb", "tb"))
-               .applyInPandas(cell, "i long, gt long, tie long"))
-    ranks = parts.groupBy("i").agg((F.sum("gt") + F.sum("tie") + 1).cast("long").alias("rank"))
-    return ranks.unionByName(alone.select("i", F.lit(None).cast("long").alias("rank")))
+            sim = A[lo:hi] @ B.T
+            own = (A[lo:hi] * P[lo:hi]).sum(axis=-1)
+            close = np.abs(sim - own[:, None]) <= 1e-9
+            gt[lo:hi] = ((sim > own[:, None]) & ~close).sum(axis=1)
+            rows, cols = np.nonzero(close)
+            for at in range(0, len(rows), 16_384):
+                x, y = rows[at:at + 16_384], cols[at:at + 16_384]
+                exact = (A[lo + x] * B[y]).sum(axis=-1)
+                np.add.at(gt, lo + x, exact > own[x])
+                np.add.at(tie, lo + x, (exact == own[x]) & (ids[y] < partner[lo + x]))
+    return pd.DataFrame({"i": a["i"].to_numpy(dtype=np.int64), "gt": gt, "tie": tie,
+                         "scored": np.full(len(a), len(b), dtype=np.int64)})
+
+
+def scored_ranks(src: DataFrame, tgt: DataFrame, block: int | None = None, chunk: int = 256) -> DataFrame:
+    """J3 + W2: ``(i, rank, scored)``: the rank of each source row's true partner among all
+    targets by cosine similarity, ``1 + #(sim > own) + #(sim = own and j < partner)``, and
+    the number of targets its vector was multiplied with.
+
+    ``src``: (i, partner, vec); ``tgt``: (j, vec), ids unique.  Targets are put to the nearest of
+    at most ``MOST_PIVOTS`` pivots (far apart in a sample of ``SAMPLED`` targets each) and
+    sliced there by their distance to it.  By the triangle inequality a block of targets
+    whose distances to a source are all below (or all above) the partner's is counted (or
+    skipped) as a whole; only blocks that stay open are multiplied.  Open
+    sources and the targets of a block meet in cells of about ``block`` rows a side: a block
+    with more equal distances, or more open sources, is split by a hash of the id.  No
+    pair is emitted.  The driver holds the pivots and at most ``MOST_PIVOTS *
+    MOST_SLICES`` block rows, whatever the number of vectors.
+
+    A null target vector counts for nobody; a source without a vector, or whose
+    partner is absent or has none, has a null rank; zero vectors are multiplied, never skipped.
+    """
+    spark = src.sparkSession
+    every = src.select(F.col("i").cast("long").alias("i"), F.col("partner").cast("long").alias("partner"),
+                       l2_normalize(F.col("vec")).alias("vec"))
+    t = tgt.filter(F.col("vec").isNotNull()).select(F.col("j").cast("long").alias("i"), l2_normalize(F.col("vec")).alias("vec"))
+    s = every.filter(F.col("vec").isNotNull())
+    pairs = s.join(t.select(F.col("i").alias("partner"), F.col("vec").alias("pvec")), "partner")
+    no_rank = [F.lit(None).cast("long").alias("rank"), F.lit(0).cast("long").alias("scored")]
+    alone = (s.join(t.select(F.col("i").alias("partner")), "partner", "left_anti")
+              .unionByName(every.filter(F.col("vec").isNull())).select("i", *no_rank))
+
+    sample = t.orderBy(F.xxhash64("i"), "i").limit(MOST_PIVOTS * SAMPLED).select("vec").toArrow().column(0).combine_chunks()
+    if not len(sample):
+        return alone
+    x = _matrix(sample)
+    x = x[~_no_unit(x)] if not _no_unit(x).all() else x[:1] * 0.0
+    pivots = _far_apart(x, max(1, len(x) // SAMPLED))
+
+    near = materialize(t.mapInArrow(functools.partial(_tagged, pivots), "i long, vec array<double>, k int, r double"))
+    cuts_at = [c / MOST_SLICES for c in range(1, MOST_SLICES)]
+    per = near.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("r", cuts_at, 2000).alias("q")).collect()
+    if block is None:
+        slots = spark.sparkContext.defaultParallelism
+        block = min(4096, max(256, -(-sum(p["n"] for p in per) // (2 * slots))))
+    cuts, base = [], 0
+    for p in sorted(per, key=lambda p: p["k"]):
+        m = min(MOST_SLICES, max(1, -(-p["n"] // block))) if p["k"] >= 0 else 1
+        inner = sorted({p["q"][c * MOST_SLICES // m - 1] for c in range(1, m)})
+        cuts.append((p["k"], base, inner))
+        base += len(inner) + 1
+    table = spark.createDataFrame(cuts, "k int, base int, cuts array<double>")
+    placed = near.join(F.broadcast(table), "k").withColumn("b", F.col("base") + F.size(F.filter("cuts", lambda c: c < F.col("r"))))
+    blocks = [tuple(r) for r in placed.groupBy("b").agg(F.first("k"), F.min("r"), F.max("r"), F.count(F.lit(1))).collect()]
+
+    shape = "i long, partner long, vec array<double>, pvec array<double>, gt long, open array<int>"
+    met = materialize(pairs.select("i", "partner", "vec", "pvec").mapInArrow(functools.partial(_decided, pivots, blocks), shape))
+    waiting = dict(met.select(F.explode("open").alias("b")).groupBy("b").count().collect())
+    cells = spark.createDataFrame([(b, -(-n // block), -(-waiting[b] // block)) for b, _, _, _, n in blocks if b in waiting],
+                                  "b int, tparts int, sparts int")
+    n_cells = sum(-(-n // block) * -(-waiting[b] // block) for b, _, _, _, n in blocks if b in waiting)
+    tasks = max(1, min(n_cells, max(spark.sparkContext.defaultParallelism, -(-n_cells // 8))))
+    # two bounded tables are broadcast: a row per pivot, a row per block
+    o = met.select("i", "partner", "vec", "pvec", F.explode("open").alias("b")).join(F.broadcast(cells), "b")
+    o = o.select("b", F.pmod(F.xxhash64("i"), F.col("sparts")).alias("sb"),
+                 F.explode(F.sequence(F.lit(0), F.col("tparts") - 1)).alias("tb"), "i", "partner", "vec", "pvec")
+    g = placed.join(F.broadcast(cells), "b")
+    g = g.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sparts").cast("long") - 1)).alias("sb"),
+                 F.pmod(F.xxhash64("i"), F.col("tparts")).cast("int").alias("tb"), "i", "vec")
+    # a number of its own, as AQE would join cells to tasks by their bytes, not by their products
+    o, g = (f.repartition(tasks, "b", "sb", "tb") for f in (o, g))
+    parts = (o.groupBy("b", "sb", "tb").cogroup(g.groupBy("b", "sb", "tb"))
+              .applyInPandas(functools.partial(_cell, chunk), "i long, gt long, tie long, scored long"))
+    none = F.lit(0).cast("long")
+    ranks = (parts.unionByName(met.select("i", "gt", none.alias("tie"), none.alias("scored"))).groupBy("i")
+                  .agg((F.sum("gt") + F.sum("tie") + 1).cast("long").alias("rank"), F.sum("scored").cast("long").alias("scored")))
+    return ranks.unionByName(alone)
+
+
+def retrieval_ranks(src: DataFrame, tgt: DataFrame, block: int | None = None, chunk: int = 256) -> DataFrame:
+    """J3 + W2: ``(i, rank)`` of ``scored_ranks``."""
+    return scored_ranks(src, tgt, block, chunk).select("i", "rank")
 
 
 def retrieval_metrics(ranks: DataFrame, rank_col: str = "rank") -> DataFrame:
