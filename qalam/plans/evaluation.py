@@ -9,9 +9,11 @@ from qalam.operators.dialect import (CITIES, CITY_TO_REGION, accuracy_by, best_b
                                      label_codes, linear_probe, majority_baseline, per_class_scores,
                                      region_table, stratified_split, with_region)
 from qalam.operators.parallel import drop_all_null, first_n_per_group, first_pairs, row_argmax, unpivot_texts, widen
-from qalam.operators.vectors import masked_mean_pool, retrieval_metrics, retrieval_ranks
+from qalam.operators.probe import probe_checkpoints
+from qalam.operators.vectors import l2_normalize, masked_mean_pool, retrieval_metrics, retrieval_ranks
 from qalam.plans.packing import STREAM_SQL, _encoded
 from qalam.plans.registry import query
+from qalam.plans.session import materialize
 from qalam.sources.fixtures import fixture, fixture_sql
 from qalam.sources.tables import read_table
 
@@ -254,6 +256,38 @@ def linear_probe_q(spark, sf_dir):
     return out.select("vec_id", F.col("label").alias("target"), "pred")
 
 
+# Vectors of three checkpoints: the first numbers of the embedding, more of them as training goes on.
+CHECKPOINT_WIDTHS = {0: 5, 1: 10, 2: None}
+
+
+def checkpoint_vectors(spark, sf_dir):
+    """``(checkpoint, vec_id, vec, city, part)``: the city is the place of the largest of the first ten numbers; a
+    stratified fifth is the test part, a fifth of the rest validation."""
+    e = read_table(spark, sf_dir, "embeddings")
+    e = e.withColumn("city", (F.array_position(F.slice("embedding", 1, 10), F.array_max(F.slice("embedding", 1, 10))) - 1).cast("int"))
+    sp = stratified_split(e, "city", "vec_id", 0.2, 42)
+    rest = stratified_split(sp.filter(~F.col("is_test")).drop("is_test"), "city", "vec_id", 0.2, 43)
+    rows = (rest.withColumn("part", F.when(F.col("is_test"), "val").otherwise("train"))
+                .unionByName(sp.filter("is_test").withColumn("part", F.lit("test"))))
+    each = [F.struct(F.lit(k).alias("checkpoint"), l2_normalize(F.slice("embedding", 1, n) if n else F.col("embedding")).alias("vec"))
+            for k, n in CHECKPOINT_WIDTHS.items()]
+    return rows.select("vec_id", "city", "part", F.inline(F.array(*each)))
+
+
+@query("probe_by_checkpoint")
+def probe_by_checkpoint(spark, sf_dir):
+    """One fit of all checkpoints' probes (M6), then accuracy (A7), F1 per class (A8, A9) and the best checkpoint (L4)
+    on the test part (an iterative fit; the tests compare it with a plain one)."""
+    preds, epochs = probe_checkpoints(checkpoint_vectors(spark, sf_dir), "checkpoint", "vec_id", "vec", "city", "part", 10)
+    preds = materialize(preds)
+    acc = accuracy_by(preds, "checkpoint", "city", "pred")
+    best = best_by(acc, "accuracy", "checkpoint").select(F.col("checkpoint").alias("__best"))     # one row
+    table = acc.join(f1_table(per_class_scores(preds, "checkpoint", "city", "pred"), "checkpoint", range(10)), "checkpoint")
+    chosen = epochs.filter("chosen").select("checkpoint", F.col("epoch").alias("chosen_epoch"), "val_accuracy")
+    return (table.join(chosen, "checkpoint").join(F.broadcast(best), F.col("checkpoint") == F.col("__best"), "left")
+                 .withColumn("is_best", F.col("__best").isNotNull()).drop("__best"))
+
+
 # The labels of the given embeddings do not depend on the vectors, so M6 is judged on a label that does.
 SIDE = "CASE WHEN embedding[{0}] > embedding[{1}] THEN 'first' ELSE 'second' END"
 
