@@ -9,17 +9,21 @@ U4  shard cut: a document covering tokens ``[start, end)`` is cut into one
     piece per shard it touches (``explode(sequence(start div S, (end-1) div S))``
     + ``slice``); a shard is never one row.
 U5  split naming: shard 0 of a source is ``val``, the others ``train``.
-U6  next-token blocks per rank, computed from the pieces by arithmetic.
+U6  next-token blocks per rank, computed from the pieces by arithmetic: an epoch, or
+    any range of steps over epochs, reading only the shards they lie in.
 M5  truncate / pad to a fixed length.
 S11 shard manifest; A15 pack accounting; A16 token budget.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qalam.operators.ranges import range_numbered
+from qalam.plans.session import materialize
 
 # Special tokens and their ids, in the reference's order.
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>", "<mask>"]
@@ -124,6 +128,32 @@ def blocks_per_shard(length: Column, rank: int, world: int, B: int, T: int) -> C
     return F.when(length >= rank * bt + bt + 1, n).otherwise(F.lit(0)).cast("long")
 
 
+def _routed(pieces: DataFrame, bt: int, keep: list) -> DataFrame:
+    """Every piece with the numbers ``g`` of the blocks it overlaps."""
+    a, b = F.col("pos"), F.col("pos") + F.size("piece")
+    first = F.greatest(F.lit(0), F.ceil(a / F.lit(bt)) - 1).cast("long")
+    last = F.floor((b - 1) / F.lit(bt)).cast("long")
+    return pieces.select(*keep, "pos", "piece", F.explode(F.sequence(first, last)).alias("g"))
+
+
+def _gathered(parts: DataFrame, bt: int, shard: list) -> DataFrame:
+    """The ``bt + 1`` ids of every block from the pieces routed to it (bounded groups)."""
+    start = F.col("g") * bt
+    lo = F.greatest(F.col("pos"), start)
+    hi = F.least(F.col("pos") + F.size("piece"), start + bt + 1)
+    p = parts.select(*shard, "g", lo.alias("lo"),
+                     F.slice("piece", (lo - F.col("pos") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+    return (p.groupBy(*shard, "g")
+             .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "part"))), lambda s: s["part"])).alias("ids")))
+
+
+def _block_rows(blocks: DataFrame, B: int, T: int, keep: list) -> DataFrame:
+    rows = F.posexplode(F.sequence(F.lit(0), F.lit(B - 1)))
+    return blocks.select(*keep, "ids", rows).select(
+        *keep, F.col("pos").alias("row"), F.slice("ids", F.col("pos") * T + 1, T).alias("x"),
+        F.slice("ids", F.col("pos") * T + 2, T).alias("y"))
+
+
 def training_blocks(pieces: DataFrame, B: int, T: int, world: int, split: str,
                     part_col: str = "source") -> DataFrame:
     """``(name, rank, step, row, x, y)`` rows of the B×T next-token blocks
@@ -139,22 +169,12 @@ def training_blocks(pieces: DataFrame, B: int, T: int, world: int, split: str,
     named = pieces.withColumn("name", shard_name(part_col)).filter(F.col("name").contains(split))
     lens = named.groupBy("name").agg(F.sum(F.size("piece")).cast("long").alias("len"))
     p = named.join(lens, "name")
-    a, b_ = F.col("pos"), F.col("pos") + F.size("piece")
-    g_lo = F.greatest(F.lit(0), F.ceil(a / F.lit(bt)) - 1).cast("long")
-    g_hi = F.floor((b_ - 1) / F.lit(bt)).cast("long")
-    p = p.select("name", "len", "pos", "piece", F.explode(F.sequence(g_lo, g_hi)).alias("g"))
+    p = _routed(p, bt, ["name", "len"])
     r, k = F.col("g") % world, F.floor(F.col("g") / world)
     start = F.col("g") * bt
     ok = ((start + bt + 1 <= F.col("len"))
           & ((k == 0) | (r * bt + (k + 1) * world * bt + 1 <= F.col("len"))))
-    p = p.filter(ok)
-    lo = F.greatest(F.col("pos"), start)
-    hi = F.least(F.col("pos") + F.size("piece"), start + bt + 1)
-    p = p.select("name", "g", lo.alias("lo"),
-                 F.slice("piece", (lo - F.col("pos") + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
-    blk = (p.groupBy("name", "g")
-            .agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "part"))),
-                                       lambda s: s["part"])).alias("ids")))
+    blk = _gathered(p.filter(ok), bt, ["name"])
     # step numbering: blocks of earlier shards (name order) for the same rank
     per = (lens.select("name", *[blocks_per_shard(F.col("len"), rr, world, B, T).alias(f"n{rr}")
                                   for rr in range(world)]))
@@ -164,12 +184,79 @@ def training_blocks(pieces: DataFrame, B: int, T: int, world: int, split: str,
     blk = blk.join(per, "name")
     rank = (F.col("g") % world).cast("int")
     off = F.element_at(F.array(*[F.col(f"o{rr}") for rr in range(world)]), rank + 1)
-    rows = F.posexplode(F.sequence(F.lit(0), F.lit(B - 1)))
-    out = blk.select("name", rank.alias("rank"), (off + F.floor(F.col("g") / world)).cast("long").alias("step"),
-                     "ids", rows)
-    return out.select("name", "rank", "step", F.col("pos").alias("row"),
-                      F.slice("ids", F.col("pos") * T + 1, T).alias("x"),
-                      F.slice("ids", F.col("pos") * T + 2, T).alias("y"))
+    blk = blk.select("name", rank.alias("rank"), (off + F.floor(F.col("g") / world)).cast("long").alias("step"), "ids")
+    return _block_rows(blk, B, T, ["name", "rank", "step"])
+
+
+def steps_per_epoch(manifest: DataFrame, B: int, T: int, world: int, split: str, part_col: str = "source") -> list[int]:
+    """Blocks of every rank in one pass over the shards."""
+    m = manifest.filter(shard_name(part_col).contains(split))
+    return [int(n or 0) for n in m.agg(*[F.sum(blocks_per_shard(F.col("n_tokens"), r, world, B, T)).alias(f"n{r}")
+                                         for r in range(world)]).first()]
+
+
+def step_index(manifest: DataFrame, B: int, T: int, world: int, split: str, first: int, last: int,
+               part_col: str = "source") -> DataFrame:
+    """U6 by step: ``(source, split, shard_index, rank, step, g)``: the shard and block that each rank reads
+    at the steps ``first`` to ``last - 1``, without a look at any id.
+
+    After a rank's last block the reader starts over with the first shard, so steps go on through any number of
+    epochs; ranks may have epochs of different lengths.  Every shard works out its own steps in the range from the
+    blocks before it; no step is joined to a range of shards.  A rank without blocks has no steps."""
+    m = manifest.select(part_col, "split", "shard_index", F.col("n_tokens").alias("len"), shard_name(part_col).alias("name"))
+    m = m.filter(F.col("name").contains(split))
+    by_name = Window.orderBy("name", "len")          # a row per shard, as in training_blocks
+    every = Window.partitionBy()
+    ranks = []
+    for r in range(world):
+        n = blocks_per_shard(F.col("len"), r, world, B, T)
+        ranks.append(F.struct(F.lit(r).alias("rank"), n.alias("n"),
+                              F.coalesce(F.sum(n).over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+                              F.sum(n).over(every).alias("total")))
+    x = m.withColumn("__r", F.array(*ranks)).select(part_col, "split", "shard_index", F.inline("__r")).filter("n > 0")
+    lo, hi = F.lit(first).cast("long"), F.lit(last).cast("long")
+    x = x.filter(lo < hi).withColumn("epoch", F.explode(F.sequence(F.floor(lo / F.col("total")), F.floor((hi - 1) / F.col("total")))))
+    begin = F.col("epoch") * F.col("total") + F.col("before")
+    x = x.withColumn("begin", begin).withColumn("from", F.greatest(lo, "begin")).withColumn("to", F.least(hi, F.col("begin") + F.col("n")))
+    x = x.filter("from < to").withColumn("step", F.explode(F.sequence(F.col("from"), F.col("to") - 1)))
+    return x.select(part_col, "split", "shard_index", "rank", "step",
+                    ((F.col("step") - F.col("begin")) * world + F.col("rank")).cast("long").alias("g"))
+
+
+MOST_LISTED_SHARDS = 10_000      # shards named in a scan's partition filter; more are found by the join alone
+
+
+def read_steps(spark: SparkSession, path: str, manifest: DataFrame, B: int, T: int, world: int, split: str,
+               first: int, last: int, part_col: str = "source") -> DataFrame:
+    """U6 by step: ``(source, split, shard_index, rank, step, row, x, y)`` of the steps ``first`` to ``last - 1`` of every
+    rank, over any number of epochs, from the files that ``write_shards`` left at ``path``.
+
+    ``step_index`` is worked out before the scan.  The shards it names become a partition filter, so no other
+    shard's file is opened (beyond ``MOST_LISTED_SHARDS`` the join finds them, the result being the same); pieces that overlap no
+    asked block drop out before the shuffle; a block asked in several epochs is put together once."""
+    shard = [part_col, "split", "shard_index"]
+    steps = materialize(step_index(manifest, B, T, world, split, first, last, part_col)
+                        .select(F.col(part_col).cast("string").alias(part_col), "split", F.col("shard_index").cast("long").alias("shard_index"),
+                                "rank", "step", "g"))
+    files = spark.read.parquet(path)
+    named = steps.select(*shard).distinct().limit(MOST_LISTED_SHARDS + 1).collect()
+    if not named:
+        files = files.filter(F.lit(False))
+    elif len(named) <= MOST_LISTED_SHARDS:
+        groups: dict = {}
+        for r in named:
+            groups.setdefault((r[0], r[1]), []).append(r[2])
+        files = files.filter(functools.reduce(lambda a, b: a | b, [
+            F.col(part_col).cast("string").eqNullSafe(F.lit(p)) & (F.col("split") == s) & F.col("shard_index").isin(sorted(ids))
+            for (p, s), ids in groups.items()]))
+    files = files.withColumn(part_col, F.col(part_col).cast("string")).withColumn("shard_index", F.col("shard_index").cast("long"))
+    tag = F.coalesce(F.col(part_col), F.lit("")).alias("__tag"), F.col(part_col).isNull().alias("__none")     # a null source is a source
+    key = ["__tag", "__none", "split", "shard_index"]
+    asked = steps.select(*tag, "split", "shard_index", "g").distinct()
+    parts = _routed(files.select(*tag, "split", "shard_index", "pos", "piece"), B * T, key).join(asked, [*key, "g"])
+    blocks = _gathered(parts, B * T, key)
+    meant = steps.select(*tag, F.col(part_col), "split", "shard_index", "rank", "step", "g")
+    return _block_rows(blocks.join(meant, [*key, "g"]), B, T, [part_col, "split", "shard_index", "rank", "step"])
 
 
 def pad_truncate(ids: Column, max_len: int, pad: int = PAD) -> Column:

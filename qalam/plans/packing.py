@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qalam.operators.pack import (cut_shards, doc_offsets, pack_accounting, pad_truncate, shard_manifest,
-                                  token_budget, training_blocks, write_shards)
+from qalam.operators.pack import (cut_shards, doc_offsets, pack_accounting, pad_truncate, read_steps, shard_manifest,
+                                  shard_name, steps_per_epoch, token_budget, training_blocks, write_shards)
 from qalam.operators.vocab import encode_words, word_vocabulary
 from qalam.plans import duck as d
 from qalam.plans.registry import query
@@ -113,7 +113,7 @@ def token_budget_q(spark, sf_dir):
 
 
 BT = B * T
-BLOCKS_SQL = STREAM_SQL + f""",
+CELLS_SQL = STREAM_SQL + f""",
 named AS (SELECT printf('%s_%s_%06d', source, split, shard_index) AS name, q, id FROM shards
           WHERE contains(printf('%s_%s_%06d', source, split, shard_index), 'train')),
 lens AS (SELECT name, count(*) AS len FROM named GROUP BY name),
@@ -128,7 +128,9 @@ gx AS (SELECT n.name, o.len, n.q, n.id, g FROM named n JOIN offs o USING (name),
 valid AS (SELECT *, g % {WORLD} AS rank, g // {WORLD} AS k FROM gx
           WHERE g * {BT} + {BT} + 1 <= len AND (g // {WORLD} = 0 OR (g % {WORLD}) * {BT} + (g // {WORLD} + 1) * {WORLD * BT} + 1 <= len)),
 cells AS (SELECT v.name, v.rank, v.k, v.q - v.g * {BT} AS j, v.id, o.o0, o.o1 FROM valid v JOIN offs o USING (name)
-          WHERE v.q - v.g * {BT} BETWEEN 0 AND {BT})
+          WHERE v.q - v.g * {BT} BETWEEN 0 AND {BT})"""
+
+BLOCKS_SQL = CELLS_SQL + f"""
 SELECT name, CAST(rank AS INTEGER) AS rank, CAST(CASE WHEN rank = 0 THEN o0 ELSE o1 END + k AS BIGINT) AS step,
   CAST(r AS INTEGER) AS row, CAST(sum(xs) AS BIGINT) AS x_sum, CAST(sum(xw) AS BIGINT) AS x_wsum,
   CAST(sum(ys) AS BIGINT) AS y_sum, CAST(sum(yw) AS BIGINT) AS y_wsum
@@ -159,6 +161,48 @@ def train_blocks(spark, sf_dir):
                       s(F.col("y")).alias("y_sum"), ws(F.col("y")).alias("y_wsum"))
 
 
+STEPS_BACK, STEPS_ON = 3, 4         # the steps around the end of rank 0's first epoch
+STEPS_SQL = CELLS_SQL + f""",
+tot AS (SELECT CAST(sum(n0) AS BIGINT) AS t0, CAST(sum(n1) AS BIGINT) AS t1 FROM nb),
+asked AS (SELECT rank, step, step % CASE WHEN rank = 0 THEN t0 ELSE t1 END AS local
+  FROM (SELECT t0, t1, unnest(generate_series(greatest(t0 - {STEPS_BACK}, 0), 2 * t0 + {STEPS_ON} - 1)) AS step FROM tot) s
+  CROSS JOIN (VALUES (0), (1)) AS r(rank) WHERE CASE WHEN rank = 0 THEN t0 ELSE t1 END > 0
+    AND (step < t0 + {STEPS_ON} OR step >= 2 * t0 - {STEPS_BACK})),
+hit AS (SELECT a.rank, a.step, c.name, c.j, c.id FROM asked a JOIN cells c
+  ON c.rank = a.rank AND CASE WHEN c.rank = 0 THEN c.o0 ELSE c.o1 END + c.k = a.local)
+SELECT name, CAST(rank AS INTEGER) AS rank, CAST(step AS BIGINT) AS step, CAST(r AS INTEGER) AS row,
+  CAST(sum(xs) AS BIGINT) AS x_sum, CAST(sum(xw) AS BIGINT) AS x_wsum, CAST(sum(ys) AS BIGINT) AS y_sum, CAST(sum(yw) AS BIGINT) AS y_wsum
+FROM (
+  SELECT name, rank, step, j // {T} AS r, id AS xs, id * (j % {T} + 1) AS xw, 0 AS ys, 0 AS yw FROM hit WHERE j < {BT}
+  UNION ALL
+  SELECT name, rank, step, (j - 1) // {T} AS r, 0, 0, id, id * ((j - 1) % {T} + 1) FROM hit WHERE j >= 1)
+GROUP BY ALL"""
+
+
+@query("train_steps", STEPS_SQL)
+def train_steps(spark, sf_dir):
+    """U6 by step: what both ranks read around the ends of the first and the second epoch, as a resumed
+    run does; only the shards those steps lie in are opened."""
+    from qalam.sources.files import scratch_path
+    root = scratch_path(spark, "u6-steps")
+    pieces = materialize(_pieces(spark, sf_dir))
+    write_shards(pieces, root)
+    manifest = materialize(shard_manifest(pieces))
+    end = steps_per_epoch(manifest, B, T, WORLD, "train")[0]
+    at = [(max(end - STEPS_BACK, 0), end + STEPS_ON), (2 * end - STEPS_BACK, 2 * end + STEPS_ON)]
+    if at[1][0] < at[0][1]:                                 # an epoch shorter than the look around its end
+        at = [(at[0][0], at[1][1])]
+    blk = None
+    for lo, hi in at:
+        one = read_steps(spark, root, manifest, B, T, WORLD, "train", lo, hi)
+        blk = one if blk is None else blk.unionByName(one)
+
+    def s(c):
+        return F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return blk.select(shard_name().alias("name"), "rank", "step", "row", s(F.col("x")).alias("x_sum"), _possum("x", F.lit(1)).alias("x_wsum"),
+                      s(F.col("y")).alias("y_sum"), _possum("y", F.lit(1)).alias("y_wsum"))
+
+
 @query("pad_truncate", STREAM_SQL + f"""
 SELECT doc_id, CAST({MAX_LEN} AS INTEGER) AS n, CAST(sum(id) AS BIGINT) AS id_sum,
   CAST(sum(id * (gpos - start + 1)) AS BIGINT) AS id_wsum

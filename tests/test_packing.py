@@ -1,10 +1,12 @@
 """Packing properties: pieces rebuild the stream, shards are full, blocks follow the loader rule."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from qalam.operators.pack import cut_shards, doc_offsets, pad_truncate, training_blocks
+from qalam.operators.pack import (cut_shards, doc_offsets, pad_truncate, read_steps, shard_manifest, step_index,
+                                  steps_per_epoch, training_blocks, write_shards)
 
 
 def _docs(spark, n_docs=60, seed=7):
@@ -151,3 +153,38 @@ def test_word_ids_shuffle_no_token(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = encode_words(docs, word_vocabulary(docs), ["doc_id"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_steps_of_any_epoch_read_only_their_shards(spark, tmp_path):
+    """A range of steps over three epochs equals the blocks of one epoch taken cyclically, per rank; shards
+    without an asked step are not opened.  One source is null, one has a name with a slash."""
+    rnd = random.Random(5)
+    rows = [(d, [None, "a/b", "s"][d % 3], [2] + [rnd.randint(5, 99) for _ in range(rnd.randint(0, 60))] + [3]) for d in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, ids array<int>").withColumn("n_tokens", F.size("ids"))
+    S, B, T, P = 150, 2, 4, 2
+    pieces = cut_shards(doc_offsets(df), "ids", S)
+    root = str(tmp_path / "shards")
+    write_shards(pieces, root)
+    manifest = shard_manifest(pieces)
+    epoch = {}
+    for b in training_blocks(pieces, B, T, P, "train").collect():
+        epoch[(b["rank"], b["step"], b["row"])] = (list(b["x"]), list(b["y"]))
+    total = steps_per_epoch(manifest, B, T, P, "train")
+    assert total == [1 + max(s for r, s, _ in epoch if r == rank) for rank in range(P)] and total[0] != total[1]
+
+    def read(first, last):
+        out = read_steps(spark, root, manifest, B, T, P, "train", first, last)
+        got = {(b["rank"], b["step"], b["row"]): (list(b["x"]), list(b["y"])) for b in out.collect()}
+        assert got == {(r, s, row): epoch[(r, s % total[r], row)] for r in range(P) for s in range(first, last) for row in range(B)}
+        return out
+    read(total[0] - 3, 2 * total[0] + 5)
+    one = read(5 * total[0] + 1, 5 * total[0] + 2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "shard_index" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    n_shards = manifest.count()
+    opened = {int(n) for n in re.findall(r"number of (?:files|partitions) read: (\d+)", plan)}
+    index = step_index(manifest, B, T, P, "train", 5 * total[0] + 1, 5 * total[0] + 2)
+    assert index.select("source", "shard_index").distinct().count() <= P < n_shards and all(n <= P for n in opened)
+    assert read(7, 7).collect() == []
+    none = step_index(manifest.filter("n_tokens < 0"), B, T, P, "train", 0, 10)
+    assert none.collect() == [] and steps_per_epoch(manifest.filter("n_tokens < 0"), B, T, P, "train") == [0, 0]
