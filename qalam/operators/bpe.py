@@ -149,15 +149,8 @@ def _encoded(tables, prefix: str, drop_empty: bool, batches: Iterator[pa.RecordB
         yield out.filter(pa.array([bool(x) for x in ids], pa.bool_())) if drop_empty else out
 
 
-def encode(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key_cols, text_col: str = "text",
-           prefix: str = "##", add_bos_eos: bool = True, drop_empty: bool = False) -> DataFrame:
-    """M3: token ids per document; with ``drop_empty`` (the web profile's rule) a document
-    without any subword is dropped.  One pass, no shuffle: words are cut in the JVM, an
-    Arrow function encodes each document's words by merge rank (a heap, so a
-    word of any length takes n log n steps) and remembers words up to a number
-    of bytes.  Merges and vocabulary are broadcast; both are bounded by
-    ``vocab_size``."""
-    spark = docs.sparkSession
+def _tables(spark: SparkSession, merges: DataFrame, vocab: DataFrame):
+    """Merge ranks and ids for the tasks, behind the check of their size."""
     n_vocab = vocab.count()
     if n_vocab > MAX_BROADCAST_VOCAB:
         raise ValueError(f"vocabulary of {n_vocab} entries is too large to broadcast (limit {MAX_BROADCAST_VOCAB})")
@@ -168,10 +161,20 @@ def encode(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key_cols, text_
             raise ValueError(f"{s} not found in vocabulary")
     try:
         held = spark.sparkContext.broadcast((ranks, ids_of))
-        tables = lambda: held.value
+        return lambda: held.value
     except Exception:  # noqa: BLE001  (Spark Connect: ship the bounded tables with the function)
-        tables = lambda: (ranks, ids_of)
+        return lambda: (ranks, ids_of)
 
+
+def encode(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key_cols, text_col: str = "text",
+           prefix: str = "##", add_bos_eos: bool = True, drop_empty: bool = False) -> DataFrame:
+    """M3: token ids per document; with ``drop_empty`` (the web profile's rule) a document
+    without any subword is dropped.  One pass, no shuffle: words are cut in the JVM, an
+    Arrow function encodes each document's words by merge rank (a heap, so a
+    word of any length takes n log n steps) and remembers words up to a number
+    of bytes.  Merges and vocabulary are broadcast; both are bounded by
+    ``vocab_size``."""
+    tables = _tables(docs.sparkSession, merges, vocab)
     keys = list(key_cols)
     rows = docs.select(*keys, pretokenize(text_col).alias("__words"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
@@ -180,6 +183,88 @@ def encode(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key_cols, text_
     return out.select(*keys, ids.alias("ids"))
 
 
+class PieceEncoder(WordEncoder):
+    """Ids of words with the lengths of their pieces and whether the decoder glues them to what stands before."""
+
+    def __missing__(self, word: str) -> list[tuple[int, int, bool]]:
+        symbols = [c if i == 0 else self.prefix + c for i, c in enumerate(word)]
+        out = []
+        for i, s in enumerate(merge_symbols(symbols, self.rank, self.prefix)):
+            out.append((self.vocab.get(s, UNK), len(s) - (len(self.prefix) if i else 0), i > 0))
+        size = 200 + 2 * len(word) + 150 * len(out)
+        if self.held + size > self.room:
+            self.clear()
+            self.held = 0
+        if size <= self.room:
+            self.held += size
+            self[word] = out
+        return out
+
+
+def _placed(tables, prefix: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    coder = PieceEncoder(*tables(), prefix)
+    kinds = [pa.list_(pa.int32())] * 4
+    for batch in batches:
+        cols: tuple[list, ...] = ([], [], [], [])
+        for text, words in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+            ids, starts, ends, gaps = [], [], [], []
+            at, known = 0, None         # known: end of the piece before, if the decoder writes it
+            for word in words or ():
+                at = text.index(word, at)      # only white space lies between words, so this is the word's own place
+                for one, size, glued in coder[word]:
+                    if one == UNK:
+                        known = None           # what is lost here counts as unknown
+                    else:
+                        if known is not None and text[known:at] != ("" if glued else " "):
+                            gaps.append(known)
+                        known = at + size
+                    ids.append(one)
+                    starts.append(at)
+                    at += size
+                    ends.append(at)
+            for col, value in zip(cols, (ids, starts, ends, gaps)):
+                col.append(value)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(c, k) for c, k in zip(cols, kinds))],
+                                         names=[*batch.schema.names[:-2], "ids", "starts", "ends", "gaps"])
+
+
+def encode_places(docs: DataFrame, merges: DataFrame, vocab: DataFrame, key_cols, text_col: str = "text",
+                  prefix: str = "##") -> DataFrame:
+    """M3 with places: ``ids``, the span ``[starts, ends)`` of the text that each id stands for (code points from 0), and
+    ``gaps``: the ends of pieces after which the text goes on otherwise than the decoder does (nothing before a
+    ``##`` piece, one space before a word), where neither side is unknown.  A null text has no ids."""
+    held = _tables(docs.sparkSession, merges, vocab)
+    keys = list(key_cols)
+    rows = docs.select(*keys, F.coalesce(text_col, F.lit("")).alias("__text"), pretokenize(text_col).alias("__words"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    four = ", ".join(f"{c} array<int>" for c in ("ids", "starts", "ends", "gaps"))
+    return rows.mapInArrow(functools.partial(_placed, held, prefix), f"{kinds}, {four}" if kinds else four)
+
+
+def diagnose_roundtrip(texts: DataFrame, placed: DataFrame, vocab: DataFrame, key: str, text_col: str = "text",
+                       unk: int = UNK) -> DataFrame:
+    """A14 with places, per text: ``status`` (``match``, ``has_unk``, ``mismatch`` as in A14), and what it comes from:
+    unknown loss (``n_unk`` ids over ``unk_chars`` characters, the first at ``first_unk``), decode errors (``n_gaps`` places
+    where the decoder's spacing is not the text's, the first at ``first_gap``), and ``cleanup``: the decoder's
+    clean-up rewrote the text.  ``placed`` comes from ``encode_places``, one row per key; places are code points from 0, null
+    where there is none."""
+    from qalam.functions.text import py_strip
+    raw = decode(placed, vocab, [key], cleanup=False).withColumnRenamed("text", "raw")
+    j = placed.join(texts.select(key, F.coalesce(text_col, F.lit("")).alias("src")), key).join(raw, key)
+    dec = F.col("raw")
+    for a, b in CLEANUP:
+        dec = F.replace(dec, F.lit(a), F.lit(b))
+    lost = F.filter(F.arrays_zip("ids", "starts", "ends"), lambda x: x["ids"] == unk)
+    j = j.select(key, "src", "raw", dec.alias("dec"), lost.alias("lost"), "gaps", F.size("ids").alias("n_tokens"))
+    n_unk = F.size("lost")
+    status = F.when(py_strip("dec") == py_strip("src"), "match").when(n_unk > 0, "has_unk").otherwise("mismatch")
+    first = lambda a: F.try_element_at(a, F.lit(1))
+    return j.select(key, F.col("n_tokens").cast("long").alias("n_tokens"), status.alias("status"), n_unk.cast("long").alias("n_unk"),
+                    F.aggregate("lost", F.lit(0).cast("long"), lambda a, x: a + (x["ends"] - x["starts"])).alias("unk_chars"),
+                    first(F.col("lost"))["starts"].alias("first_unk"), F.size("gaps").cast("long").alias("n_gaps"),
+                    first(F.col("gaps")).alias("first_gap"), (F.col("dec") != F.col("raw")).alias("cleanup"))
+
+
 # The subword decoder's tokenization clean-up replacements.
 CLEANUP = [(" .", "."), (" ?", "?"), (" !", "!"), (" ,", ","), (" ' ", "'"), (" n't", "n't"),
            (" 'm", "'m"), (" do not", " don't"), (" 's", "'s"), (" 've", "'ve"), (" 're", "'re")]

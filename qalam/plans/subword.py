@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qalam.operators.bpe import (decode, encode, fertility_and_roundtrip, initial_symbols, learn_bpe, tokenizer_report,
+from qalam.operators.bpe import (decode, diagnose_roundtrip, encode, encode_places, fertility_and_roundtrip, initial_symbols, learn_bpe, tokenizer_report,
                                  vocab_report, word_frequencies)
 from qalam.operators.bpe_learn import pair_counts
 from qalam.operators.cleaning import kept
@@ -141,6 +141,29 @@ def bpe_report(spark, sf_dir):
                       F.round("mean_fertility", 9).alias("mean_fertility"))
 
 
+# Every kept text as it is, with its spaces doubled, and with a Latin word at its end.
+@query("bpe_roundtrip_places", LEARN_SQL + f""", k AS (SELECT id, clean, {d.tokens('clean')} AS toks FROM f6 WHERE drop_reason IS NULL),
+new AS (SELECT count(*) AS n, min(i) AS first FROM (SELECT unnest(['x', '##y', '##z']) AS t, unnest([0, 1, 2]) AS i)
+        WHERE t NOT IN (SELECT t FROM alpha)),
+sp AS (SELECT *, length(clean) - length(replace(clean, ' ', '')) AS spaces, instr(clean, ' ') AS gap FROM k)
+SELECT concat(id, '/plain') AS id, 'match' AS status, CAST(0 AS BIGINT) AS n_unk, CAST(0 AS BIGINT) AS unk_chars, CAST(NULL AS INT) AS first_unk,
+  CAST(0 AS BIGINT) AS n_gaps, CAST(NULL AS INT) AS first_gap FROM sp
+UNION ALL SELECT concat(id, '/spaced'), CASE WHEN spaces > 0 THEN 'mismatch' ELSE 'match' END, 0, 0, NULL, spaces,
+  CASE WHEN spaces > 0 THEN gap - 1 END FROM sp
+UNION ALL SELECT concat(id, '/latin'), CASE WHEN n > 0 THEN 'has_unk' ELSE 'match' END, n, n,
+  CASE WHEN n > 0 THEN length(clean) + 1 + first END, 0, NULL FROM sp, new""")
+def bpe_roundtrip_places(spark, sf_dir):
+    """A14 with places: all three outcomes, each put down to unknown characters or to the decoder's spacing."""
+    m, v = _learned(spark, sf_dir)
+    t = F.col("text")
+    kinds = {"plain": t, "spaced": F.replace(t, F.lit(" "), F.lit("  ")), "latin": F.concat(t, F.lit(" xyz"))}
+    texts = _corpus(spark, sf_dir).select(F.col("id").alias("__id"), F.inline(F.array(*[
+        F.struct(F.lit(k).alias("kind"), c.alias("text")) for k, c in kinds.items()])))
+    texts = materialize(texts.select(F.concat("__id", F.lit("/"), "kind").alias("id"), "text"))
+    placed = materialize(encode_places(texts, m, v, ["id"]))
+    return diagnose_roundtrip(texts, placed, v, "id").select("id", "status", "n_unk", "unk_chars", "first_unk", "n_gaps", "first_gap")
+
+
 @query("bpe_merges_full")
 def bpe_merges_full(spark, sf_dir):
     """M1 at its full size: up to 32,000 entries, merges in rank order (equal to a plain learner in the tests)."""

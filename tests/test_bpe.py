@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from qalam.operators.bpe import WordEncoder, decode, encode, learn_bpe, vocab_report
+from qalam.operators.bpe import (WordEncoder, decode, diagnose_roundtrip, encode, encode_places, learn_bpe,
+                                 vocab_report)
 from qalam.operators.bpe_learn import _apply, _cut, joined, learn_runs
 from tests.conftest import one_col
 
@@ -149,3 +150,33 @@ def test_long_words_and_bounded_memory():
     for k in range(50):
         coder["a" * k]
     assert 0 < len(coder) < 10 and coder.held <= 2000
+
+
+def test_round_trips_are_placed(spark):
+    """Spans cut the text exactly; unknown characters, spacing and clean-up are told apart, worked by hand."""
+    rows = [("plain", "aab ab b"), ("spaces", " aab   b\nab "), ("lost", "ab aXb Ya b"), ("point", "ab.b"), ("clean", "ab . b"),
+            ("bare", None), ("blank", " \t "), ("wide", "\U0001f600 ab\U0001f600b"), ("again", "b b b ab b")]
+    df = spark.createDataFrame(rows, "key string, text string")
+    learn = spark.createDataFrame([("aab ab ab b a . aab",)], "text string")
+    merges, vocab = learn_bpe(spark, learn, vocab_size=40, min_frequency=1)
+    placed = encode_places(df, merges, vocab, ["key"])
+    ids = {r.key: list(r.ids) for r in encode(df, merges, vocab, ["key"], add_bos_eos=False).collect()}
+    token = {r.id: r.token for r in vocab.collect()}
+    for r in placed.collect():
+        text = dict(rows)[r.key] or ""
+        assert list(r.ids) == (ids[r.key] or [])
+        covered = set()
+        for one, a, b in zip(r.ids, r.starts, r.ends):
+            assert token[one] in ("<unk>", text[a:b], "##" + text[a:b])
+            covered |= set(range(a, b))
+        assert all(c.isspace() for i, c in enumerate(text) if i not in covered)
+    got = {r.key: tuple(r)[2:] for r in diagnose_roundtrip(df, placed, vocab, "key").collect()}
+    #                  status, unknown ids, their characters, first, spacing errors, first, clean-up
+    assert got == {
+        "plain": ("match", 0, 0, None, 0, None, False),
+        "spaces": ("mismatch", 0, 0, None, 2, 4, False),          # "aab" ends at 4, "b" before the line break at 8
+        "lost": ("has_unk", 2, 2, 4, 0, None, False),             # "a" known, "X" at 4 and "Y" at 7 lost
+        "point": ("mismatch", 0, 0, None, 2, 2, True),            # "ab . b", cleaned to "ab. b"
+        "clean": ("mismatch", 0, 0, None, 0, None, True),         # decoded right, then cleaned to "ab. b"
+        "bare": ("match", 0, 0, None, 0, None, False), "blank": ("match", 0, 0, None, 0, None, False),
+        "wide": ("has_unk", 2, 2, 0, 0, None, False), "again": ("match", 0, 0, None, 0, None, False)}
