@@ -22,24 +22,111 @@ def l2_normalize(v: Column, eps: float = 1e-12) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(eps)))
 
 
-def masked_mean_pool(tokens: DataFrame, vectors: DataFrame, doc_col: str, tok_col: str, vec_key: str,
-                     vec_col: str, pad: int = 0) -> DataFrame:
-    """A18 + J5: average the vectors of non-pad tokens per document (divisor at
-    least 1), then L2-normalise.  Token counts are pre-aggregated per
-    (document, token), so each distinct token vector is joined once per
-    document; the weighted mean is partially aggregated in the JVM."""
-    t = tokens.filter(F.col(tok_col) != pad)
-    cnt = t.groupBy(doc_col, tok_col).agg(F.count(F.lit(1)).alias("__m"))
-    v = vectors.select(F.col(vec_key).alias(tok_col), array_to_vector(F.transform(vec_col, lambda x: x.cast("double"))).alias("__v"))
-    pooled = (cnt.join(v, tok_col).groupBy(doc_col)
-                 .agg(vector_to_array(Summarizer.mean(F.col("__v"), F.col("__m").cast("double"))).alias("__s"),
-                      F.sum("__m").alias("n_tokens")))
-    one = vectors.select(F.size(vec_col).alias("d")).first()
-    zeros = F.array_repeat(F.lit(0.0), one["d"] if one else 0)
-    # a document of pads only keeps its row: no tokens, the zero vector
-    every = tokens.select(doc_col).distinct()
-    return every.join(pooled, doc_col, "left").select(
-        doc_col, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), l2_normalize(F.coalesce("__s", zeros)).alias("vector"))
+MOST_NUMBERS = 8_000_000      # of token vectors that a task holds (64 MB); a larger table goes in blocks of this size
+MOST_ENTRIES = 1_000_000      # (document, token) counts that meet a block of vectors in one cell, about
+TOKENS_AT_ONCE = 16_384       # vectors looked up in one step, so that a document of any length takes bounded memory
+
+
+def _weighted_sum(keys: np.ndarray, matrix: np.ndarray, toks: np.ndarray, counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """Counted tokens that have a vector, and the sum of their vectors."""
+    n, out = 0, np.zeros(matrix.shape[1])
+    for lo in range(0, len(toks) if len(keys) else 0, TOKENS_AT_ONCE):
+        t, c = toks[lo:lo + TOKENS_AT_ONCE], counts[lo:lo + TOKENS_AT_ONCE]
+        at = np.minimum(np.searchsorted(keys, t), len(keys) - 1)
+        known = keys[at] == t
+        n += int(c[known].sum())
+        out += c[known].astype(np.float64) @ matrix[at[known]]
+    return n, out
+
+
+def _counted(lists: pa.Array, pad: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct ids of every list with their counts, without nulls and pads."""
+    for one in lists:
+        ids = one.values.drop_null().to_numpy(zero_copy_only=False) if one.is_valid else np.array([], dtype=np.int64)
+        yield np.unique(ids if pad is None else ids[ids != pad], return_counts=True)
+
+
+def _sorted_vectors(table: pa.Table, d: int) -> tuple[np.ndarray, np.ndarray]:
+    keys = table.column(0).combine_chunks().to_numpy(zero_copy_only=False)
+    matrix = np.asarray(table.column(1).combine_chunks().flatten(), dtype=np.float64).reshape(-1, d)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], matrix[order]
+
+
+def _summed_here(held, pad: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, matrix = held.value
+    for batch in batches:
+        per = [_weighted_sum(keys, matrix, *x) for x in _counted(batch.column(1), pad)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in per], pa.int64()),
+                                          pa.array([s for _, s in per], pa.list_(pa.float64()))],
+                                         names=[batch.schema.names[0], "n", "s"])
+
+
+def _cut_by_block(n_blocks: int, pad: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document and block of ids: its distinct ids there and their counts."""
+    for batch in batches:
+        rows, blocks, toks, counts = [], [], [], []
+        for i, (t, c) in enumerate(_counted(batch.column(1), pad)):
+            of = t % n_blocks
+            for b in np.unique(of):
+                rows.append(i)
+                blocks.append(b)
+                toks.append(t[of == b])
+                counts.append(c[of == b])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(blocks, pa.int64()),
+                                          pa.array(toks, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))],
+                                         names=[batch.schema.names[0], "tb", "toks", "counts"])
+
+
+def _cell_sums(doc_col: str, d: int, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    order = np.argsort(b["key"].to_numpy(), kind="stable") if len(b) else []
+    keys = b["key"].to_numpy()[order]
+    matrix = np.vstack(b["vec"].to_numpy()[order]).astype(np.float64) if len(b) else np.zeros((0, d))
+    per = [_weighted_sum(keys, matrix, t, c) for t, c in zip(a["toks"], a["counts"])]
+    return pd.DataFrame({doc_col: a[doc_col], "n": [n for n, _ in per], "s": [s for _, s in per]})
+
+
+def masked_mean_pool(docs: DataFrame, vectors: DataFrame, doc_col: str, ids_col: str, vec_key: str,
+                     vec_col: str, pad: int | None = 0, most_numbers: int = MOST_NUMBERS) -> DataFrame:
+    """A18 + J5: ``(doc_col, n_tokens, vector)``: the mean vector of a document's non-pad ids (divisor at
+    least 1), L2-normalised.
+
+    ``docs``: one row per document (unique key) with its ids; ``vectors``: one row per id.  A document is a sparse row of
+    counts of its distinct ids, multiplied by the vectors.  Up to ``most_numbers`` numbers of vectors go to the tasks
+    and each document is pooled where it is, without a shuffle.  A larger table is cut into blocks of ids; a document's
+    counts meet every block it has ids in, in cells of about ``MOST_ENTRIES`` counts, and its partial sums are added: one vector
+    travels per document and block, none per token.
+
+    A document without ids (null, empty, pads only) keeps its row: no tokens, the zero vector.  Null ids and ids
+    without a vector do not count."""
+    spark = docs.sparkSession
+    v = vectors.filter(F.col(vec_key).isNotNull() & F.col(vec_col).isNotNull()).select(
+        F.col(vec_key).cast("long").alias("key"), F.col(vec_col).cast("array<double>").alias("vec"))
+    size = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    d = size["d"] or 0
+    rows = docs.select(doc_col, F.col(ids_col).cast("array<bigint>").alias("__ids"))
+    kind = f"`{doc_col}` {dict(rows.dtypes)[doc_col]}"
+    if size["n"] * d <= most_numbers:
+        held = spark.sparkContext.broadcast(_sorted_vectors(v.toArrow(), d))
+        sums = rows.mapInArrow(functools.partial(_summed_here, held, pad), f"{kind}, n long, s array<double>")
+    else:
+        blocks = -(-size["n"] * d // most_numbers)
+        cut = materialize(rows.mapInArrow(functools.partial(_cut_by_block, blocks, pad),
+                                          f"{kind}, tb long, toks array<bigint>, counts array<bigint>"))
+        entries = cut.agg(F.sum(F.size("toks"))).first()[0] or 0
+        cells = max(1, -(-entries // (blocks * MOST_ENTRIES)))
+        a = cut.withColumn("db", F.pmod(F.xxhash64(doc_col), F.lit(cells)))
+        b = v.select(F.pmod("key", F.lit(blocks)).cast("long").alias("tb"),
+                     F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("db"), "key", "vec")
+        part = a.groupBy("tb", "db").cogroup(b.groupBy("tb", "db")).applyInPandas(
+            functools.partial(_cell_sums, doc_col, d), f"{kind}, n long, s array<double>")
+        part = part.groupBy(doc_col).agg(F.sum("n").alias("__n"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("__s"))
+        j = rows.select(F.col(doc_col).alias("__d")).join(part, F.col("__d").eqNullSafe(F.col(doc_col)), "left")
+        sums = j.select(F.col("__d").alias(doc_col), F.coalesce("__n", F.lit(0)).alias("n"),
+                        F.coalesce("__s", F.array_repeat(F.lit(0.0), d)).alias("s"))
+    mean = F.transform("s", lambda x: x / F.greatest(F.col("n"), F.lit(1)))
+    return sums.select(doc_col, F.col("n").alias("n_tokens"), mean.alias("s")).select(
+        doc_col, "n_tokens", l2_normalize(F.col("s")).alias("vector"))
 
 
 MOST_PIVOTS = 64       # the driver and every task hold this many vectors

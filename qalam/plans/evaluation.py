@@ -195,11 +195,10 @@ FROM mean JOIN nrm USING (doc_id) JOIN ntok USING (doc_id) GROUP BY doc_id""")
 def doc_vectors(spark, sf_dir):
     """M8 + A18 + J5: token vectors (id modulo the rows of embeddings) of every id of
     each whole document, masked mean-pooled and L2-normalised."""
-    enc = _encoded(spark, sf_dir).select("doc_id", "ids")
-    toks = enc.select("doc_id", F.explode("ids").alias("tok"))
     vecs = read_table(spark, sf_dir, "embeddings")
-    toks = toks.select("doc_id", (F.col("tok") % F.lit(vecs.count())).alias("tok"))
-    pooled = masked_mean_pool(toks, vecs, "doc_id", "tok", "vec_id", "embedding", pad=-1)
+    n = vecs.count()
+    enc = _encoded(spark, sf_dir).select("doc_id", F.transform("ids", lambda x: x % F.lit(n)).alias("ids"))
+    pooled = masked_mean_pool(enc, vecs, "doc_id", "ids", "vec_id", "embedding", pad=None)
     v = F.col("vector")
     # sums whose order differs between engines are reported to 9 decimals
     return pooled.select("doc_id", F.col("n_tokens").cast("long"),

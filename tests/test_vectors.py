@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from qalam.operators.vectors import retrieval_ranks, scored_ranks
+from qalam.operators.vectors import masked_mean_pool, retrieval_ranks, scored_ranks
 
 
 def test_blocked_ranks_equal_brute_force(spark):
@@ -90,3 +90,26 @@ def test_no_targets_no_ranks(spark):
     assert {r.i: r["rank"] for r in retrieval_ranks(src, tgt).collect()} == {1: None, 2: None}
     src, tgt = _frames(spark, [], [(1, [1.0])])
     assert retrieval_ranks(src, tgt).collect() == []
+
+
+def test_pooling_here_and_in_blocks_equals_the_plain_mean(spark):
+    rng = np.random.default_rng(4)
+    vec = {k: rng.normal(size=5) for k in range(-3, 60)}
+    docs = [(f"d{k}", rng.integers(-3, 70, size=int(rng.integers(0, 80))).tolist()) for k in range(120)]
+    docs += [("long", rng.integers(-3, 60, size=40_000).tolist()), ("null", None), ("pads", [0, 0]), ("holes", [None, 5, None]),
+             ("strange", [999]), (None, [7, 7, 0])]
+    df = spark.createDataFrame(docs, "doc string, ids array<int>")
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in vec.items()] + [(None, [1.0] * 5), (1000, None)],
+                                  "k long, v array<double>")
+    for most in (10_000, 40, 5):
+        got = {r.doc: r for r in masked_mean_pool(df, table, "doc", "ids", "k", "v", pad=0, most_numbers=most).collect()}
+        assert len(got) == len(docs)
+        for name, ids in docs:
+            known = [vec[i] for i in ids or [] if i is not None and i != 0 and i in vec]
+            mean = np.sum(known, axis=0) / len(known) if known else np.zeros(5)
+            want = mean / max(np.sqrt((mean * mean).sum()), 1e-12)
+            assert got[name].n_tokens == len(known)
+            assert np.allclose(got[name].vector, want, atol=1e-12)
+    plan = masked_mean_pool(df, table, "doc", "ids", "k", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert masked_mean_pool(df.filter("false"), table, "doc", "ids", "k", "v", most_numbers=5).collect() == []
