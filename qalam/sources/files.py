@@ -1,12 +1,12 @@
 """File sources and sinks (S1–S11) on Spark's readers and writers.
 
-No per-file Python loops: a directory or glob is one read; the file name, a
-language tag or a line number become columns.
+A directory or glob is one read, split over tasks; the file name, a language tag
+or a line number become columns.
 """
 
 from __future__ import annotations
 
-import csv
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from qalam.functions.regex import S
 from qalam.functions.text import py_strip
 from qalam.plans.session import ensure_checkpoint_dir
+from qalam.sources.delimited import read_delimited
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
@@ -32,60 +33,37 @@ def pick_text_column(df: DataFrame, candidates) -> str:
     raise ValueError(f"None of {list(candidates)} found. Columns present: {df.columns}")
 
 
-def files_by_header(spark: SparkSession, paths) -> dict[str, list[str]]:
-    """Header line → its files.  The headers come from one distributed read of the
-    files as text; what reaches the driver is one path per file."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"),
-                                          F.col("_metadata.file_block_start").alias("at"), "value")
-    first = (lines.filter("at = 0").withColumn("i", F.monotonically_increasing_id())
-                  .groupBy("path").agg(F.min_by("value", "i").alias("header")))
-    out: dict[str, list[str]] = {}
-    for r in first.orderBy("path").collect():
-        out.setdefault(r["header"].rstrip("\r").lstrip("\ufeff"), []).append(r["path"])
-    return out
-
-
-def _delimited(spark: SparkSession, files: list[str], header: str, sep: str) -> DataFrame:
-    """Files that share a header: one read, every column a string, quotes doubled."""
-    names = next(csv.reader([header], delimiter=sep))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (spark.read.schema(schema).option("header", True).option("sep", sep).option("multiLine", True)
-                 .option("escape", '"').option("enforceSchema", True).csv(files))
+def column_names(spark: SparkSession, paths, sep: str = ",") -> list[str]:
+    """The columns of all files, in the order in which the files (by path) bring them.  Each task reads the
+    first record of its files; what reaches the driver is one row per distinct header."""
+    heads = read_delimited(spark, paths, ["path", "header"], sep, header=True)
+    first = heads.groupBy("header").agg(F.min("path").alias("path")).orderBy("path").collect()
+    return list(dict.fromkeys(n for r in first for n in json.loads(r["header"])))
 
 
 def read_glob_csv(spark: SparkSession, paths, schema: T.StructType | None = None) -> DataFrame:
     """Many CSV files, union by column name, missing columns null.
 
-    ``paths`` is a glob or a list of globs.  Files are grouped by their header
-    line, whatever the order of its columns; each group is one distributed
-    read; groups are unioned by name.  Quoted fields may span lines.
-    ``schema`` casts (and selects) the columns it names.
+    ``paths`` is a file, a folder, a glob or a list of them.  One read of all files, whatever their headers
+    (``delimited``); quoted fields may span lines.  ``schema`` names the columns and casts them: then nothing is read
+    beforehand.  Without it every column is a string, and the headers are read first.
     """
-    out = None
-    for header, files in files_by_header(spark, paths).items():
-        df = _delimited(spark, files, header, ",")
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    names = schema.names if schema is not None else column_names(spark, paths)
+    if not names:
         raise ValueError(f"no file below {paths}")
+    df = read_delimited(spark, paths, names)
     if schema is not None:
-        out = out.select(*[(F.col(f"`{f.name}`") if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-                           for f in schema.fields])
-    return out
+        df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df
 
 
 def read_parallel_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Every TSV of a parallel corpus as one long table.
 
-    ``(sent_id, split, lang, sent)``; index-only files (a header without
-    ``sent``) drop out before they are read.  Fields may be quoted.
+    ``(sent_id, split, lang, sent)``; a file without a ``sent`` column (index-only) is left
+    after its header.  Fields may be quoted.
     """
-    out = None
-    for header, files in files_by_header(spark, path).items():
-        if "sent" in next(csv.reader([header], delimiter="\t")):
-            df = _delimited(spark, files, header, "\t").select("`sentID.BTEC`", "split", "lang", "sent")
-            out = df if out is None else out.unionByName(df)
-    if out is None:
-        return spark.createDataFrame([], "sent_id long, split string, lang string, sent string")
+    out = read_delimited(spark, path, ["sentID.BTEC", "split", "lang", "sent"], "\t", need=["sent"])
     return (out.select(F.col("`sentID.BTEC`").cast("long").alias("sent_id"), "split", "lang", "sent")
                .filter(F.col("sent").isNotNull()))
 

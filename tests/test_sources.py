@@ -4,8 +4,10 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import types as T
 
 from qalam.operators.merge import describe_text
+from qalam.sources import delimited
 from qalam.sources import files as f
 
 
@@ -58,3 +60,39 @@ def test_an_ordered_limit_needs_a_bounded_read(spark):
 def test_describe_text_ties(spark):
     df = spark.createDataFrame([(t,) for t in ["b", "a", "b", "a", "c", None]], "t string")
     assert tuple(describe_text(df, "t").first()) == (5, 3, "a", 2)
+
+
+def test_delimited_files_of_every_kind(spark):
+    """Ragged and blank lines, empty and quoted empty fields, damaged bytes, a header alone, an empty file, a repeated column;
+    names that start with _ or . are no data; long quoted fields."""
+    d = tempfile.mkdtemp()
+    long = "x, \"\" \n" * 50_000
+    _write(d, "a.csv", 'a,b,c\n1,,""\n\n2\n3,x,y,extra\n4,"' + long + '",z\n')
+    _write(d, "b.csv", b"b,a\n\xff\xfeq,5\r\n\"l\r\nm\",6\r")
+    _write(d, "c.csv", "a,b\n")
+    _write(d, "d.csv", "")
+    _write(d, "e.csv", "a,a,b\n7,8,9\n")
+    _write(d, "_SUCCESS.csv", "a,zz\n0,0\n")
+    _write(d, ".hidden.csv", "a,zz\n0,0\n")
+    want = {("1", None, ""), ("2", None, None), ("3", "x", "y"), ("4", long.replace('""', '"'), "z"),
+            ("5", "��q", None), ("6", "l\r\nm", None), ("7", "9", None)}
+    for path in (d, f"{d}/*.csv", f"file://{d}/*.csv", f"file:{d}", [f"{d}/[ab].csv", f"{d}/[c-e].csv", f"{d}/a.csv"]):
+        df = f.read_glob_csv(spark, path)
+        assert df.columns == ["a", "b", "c"] and df.count() == 7 and set(map(tuple, df.collect())) == want
+    typed = f.read_glob_csv(spark, d, T.StructType([T.StructField("c", T.StringType()), T.StructField("a", T.LongType()),
+                                                    T.StructField("none", T.StringType())]))
+    assert sorted((r.a, r.c, r.none) for r in typed.collect())[:3] == [(1, "", None), (2, None, None), (3, "y", None)]
+    with pytest.raises(ValueError):
+        f.read_glob_csv(spark, f"{d}/nothing*.csv")
+    assert f.read_parallel_tsv(spark, tempfile.mkdtemp()).collect() == []
+
+
+def test_small_files_share_a_task_and_large_ones_do_not(spark, monkeypatch):
+    d = tempfile.mkdtemp()
+    for i in range(10):
+        _write(d, f"{i}.csv", "a\n" + f"{i}\n" * (1000 if i in (3, 4) else 1))
+    monkeypatch.setattr(delimited, "PARTITION_BYTES", 1000)
+    source = delimited.DelimitedReader({"paths": f'["{d}"]'}, ["a"])
+    groups = [[os.path.basename(p) for p in part.paths] for part in source.partitions()]
+    assert groups == [["0.csv", "1.csv", "2.csv"], ["3.csv"], ["4.csv"], ["5.csv", "6.csv", "7.csv", "8.csv", "9.csv"]]
+    assert sum(b.num_rows for part in source.partitions() for b in source.read(part)) == 2008
