@@ -158,8 +158,23 @@ def _far_apart(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[taken]
 
 
-def _tagged(pivots: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Targets with their nearest pivot and its distance (-1 for a vector without length)."""
+def _slices(sample: np.ndarray, pivots: np.ndarray, n: int, block: int) -> list[tuple[int, np.ndarray]]:
+    """Per pivot the number of its first block and the distances that part its blocks, each of about ``block`` of
+    all ``n`` targets, after the sample.  Block 0 holds the vectors without length."""
+    far = _chords(sample, pivots)
+    k, r = far.argmin(axis=1), np.sort(far, axis=1)[:, 0]
+    out, first = [], 1
+    for p in range(len(pivots)):
+        own = np.sort(r[k == p])
+        m = min(MOST_SLICES, max(1, round(n * len(own) / len(sample) / block)), max(1, len(own) // 4))
+        cuts = np.unique(own[[len(own) * c // m for c in range(1, m)]])
+        out.append((first, cuts))
+        first += len(cuts) + 1
+    return out
+
+
+def _tagged(pivots: np.ndarray, slices: list, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Targets with their nearest pivot (-1 for a vector without length), its distance, and their block."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -169,7 +184,11 @@ def _tagged(pivots: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         r = far[np.arange(len(k)), k]
         loose = _no_unit(x)
         k[loose], r[loose] = -1, 0.0
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k, pa.int32()), pa.array(r)], names=["i", "vec", "k", "r"])
+        b = np.zeros(len(k), dtype=np.int32)
+        for p in np.unique(k[~loose]):
+            b[k == p] = slices[p][0] + np.searchsorted(slices[p][1], r[k == p])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k, pa.int32()), pa.array(r), pa.array(b)],
+                                         names=["i", "vec", "k", "r", "b"])
 
 
 def _decided(pivots: np.ndarray, blocks: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +243,7 @@ def scored_ranks(src: DataFrame, tgt: DataFrame, block: int | None = None, chunk
 
     ``src``: (i, partner, vec); ``tgt``: (j, vec), ids unique.  Targets are put to the nearest of
     at most ``MOST_PIVOTS`` pivots (far apart in a sample of ``SAMPLED`` targets each) and
-    sliced there by their distance to it.  By the triangle inequality a block of targets
+    sliced there by their distance to it (blocks; where they are cut follows the sample).  By the triangle inequality a block of targets
     whose distances to a source are all below (or all above) the partner's is counted (or
     skipped) as a whole; only blocks that stay open are multiplied.  Open
     sources and the targets of a block meet in cells of about ``block`` rows a side: a block
@@ -252,20 +271,12 @@ def scored_ranks(src: DataFrame, tgt: DataFrame, block: int | None = None, chunk
     x = x[~_no_unit(x)] if not _no_unit(x).all() else x[:1] * 0.0
     pivots = _far_apart(x, max(1, len(x) // SAMPLED))
 
-    near = materialize(t.mapInArrow(functools.partial(_tagged, pivots), "i long, vec array<double>, k int, r double"))
-    cuts_at = [c / MOST_SLICES for c in range(1, MOST_SLICES)]
-    per = near.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("r", cuts_at, 2000).alias("q")).collect()
+    n = t.count()
     if block is None:
         slots = spark.sparkContext.defaultParallelism
-        block = min(4096, max(256, -(-sum(p["n"] for p in per) // (2 * slots))))
-    cuts, base = [], 0
-    for p in sorted(per, key=lambda p: p["k"]):
-        m = min(MOST_SLICES, max(1, -(-p["n"] // block))) if p["k"] >= 0 else 1
-        inner = sorted({p["q"][c * MOST_SLICES // m - 1] for c in range(1, m)})
-        cuts.append((p["k"], base, inner))
-        base += len(inner) + 1
-    table = spark.createDataFrame(cuts, "k int, base int, cuts array<double>")
-    placed = near.join(F.broadcast(table), "k").withColumn("b", F.col("base") + F.size(F.filter("cuts", lambda c: c < F.col("r"))))
+        block = min(4096, max(256, -(-n // (2 * slots))))
+    slices = _slices(x, pivots, n, block)
+    placed = materialize(t.mapInArrow(functools.partial(_tagged, pivots, slices), "i long, vec array<double>, k int, r double, b int"))
     blocks = [tuple(r) for r in placed.groupBy("b").agg(F.first("k"), F.min("r"), F.max("r"), F.count(F.lit(1))).collect()]
 
     shape = "i long, partner long, vec array<double>, pvec array<double>, gt long, open array<int>"
@@ -275,7 +286,7 @@ def scored_ranks(src: DataFrame, tgt: DataFrame, block: int | None = None, chunk
                                   "b int, tparts int, sparts int")
     n_cells = sum(-(-n // block) * -(-waiting[b] // block) for b, _, _, _, n in blocks if b in waiting)
     tasks = max(1, min(n_cells, max(spark.sparkContext.defaultParallelism, -(-n_cells // 8))))
-    # two bounded tables are broadcast: a row per pivot, a row per block
+    # a row per block is broadcast
     o = met.select("i", "partner", "vec", "pvec", F.explode("open").alias("b")).join(F.broadcast(cells), "b")
     o = o.select("b", F.pmod(F.xxhash64("i"), F.col("sparts")).alias("sb"),
                  F.explode(F.sequence(F.lit(0), F.col("tparts") - 1)).alias("tb"), "i", "partner", "vec", "pvec")
