@@ -88,7 +88,7 @@ def fit_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200)
 
 
 def _featured(rows: DataFrame) -> DataFrame:
-    """Hashed shape words and pairs, of unit length."""
+    """Hashed shape words and pairs (the last word's pair is the word alone), of unit length."""
     tokens = F.filter(F.split("shape", r"[ \n]+"), lambda t: t != "")
     pairs = F.zip_with(F.col("tokens"), F.slice("tokens", 2, F.greatest(F.size("tokens"), F.lit(1))),
                        lambda a, b: F.concat_ws(" ", a, b))
