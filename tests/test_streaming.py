@@ -77,3 +77,18 @@ def test_first_rows_of_a_stream_over_batches(spark):
     got = read_corpus(spark, src, text_col="body", limit=25, streaming=True, schema=schema, max_files=1)
     rows = spark.read.parquet(run_to_table(spark, got, "s6-test")).collect()
     assert sorted(r.id for r in rows) == list(range(25)) and all(r.text == str(r.id) for r in rows)
+
+
+def test_stream_reads_a_table_of_part_files(spark, tmp_path):
+    """A table is one file or a folder of them; the cleaned stream has the rows of both."""
+    from qalam.plans.streams import stream_clean_kept, stream_web_kept
+    text = "هذا نص طويل يكفي للبوابة الاخيرة من بوابات التنظيف كلها بلا شك"
+    rows = [(k, "s", text.translate(str.maketrans("ابتثجحخدذرزسشصضطظعغفقكلمنه", "abcdefghijklmnopqrstuvwxyz"))) for k in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs.repartition(3).write.parquet(str(tmp_path / "parts" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "raw"))
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "raw").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for query in (stream_clean_kept, stream_web_kept):
+        one, parts = ([tuple(r) for r in query(spark, str(tmp_path / d)).orderBy("id").collect()] for d in ("one", "parts"))
+        assert one == parts and len(one) > 10
