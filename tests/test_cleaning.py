@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from qalam.functions import clean as cl
+from qalam.functions import gates as g
 from qalam.functions.clean import clean_comment_text, clean_forum_text, clean_web_text
 from qalam.operators.cleaning import clean_comment, clean_forum, kept
 from qalam.operators.funnel import funnel, funnel_long
@@ -153,3 +154,21 @@ def test_token_shares_match_python(spark):
         assert r["b"] == share(v, lambda t: any(map(arabic, t))), repr(v)
         single = share(v, lambda t: len(t) == 1 and letter(t))
         assert r["s"] == (len(v.split()) >= 6 and single > 0.5), repr(v)
+
+
+def test_words_without_a_pattern_judge_as_with_it(spark):
+    """G5 and G4 from words cut at spaces: the same verdict as from the text's shape and from Python's split."""
+    import random
+    from qalam.functions import regex as rx
+    rnd = random.Random(3)
+    parts = ["س", "س ", "سلام ", " ", "ab ", "x", "é ", "漢 ", "1 ", "، ", "ݐ ", "😀 "]
+    vals = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 24))) for _ in range(2000)]
+    c = F.col("t")
+    df = one_col(spark, [*vals, None]).select("t", g.is_spaced_words(c).alias("w"), g.is_spaced_arabic(c).alias("s"), g.foreign_share(c).alias("f"))
+    def has(ranges, word):
+        return any(int(lo, 16) <= ord(x) <= int(hi or lo, 16) for x in word for lo, _, hi in (r.partition("-") for r in ranges))
+    for r in df.collect():
+        assert r.w == r.s, r.t
+        words = (r.t or "").split()
+        n = sum(has(rx.FOREIGN, w) and not has(rx.ARABIC_BLOCKS, w) for w in words)
+        assert r.f == (None if r.t is None else n / max(len(words), 1)), r.t
