@@ -180,3 +180,15 @@ def test_round_trips_are_placed(spark):
         "clean": ("mismatch", 0, 0, None, 0, None, True),         # decoded right, then cleaned to "ab. b"
         "bare": ("match", 0, 0, None, 0, None, False), "blank": ("match", 0, 0, None, 0, None, False),
         "wide": ("has_unk", 2, 2, 0, 0, None, False), "again": ("match", 0, 0, None, 0, None, False)}
+
+
+def test_decoding_makes_no_row_per_token(spark):
+    """M4: id lists are decoded whole; ids without a piece, empty and null lists, null and shared keys."""
+    vocab = spark.createDataFrame([("<pad>", 0), ("<bos>", 2), ("a", 5), ("b", 6), ("##c", 7), (".", 8)], "token string, id int")
+    rows = [("x", [2, 5, 7, 6, 8, 99, None]), ("y", []), ("z", None), (None, [5, 6]), ("w", [5, 6]), ("w", [6, 7])]
+    out = decode(spark.createDataFrame(rows, "k string, ids array<int>"), vocab, ["k"])
+    assert sorted((str(r.k), r.text) for r in out.collect()) == [
+        ("None", ""), ("w", "a bc b"), ("w", "a bc b"), ("x", "ac b."), ("y", ""), ("z", "")]
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    raw = decode(spark.createDataFrame(rows[:1], "k string, ids array<int>"), vocab, ["k"], cleanup=False, skip_special=False)
+    assert raw.first().text == "<bos> ac b ."
