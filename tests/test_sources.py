@@ -96,3 +96,18 @@ def test_small_files_share_a_task_and_large_ones_do_not(spark, monkeypatch):
     groups = [[os.path.basename(p) for p in part.paths] for part in source.partitions()]
     assert groups == [["0.csv", "1.csv", "2.csv"], ["3.csv"], ["4.csv"], ["5.csv", "6.csv", "7.csv", "8.csv", "9.csv"]]
     assert sum(b.num_rows for part in source.partitions() for b in source.read(part)) == 2008
+
+
+def test_files_are_written_by_their_tasks(spark, tmp_path):
+    """S9 → S4: odd names and texts come back; rows that share a name are one file's lines; few tasks read many files."""
+    from pyspark.sql import functions as F
+    from qalam.sources.files import read_transcripts, write_files
+    rows = [(f"d{k % 3}/f {k}.vtt", f"a\n{k}") for k in range(200)] + [("x:y=%/[é].vtt", "ü"), ("null", None)]
+    df = spark.createDataFrame(rows + [("two", "1"), ("two", "2")], "path string, content string").coalesce(1)
+    for root in (str(tmp_path / "plain"), (tmp_path / "uri").as_uri(), f"file:{tmp_path / 'short'}"):
+        assert write_files(df, "path", "content", root) == 203
+        back = read_transcripts(spark, root)
+        assert back.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        name = F.url_decode(F.regexp_extract("file_name", "^[0-9]+-(.+)$", 1))
+        want = {p: f"{t or ''}\n" for p, t in rows} | {"two": "1\n2\n"}
+        assert {r.n: r.content for r in back.select(name.alias("n"), "content").collect()} == want
