@@ -192,3 +192,48 @@ def test_decoding_makes_no_row_per_token(spark):
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
     raw = decode(spark.createDataFrame(rows[:1], "k string, ids array<int>"), vocab, ["k"], cleanup=False, skip_special=False)
     assert raw.first().text == "<bos> ac b ."
+
+
+def test_array_phase_equals_the_index(monkeypatch):
+    """M1: merges of all runs in one array are those of the index and heap, and the passes may end between."""
+    from qalam.operators import bpe_learn
+    for seed in range(120):
+        rnd = random.Random(seed)
+        words = sorted({"".join(rnd.choice("abc"[:rnd.randint(1, 3)]) for _ in range(rnd.randint(1, 9))) for _ in range(rnd.randint(1, 25))})
+        runs = [([c if i == 0 else "##" + c for i, c in enumerate(w)], 1 + 3 * k % 7 + (1 << 40) * (seed % 3)) for k, w in enumerate(words)]
+        floor, whole, got = rnd.randint(1, 4), rnd.random() < 0.5, []
+        for symbols, many in ((1024, 1000), (0, 1000), (1024, 25)):         # the array, the index, one after the other
+            monkeypatch.setattr(bpe_learn, "MOST_SYMBOLS", symbols)
+            monkeypatch.setattr(bpe_learn, "MANY", many)
+            existing = {s for r, _ in runs for s in r}
+            got.append((list(learn_runs([(list(r), n) for r, n in runs], floor, 30, existing, "##", whole)), existing))
+        assert got[0] == got[1] == got[2]
+
+
+def test_plain_words_are_cut_as_by_the_pattern(spark):
+    from qalam.operators.bpe import PRETOKEN, pretokenize
+    rows = ["", " ", "سلام عليكم", "  a  b_1 ", "a,b", "كِتاب", "a\nb", "ا ب", None, "😀 x", "ة ى آ", "a-b c", "١٢ ab"]
+    df = one_col(spark, rows, "text")
+    got = df.select("text", pretokenize("text").alias("a"), F.regexp_extract_all("text", F.lit(PRETOKEN), 0).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and len(got) == len(rows)
+
+
+def test_decoding_in_arrays_equals_joining_pieces():
+    import pyarrow as pa
+    from qalam.operators.bpe import CLEANUP, _decoded
+    rnd = random.Random(5)
+    token = dict(enumerate(["a", "##b", "##", "####", ".", "n't", " ##x", "x y", "do", "not", "'", "", "##'s", "# "]))
+    rows = [[[rnd.choice([*token, 99, None]) for _ in range(rnd.randint(0, 9))] for _ in range(1 + (k % 5 == 0))] for k in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k if k % 11 else None for k in range(600)]),
+                                        pa.array(rows, pa.list_(pa.list_(pa.int32()))), pa.array([len(r) for r in rows])], names=["k", "i", "n"])
+    for cleanup in (True, False):
+        want = []
+        for k, lists in enumerate(rows):
+            pieces = [t for _, t in sorted((i, token[x]) for one in lists for i, x in enumerate(one) if x in token)] if len(lists) > 1 \
+                else [token[x] for x in lists[0] if x in token]
+            text = "" if k % 11 == 0 else " ".join(pieces).replace(" ##", "")
+            for a, b in CLEANUP if cleanup else ():
+                text = text.replace(a, b)
+            want += [text] * len(lists)
+        got = [t for b in _decoded(lambda: token, "##", cleanup, [batch]) for t in b.column(1).to_pylist()]
+        assert got == want
