@@ -8,11 +8,11 @@
 2. Each (span, kind) gets format and context features.  A valid base span is positive,
    a candidate that breaks its kind's rules is negative, any other is unlabelled (and
    left out where it touches a base span).
-3. Boosted trees (Spark ML) learn to tell base spans from the others on a bounded
-   sample of candidates.  That score is the chance of being real times the share of
+3. Boosted trees (Spark ML) learn to tell base spans from the others on all labelled
+   candidates but those held out (three in ten).  That score is the chance of being real times the share of
    real spans that are base (positive and unlabelled learning), so it is divided by
    that share: the mean score of the held-out base spans of the kind.  Per kind, a
-   threshold from ``REAL`` up is calibrated on held-out labelled candidates so that at
+   threshold from ``REAL`` up is calibrated on all held-out labelled candidates so that at
    least ``PRECISION`` of those selected are positive; unlabelled ones count for nothing.
 4. Candidates above their threshold that keep their kind's rules (digits, ranges,
    check sum) and touch no base span are added, best first, where no span
@@ -30,13 +30,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qalam.llm.common import key_bucket, materialize, seeded_key
+from qalam.llm.common import materialize, seeded_key
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000          # candidates for training and calibration at most, about
+TASK_ROWS = 5_000        # candidates in a training task, about
+STEPS = 1_000_000        # held-out scores are counted in steps of one over this
 PRECISION = 0.9
 REAL = 0.5               # corrected score from which a span is more likely real than not
-_SCALE = 1_000_000
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -181,37 +181,38 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=[*part.schema.names[:-1], "c"])
 
 
-def _calibrated(held: list[tuple[int, float, bool, float]], precision: float) -> dict[int, tuple[float, float]]:
-    """Per kind ``(share, limit)`` from held-out ``kind, label, unlabelled, score``.
+def _calibrated(held: list[tuple], precision: float) -> dict[int, tuple[float, float]]:
+    """Per kind ``(share, limit)`` from held-out ``kind, label, unlabelled, score`` and how many
+    there are of it (one, if left out).
 
     ``share`` is the mean score of base spans, ``limit`` the lowest score over it, from
     ``REAL`` up, from which on the precision among labelled candidates stays reached.  A
     kind without held-out base spans takes both from all kinds together."""
-    out = {}
+    out, held = {}, [(*r, 1)[:5] for r in held]
     for kind in range(len(KINDS)):
         own = [r for r in held if r[0] == kind]
-        if not any(y for _, y, _, _ in own):
+        if not any(y for _, y, *_ in own):
             own = held
-        base = [p for _, y, _, p in own if y]
-        share = sum(base) / len(base) if base else 1.0
-        rows = sorted(((p / share, y) for _, y, free, p in own if not free), reverse=True)
-        best, good = 2.0 / share, 0.0
-        for i, (p, y) in enumerate(rows, 1):
-            good += y
-            if good / i >= precision and (i == len(rows) or rows[i][0] < p):
+        base = [(p, n) for _, y, _, p, n in own if y]
+        share = sum(p * n for p, n in base) / sum(n for _, n in base) if base else 1.0
+        rows = sorted(((p / share, y, n) for _, y, free, p, n in own if not free), reverse=True)
+        best, good, seen = 2.0 / share, 0.0, 0
+        for i, (p, y, n) in enumerate(rows, 1):
+            good, seen = good + y * n, seen + n
+            if good / seen >= precision and (i == len(rows) or rows[i][0] < p):
                 best = p if i < len(rows) else 0.0
         out[kind] = share, max(best, REAL)
     return out
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE,
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              precision: float = PRECISION, seed: int = 53) -> DataFrame:
     """One row per input row: ``doc_id`` and ``found``, an array of ``start, kind, end, base, score`` by
     start, then kind (0 email, 1 ip, 2 card, 3 phone).
 
     Positions count code points, the end is exclusive; base spans have score 1.  A
     null text counts as empty.  A text of any length is searched whole, in time
-    that grows with its length.  Without both labels in the sample nothing is
+    that grows with its length.  Without both labels nothing is
     added.  Null ids, repeated rows and empty tables pass through; other columns
     are ignored."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -222,18 +223,19 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
                      "open:boolean,wrong:boolean,x:array<double>>>"))
     spans = rows.select("row", "doc_id", F.inline("c"))
     labelled = spans.filter("base or wrong or open").withColumn("label", F.col("base").cast("double")).withColumn("key", seeded_key(seed, F.col("doc_id"), F.col("start")))
-    counts = labelled.agg(F.count(F.lit(1)).alias("n")).first()["n"]
-    share = min(1.0, sample / max(1, counts))
-    drawn = materialize(labelled.filter(key_bucket(F.col("key"), _SCALE) < int(share * _SCALE))
-                        .select("kind", "label", "open", array_to_vector("x").alias("features"),
-                                (F.conv(F.substring("key", 9, 2), 16, 10).cast("int") < 77).alias("held"))).coalesce(4)
+    drawn = materialize(labelled.select(
+        "kind", "label", "open", array_to_vector("x").alias("features"),
+        (F.conv(F.substring("key", 9, 2), 16, 10).cast("int") < 77).alias("held")))
+    drawn = drawn.coalesce(max(4, drawn.count() // TASK_ROWS))
     fit = drawn.filter(~F.col("held"))
     added = None
     if fit.select("label").distinct().count() == 2:
         model = GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, seed=seed, cacheNodeIds=False).fit(fit)
         p = vector_to_array("probability")[1]
-        held = [(r["kind"], r["label"], r["open"], r["p"]) for r in       # <= sample rows
-                model.transform(drawn.filter("held")).select("kind", "label", "open", p.alias("p")).collect()]
+        # equal scores are counted on the cluster; rounded down, so that a limit keeps what it was taken from
+        score = (F.floor(p * STEPS) / STEPS).alias("p")
+        held = [tuple(r) for r in model.transform(drawn.filter("held")).groupBy("kind", "label", "open", score)
+                .agg(F.count(F.lit(1)).alias("n")).collect()]
         limits = _calibrated(held, precision)
         share, limit = (F.element_at(F.array(*[F.lit(limits[k][i]) for k in range(len(KINDS))]), F.col("kind") + 1)
                         for i in (0, 1))
