@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the pattern that cuts a text into pieces for this vocabulary family.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMORY = 150_000     # encoded pieces a worker remembers; it starts over when full
+MEMORY = 150_000     # encoded pieces a worker remembers, in two halves; the older one goes when both are full
 
 
 def default_path() -> str:
@@ -42,12 +43,16 @@ def byte_letters() -> dict[str, int]:
 class _Memory(dict):
     def __init__(self, encode, room: int):
         super().__init__()
-        self.encode, self.room = encode, room
+        self.encode, self.room, self.older = encode, max(1, room // 2), {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.room:
+        if len(self) >= self.room:                     # pieces used again come over from the older half
+            self.older = dict(self)
             self.clear()
-        self[piece] = out = self.encode(piece)
+        out = self.older.get(piece)
+        if out is None:
+            out = self.encode(piece)
+        self[piece] = out
         return out
 
 
@@ -97,6 +102,7 @@ class PrefixBpe:
             self.automaton.add_word(piece, (len(piece), t))
         self.automaton.make_automaton()
         self.packed = {t: t.to_bytes(4, "little") for t in self.token}
+        self.tokens = pa.array([self.token.get(i) for i in range(max(self.token) + 1)], pa.large_binary())
         self.pattern = regex.compile(PIECES)
         self.path, self.alike, self.other = path, set(), set()
         self._letters, self._library = letters, None
@@ -185,6 +191,22 @@ class PrefixBpe:
         token = self.token
         return b"".join([token[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
 
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        return pa.array([self.encode(x) for x in texts.to_pylist()], pa.binary())
+
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """``decode`` of many rows: their tokens are taken and joined by Arrow."""
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(ids)).astype(np.int64) // 4)])
+        flat = np.frombuffer(b"".join(ids.to_pylist()), dtype="<u4")
+        taken = self.tokens.take(pa.array(flat))
+        if taken.null_count:
+            raise KeyError("an id without a token")
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken), pa.scalar(b"", pa.large_binary()))
+        try:
+            return texts.cast(pa.string())             # valid UTF-8, most often
+        except pa.ArrowInvalid:
+            return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
 
 _OPEN: dict[str, PrefixBpe] = {}
 
@@ -196,13 +218,13 @@ def encoder(path: str) -> PrefixBpe:
     return _OPEN[path]
 
 
-def _mapped(path: str, method: str, kind: pa.DataType):
+def _mapped(path: str, method: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = getattr(encoder(path), method)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out = pa.array([work(x) for x in part.column(part.num_columns - 1).to_pylist()], type=kind)
+                out = work(part.column(part.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], out], names=[*part.schema.names[:-1], "out"])
     return run
 
@@ -216,7 +238,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     path = path or default_path()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(_mapped(path, "encode", pa.binary()), f"doc_id {id_type}, out binary")
+    out = rows.mapInArrow(_mapped(path, "encode_all"), f"doc_id {id_type}, out binary")
     return out.select("doc_id", (F.octet_length("out") / 4).cast("long").alias("n_tokens"), F.col("out").alias("ids"))
 
 
@@ -226,6 +248,6 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or default_path()
     id_type = encoded.schema["doc_id"].dataType.simpleString()
     pairs = encoded.select("doc_id", "n_tokens", "ids", F.col("ids").alias("copy"))
-    out = pairs.mapInArrow(_mapped(path, "decode", pa.string()),
+    out = pairs.mapInArrow(_mapped(path, "decode_all"),
                            f"doc_id {id_type}, n_tokens long, ids binary, out string")
     return out.withColumnRenamed("out", "text")

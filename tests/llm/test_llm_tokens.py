@@ -195,3 +195,20 @@ def test_pipeline_stages_take_edge_rows_and_empty_tables(spark):
             docs = docs if name == "quality" else after       # the tiny table's classifier is not the point here
             if name != "tokens":
                 assert after.columns == start.columns
+
+
+def test_rows_decoded_together_and_two_halves_of_memory():
+    """op7: Arrow joins the tokens of many rows; bytes that are not UTF-8 are replaced; a piece in use outlives a full memory."""
+    import pyarrow as pa
+    from qalam.llm import bpe_prefix
+    coder = bpe_prefix.PrefixBpe(bpe_prefix.default_path(), memory=4)
+    texts = ["", "one two one two", "naïve 😀 text", "a b c d e f g"]
+    ids = coder.encode_all(pa.array(texts))
+    assert coder.decode_all(ids).to_pylist() == texts == [coder.decode(x) for x in ids.to_pylist()]
+    broken = [ids[2].as_py()[:8 + 4 * k] for k in range(4)] + [b""]
+    assert coder.decode_all(pa.array(broken, pa.binary())).to_pylist() == [coder.decode(x) for x in broken]
+    made = []
+    memory = bpe_prefix._Memory(lambda p: made.append(p) or p.encode(), 4)
+    for p in "hahbhchdhe":
+        assert memory[p] == p.encode()
+    assert made.count("h") == 1 and len(memory) + len(memory.older) <= 4
