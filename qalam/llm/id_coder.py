@@ -8,11 +8,13 @@ predictors guess the next id: the id last seen after the two previous ids
 distribution over {order 2, order 1, cached id, new id}, which a range coder
 with carry codes; a cached id adds its cache slot, a new id its plain bits.
 
-All blocks of a call run in step, one numpy lane per block.
+All blocks of a call run in step, one numpy lane per block.  Ids and words of
+one place lie together, so that a step reads and writes its neighbours.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -28,54 +30,51 @@ _CONF32 = np.uint32(_CONF)
 _ID = np.uint32((1 << _CONF) - 1)
 _SHARE = np.array([60, 500, 1100, 1700, 2200, 2500, 2750, 2900, 3050, 3150, 3250, 3330, 3400, 3470, 3540, 3600],
                   dtype=np.int32)
-# by confidence, then by confidence + 16 after a hit: change of an entry, and whether a new id takes it
+# by confidence, then by confidence + 16 after a hit: change of an entry
 _STEP = np.array([(k >> 1) - k for k in range(16)] + [int(k < 15) for k in range(16)], dtype=np.int64) << _CONF
 _STEP = (_STEP & 0xFFFFFFFF).astype(np.uint32)
-_FRESH = np.array([k < 2 for k in range(16)] + [False] * 16)
+_HEAD = struct.Struct("<4I")
+_HASH = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
 HEADER = np.dtype([("magic", "<u4"), ("ids", "<u4"), ("words", "<u4"), ("crc", "<u4")])
 
 
 class _Model:
-    """Predictors of ``lanes`` blocks; ``predict`` then ``learn`` for every position."""
+    """Predictors of ``lanes`` blocks; ``predict``, ``slots`` and ``learn`` for every position.
+    Orders 1 and 2 are rows of the same arrays."""
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) << _SLOTS
-        self.cbase = np.arange(lanes, dtype=np.int64) << _CACHE
-        self.t1 = np.zeros(lanes << _SLOTS, dtype=np.uint32)
-        self.t2 = np.zeros(lanes << _SLOTS, dtype=np.uint32)
+        self.rows = np.arange(lanes, dtype=np.int64)
+        self.base = np.stack([self.rows, self.rows + lanes]) << _SLOTS
+        self.cbase = self.rows << _CACHE
+        self.table = np.zeros(2 * lanes << _SLOTS, dtype=np.uint32)
         self.cache = np.full(lanes << _CACHE, _ID, dtype=np.uint32)
         self.w = np.full((3, lanes), 2048, dtype=np.int32)
-        self.rows = np.arange(lanes, dtype=np.int64)
         self.c1 = np.zeros(lanes, dtype=np.uint32)
         self.c2 = np.zeros(lanes, dtype=np.uint32)
-        self.bounds = np.zeros((5, lanes), dtype=np.int32)
+        self.hashes = np.zeros((2, lanes), dtype=np.uint32)       # the first row: of c1
+        self.bounds = np.zeros((5, lanes), dtype=np.uint64)
         self.flat = self.bounds.reshape(-1)
         self.bounds[4] = 1 << _TOTAL
 
     def predict(self, n: int) -> None:
-        c1 = self.c1[:n]
-        shift = np.uint32(32 - _SLOTS)
-        h1 = c1 * np.uint32(2654435761)
-        h2 = (h1 + self.c2[:n] * np.uint32(2246822519)) * np.uint32(3266489917)
-        self.i1 = (h1 >> shift).astype(np.int64)
-        self.i1 += self.base[:n]
-        self.i2 = (h2 >> shift).astype(np.int64)
-        self.i2 += self.base[:n]
-        self.e1, self.e2 = self.t1[self.i1], self.t2[self.i2]
-        self.p1, self.p2 = self.e1 & _ID, self.e2 & _ID
-        self.k1, self.k2 = (self.e1 >> _CONF32).astype(np.int64), (self.e2 >> _CONF32).astype(np.int64)
-        f2 = _SHARE.take(self.k2)
-        f2 *= self.w[2, :n]
-        f2 >>= _TOTAL
+        h = self.hashes[:, :n]
+        h2 = self.c2[:n] * _HASH[1]
+        h2 += h[0]
+        np.multiply(h2, _HASH[2], out=h[1])
+        self.at = (h >> np.uint32(32 - _SLOTS)).astype(np.int64)
+        self.at += self.base[:, :n]
+        self.e = self.table.take(self.at)
+        self.p, self.k = self.e & _ID, (self.e >> _CONF32).astype(np.int64)
+        f = _SHARE.take(self.k)
+        f *= self.w[1:, :n]
+        f >>= _TOTAL
+        f1, f2 = f
         f2 += 1
         rest = (1 << _TOTAL) - f2
-        f1 = _SHARE.take(self.k1)
-        f1 *= self.w[1, :n]
-        f1 >>= _TOTAL
         f1 *= rest
         f1 >>= _TOTAL
         rest -= f1
-        self.same = self.p1 == self.p2
+        self.same = self.p[0] == self.p[1]
         twice = f1 * self.same
         f2 += twice
         f1 -= twice
@@ -92,49 +91,66 @@ class _Model:
         """Start and width of the chosen kind."""
         at = kind * len(self.rows)
         at += self.rows[:n]
-        lo = self.flat.take(at).astype(np.uint64)
+        lo = self.flat.take(at)
         at += len(self.rows)
-        return lo, self.flat.take(at).astype(np.uint64) - lo
+        width = self.flat.take(at)
+        width -= lo
+        return lo, width
+
+    def slots(self, n: int, ids: np.ndarray) -> np.ndarray:
+        """Cache slots of the ids; their hashes are those of the next position's order 1."""
+        h = np.multiply(ids, _HASH[0], out=self.hashes[0, :n])
+        at = (h >> np.uint32(32 - _CACHE)).astype(np.int64)
+        at += self.cbase[:n]
+        return at
 
     def learn(self, n: int, ids: np.ndarray, kind: np.ndarray, slot: np.ndarray) -> None:
-        new = ids | np.uint32(1 << _CONF)
-        for table, at, e, p, k, w in ((self.t1, self.i1, self.e1, self.p1, self.k1, 1),
-                                      (self.t2, self.i2, self.e2, self.p2, self.k2, 2)):
-            hit = p == ids
-            step = hit.astype(np.int64)
-            step <<= 4
-            step += k
-            e += _STEP.take(step)
-            table[at] = np.where(_FRESH.take(step), new, e)
-            ww = self.w[w, :n]
-            ww += (hit * np.int32(4095) - ww) >> 5
+        hit = self.p == ids
+        fresh = (self.k < 2) > hit              # a weak entry that missed: the new id takes it
+        step = hit.astype(np.int64)
+        step <<= 4
+        step += self.k
+        self.e += _STEP.take(step)
+        np.copyto(self.e, ids | np.uint32(1 << _CONF), where=fresh)
+        self.table[self.at.reshape(-1)] = self.e.reshape(-1)
+        w = self.w[1:, :n]
+        change = hit * np.int32(4095)
+        change -= w
+        change >>= 5
+        w += change
         w0 = self.w[0, :n]
-        w0 += (((kind == 2) * np.int32(3900) - w0) * (kind >= 2)) >> 5
+        change = (kind == 2) * np.int32(3900)
+        change -= w0
+        change *= kind >= 2
+        change >>= 5
+        w0 += change
         self.cache[slot] = ids
         self.c2[:n] = self.c1[:n]
         self.c1[:n] = ids
 
-    def slots(self, n: int, ids: np.ndarray) -> np.ndarray:
-        at = ((ids * np.uint32(2654435761)) >> np.uint32(32 - _CACHE)).astype(np.int64)
-        at += self.cbase[:n]
-        return at
-
 
 def _quotient(v: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """``v // r`` of integers below 2**48: by floating point, then made exact."""
-    q = (v.astype(np.float64) / r.astype(np.float64)).astype(np.uint64)
-    q -= q * r > v
-    q += (q + np.uint64(1)) * r <= v
-    return q
+    """``v // r`` of integers below 2**48, by floating point.
+
+    It is exact: ``v / r`` is at least ``1 / r`` below the next integer ``q``, and doubles
+    below ``q`` lie closer than that as ``q * r`` is less than 2**49."""
+    # as signed integers, which convert faster
+    return (v.view(np.int64) / r.view(np.int64)).astype(np.int64).view(np.uint64)
 
 
-def _carry(out: np.ndarray, at: np.ndarray, lanes: np.ndarray) -> None:
-    """Add one to the last word written of each lane; a full word passes it on."""
-    back = at[lanes] - 1
-    while len(lanes):
-        out[lanes, back] += np.uint16(1)
-        over = out[lanes, back] == 0
-        lanes, back = lanes[over], back[over] - 1
+def _turned(a: np.ndarray) -> np.ndarray:
+    """Rows as columns, copied a few rows at a time."""
+    out = np.empty(a.shape[::-1], dtype=a.dtype)
+    for i in range(0, len(a), 32):
+        out[:, i:i + 32] = a[i:i + 32].T
+    return out
+
+
+def _carry(flat: np.ndarray, back: np.ndarray, lanes: int) -> None:
+    """Add one to the words at ``back``; a full word passes it on to the one before it, ``lanes`` back."""
+    while len(back):
+        flat[back] += np.uint16(1)
+        back = back[flat[back] == 0] - lanes
 
 
 def encode_blocks(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, id_bits: int) -> list[bytes]:
@@ -146,9 +162,13 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, id_bit
     model = _Model(lanes)
     low = np.zeros(lanes, dtype=np.uint64)
     rng = np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
-    out = np.zeros((lanes, steps * 2 + 8), dtype=np.uint16)
-    at = np.zeros(lanes, dtype=np.int64)
-    every = np.arange(lanes)
+    rows = np.zeros((lanes, steps), dtype=ids.dtype)
+    for j, (a, n) in enumerate(zip(first.tolist(), length.tolist())):
+        rows[j, :n] = ids[a:a + n]
+    text = _turned(rows)
+    del rows
+    out = np.zeros((steps * 2 + 8, lanes), dtype=np.uint16)      # an id gives two words at most
+    flat, where = out.reshape(-1), np.arange(lanes)              # where: of each lane's next word
     active = np.searchsorted(-length, -np.arange(steps), side="left")   # lanes with length > t
     full, bits = np.uint64(1 << 32), np.uint64(id_bits)
     total = np.uint64(_TOTAL + id_bits)
@@ -156,42 +176,57 @@ def encode_blocks(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, id_bit
 
     for t in range(steps):
         n = int(active[t])
-        x = ids[first[:n] + t].astype(np.uint32)
+        x = text[t, :n].astype(np.uint32)
         model.predict(n)
         slot = model.slots(n, x)
         b = model.bounds
-        kind = 3 - ((model.cache[slot] == x) & (b[3, :n] > b[2, :n])).astype(np.int64)
-        kind = np.where((model.p1 == x) & ~model.same & (b[2, :n] > b[1, :n]), 1, kind)
-        kind = np.where(model.p2 == x, 0, kind)
+        kind = 3 - ((model.cache.take(slot) == x) & (b[3, :n] > b[2, :n])).astype(np.int64)
+        np.copyto(kind, 1, where=(model.p[0] == x) & ~model.same & (b[2, :n] > b[1, :n]))
+        np.copyto(kind, 0, where=model.p[1] == x)
         lo, width = model.interval(n, kind)
         # a cached id takes its slot's part of the interval, a new id its own part
         width <<= shifts.take(kind)
         lo <<= bits
-        lo += width * np.where(kind == 3, x.astype(np.int64), (slot & ((1 << _CACHE) - 1)) * (kind == 2)).astype(np.uint64)
+        part = x.astype(np.uint64)
+        part *= kind == 3
+        cached = np.flatnonzero(kind == 2)
+        part[cached] = slot[cached] & ((1 << _CACHE) - 1)
+        part *= width
+        lo += part
         r = rng[:n] >> total
-        base = low[:n] + lo * r
+        lo *= r
+        base = low[:n] + lo
         r *= width
         if (over := base > _LOW).any():
-            _carry(out, at, every[:n][over])
+            _carry(flat, where[:n][over] - lanes, lanes)
             base &= _LOW
+        # a word that is not yet due is written over later
+        due = r < full
+        flat[where[:n]] = (base >> np.uint64(32)).astype(np.uint16)
+        where[:n] += due * np.int64(lanes)
+        shift = due.astype(np.uint64) << np.uint64(4)
+        r <<= shift
+        base <<= shift
+        base &= _LOW
         short = np.flatnonzero(r < full)
         while len(short):
-            b, where = base[short], at[short]
-            out[short, where] = (b >> np.uint64(32)).astype(np.uint16)
-            at[short] = where + 1
-            base[short] = (b << np.uint64(16)) & _LOW
+            high, at = base[short], where[short]
+            flat[at] = (high >> np.uint64(32)).astype(np.uint16)
+            where[short] = at + lanes
+            base[short] = (high << np.uint64(16)) & _LOW
             r[short] <<= np.uint64(16)
             short = short[r[short] < full]
         rng[:n], low[:n] = r, base
         model.learn(n, x, kind, slot)
     for shift in (32, 16, 0):
-        out[every, at] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
-        at += 1
+        flat[where] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
+        where += lanes
+    counts = (where // max(1, lanes)).tolist()
+    words = _turned(out[:max(counts, default=0)]).astype("<u2", copy=False)
     coded: list[bytes] = [b""] * lanes
     for j, i in enumerate(order.tolist()):
         raw = ids[first[j]:first[j] + length[j]].astype("<u4")
-        head = np.array([(MAGIC, length[j], at[j], zlib.crc32(raw.tobytes()))], dtype=HEADER)
-        coded[i] = head.tobytes() + out[j, :at[j]].astype("<u2").tobytes()
+        coded[i] = _HEAD.pack(MAGIC, length[j], counts[j], zlib.crc32(raw)) + words[j, :counts[j]].tobytes()
     return coded
 
 
@@ -200,66 +235,78 @@ def decode_blocks(blocks: list[bytes], id_bits: int) -> list[np.ndarray]:
     lanes = len(blocks)
     if not lanes:
         return []
-    heads = np.concatenate([np.frombuffer(b, dtype=HEADER, count=1) for b in blocks])
+    if min(map(len, blocks)) < HEADER.itemsize:
+        raise ValueError("a block is cut short")
+    heads = np.frombuffer(b"".join([b[:HEADER.itemsize] for b in blocks]), dtype=HEADER)
     if (heads["magic"] != MAGIC).any():
         raise ValueError("not a block")
     order = np.argsort(-heads["ids"].astype(np.int64), kind="stable")
     length, steps = heads["ids"].astype(np.int64)[order], int(heads["ids"].max())
-    words = np.zeros((lanes, int(heads["words"].max()) + 3), dtype=np.uint16)
+    rows = np.zeros((lanes, int(heads["words"].max()) + 3), dtype=np.uint16)
     for j, i in enumerate(order.tolist()):
         w = np.frombuffer(blocks[i], dtype="<u2", offset=HEADER.itemsize)
         if len(w) != heads["words"][i]:
             raise ValueError("a block is cut short")
-        words[j, :len(w)] = w
-    w64 = words[:, :3].astype(np.uint64)
-    value = (w64[:, 0] << np.uint64(32)) | (w64[:, 1] << np.uint64(16)) | w64[:, 2]
-    at = np.full(lanes, 3, dtype=np.int64)
+        rows[j, :len(w)] = w
+    words = _turned(rows)
+    del rows
+    w64 = words[:3].astype(np.uint64)
+    value = (w64[0] << np.uint64(32)) | (w64[1] << np.uint64(16)) | w64[2]
+    flat, where = words.reshape(-1), np.arange(lanes) + 3 * lanes     # where: of each lane's next word
     rng = np.full(lanes, (1 << 48) - 1, dtype=np.uint64)
-    model, every = _Model(lanes), np.arange(lanes)
-    out = np.zeros((lanes, steps), dtype=np.uint32)
+    model = _Model(lanes)
+    text = np.zeros((steps, lanes), dtype=np.uint16 if id_bits <= 16 else np.uint32)
     active = np.searchsorted(-length, -np.arange(steps), side="left")
     full, bits = np.uint64(1 << 32), np.uint64(id_bits)
     total = np.uint64(_TOTAL + id_bits)
     shifts = np.array([id_bits, id_bits, id_bits - _CACHE, 0], dtype=np.uint64)   # by kind
-    last = words.shape[1] - 1
 
     for t in range(steps):
         n = int(active[t])
         model.predict(n)
         b = model.bounds
         r, v = rng[:n] >> total, value[:n]
-        mark = _quotient(v, r) >> bits
-        mark = mark.astype(np.int32)
-        kind = (mark >= b[1, :n]).astype(np.int64)
-        kind += mark >= b[2, :n]
-        kind += mark >= b[3, :n]
+        unit = r << bits
+        kind = (v >= b[1, :n] * unit).astype(np.int64)
+        kind += v >= b[2, :n] * unit
+        kind += v >= b[3, :n] * unit
         lo, width = model.interval(n, kind)
         width <<= shifts.take(kind)
-        lo <<= bits
-        v = v - lo * r
+        lo *= unit
+        v = v - lo
         r *= width
-        x = np.where(kind == 0, model.p2, model.p1)
-        if len(who := np.flatnonzero(kind >= 2)):
-            step = r[who]
-            got = _quotient(v[who], step)
-            v[who] -= got * step
-            got = got.astype(np.int64)
-            cached = model.cache[model.cbase[who] + (got & ((1 << _CACHE) - 1))]
-            x[who] = np.where(kind[who] == 2, cached, got.astype(np.uint32))
+        # a new id, a cached id's slot; 0 for the predicted ones, whose interval is not cut further
+        got = _quotient(v, r)
+        v -= got * r
+        x = got.astype(np.uint32)
+        np.copyto(x, model.p[0], where=kind == 1)
+        np.copyto(x, model.p[1], where=kind == 0)
+        cached = np.flatnonzero(kind == 2)
+        at = got.take(cached).astype(np.int64)
+        at &= (1 << _CACHE) - 1
+        at += model.cbase.take(cached)
+        x[cached] = model.cache.take(at)
+        due = r < full
+        shift = due.astype(np.uint64) << np.uint64(4)
+        v <<= shift
+        v |= flat.take(where[:n], mode="clip") * due
+        where[:n] += due * np.int64(lanes)
+        r <<= shift
         short = np.flatnonzero(r < full)
         while len(short):
-            where = at[short]
-            v[short] = (v[short] << np.uint64(16)) | words[short, np.minimum(where, last)]
-            at[short] = where + 1
+            at = where[short]
+            v[short] = (v[short] << np.uint64(16)) | flat.take(at, mode="clip")
+            where[short] = at + lanes
             r[short] <<= np.uint64(16)
             short = short[r[short] < full]
         value[:n], rng[:n] = v, r
-        out[:n, t] = x
+        text[t, :n] = x
         model.learn(n, x, kind, model.slots(n, x))
+    out = _turned(text)
     result: list[np.ndarray] = [np.zeros(0, dtype="<u4")] * lanes
     for j, i in enumerate(order.tolist()):
         got = out[j, :length[j]].astype("<u4")
-        if zlib.crc32(got.tobytes()) != heads["crc"][i]:
+        if zlib.crc32(got) != heads["crc"][i]:
             raise ValueError("a block's checksum does not match")
         result[i] = got
     return result

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,30 @@ LANES = 4096               # blocks coded in step
 DOCS_PER_SHARD = 6144
 #: The blocks' plain ids have 16 bits; a larger vocabulary takes more.
 ID_BITS = 16
+TEXTS = 32 << 20           # bytes of text whose words are encoded together, about
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of an array of texts that holds any, and the places between them."""
+    raw = texts.cast(pa.large_binary())
+    bounds = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    return np.frombuffer(raw.buffers()[2], dtype=np.uint8)[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+
+def _after_word(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place (1 or more) is surely no white space.
+
+    Characters that share their first bytes with white space (U+0080, U+1680, U+2000
+    and U+3000, 64 or 128 from each) count as white space."""
+    last = data[ends - 1]
+    sure = ~_SPACE[last]
+    wide = np.flatnonzero(last >= 0x80)
+    two, three = data[ends[wide] - 2], data[ends[wide] - 3]
+    sure[wide] = ~((two == 0xC2) | ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE3) & (two == 0x80))
+                   | ((three == 0xE2) & ((two == 0x80) | (two == 0x81))))
+    return sure
 
 
 class LibraryEncoder:
@@ -57,6 +82,8 @@ class LibraryEncoder:
             import tiktoken
             ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if t not in self.specials}
             self.fast = tiktoken.Encoding("ids", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+            self.lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)     # bytes of each id
+            self.lengths[list(ranks.values())] = list(map(len, ranks))
 
     def slow(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
@@ -64,17 +91,86 @@ class LibraryEncoder:
     def quick(self, text: str) -> np.ndarray:
         return self.fast.encode_to_numpy(text, disallowed_special=())
 
-    def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or any(s in text for s in self.specials):
-            return self.slow(text)
+    def try_characters(self, text: str) -> None:
         if not text.isascii():
             for c in set(text) - self.alike - self.other:
                 probe = f"a{c}1!{c} {c}{c}"
                 (self.alike if np.array_equal(self.quick(probe), self.slow(probe)) else self.other).add(c)
-            if self.other and not self.other.isdisjoint(text):
-                return self.slow(text)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.fast is None or any(s in text for s in self.specials):
+            return self.slow(text)
+        self.try_characters(text)
+        if self.other and not self.other.isdisjoint(text):
+            return self.slow(text)
         return self.quick(text)
 
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word after the other, and the number of ids of each.
+
+        Words that start with white space and end without need no space of their
+        own to stay apart, so they are encoded as one text."""
+        data, ends = _parts(words)
+        apart = _SPACE[data[ends[:-1]]] & _after_word(data, ends[1:])
+        counts, ids = np.zeros(len(words), dtype=np.int64), np.zeros(0, dtype=np.uint32)
+        if apart.any():
+            joined, stops = _parts(words.filter(pa.array(apart)))
+            ids = self.quick(joined.tobytes().decode("utf-8"))
+            at = np.cumsum(self.lengths[ids])
+            until = np.searchsorted(at, stops[1:])
+            if not np.array_equal(at[until], stops[1:]):
+                raise ValueError("an id over the end of a word")
+            counts[apart] = np.diff(until + 1, prepend=0)
+        single = np.flatnonzero(~apart)
+        alone = [self.quick(w.decode("utf-8")) for w in words.take(pa.array(single)).to_pylist()]
+        counts[single] = list(map(len, alone))
+        out = np.empty(counts.sum(), dtype=np.uint32)
+        mine = np.repeat(apart, counts)
+        out[mine], out[~mine] = ids, np.concatenate([*alone, np.zeros(0, np.uint32)])
+        return out, counts
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text, as by a call for each; none may be null, and
+        together they must be less than 2 GiB.
+
+        No piece of the pattern goes on from a character that is no white space
+        into white space, and none looks back, so a text may be cut there: each
+        distinct word between these places is encoded once."""
+        if self.fast is None or not len(texts):
+            return [self.slow(t) for t in texts.to_pylist()]
+        data, bounds = _parts(texts)
+        if not len(data):
+            return [np.zeros(0, dtype=np.uint32)] * len(texts)
+        if len(texts) == 1 and len(data) > TEXTS:           # its words would take several times its room
+            return [self(texts[0].as_py())]
+        space = _SPACE[data]
+        places = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[places[_after_word(data, places)]] = True
+        cut[bounds] = True
+        starts = np.flatnonzero(cut)
+        del space, places, cut
+        coded = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [
+            None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        word = np.asarray(coded.indices)
+        ids, counts = self.words(coded.dictionary)
+        ends = np.append(0, np.cumsum(counts[word]))
+        # the place of every id among the words' ids: one after the last, or a jump to the next word's first
+        after = np.cumsum(counts)
+        steps = np.ones(ends[-1], dtype=np.int32)
+        steps[ends[:-1]] = (after - counts)[word]
+        steps[ends[1:-1]] -= (after - 1)[word[:-1]]
+        flat = ids.take(np.cumsum(steps, out=steps))
+        at = ends[np.searchsorted(starts, bounds)]
+        out = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        whole, characters = data.tobytes(), _parts(coded.dictionary)[0].tobytes().decode("utf-8")
+        self.try_characters(characters)
+        if any(s.encode() in whole for s in self.specials) or not self.other.isdisjoint(characters):
+            for i, text in enumerate(texts.to_pylist()):
+                if any(s in text for s in self.specials) or not self.other.isdisjoint(text):
+                    out[i] = self.slow(text)
+        return out
+
 
 _OPEN: dict[str, LibraryEncoder] = {}
 
@@ -85,10 +181,13 @@ def _tokenised(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Ite
         _OPEN[path] = LibraryEncoder(path)
     encode = _OPEN[path]
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                ids = np.append(encode(text), np.uint32(end_id))
+        size, at = np.cumsum(np.asarray(pc.binary_length(batch.column(1))), dtype=np.int64), 0
+        while at < batch.num_rows:
+            until = (size[at - 1] if at else 0) + TEXTS
+            part = batch.slice(at, max(1, int(np.searchsorted(size, until, side="right")) - at))
+            at += part.num_rows
+            for doc, text in zip(part.column(0).to_pylist(), encode.encode_all(part.column(1))):
+                ids = np.append(text, np.uint32(end_id))
                 if int(ids.max()) >> ID_BITS:
                     raise ValueError(f"ids of more than {ID_BITS} bits")
                 yield doc, ids.astype(np.uint16)

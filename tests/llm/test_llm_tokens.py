@@ -212,3 +212,67 @@ def test_rows_decoded_together_and_two_halves_of_memory():
     for p in "hahbhchdhe":
         assert memory[p] == p.encode()
     assert made.count("h") == 1 and len(memory) + len(memory.older) <= 4
+
+
+@pytest.fixture(scope="module")
+def ids_of():
+    return id_files.LibraryEncoder(bpe_prefix.default_path())
+
+
+def test_each_distinct_word_is_encoded_once(ids_of, monkeypatch):
+    """op8: a batch asks the encoder for its distinct words, not for every text."""
+    import pyarrow as pa
+    rng, asked, quick = random.Random(5), [], ids_of.quick
+    vocabulary = ["".join(rng.choice("abcdefgh\u00e9") for _ in range(rng.randint(2, 9))) for _ in range(200)]
+    texts = [" ".join(rng.choices(vocabulary, k=100)) + "\n" for _ in range(100)]
+    want = [ids_of(t) for t in texts]
+    monkeypatch.setattr(ids_of, "quick", lambda t: asked.append(len(t)) or quick(t))
+    got = ids_of.encode_all(pa.array(texts))
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    assert sum(asked) < sum(map(len, texts)) / 10
+
+
+def test_texts_encoded_together_are_the_library(ids_of, library, monkeypatch):
+    """White space of every kind at every place, added tokens, characters classed differently, empty texts, slices."""
+    import pyarrow as pa
+    rng = random.Random(6)
+    pool = ["a", "b", "the", "'s", "'", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003",
+            "\u2019", "\u2028", "\u3000", "\u3002", "\u1e9f", "\u00e9", "\u6f22", "\U0001f600", "12", "!?", "<|endoftext|>", "\u0558"]
+    texts = ["", " ", "a", *["".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(5000)], ""]
+    array = pa.array(["left out", *texts]).slice(1)
+    for some in (array, array.cast(pa.large_string()), array.slice(0, 1), array.slice(0, 0), pa.array(["", ""])):
+        got = ids_of.encode_all(some)
+        assert len(got) == len(some)
+        for text, ids in zip(some.to_pylist(), got):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    low = [f"x{chr(c)} y{chr(c)}\n{chr(c)} \t{chr(c)}  z" for c in range(1, 0x3100)]
+    assert [x.tolist() for x in ids_of.encode_all(pa.array(low))] == [ids_of.quick(t).tolist() for t in low]
+    monkeypatch.setattr(id_files, "TEXTS", 10)
+    long = "one two two  three " * 9
+    assert ids_of.encode_all(pa.array([long]))[0].tolist() == ids_of(long).tolist()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(["", long, "a b", "c"])], names=["doc_id", "text"])
+    got = dict(id_files._tokenised(bpe_prefix.default_path(), 0, iter([batch])))
+    assert {d: x.tolist() for d, x in got.items()} == {
+        d: [*ids_of(t).tolist(), 0] for d, t in enumerate(["", long, "a b", "c"])}
+
+
+def test_coded_blocks_stay_the_same():
+    """Blocks of the first version of the coder (their digests) are still written, and so read."""
+    rng = np.random.default_rng(8)
+    digests = []
+    for ids in (rng.integers(0, 1 << 16, 60_000), rng.zipf(1.2, 60_000) % 50_257, np.arange(60_000) // 7 % 300):
+        starts = np.arange(0, 60_000, 2048)
+        sizes = np.minimum(2048, 60_000 - starts)
+        blocks = id_coder.encode_blocks(ids.astype(np.uint16), starts, sizes, 16)
+        assert np.array_equal(np.concatenate(id_coder.decode_blocks(blocks, 16)), ids)
+        digests.append(hashlib.sha256(b"".join(blocks)).hexdigest()[:16])
+    assert digests == ["562d66f916b89fb1", "c447a4e24d7bc09c", "9bff5643fb0dcedb"]
+
+
+def test_quotient_next_to_whole_numbers():
+    rng = np.random.default_rng(9)
+    r = rng.integers(1 << 4, 1 << 48, 100_000).astype(np.uint64) >> rng.integers(0, 44, 100_000).astype(np.uint64)
+    r = np.maximum(r, np.uint64(1))
+    q = np.uint64((1 << 48) - 1) // r
+    for v in (q * r, q * r - np.uint64(1), np.full(len(r), (1 << 48) - 1, dtype=np.uint64)):
+        assert np.array_equal(id_coder._quotient(v, r), v // r)
